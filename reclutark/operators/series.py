@@ -48,6 +48,13 @@ def dense_by_category(
 ) -> DataFrame:
     """Long form of :func:`sum_by_category`: every listed category for every key that has rows."""
     wide = sum_by_category(df, keys, category, categories, value)
+    return to_long(wide, keys, categories, category_name, value_name)
+
+
+def to_long(
+    wide: DataFrame, keys: Sequence[str], categories: Sequence[int | str], category_name: str, value_name: str
+) -> DataFrame:
+    """One row per key and category from a column per category."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias(category_name), F.col(f"`{c}`").alias(value_name)) for c in categories]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reclutark import catalogs
 from reclutark.functions import calendar, predicates, text
@@ -14,7 +14,7 @@ from reclutark.operators import series
 from reclutark.plans.hires import count_column
 
 MONTHS = range(1, 13)
-Window_ = tuple[int, dt.date, dt.date]
+YearWindow = tuple[int, dt.date, dt.date]
 
 
 def _year() -> Column:
@@ -52,9 +52,10 @@ def monthly_of_year(hires: DataFrame, year: int) -> DataFrame:
 def monthly_grid(hires: DataFrame) -> DataFrame:
     """Hires of every month of every year that has rows; nothing with fewer than two years."""
     rows = hires.where(F.col("fecha_alta").isNotNull()).withColumn("anio", _year())
-    wide = series.dense_by_category(rows, ["anio"], _month(), MONTHS, count_column(), "mes", "contratados")
-    years = wide.agg(F.count_distinct("anio")).scalar()
-    return _with_month_name(wide.where(years >= 2)).orderBy("anio", "mes")
+    wide = series.sum_by_category(rows, ["anio"], _month(), MONTHS, count_column())
+    # One row per calendar year at this point, so counting them in one window is cheap and reads nothing twice.
+    years = wide.withColumn("_anios", F.count("*").over(Window.partitionBy())).where(F.col("_anios") >= 2)
+    return _with_month_name(series.to_long(years, ["anio"], MONTHS, "mes", "contratados")).orderBy("anio", "mes")
 
 
 def new_and_replacement(
@@ -87,11 +88,11 @@ def _hired_in(date: str, windows: DataFrame, rows: DataFrame, bounds: tuple[dt.d
     return series.join_windows(rows.where(calendar.in_range(F.col(date), *bounds)), windows, date)
 
 
-def _bounds(windows: Sequence[Window_]) -> tuple[dt.date, dt.date]:
+def _bounds(windows: Sequence[YearWindow]) -> tuple[dt.date, dt.date]:
     return min(start for _, start, _ in windows), max(end for _, _, end in windows)
 
 
-def window_totals(hires: DataFrame, vacancies: DataFrame, windows: Sequence[Window_]) -> DataFrame:
+def window_totals(hires: DataFrame, vacancies: DataFrame, windows: Sequence[YearWindow]) -> DataFrame:
     """Hires, new and replacement vacancies per window; 0 where a window has none."""
     frame = calendar.windows_frame(hires.sparkSession, windows)
     bounds = _bounds(windows)
@@ -115,7 +116,7 @@ def window_totals(hires: DataFrame, vacancies: DataFrame, windows: Sequence[Wind
     ).orderBy("anio")
 
 
-def window_monthly(hires: DataFrame, windows: Sequence[Window_]) -> DataFrame:
+def window_monthly(hires: DataFrame, windows: Sequence[YearWindow]) -> DataFrame:
     """Hires per month and window, 0 where none; the months shown are those of the first window."""
     spark = hires.sparkSession
     frame = calendar.windows_frame(spark, windows)
@@ -130,7 +131,7 @@ def window_monthly(hires: DataFrame, windows: Sequence[Window_]) -> DataFrame:
 
 
 def window_recruiters(
-    hires: DataFrame, windows: Sequence[Window_], listed: Sequence[str] = catalogs.RECRUITERS
+    hires: DataFrame, windows: Sequence[YearWindow], listed: Sequence[str] = catalogs.RECRUITERS
 ) -> DataFrame:
     """Hires per listed recruiter and window, 0 where none."""
     frame = calendar.windows_frame(hires.sparkSession, windows)

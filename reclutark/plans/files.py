@@ -30,13 +30,6 @@ def delivered(files: DataFrame, documents: Sequence[int]) -> DataFrame:
     )
 
 
-def delivered_counts(files: DataFrame, documents: Sequence[int]) -> DataFrame:
-    """Distinct required documents delivered per person."""
-    return delivered(files, documents).groupBy("id_colaborador").agg(
-        F.count_distinct("id_documento").alias("documentos")
-    )
-
-
 def _flags(files: DataFrame, documents: Sequence[int]) -> DataFrame:
     """One row per person with a flag per required document.
 
@@ -44,11 +37,19 @@ def _flags(files: DataFrame, documents: Sequence[int]) -> DataFrame:
     sends one.
     """
     rows = files.where(is_true(F.col("estatus_pdf")) & F.col("id_documento").isin(list(documents)))
+    if not documents:
+        return rows.select("id_colaborador")
     return rows.groupBy("id_colaborador").agg(
         *[F.bool_or(F.col("id_documento") == doc).alias(f"_doc_{doc}") for doc in documents]
     )
 
 
+def delivered_counts(files: DataFrame, documents: Sequence[int]) -> DataFrame:
+    """Distinct required documents delivered per person, exact, from the flags: one shuffle."""
+    count = sum((F.col(f"_doc_{doc}").cast("bigint") for doc in documents), F.lit(0).cast("bigint"))
+    return _flags(files, documents).select("id_colaborador", count.alias("documentos"))
+
+
 def _with_status(people: DataFrame, files: DataFrame, documents: Sequence[int]) -> DataFrame:
     """Active people with a flag per document and whether the file is complete."""
     active = active_people(people)

@@ -560,12 +560,12 @@ def import_report(spark, d):
 
 @query
 def import_rejects(spark, d):
-    return _imported(spark, d).rejects
+    return ingest.rejected(ingest.cleanse(fx.importacion(spark, d)))
 
 
 @query
 def import_first_errors(spark, d):
-    return ingest.first_errors(_imported(spark, d).rejects)
+    return ingest.first_errors(ingest.rejected(ingest.cleanse(fx.importacion(spark, d))))
 
 
 @query

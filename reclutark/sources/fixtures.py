@@ -208,14 +208,20 @@ def _needs(table: dict[str, str], columns: tuple[str, ...], prefix: str) -> bool
 
 def _orders(spark: SparkSession, sf_dir: str, table: dict[str, str], columns: tuple[str, ...]) -> DataFrame:
     source = _read(spark, sf_dir, "orders")
-    nation = _needs(table, columns, "n_name")
-    if nation or _needs(table, columns, "c_mktsegment"):
-        source = source.join(_read(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"), "left")
-    if nation:
-        source = source.join(_read(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"), "left")
+    if _needs(table, columns, "n_name") or _needs(table, columns, "c_mktsegment"):
+        # The dimensions are joined to each other first, so the orders are joined, and shuffled, once at most.
+        people = _customers(spark, sf_dir, _needs(table, columns, "n_name"))
+        source = source.join(people, F.expr("o_custkey = c_custkey"), "left")
     return _project(source, table, columns)
 
 
+def _customers(spark: SparkSession, sf_dir: str, with_nation: bool) -> DataFrame:
+    people = _read(spark, sf_dir, "customer")
+    if with_nation:
+        people = people.join(_read(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"), "left")
+    return people
+
+
 def altas(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return _orders(spark, sf_dir, ALTAS, columns)
 
@@ -245,9 +251,7 @@ def respuestas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def colaboradores_activos(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    source = _read(spark, sf_dir, "customer")
-    if _needs(COLABORADORES_ACTIVOS, columns, "n_name"):
-        source = source.join(_read(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"), "left")
+    source = _customers(spark, sf_dir, _needs(COLABORADORES_ACTIVOS, columns, "n_name"))
     return _project(source, COLABORADORES_ACTIVOS, columns)
 
 

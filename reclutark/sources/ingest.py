@@ -269,16 +269,16 @@ def match_import(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     keyed = F.coalesce(_has_key(), F.lit(False))
     own_key = F.when(keyed, key_text(F.col("id_sistema"), "k")).otherwise(key_text(F.col("row_idx"), "f"))
     last = F.max(F.struct("row_idx", F.struct(*VACANCY_COLUMNS, "area").alias("fila"))).alias("_ultima")
+    valid = rows.where(F.col("motivo").isNull())
     per_vacancy = (
-        rows.where(F.col("motivo").isNull())
-        .groupBy(own_key.alias("clave"))
+        valid.groupBy(own_key.alias("clave"))
         .agg(F.min("row_idx").alias("primera"), F.count("*").alias("filas"), last)
         .select("clave", "primera", "filas", F.col("_ultima.row_idx").alias("ultima"), "_ultima.fila.*")
     )
     stored = (
         vacancies.where(_has_key())
         .select("id", "id_registro", "id_sistema")
-        .join(per_vacancy.where(_has_key()).select("id_sistema"), "id_sistema", "left_semi")
+        .join(valid.where(_has_key()).select("id_sistema").distinct(), "id_sistema", "left_semi")
         .groupBy("id_sistema")
         .agg(F.min(F.struct(F.col("id").alias("id_vacante"), F.col("id_registro").alias("id_maestra"))).alias("_m"))
         .select(key_text(F.col("id_sistema"), "k").alias("clave"), "_m.*")
@@ -354,9 +354,9 @@ def first_errors(rejects: DataFrame, shown: int = 10) -> DataFrame:
 def plan_import(
     staged: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None
 ) -> Imported:
-    """The whole import as lazy results."""
+    """The whole import.  The match is checkpointed once and feeds all results, which are lazy."""
     rows = cleanse(staged)
-    matched = match_import(rows, vacancies)
+    matched = cut_lineage(match_import(rows, vacancies))
     return Imported(
         vacancies_after(matched, vacancies, master),
         master_after(matched, master, at),
@@ -370,12 +370,11 @@ def run_import(
 ) -> DataFrame:
     """Writes both tables after the import and the refused rows below ``path``, a new folder; returns the report.
 
-    The match is checkpointed once and feeds all outputs.  The stored tables are only read: the caller points
-    to the new version when all writes are done, so a failed job leaves nothing half applied.
+    The stored tables are only read: the caller points to the new version when all writes are done, so a
+    failed job leaves nothing half applied.
     """
-    rows = cleanse(staged)
-    matched = cut_lineage(match_import(rows, vacancies))
-    write_table(vacancies_after(matched, vacancies, master), f"{path}/vacantes")
-    write_table(master_after(matched, master, at), f"{path}/registros_rh")
-    write_table(rejected(rows), f"{path}/rechazos")
-    return import_report(rows, matched)
+    planned = plan_import(staged, vacancies, master, at)
+    write_table(planned.vacancies, f"{path}/vacantes")
+    write_table(planned.master, f"{path}/registros_rh")
+    write_table(planned.rejects, f"{path}/rechazos")
+    return planned.report
