@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from reclutark.functions.text import strip
+from reclutark.functions.text import LETTER, strip
 
 
 def _typed_or_raise(c: Column, target: str) -> Column:
@@ -30,30 +30,56 @@ def strict_int(c: Column) -> Column:
     return F.when(value.isNull(), F.raise_error(message).cast("bigint")).otherwise(value)
 
 
+# Shapes of a number.  Text is tested before it is cast, so a bad cell costs no exception.
+WHOLE_PART = r"^\s*[-+]?\d{1,18}(\.\d*)?\s*$"
+ANY_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def import_int(c: Column) -> Column:
+    """Whole number of an imported cell; a fraction is cut off, blank or other text gives NULL."""
+    return F.when(c.rlike(WHOLE_PART), F.substring_index(c, ".", 1).try_cast("bigint"))
+
+
+def is_bad_number(c: Column) -> Column:
+    """True for a cell that holds something, but no whole number."""
+    return F.coalesce(c.rlike(LETTER) & ~c.rlike(WHOLE_PART), F.lit(False))
+
+
 def lenient_int(c: Column) -> Column:
-    """Whole number; NULL or other text gives 0 and a fraction is cut off."""
-    return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Whole number of a text; NULL or other text gives 0 and a fraction is cut off."""
+    text = c.cast("string")
+    large = F.when(text.rlike(ANY_NUMBER), text.try_cast("double").try_cast("bigint"))
+    return F.coalesce(import_int(text), large, F.lit(0).cast("bigint"))
+
+
+def int_or_zero(c: Column) -> Column:
+    """Whole number of a stored number, 0 for NULL."""
+    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+# Shapes of an imported date, year first or last, with an optional time.
+YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T].*)?$"
+YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})( +\d{1,2}:\d{2}(:\d{2})?)?$"
 
 
 def import_date(c: Column) -> Column:
-    """Date of an imported cell: ISO, month first, or day first when the first number cannot be a month.
+    """Date of an imported cell: year first, or month first, or day first when the first number is no month.
 
-    A bare number (a spreadsheet serial) and any other text give NULL.
+    A bare number (a spreadsheet serial) and any other text give NULL.  The shape is tested before parsing and
+    the casts are of the trying kind, so a bad cell costs no exception.
     """
-    text = strip(c.cast("string"))
-    parsed = F.coalesce(
-        F.try_to_timestamp(text),
-        F.try_to_timestamp(text, F.lit("M/d/yyyy[ H:mm[:ss]]")),
-        F.try_to_timestamp(text, F.lit("d/M/yyyy[ H:mm[:ss]]")),
-        F.try_to_timestamp(text, F.lit("M-d-yyyy[ H:mm[:ss]]")),
-        F.try_to_timestamp(text, F.lit("d-M-yyyy[ H:mm[:ss]]")),
-    )
-    return F.when(~text.rlike(r"^[-+]?\d+(\.\d+)?$"), parsed.cast("date"))
+    return stripped_date(strip(c.cast("string")))
 
 
-def import_int(c: Column) -> Column:
-    """Whole number of an imported cell; a fraction is cut off, blank or other text gives NULL."""
-    return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
+def stripped_date(text: Column) -> Column:
+    """:func:`import_date` of text without white space at its ends."""
+
+    def reordered(order: str) -> Column:
+        return F.regexp_replace(text, YEAR_LAST, order).try_cast("date")
+
+    return F.when(
+        text.rlike(YEAR_FIRST), F.translate(text, "/", "-").try_cast("timestamp_ntz").cast("date")
+    ).when(text.rlike(YEAR_LAST), F.coalesce(reordered("$3-$1-$2"), reordered("$3-$2-$1")))
 
 
 def iso_text(c: Column) -> Column:

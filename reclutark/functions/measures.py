@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from reclutark import catalogs
-from reclutark.functions.coerce import lenient_int
+from reclutark.functions.coerce import int_or_zero, lenient_int
 from reclutark.session import TIME_ZONE
 
 
@@ -54,7 +54,7 @@ def coverage_days(
     """
     start = F.coalesce(authorised, requested_on)
     end = F.when((lenient_int(hired) > 0) & filled_on.isNotNull(), filled_on).when(
-        lenient_int(openings) > 0, as_of_date(as_of)
+        int_or_zero(openings) > 0, as_of_date(as_of)
     )
     days = elapsed_days(start, end, TIME_ZONE if tz_exact else None)
     return F.when(authorised == not_authorised_date(), F.lit(1)).otherwise(days)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from reclutark import catalogs
-from reclutark.functions.coerce import lenient_int
+from reclutark.functions.coerce import int_or_zero, lenient_int
 from reclutark.functions.measures import not_authorised_date
 
 
@@ -40,7 +40,7 @@ def is_ageing(area: str | None = None) -> Column:
 
 
 def has_authorised_openings() -> Column:
-    return (lenient_int(F.col("vacantes_solicitadas")) > 0) & F.col("fecha_autorizacion").isNotNull()
+    return (int_or_zero(F.col("vacantes_solicitadas")) > 0) & F.col("fecha_autorizacion").isNotNull()
 
 
 def in_funnel(excluded: Sequence[str] = catalogs.FUNNEL_EXCLUDED_STATUSES) -> Column:

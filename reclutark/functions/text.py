@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
 from reclutark import catalogs
 
-# The white space removed at both ends and the separator between words.
+# The white space removed at both ends and between words, and the vowels folded.
 WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WORD_GAP = "(?U)[\\s\\x1c-\\x1f]+"
+GAP, LETTER = f"[{WHITE_SPACE}]", f"[^{WHITE_SPACE}]"
+ASCII_GAP = r"[ \t\n\r\x0b\x0c\x1c-\x1f]"
+ASCII_TEXT = r"\A\p{ASCII}*\z"
+NOTHING_TO_STRIP = r"(?s)\A[!-~](.*[!-~])?\z"
 ACCENTED, PLAIN = "ÁÉÍÓÚ", "AEIOU"
 
 
 def strip(c: Column) -> Column:
-    """Text without white space at both ends (tabs, line ends and wide blanks too)."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """Text without white space at both ends (tabs, line ends and wide blanks too).
+
+    Most cells begin and end with a visible ASCII character; seeing that is cheaper than trimming a list.
+    """
+    return F.when(c.rlike(NOTHING_TO_STRIP), c).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def strip_upper(c: Column) -> Column:
@@ -63,24 +69,38 @@ def short_company(c: Column, names: Mapping[str, str] = catalogs.COMPANY_SHORT_N
     return replace_exact(c, names)
 
 
-def words(c: Column) -> Column:
-    """Words of a name; blank text has none."""
-    return F.filter(F.split(c, WORD_GAP), lambda w: w != "")
-
-
 def first_word_alias(c: Column, aliases: Mapping[str, str] = catalogs.CHART_ALIASES) -> Column:
     """First word as written, replaced by its nickname if that exact word has one."""
-    return replace_exact(F.get(words(c), F.lit(0)), aliases)
+    plain = F.substring_index(F.ltrim(c), " ", 1)
+    word = F.when(c.rlike(r"\A[ -~]*\z"), plain).otherwise(F.regexp_extract(c, f"{LETTER}+", 0))
+    return replace_exact(F.when(word != "", word), aliases)
+
+
+def _one_of(listed: Iterable[str]) -> str:
+    return "|".join(f"\\Q{word}\\E" for word in listed)
 
 
 def first_listed_word(c: Column, listed: Sequence[str] = catalogs.RECRUITERS) -> Column:
     """First word, in capitals, that is in the list; NULL if none is."""
-    return F.get(F.filter(words(F.upper(c)), lambda w: w.isin(list(listed))), F.lit(0))
+    name = F.upper(c)
+
+    def found(gap: str) -> Column:
+        return F.regexp_extract(name, f"(?:^|{gap})({_one_of(listed)})(?={gap}|$)", 1)
+
+    # Only text outside ASCII needs the long list of blanks, which is slow to test at every letter.
+    word = F.when(c.rlike(ASCII_TEXT), found(ASCII_GAP)).otherwise(found(GAP))
+    return F.when(name.rlike(_one_of(listed)), F.nullif(word, F.lit("")))
 
 
 def any_word_is(c: Column, choice: str, aliases: Mapping[str, str] = catalogs.FILTER_ALIASES) -> Column:
     """True if any word, in capitals and after its alias, is the choice; a missing name never is."""
-    return F.coalesce(F.exists(words(F.upper(c)), lambda w: replace_exact(w, aliases) == choice), F.lit(False))
+    meant = sorted(word for word in {*aliases, choice} if aliases.get(word, word) == choice)
+    if not meant:
+        return F.lit(False)
+    name = F.upper(c)
+    # The bare search is fast and rules out most names; whole words are only looked for in the rest.
+    whole_word = name.rlike(f"(?:^|{GAP})(?:{_one_of(meant)})(?:{GAP}|$)")
+    return F.coalesce(name.rlike(_one_of(meant)) & whole_word, F.lit(False))
 
 
 def _json_object(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reclutark import catalogs
 from reclutark.functions import measures, predicates, text
 from reclutark.functions.calendar import Period
-from reclutark.functions.coerce import lenient_int
+from reclutark.functions.coerce import int_or_zero, lenient_int
 from reclutark.operators import series
 from reclutark.plans import hires as hires_plan
 from reclutark.sources.tables import latest_snapshot
@@ -23,7 +23,7 @@ def vacancy_figures(vacancies: DataFrame, period: Period = Period(), recruiter:
 
     The open positions look at all vacancies; the other two at those authorised in the period, of the recruiter.
     """
-    requested = lenient_int(F.col("vacantes_solicitadas"))
+    requested = int_or_zero(F.col("vacantes_solicitadas"))
     hired = lenient_int(F.col("vacantes_contratados"))
     counted = period.holds(F.col("fecha_autorizacion"))
     if recruiter != "Todos":

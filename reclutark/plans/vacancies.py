@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reclutark import catalogs
 from reclutark.functions import measures, predicates, text
 from reclutark.functions.calendar import Period
-from reclutark.functions.coerce import lenient_int
+from reclutark.functions.coerce import int_or_zero, lenient_int
 from reclutark.operators import pivot
 from reclutark.plans.hires import by_recruiter
 
@@ -34,14 +34,14 @@ def open_total(vacancies: DataFrame) -> DataFrame:
     """Openings of authorised open vacancies, a missing status or stage counting as open."""
     condition = predicates.is_open() & F.col("fecha_autorizacion").isNotNull()
     return vacancies.where(condition).agg(
-        F.coalesce(F.sum(lenient_int(F.col(OPENINGS))), F.lit(0)).alias("vacantes"), F.count("*").alias("registros")
+        F.coalesce(F.sum(int_or_zero(F.col(OPENINGS))), F.lit(0)).alias("vacantes"), F.count("*").alias("registros")
     )
 
 
 def open_total_for_capacity(vacancies: DataFrame) -> DataFrame:
     """Openings by the capacity model's reading of open."""
     return vacancies.where(predicates.is_open_for_capacity()).agg(
-        F.coalesce(F.sum(lenient_int(F.col(OPENINGS))), F.lit(0)).alias("vacantes"), F.count("*").alias("registros")
+        F.coalesce(F.sum(int_or_zero(F.col(OPENINGS))), F.lit(0)).alias("vacantes"), F.count("*").alias("registros")
     )
 
 
@@ -104,7 +104,7 @@ def by_area(vacancies: DataFrame) -> DataFrame:
 
 def _openings_by(vacancies: DataFrame, key: Column, name: str) -> DataFrame:
     rows = _with_authorised_openings(vacancies).withColumn(name, key).where(F.col(name).isNotNull())
-    return rows.groupBy(name).agg(F.sum(lenient_int(F.col(OPENINGS))).alias("vacantes")).orderBy(
+    return rows.groupBy(name).agg(F.sum(int_or_zero(F.col(OPENINGS))).alias("vacantes")).orderBy(
         F.desc("vacantes"), name
     )
 
@@ -118,7 +118,7 @@ def detail(vacancies: DataFrame, as_of: dt.date | None = None, tz_exact: bool =
         "empresa_vacante",
         text.mask_confidential(F.col("puesto_vacante"), F.col("confidencial")).alias("puesto_vacante"),
         "plaza_vacante",
-        lenient_int(F.col(OPENINGS)).alias(OPENINGS),
+        int_or_zero(F.col(OPENINGS)).alias(OPENINGS),
         "dias_cobertura",
         "fase_proceso",
     ).orderBy(F.desc_nulls_last("dias_cobertura"), "id_sistema")
@@ -135,7 +135,7 @@ def pivot_openings(vacancies: DataFrame, as_of: dt.date | None = None, limit: in
     totals = pivot.totals_rollup(
         rows,
         ["id_sistema", "empresa_vacante", "puesto_vacante"],
-        {"vacantes": F.sum(lenient_int(F.col(OPENINGS))), "dias_promedio": F.avg("dias_cobertura")},
+        {"vacantes": F.sum(int_or_zero(F.col(OPENINGS))), "dias_promedio": F.avg("dias_cobertura")},
     )
     return totals.withColumn("cobertura_larga", measures.long_fill(F.col("dias_promedio"), limit))
 

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes, which wide projections such as the import's exceed.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -202,53 +202,61 @@ def _edit(table: DataFrame, edits: DataFrame, rules: dict[str, Column]) -> DataF
     return changes.overlay(table, edits.withColumns(cells) if cells else edits, "id", columns)
 
 
-def cleanse(staged: DataFrame) -> DataFrame:
-    """Typed import rows: ``row_idx``, the vacancy columns, the area as written, and ``motivo`` if refused."""
-    present = {stored: F.col(f"`{header}`") for header, stored in catalogs.IMPORT_COLUMNS.items() if header in staged.columns}
+WHOLE_COLUMNS = ("id_sistema", "vacantes_solicitadas", "vacantes_contratados")
+DATE_COLUMNS = ("fecha_solicitud", "fecha_avance", "fecha_autorizacion", "fecha_cobertura")
 
-    def cell(name: str) -> Column:
-        return present.get(name, F.lit(None).cast("string"))
 
-    def whole(name: str) -> Column:
-        return coerce.import_int(text.blank_to_null(cell(name)))
+def cleanse(staged: DataFrame) -> DataFrame:
+    """Typed import rows: ``row_idx``, the vacancy columns, the area as written, and ``motivo`` if refused.
 
-    def not_whole(name: str) -> Column:
-        return text.blank_to_null(cell(name)).isNotNull() & whole(name).isNull()
+    Three projections, so that no expression is worked out twice: cells trimmed or read as whole numbers and
+    the reason of refusal, then the dates, then the rules.
+    """
+    raw = {
+        stored: F.col(f"`{header}`") if header in staged.columns else F.lit(None).cast("string")
+        for header, stored in catalogs.IMPORT_COLUMNS.items()
+    }
+    read = {
+        name: coerce.import_int(cell) if name in WHOLE_COLUMNS else text.strip(cell) for name, cell in raw.items()
+    }
+    position = raw["puesto_vacante"]
+    motive = _reason(
+        (coerce.is_bad_number(raw["id_sistema"]), "ID no es un número"),
+        (coerce.is_bad_number(raw["vacantes_solicitadas"]), "vacantes solicitadas no es un número"),
+        (coerce.is_bad_number(raw["vacantes_contratados"]), "vacantes contratados no es un número"),
+        (~F.coalesce(position.rlike(text.LETTER), F.lit(False)), "puesto_vacante es obligatorio"),
+    )
+    once = staged.select("row_idx", *[c.alias(name) for name, c in read.items()], motive.alias("motivo"))
 
     def capitals(name: str) -> Column:
-        return F.nullif(text.strip_upper(cell(name)), F.lit(""))
+        return F.when(F.col(name) != "", F.upper(name))
 
-    stage = capitals("fase_proceso")
-    requested, hired = whole("vacantes_solicitadas"), whole("vacantes_contratados")
-    comments = text.blank_to_null(cell("comentarios_vacante"))
-    cells = {
-        "fecha_solicitud": coerce.import_date(cell("fecha_solicitud")),
+    def or_unspecified(name: str) -> Column:
+        return F.when(F.col(name) != "", F.col(name)).otherwise(F.lit(catalogs.UNSPECIFIED))
+
+    dated = once.withColumns({name: coerce.stripped_date(F.col(name)) for name in DATE_COLUMNS})
+    hired = F.col("vacantes_contratados")
+    rules = {
         "tipo_solicitud": capitals("tipo_solicitud"),
         "estatus_solicitud": capitals("estatus_solicitud"),
-        "fase_proceso": stage,
-        "fecha_avance": coerce.import_date(cell("fecha_avance")),
-        "fecha_autorizacion": coerce.plausible_date(coerce.import_date(cell("fecha_autorizacion"))),
+        "fase_proceso": capitals("fase_proceso"),
+        "fecha_autorizacion": coerce.plausible_date(F.col("fecha_autorizacion")),
+        "fecha_cobertura": measures.fill_date_if_hired(F.upper("fase_proceso"), F.col("fecha_cobertura")),
         "puesto_vacante": capitals("puesto_vacante"),
-        "plaza_vacante": text.strip(cell("plaza_vacante")),
-        "empresa_vacante": text.strip(cell("empresa_vacante")),
         "funcion_area_vacante": capitals("funcion_area_vacante"),
-        "vacantes_solicitadas": measures.remaining_openings(requested, hired),
-        "vacantes_contratados": F.coalesce(hired, F.lit(0)),
-        "responsable_vacante": text.text_or_default(cell("responsable_vacante")),
-        "comentarios_vacante": F.upper(comments),
-        "tipo_reclutamiento_vacante": F.upper(text.text_or_default(cell("tipo_reclutamiento_vacante"))),
-        "medio_reclutamiento_vacante": F.upper(text.text_or_default(cell("medio_reclutamiento_vacante"))),
-        "fecha_cobertura": measures.fill_date_if_hired(stage, coerce.import_date(cell("fecha_cobertura"))),
-        "id_sistema": whole("id_sistema"),
-        "area": text.strip(cell("funcion_area_vacante")),
-        "motivo": _reason(
-            (not_whole("id_sistema"), "ID no es un número"),
-            (not_whole("vacantes_solicitadas"), "vacantes solicitadas no es un número"),
-            (not_whole("vacantes_contratados"), "vacantes contratados no es un número"),
-            (capitals("puesto_vacante").isNull(), "puesto_vacante es obligatorio"),
-        ),
+        "vacantes_solicitadas": measures.remaining_openings(F.col("vacantes_solicitadas"), hired),
+        "vacantes_contratados": F.coalesce(hired, F.lit(0).cast("bigint")),
+        "responsable_vacante": or_unspecified("responsable_vacante"),
+        "comentarios_vacante": capitals("comentarios_vacante"),
+        "tipo_reclutamiento_vacante": F.upper(or_unspecified("tipo_reclutamiento_vacante")),
+        "medio_reclutamiento_vacante": F.upper(or_unspecified("medio_reclutamiento_vacante")),
     }
-    return staged.select("row_idx", *[c.alias(name) for name, c in cells.items()])
+    return dated.select(
+        "row_idx",
+        *[rules.get(name, F.col(name)).alias(name) for name in VACANCY_COLUMNS],
+        F.col("funcion_area_vacante").alias("area"),
+        "motivo",
+    )
 
 
 def _has_key() -> Column:

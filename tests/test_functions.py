@@ -130,6 +130,11 @@ def test_lenient_date(value, raw, iso):
         ("5/6/2024", "2024-05-06"),
         ("25/12/2024", "2024-12-25"),
         ("25-12-2024", "2024-12-25"),
+        ("2024/5/6", "2024-05-06"),
+        ("2024-05-06T13:14:15Z", "2024-05-06"),
+        ("12/25/2024 10:30", "2024-12-25"),
+        ("2024-05-06 basura", None),
+        ("31/31/2024", None),
         ("45000", None),
         ("45000.5", None),
         ("mañana", None),
