@@ -708,6 +708,19 @@ def oracle_sql() -> dict[str, str]:
             "ELSE motivo_baja END AS motivo_baja) FROM bajas",
             "bajas",
         ),
+        "update_vacancies": _sql(
+            "SELECT * REPLACE ("
+            "CASE WHEN fase_proceso = 'CONTRATADO' THEN upper(trim(puesto_vacante)) ELSE puesto_vacante END AS puesto_vacante, "
+            "CASE WHEN fase_proceso = 'CONTRATADO' THEN CASE WHEN vacantes_solicitadas > 1 THEN 'SEGUN PLAN' END "
+            "ELSE comentarios_vacante END AS comentarios_vacante, "
+            "CASE WHEN fase_proceso = 'CONTRATADO' THEN NULL ELSE fecha_avance END AS fecha_avance) FROM vacantes",
+            "vacantes",
+        ),
+        "update_master": _sql(
+            "SELECT id, tipo_registro, CASE WHEN area = 'OPERATIVA' THEN CONCAT(upper(puesto), ' B') ELSE puesto END AS puesto, "
+            "empresa, plaza, area FROM registros_rh",
+            "registros_rh",
+        ),
         "vacancies_by_key": _sql(
             f", {_CLEANSED} SELECT id, id_sistema, puesto_vacante, fase_proceso FROM vacantes "
             "WHERE id_sistema IN (SELECT id_sistema FROM limpia WHERE id_sistema IS NOT NULL)",

@@ -11,10 +11,18 @@ from reclutark.functions.predicates import is_true
 COMPLETE, INCOMPLETE = "COMPLETO", "INCOMPLETO"
 
 
-def required_documents(catalog: DataFrame) -> list[tuple[int, str]]:
-    """Ids and names of the required documents: the columns of the matrix, hence few."""
-    rows = catalog.where(is_true(F.col("requerido"))).select("id", "nombre_documento").orderBy("id").collect()
-    return [(row["id"], row["nombre_documento"]) for row in rows]
+# Most required documents that are worked out as one column each; beyond it the figures use joins.
+MAX_COLUMNS = 500
+
+
+def _required(catalog: DataFrame) -> DataFrame:
+    return catalog.where(is_true(F.col("requerido")))
+
+
+def required_documents(catalog: DataFrame, most: int = MAX_COLUMNS) -> list[tuple[int, str]] | None:
+    """Ids and names of the required documents, or None if there are too many to be columns."""
+    rows = _required(catalog).select("id", "nombre_documento").orderBy("id").limit(most + 1).collect()
+    return None if len(rows) > most else [(row["id"], row["nombre_documento"]) for row in rows]
 
 
 def active_people(people: DataFrame) -> DataFrame:
@@ -64,11 +72,29 @@ def _with_status(people: DataFrame, files: DataFrame, documents: Sequence[int])
     return joined.withColumns(filled).withColumn("_completo", complete)
 
 
-def completeness(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
+def complete_people(catalog: DataFrame, files: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
+    """People with every required document delivered; nobody if none is required.
+
+    Up to ``most`` required documents by flags, one shuffle; beyond it by a semi join and an exact distinct
+    count against the number of required documents.
+    """
+    documents = required_documents(catalog, most)
+    if documents is not None:
+        counts = delivered_counts(files, [doc for doc, _ in documents])
+        enough = (F.col("documentos") >= len(documents)) & F.lit(bool(documents))
+    else:
+        ids = _required(catalog).select(F.col("id").alias("id_documento")).distinct()
+        kept = files.where(is_true(F.col("estatus_pdf"))).join(ids, "id_documento", "left_semi")
+        counts = kept.groupBy("id_colaborador").agg(F.count_distinct("id_documento").alias("documentos"))
+        enough = F.col("documentos") >= _required(catalog).agg(F.count("*").alias("n")).scalar()
+    return counts.where(enough).select("id_colaborador")
+
+
+def completeness(people: DataFrame, catalog: DataFrame, files: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
     """Active people, complete and missing files, and the complete share; 0 complete if nothing is required."""
-    documents = [doc for doc, _ in required_documents(catalog)]
-    totals = _with_status(people, files, documents).agg(
-        F.count("*").alias("expedientes_totales"), F.count_if(F.col("_completo")).alias("expedientes_completos")
+    marked = complete_people(catalog, files, most).withColumn("_completo", F.lit(True))
+    totals = active_people(people).join(marked, "id_colaborador", "left").agg(
+        F.count("*").alias("expedientes_totales"), F.count("_completo").alias("expedientes_completos")
     )
     total, complete = F.col("expedientes_totales"), F.col("expedientes_completos")
     return totals.withColumns(
@@ -85,6 +111,8 @@ def matrix(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame
     Columns are labelled with the document name; a name used twice gets its id as suffix.
     """
     documents = required_documents(catalog)
+    if documents is None:
+        raise ValueError(f"more than {MAX_COLUMNS} required documents cannot be columns of one table")
     names = [name for _, name in documents]
     labels = [name if names.count(name) == 1 else f"{name} ({doc})" for doc, name in documents]
     rows = _with_status(people, files, [doc for doc, _ in documents])
@@ -100,13 +128,8 @@ def matrix(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame
     )
 
 
-def incomplete_people(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
+def incomplete_people(people: DataFrame, catalog: DataFrame, files: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
     """Active people whose file is not complete, by an anti join on the complete ones."""
-    documents = [doc for doc, _ in required_documents(catalog)]
-    counts = delivered_counts(files, documents)
-    complete = counts.where((F.col("documentos") >= len(documents)) & F.lit(bool(documents)))
-    return active_people(people).join(complete, "id_colaborador", "left_anti").select(
+    return active_people(people).join(complete_people(catalog, files, most), "id_colaborador", "left_anti").select(
         "id_colaborador", "nombre_completo"
     )
-
-

@@ -527,6 +527,25 @@ def edit_leavers(spark, d):
     return ingest.edit_leavers(stored, edits)
 
 
+@query
+def update_vacancies(spark, d):
+    stored = fx.vacantes(spark, d)
+    rows = stored.where("fase_proceso = 'CONTRATADO'").withColumns(
+        {
+            "puesto_vacante": F.concat(F.lit(" "), F.lower("puesto_vacante")),
+            "comentarios_vacante": F.when(F.col("vacantes_solicitadas") > 1, F.lit(" según plan ")),
+        }
+    )
+    return ingest.update_vacancies(stored, rows.drop("fecha_avance", "confidencial"))
+
+
+@query
+def update_master(spark, d):
+    stored = fx.registros_rh(spark, d, "id", "tipo_registro", "puesto", "empresa", "plaza", "area")
+    rows = stored.where("area = 'OPERATIVA'").withColumn("puesto", F.concat(F.lower("puesto"), F.lit(" b ")))
+    return ingest.update_master(stored, rows)
+
+
 @query
 def vacancies_by_key(spark, d):
     keys = ingest.cleanse(fx.importacion(spark, d)).select("id_sistema")

@@ -196,6 +196,37 @@ def edit_leavers(leavers: DataFrame, edits: DataFrame) -> DataFrame:
     return _edit(leavers, edits, rules)
 
 
+def update_vacancies(vacancies: DataFrame, rows: DataFrame) -> DataFrame:
+    """Vacancies with whole rows overwritten by id; the confidential mark stays.
+
+    ``rows`` holds each id once.  A column it lacks becomes NULL (the two counts 0); a row without position
+    is left out, as it would be refused.
+    """
+    given = {c: F.col(c) if c in rows.columns else F.lit(None) for c in (*VACANCY_COLUMNS, "id_registro")}
+
+    def capitals(name: str) -> Column:
+        return F.nullif(text.strip_upper(given[name].cast("string")), F.lit(""))
+
+    cells = {
+        **given,
+        "puesto_vacante": capitals("puesto_vacante"),
+        "funcion_area_vacante": F.nullif(F.upper(given["funcion_area_vacante"].cast("string")), F.lit("")),
+        "comentarios_vacante": text.fold_accents(capitals("comentarios_vacante")),
+        "tipo_reclutamiento_vacante": capitals("tipo_reclutamiento_vacante"),
+        "medio_reclutamiento_vacante": capitals("medio_reclutamiento_vacante"),
+        **{c: F.coalesce(given[c], F.lit(0)) for c in ("vacantes_solicitadas", "vacantes_contratados")},
+    }
+    payload = rows.select("id", *[c.alias(name) for name, c in cells.items()])
+    return changes.overlay(vacancies, payload.where(F.col("puesto_vacante").isNotNull()), "id", list(cells))
+
+
+def update_master(master: DataFrame, rows: DataFrame) -> DataFrame:
+    """Master rows overwritten by id: position in capitals, all texts without outer blanks."""
+    cells = {c: text.strip(F.col(c)) for c in MASTER_COLUMNS}
+    cells["puesto"] = F.upper(cells["puesto"])
+    return changes.overlay(master, rows.withColumns(cells), "id", MASTER_COLUMNS)
+
+
 def _edit(table: DataFrame, edits: DataFrame, rules: dict[str, Column]) -> DataFrame:
     cells = {name: rule for name, rule in rules.items() if name in edits.columns}
     columns = [c for c in edits.columns if c != "id"]

@@ -221,6 +221,24 @@ def test_edits(make, spark):
     assert tuples(ingest.edit_leavers(leavers, edits), "motivo_baja", "plaza_baja") == [("DECISION", "LEON")]
 
 
+def test_full_row_updates(make, spark):
+    stored = make("vacantes", {"id": 1, "id_registro": 5, "plaza_vacante": "LEON", "confidencial": "SI"}, {"id": 2, "plaza_vacante": "X"})
+    rows = spark.createDataFrame(
+        [(1, 6, " jefe ", "operativa", " revisión ", "3"), (2, 7, "  ", None, None, None)],
+        "id long, id_registro long, puesto_vacante string, funcion_area_vacante string, comentarios_vacante string, vacantes_contratados string",
+    )
+    shown = ("id", "id_registro", "puesto_vacante", "plaza_vacante", "funcion_area_vacante", "comentarios_vacante",
+             "vacantes_solicitadas", "vacantes_contratados", "confidencial")
+    assert sorted(tuples(ingest.update_vacancies(stored, rows), *shown)) == [
+        (1, 6, "JEFE", None, "OPERATIVA", "REVISION", 0, "3", "SI"), (2, None, None, "X", None, None, None, None, None),
+    ]
+    master = make("registros_rh", {"id": 5, "tipo_registro": "Vacante", "puesto": "A", "area": "B"})
+    rows = spark.createDataFrame([(5, " jefe ", " e ", None, " x ")], "id long, puesto string, empresa string, plaza string, area string")
+    assert tuples(ingest.update_master(master, rows), "id", "tipo_registro", "puesto", "empresa", "plaza", "area") == [
+        (5, "Vacante", "JEFE", "e", None, "x"),
+    ]
+
+
 # --- files in and out ---------------------------------------------------------------------------------------
 
 

@@ -353,6 +353,12 @@ def test_file_completeness(make):
     assert sorted(tuples(files.delivered(archive, [1, 2]))) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
 
 
+def test_completeness_beyond_the_column_bound(make):
+    people, catalog, archive = file_case(make)
+    assert tuples(files.completeness(people, catalog, archive, most=1)) == [(2, 1, 1, 50.0)]
+    assert tuples(files.incomplete_people(people, catalog, archive, most=1)) == [(2, "A")]
+
+
 def test_no_required_documents(make):
     people, catalog, archive = file_case(make)
     nothing = catalog.where("NOT requerido")
