@@ -26,7 +26,7 @@ def timed(spark, sf_dir, query) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     chosen = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n]
     spark = get_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus,

@@ -39,6 +39,19 @@ def overlay(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[s
     return joined.select(*[value(c) for c in target.columns])
 
 
+# Largest change set, in bytes, that is sent to every executor so that the stored table is not shuffled.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all cells together stay within ``most`` bytes.  Reads the rows once: meant for checkpointed ones."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = F.lit(16 * len(df.columns)).cast("bigint")
+    for name in texts:
+        size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"] <= most
+
+
 def next_id_base(table: DataFrame, key: str = "id") -> Column:
     """Largest id in use, 0 for an empty table, as a scalar subquery."""
     return table.agg(F.coalesce(F.max(key), F.lit(0).cast("bigint")).alias(key)).scalar()

@@ -331,8 +331,8 @@ def _master_cells(matched: DataFrame) -> DataFrame:
     )
 
 
-def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame) -> DataFrame:
-    """Stored vacancies with updates laid over them, and the new ones.
+def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame, small: bool = False) -> DataFrame:
+    """Stored vacancies with updates laid over them, and the new ones.  ``small`` broadcasts the updates.
 
     A new vacancy seen once keeps the accents of its comment; an update, also of a row that is new in the same
     file, folds them.
@@ -347,11 +347,15 @@ def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame)
         }
     )
     updates = updates.withColumn("id", F.col("id_vacante"))
+    if small:
+        updates = F.broadcast(updates)
     return changes.overlay(vacancies, updates, "id", VACANCY_COLUMNS).unionByName(_as_table(inserts, vacancies))
 
 
-def master_after(matched: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> DataFrame:
-    """Stored master rows with the matched ones overwritten, and the new ones."""
+def master_after(
+    matched: DataFrame, master: DataFrame, at: dt.datetime | None = None, small: bool = False
+) -> DataFrame:
+    """Stored master rows with the matched ones overwritten, and the new ones.  ``small`` broadcasts the updates."""
     cells = _master_cells(matched)
     updates = changes.last_per_key(
         cells.where(F.col("id_vacante").isNotNull()).select(
@@ -360,6 +364,8 @@ def master_after(matched: DataFrame, master: DataFrame, at: dt.datetime | None =
         ["id"],
         "ultima",
     )
+    if small:
+        updates = F.broadcast(updates)
     new = cells.where(F.col("id_vacante").isNull()).select(
         F.col("primera").alias("row_idx"), F.lit("Vacante").alias("tipo_registro"), *MASTER_COLUMNS
     )
@@ -391,14 +397,20 @@ def first_errors(rejects: DataFrame, shown: int = 10) -> DataFrame:
 
 
 def plan_import(
-    staged: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None
+    staged: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None,
+    bound: int = changes.BROADCAST_BYTES,
 ) -> Imported:
-    """The whole import.  The match is checkpointed once and feeds all results, which are lazy."""
+    """The whole import.  The match is checkpointed once and feeds all results, which are lazy.
+
+    The updates are measured: within the bound they are broadcast, so a small import does not shuffle the
+    stored tables; beyond it both sides are shuffled by id.
+    """
     rows = cleanse(staged)
     matched = cut_lineage(match_import(rows, vacancies))
+    small = changes.is_small(matched.where(F.col("id_vacante").isNotNull()), bound)
     return Imported(
-        vacancies_after(matched, vacancies, master),
-        master_after(matched, master, at),
+        vacancies_after(matched, vacancies, master, small),
+        master_after(matched, master, at, small),
         import_report(rows, matched),
         rejected(rows),
     )
