@@ -58,6 +58,7 @@ def int_or_zero(c: Column) -> Column:
 
 
 # Shapes of an imported date, year first or last, with an optional time.
+ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
 YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T].*)?$"
 YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})( +\d{1,2}:\d{2}(:\d{2})?)?$"
 
@@ -77,9 +78,8 @@ def stripped_date(text: Column) -> Column:
     def reordered(order: str) -> Column:
         return F.regexp_replace(text, YEAR_LAST, order).try_cast("date")
 
-    return F.when(
-        text.rlike(YEAR_FIRST), F.translate(text, "/", "-").try_cast("timestamp_ntz").cast("date")
-    ).when(text.rlike(YEAR_LAST), F.coalesce(reordered("$3-$1-$2"), reordered("$3-$2-$1")))
+    with_time = F.translate(text, "/", "-").try_cast("timestamp_ntz").cast("date")
+    return F.when(text.rlike(ISO_DAY), text.try_cast("date")).when(text.rlike(YEAR_FIRST), with_time).when(text.rlike(YEAR_LAST), F.coalesce(reordered("$3-$1-$2"), reordered("$3-$2-$1")))
 
 
 def iso_text(c: Column) -> Column:

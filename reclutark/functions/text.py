@@ -23,9 +23,11 @@ ACCENTED, PLAIN = "ÁÉÍÓÚ", "AEIOU"
 def strip(c: Column) -> Column:
     """Text without white space at both ends (tabs, line ends and wide blanks too).
 
-    Most cells begin and end with a visible ASCII character; seeing that is cheaper than trimming a list.
+    Nearly all cells begin and end with a visible ASCII character once plain blanks are off; seeing that is
+    cheaper than trimming a list of characters.
     """
-    return F.when(c.rlike(NOTHING_TO_STRIP), c).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
+    trimmed = F.trim(c)
+    return F.when(trimmed.rlike(NOTHING_TO_STRIP), trimmed).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def strip_upper(c: Column) -> Column:
@@ -103,17 +105,17 @@ def any_word_is(c: Column, choice: str, aliases: Mapping[str, str] = catalogs.FI
     return F.coalesce(name.rlike(_one_of(meant)) & whole_word, F.lit(False))
 
 
-def _json_object(text: Column) -> Column:
-    """First ``{`` to last ``}`` of a text without code fences, or NULL if that is not a JSON object."""
-    bare = F.regexp_replace(text, "```json\\s*|\\s*```", "")
-    body = F.regexp_extract(bare, "(?s)\\{.*\\}", 0)
-    return F.when(F.get_json_object(body, "$").isNotNull(), body)
+def json_body(text: Column) -> Column:
+    """First ``{`` to last ``}`` of a text without code fences; NULL without braces."""
+    bare = F.when(text.contains("```"), F.regexp_replace(text, "```json\\s*|\\s*```", "")).otherwise(text)
+    return F.when(text.contains("{"), F.regexp_extract(bare, "(?s)\\{.*\\}", 0))
+
 
+def valid_json(body: Column) -> Column:
+    """The text if it is JSON, else NULL."""
+    return F.when(F.get_json_object(body, "$").isNotNull(), body)
 
-def json_payload(text: Column) -> Column:
-    """JSON object inside a reply; an object nested as text in its ``output`` field is taken instead.
 
-    Of a reply that is a JSON list the first element counts.
-    """
-    outer = _json_object(F.coalesce(F.get_json_object(text, "$[0]"), text))
-    return F.coalesce(_json_object(F.get_json_object(outer, "$.output")), outer)
+def first_of_list(text: Column) -> Column:
+    """First element of a text that is a JSON list, any other text as it is."""
+    return F.coalesce(F.when(F.ltrim(text).startswith("["), F.get_json_object(text, "$[0]")), text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reclutark.functions.text import json_payload
+from reclutark.functions import text
 
 
 def last_messages(messages: DataFrame, kept: int = 10, by: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -17,8 +17,18 @@ def last_messages(messages: DataFrame, kept: int = 10, by: str = "conv_id", orde
 
 
 def payloads(replies: DataFrame, column: str = "texto", default: str = "He procesado tu solicitud.") -> DataFrame:
-    """Replies with the JSON object they carry (NULL if none), the answer to show and the chart, if any."""
-    carried = replies.withColumn("contenido", json_payload(F.col(column)))
+    """Replies with the JSON object they carry (NULL if none), the answer to show and the chart, if any.
+
+    An object nested as text in the ``output`` field is taken instead of the outer one; of a list the first
+    element counts.  One projection per step, so that no text is searched or parsed twice.
+    """
+    carried = (
+        replies.withColumn("_cuerpo", text.json_body(text.first_of_list(F.col(column))))
+        .withColumn("_externo", text.valid_json(F.col("_cuerpo")))
+        .withColumn("_interno", text.json_body(F.get_json_object("_externo", "$.output")))
+        .withColumn("contenido", F.coalesce(text.valid_json(F.col("_interno")), F.col("_externo")))
+        .drop("_cuerpo", "_externo", "_interno")
+    )
     answer = F.coalesce(F.get_json_object("contenido", "$.output"), F.lit(default))
     return carried.withColumns(
         {

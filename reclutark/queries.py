@@ -574,7 +574,9 @@ def import_master(spark, d):
 
 @query
 def import_report(spark, d):
-    return _imported(spark, d).report
+    # The counts alone need no payload, so the lazy match is pruned to its keys.
+    rows = ingest.cleanse(fx.importacion(spark, d))
+    return ingest.import_report(rows, ingest.match_import(rows, fx.vacantes(spark, d, "id", "id_registro", "id_sistema")))
 
 
 @query

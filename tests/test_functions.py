@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import day
 from reclutark.functions import calendar, coerce, measures, text
+from reclutark.plans import conversations
 from reclutark.functions.calendar import MONTH, QUARTER, RANGE, WEEK, YEAR, Period
 
 
@@ -92,8 +93,9 @@ def test_any_word_is(value, name, choice, matches):
         (None, None),
     ],
 )
-def test_json_payload(value, reply, payload):
-    assert value(text.json_payload(text_lit(reply))) == payload
+def test_json_payload(spark, reply, payload):
+    df = spark.createDataFrame([(reply,)], "texto string")
+    assert conversations.payloads(df).first()["contenido"] == payload
 
 
 # --- coercion -----------------------------------------------------------------------------------------------

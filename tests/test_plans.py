@@ -10,7 +10,7 @@ from reclutark.functions.calendar import QUARTER, Period
 from reclutark.queries import queries
 from reclutark.sources import fixtures as fx, tables
 
-EAGER = {"import_upsert", "import_master", "import_report"}
+EAGER = {"import_upsert", "import_master"}
 
 
 def plan_of(df):
