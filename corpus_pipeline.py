@@ -6,8 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reclutark.llm import bpe, queries
-from reclutark.llm.common import shared_folder
+from reclutark.llm import bpe, queries, simhash
+from reclutark.llm.common import shared_folder, ship
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +20,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, queries.BYTE_VOCABULARY)
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("simhash", near_duplicates), ("bpe", tokens)]
 
 #: The classifier and the mixture aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -23,7 +28,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage.  What lies between is written under the session's checkpoint folder, which all executors share."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

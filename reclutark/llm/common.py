@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,20 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Hands this package to the Python workers of the session, once; they may run in other folders or on other machines."""
+    context = spark.sparkContext
+    if getattr(context, "_reclutark_shipped", None) is None:
+        package = Path(__file__).resolve().parents[1]
+        file = Path(tempfile.mkdtemp(prefix="reclutark-code-"), "reclutark.zip")
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as packed:
+            for source in sorted(package.rglob("*.py")):
+                packed.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(file))
+        context._reclutark_shipped = str(file)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written tables: the one of ``spark.checkpoint.dir``; a scratch folder only for a local master without it."""
     context = spark.sparkContext

@@ -7,14 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reclutark.llm import bpe, token_counts
+from reclutark.llm import bpe, simhash, token_counts
+from reclutark.llm.common import ship
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +31,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op6_simhash, op7_bpe, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
