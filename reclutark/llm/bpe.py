@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reclutark.llm.token_counts import LONG_WORD, NO_RANK, byte_letters, merge_with_heap
 
@@ -19,6 +19,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: Words kept with their identifiers by one Python worker, in two generations; bounds the memory of the cache.
 CACHED_WORDS = 150_000
 
+#: Rows that leave a worker at once.
+OUT_ROWS = 256
+
 
 class Codec:
     """A byte-level vocabulary file, ready to encode and decode."""
@@ -95,46 +98,55 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoder(path: str):
-    @F.pandas_udf("binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path)
-        for batch in texts:
-            yield pd.Series([c.encode(t or "") for t in batch], dtype=object)
-
-    return encode
-
+def _rows(docs: DataFrame, columns: list[str], schema: str, row: Callable[[tuple], tuple]) -> DataFrame:
+    """One row for each row; results leave in small batches, so that a worker never holds those of a large one."""
 
-def decoder(path: str):
-    @F.pandas_udf("string")
-    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path)
-        for batch in ids:
-            yield pd.Series([None if x is None else c.decode(bytes(x)) for x in batch], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                keys = part.column(0)
+                done = [row(x) for x in zip(*(c.to_pylist() for c in part.columns[1:]))]
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, zip(*done))], names=names)
 
-    return decode
+    key = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(field.split()[0] for field in schema.split(", "))]
+    return docs.select("doc_id", *columns).mapInArrow(run, f"doc_id {key}, {schema}")
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (binary: little-endian unsigned 32-bit identifiers) and ``n_tokens``.
+def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id, token_ids, n_tokens`` per row of ``docs``; ``token_ids`` are little-endian unsigned 32-bit identifiers.
 
     Rows are independent: no shuffle, whole texts, nothing kept but a bounded cache of words.  A null or empty text has no
-    identifiers.  Special tokens of the vocabulary that stand in a text get their own identifiers.  Columns of
-    those names that ``docs`` already has are replaced; null ids, repeated rows and extra columns pass through.
+    identifiers.  Special tokens of the vocabulary that stand in a text get their own identifiers.  Null ids and repeated
+    rows give a row each; other columns are left out, whatever their names.
     """
-    ids: Column = encoder(vocabulary)(F.col(text))
-    return docs.withColumn("token_ids", ids).withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+
+    def encode(row: tuple) -> tuple:
+        ids = codec(vocabulary).encode(row[0] or "")
+        return ids, len(ids) // 4
+
+    return _rows(docs, ["text"], "token_ids binary, n_tokens long", encode)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ``token_ids``; null identifiers give a null text."""
-    return encoded.withColumn("decoded", decoder(vocabulary)(F.col("token_ids")))
+    """``doc_id, text`` per row of ``encoded``; null identifiers give a null text."""
+    return _rows(encoded, ["token_ids"], "text string", lambda row: (None if row[0] is None else codec(vocabulary).decode(row[0]),))
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the identifiers and of the text decoded from them."""
-    done = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the identifiers and of the text decoded from them.
+
+    Encodes and decodes in one pass, so that a task runs one Python worker; else as ``encode_documents``.
+    """
+
+    def both(row: tuple) -> tuple:
+        c = codec(vocabulary)
+        ids = c.encode(row[0] or "")
+        return ids, c.decode(ids)
+
+    done = _rows(docs, ["text"], "token_ids binary, decoded string", both)
     return done.select(
-        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
