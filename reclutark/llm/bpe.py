@@ -107,10 +107,11 @@ def _rows(docs: DataFrame, columns: list[str], schema: str, row: Callable[[tuple
                 part = batch.slice(at, OUT_ROWS)
                 keys = part.column(0)
                 done = [row(x) for x in zip(*(c.to_pylist() for c in part.columns[1:]))]
-                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, zip(*done))], names=names)
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, zip(*done), types)], names=names)
 
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(field.split()[0] for field in schema.split(", "))]
+    types = [{"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[field.split()[1]] for field in schema.split(", ")]
     return docs.select("doc_id", *columns).mapInArrow(run, f"doc_id {key}, {schema}")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, simhash, token_counts
-from reclutark.llm.common import ship
+from reclutark.llm import bpe, language, simhash, token_counts
+from reclutark.llm.common import crc_fold, ship
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,8 +30,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    return language.identify(docs, language.learn(docs.filter(~held_out)), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash, op7_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op6_simhash, op7_bpe, op8_token_counts, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
