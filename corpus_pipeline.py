@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, queries, simhash
-from reclutark.llm.common import shared_folder, ship
+from reclutark.llm import bpe, queries, rules, simhash
+from reclutark.llm.common import crc_fold, shared_folder, ship
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones that aren't held out, doesn't reject."""
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    return rules.keep_good(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +26,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, queries.BYTE_VOCABULARY)
 
 
-STAGES = [("simhash", near_duplicates), ("bpe", tokens)]
+STAGES = [("classifier", good), ("simhash", near_duplicates), ("bpe", tokens)]
 
 #: The classifier and the mixture aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

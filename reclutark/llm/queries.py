@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, language, simhash, token_counts
+from reclutark.llm import bpe, itq, language, outliers, rules, simhash, token_counts
 from reclutark.llm.common import crc_fold, ship
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.filtered(table(spark, sf_dir, "documents"))
+
+
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5) == 0
+    return rules.classify(docs, rules.fit(docs, table(spark, sf_dir, "labels"), held_out), held_out)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -36,8 +45,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs.filter(~held_out)), held_out)
 
 
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash, op7_bpe, op8_token_counts, op9_language)}
+    return {f.__name__: f for f in (op4_outliers, op5_rules, op6_simhash, op7_bpe, op8_token_counts, op9_language, op10_itq)}
 
 
 def oracle_sql() -> dict[str, str]:
