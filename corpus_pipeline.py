@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, queries, rules, simhash
+from reclutark.llm import bpe, mixing, passages, queries, rules, simhash
 from reclutark.llm.common import crc_fold, shared_folder, ship
 
 
@@ -21,12 +21,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand in an earlier one."""
+    return passages.without_repeats(docs, passages.repeated(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the target mixture, once for each epoch that takes them."""
+    return mixing.mixed(docs, queries.mixture()).select("row.*")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level identifiers of every document that is left, and the text decoded from them, as digests."""
     return bpe.round_trip(docs, queries.BYTE_VOCABULARY)
 
 
-STAGES = [("classifier", good), ("simhash", near_duplicates), ("bpe", tokens)]
+STAGES = [("classifier", good), ("simhash", near_duplicates), ("passages", repeats), ("mixing", mixture), ("bpe", tokens)]
 
 #: The classifier and the mixture aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, itq, language, outliers, rules, simhash, token_counts
+from reclutark.llm import bpe, itq, language, mixing, outliers, passages, preference, rules, simhash, sql, token_counts
 from reclutark.llm.common import crc_fold, ship
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Domains are given by the number that ends a source's name, modulo four; sources without a number are of the first.
+DOMAINS = ("web", "books", "forums", "reference")
+
+MIXTURE_WEIGHTS = {
+    "domain": {"web": 4, "books": 3, "forums": 2, "reference": 1},
+    "lang": {"en": 4, "de": 2, "fr": 2, "es": 2},
+}
+
+
+def mixture() -> mixing.Mixture:
+    number = F.coalesce(F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("long"), F.lit(0))
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (number % len(DOMAINS) + 1).cast("int"))
+    return mixing.Mixture(domain, MIXTURE_WEIGHTS)
+
+
+def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.segments(*preference.with_other_reply(table(spark, sf_dir, "conversations")))
+
+
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixture()).drop("row")
+
+
 def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.filtered(table(spark, sf_dir, "documents"))
 
@@ -50,8 +77,8 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_outliers, op5_rules, op6_simhash, op7_bpe, op8_token_counts, op9_language, op10_itq)}
+    return {f.__name__: f for f in (op1_preference, op2_passages, op3_mixing, op4_outliers, op5_rules, op6_simhash, op7_bpe, op8_token_counts, op9_language, op10_itq)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_preference": sql.PREFERENCE, "op3_mixing": sql.mixing(DOMAINS, MIXTURE_WEIGHTS)}
