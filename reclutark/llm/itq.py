@@ -23,6 +23,9 @@ BITS, KEY_BITS, PERMUTATIONS = 64, 16, 4
 
 ITERATIONS, SEED = 50, 10
 
+#: Distance between unit vectors at the least cosine of a link.
+REACH = (2 * (1 - COSINE)) ** 0.5
+
 #: Vectors of a bucket that one task compares at once; larger buckets are compared block by block, by as many tasks as there are pairs
 #: of blocks.
 BLOCK = 1024
@@ -39,7 +42,10 @@ class Rotation:
             self.matrix = np.linalg.qr(random.normal(size=(dimension, dimension)))[0][:, : self.bits]
             return
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.mean = unit.mean(axis=0)
+        mean = unit.mean(axis=0)
+        scatter = np.sqrt(((unit - mean) ** 2).sum(axis=1).mean())
+        # Vectors that are all within reach of a link are not centred: what is left then would be noise, and so would be their codes.
+        self.mean = mean * np.clip((scatter - REACH) / REACH, 0, 1)
         centred = unit - self.mean
         spread, axes = np.linalg.eigh(centred.T @ centred)
         basis = axes[:, ::-1][:, : self.bits]
@@ -77,10 +83,10 @@ def fit(vectors: DataFrame, rows: int = SAMPLE) -> dict[int, Rotation]:
 
 
 def tables(bits: int, key_bits: int = KEY_BITS, permutations: int = PERMUTATIONS) -> list[np.ndarray]:
-    """Bits of each table: several seeded permutations, each cut in substrings."""
+    """Bits of each table: several seeded permutations, each cut in substrings, four at least where there are as many bits."""
     random = np.random.default_rng(SEED + 1)
     orders = [np.arange(bits), *(random.permutation(bits) for _ in range(permutations - 1))]
-    parts = max(1, -(-bits // key_bits))
+    parts = -(-bits // max(1, min(key_bits, bits // 4)))
     return [part for order in orders for part in np.array_split(order, parts)]
 
 
