@@ -11,7 +11,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reclutark.llm.common import runs, ship, words
+from reclutark.llm.common import runs, ship
 from reclutark.session import cut_lineage
 
 #: Words of a seed, and seeds of which the least hash is kept: two texts that share SEED + WINDOW - 1 words in a row share a seed.
@@ -32,8 +32,8 @@ MARGIN = 48
 #: Equal words that outweigh a changed one; the stricter value serves where the first leaves too little alike.
 CHANGE_COSTS = (20, 40)
 
-#: Ids of a block, as a power of two.
-BLOCK_BITS = 16
+#: Ids of a block, as a power of two: a seed has no more documents in one task.
+BLOCK_BITS = 20
 
 CACHED_WORDS = 200_000
 
@@ -73,8 +73,24 @@ def seed_places(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
     kept = np.zeros(n, dtype=bool)
     for k in range(WINDOW):
         kept |= h == around[k : k + n]
-    at = np.flatnonzero(kept).astype(np.int32)
-    return h[at].view(np.int64), at
+    at = np.flatnonzero(kept)
+    order = np.lexsort((at, h[at]))
+    close = (np.diff(h[at][order]) == 0) & (np.diff(at[order]) < WINDOW)
+    if close.any():
+        at = np.sort(_spaced(at[order].tolist(), close.tolist()))
+    return h[at].view(np.int64), at.astype(np.int32)
+
+
+def _spaced(places: list[int], close: list[bool]) -> list[int]:
+    """Of places of one hash that follow each other closely, as words repeated on and on have, so many that every window holds
+    one: the last within WINDOW of the one before."""
+    out = [places[0]]
+    for k in range(1, len(places)):
+        if not close[k - 1]:
+            out.append(places[k])
+        elif k == len(places) - 1 or not close[k] or places[k + 1] - out[-1] > WINDOW:
+            out.append(places[k])
+    return out
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -95,26 +111,45 @@ def seeds(docs: DataFrame) -> DataFrame:
     return read.mapInArrow(find, "h long, doc_id long, pos int")
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """``doc_id, src_id, pos, src_pos``: every seed beside its first place in the corpus and beside its place in the document before
-    its own that holds it, as far as these are other documents.
+def matches(found: DataFrame, several: bool) -> DataFrame:
+    """``doc_id, src_id, pos, src_pos``: every seed beside its first place in the block of ids, and beside its place in the document
+    before its own that holds it; the first of a block beside the first of all and the last of the blocks before.
 
-    A seed that a third of all documents hold gives two rows for each of them, never their pairs.  The document before is found within
-    blocks of ids, and for the first of a block among the last of the blocks before, so that no task sorts all places of
-    a frequent seed.
+    One shuffle brings the places of a seed in a block together, sorted, and they are read as a stream: a seed that a third of
+    all documents hold is split by blocks and gives two rows for each document, never their pairs.  ``several`` says whether there is
+    more than one block.
     """
-    place = F.struct("doc_id", "pos")
-    firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id <> last")
-    shared = cut_lineage(found.join(firsts.select("h", "first"), "h").withColumn("block", F.shiftright("doc_id", BLOCK_BITS)))
-    within = Window.partitionBy("h", "block").orderBy("doc_id", "pos")
-    inside = shared.select("*", F.lag(place).over(within).alias("near"))
-    ends = shared.groupBy("h", "block").agg(F.max(place).alias("end"))
-    over = ends.select("h", "block", F.lag("end").over(Window.partitionBy("h").orderBy("block")).alias("far")).filter("far is not null")
-    heads = inside.filter("near is null and doc_id <> first.doc_id").drop("near").join(over, ["h", "block"])
-    beside = lambda df, c: df.select("doc_id", F.col(f"{c}.doc_id").alias("src_id"), "pos", F.col(f"{c}.pos").alias("src_pos"))
-    near = inside.filter("near.doc_id <> doc_id and near.doc_id <> first.doc_id")
-    far = heads.filter("far.doc_id <> first.doc_id")
-    return beside(shared.filter("doc_id <> first.doc_id"), "first").unionAll(beside(near, "near")).unionAll(beside(far, "far"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in runs(batches, ["h", "block"]):
+            h, doc, pos = (table.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
+            starts, sizes = bounds[:-1], np.diff(bounds)
+            first = np.repeat(starts, sizes)
+            row = np.flatnonzero(doc != doc[first])
+            before = row - 1
+            row_2 = row[(doc[before] != doc[row]) & (doc[before] != doc[first[row]])]
+            to, of = np.concatenate([row, row_2]), np.concatenate([first[row], row_2 - 1])
+            yield _batch(np.zeros(len(to), np.int32), h[to], doc[to], doc[of], pos[to], pos[of])
+            if several:
+                last = bounds[1:] - 1
+                yield _batch(np.ones(len(starts), np.int32), h[starts], doc[starts], doc[last], pos[starts], pos[last])
+
+    def _batch(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["end", "h", "doc_id", "src_id", "pos", "src_pos"])
+
+    keys = ["h", "block"]
+    placed = found.withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).repartition(*keys).sortWithinPartitions(*keys, "doc_id", "pos")
+    paired = placed.mapInArrow(pair, "end int, h long, doc_id long, src_id long, pos int, src_pos int")
+    columns = ["doc_id", "src_id", "pos", "src_pos"]
+    if not several:
+        return paired.select(*columns)
+    paired = cut_lineage(paired)
+    over = Window.partitionBy("h").orderBy("doc_id")
+    place, end = F.struct("doc_id", "pos"), F.struct(F.col("src_id").alias("doc_id"), F.col("src_pos").alias("pos"))
+    ends = paired.filter("end = 1").select("doc_id", "pos", F.first(place).over(over).alias("first"), F.lag(end).over(over).alias("near"))
+    linked = ends.filter("near is not null").withColumn("of", F.explode(F.array_distinct(F.array("first", "near"))))
+    return paired.filter("end = 0").select(*columns).unionAll(
+        linked.select("doc_id", F.col("of.doc_id").alias("src_id"), "pos", F.col("of.pos").alias("src_pos")))
 
 
 def best_chains(pos: np.ndarray, src: np.ndarray) -> list[list[int]]:
@@ -167,23 +202,28 @@ def best_chains(pos: np.ndarray, src: np.ndarray) -> list[list[int]]:
 def chains(found: DataFrame) -> DataFrame:
     """``chain, doc_id, src_id, pos, src_pos`` (arrays of the chain's places) for documents that share two seeds or more.
 
-    A passage of LEAST_WORDS has two seeds at least.  A group is what one document shares with one other.
+    A passage of LEAST_WORDS has two seeds at least.  A group is what one document shares with others, which its own length
+    bounds.  Longer chains come first; a chain whose places longer ones have covered is left out.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in runs(batches, ["doc_id", "src_id"]):
+        for table, bounds in runs(batches, ["doc_id"]):
             doc, source, pos, src = (table.column(c).to_numpy() for c in ("doc_id", "src_id", "pos", "src_pos"))
             rows = []
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if stop - start > 1:
-                    for chain in best_chains(pos[start:stop], src[start:stop]):
-                        at = start + np.array(chain)
-                        rows.append((doc[start], source[start], pos[at], src[at]))
+                cuts = [start, *(start + 1 + np.flatnonzero(np.diff(source[start:stop]))).tolist(), stop]
+                own = [a + np.array(c) for a, b in zip(cuts, cuts[1:]) if b - a > 1 for c in best_chains(pos[a:b], src[a:b])]
+                covered: set[int] = set()
+                for chain in sorted(own, key=lambda c: (-len(c), source[c[0]], pos[c[0]])):
+                    places = set(pos[chain].tolist())
+                    if not places <= covered:
+                        covered |= places
+                        rows.append((doc[start], source[chain[0]], pos[chain], src[chain]))
             for k in range(0, len(rows), 4096):
                 part = list(zip(*rows[k : k + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *(pa.array(c, pa.list_(pa.int32())) for c in part[2:])], names=["doc_id", "src_id", "pos", "src_pos"])
 
-    grouped = found.repartition("doc_id", "src_id").sortWithinPartitions("doc_id", "src_id", "pos", "src_pos")
+    grouped = found.repartition("doc_id").sortWithinPartitions("doc_id", "src_id", "pos", "src_pos")
     linked = grouped.mapInArrow(link, "doc_id long, src_id long, pos array<int>, src_pos array<int>")
     return cut_lineage(linked.withColumn("chain", F.monotonically_increasing_id()))
 
@@ -282,16 +322,33 @@ def repeated(docs: DataFrame) -> DataFrame:
     passages aren't held against each other; other columns are left out.
     """
     ship(docs.sparkSession)
-    linked = chains(matches(cut_lineage(seeds(docs))))
+    block = F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS)
+    several = docs.agg((F.min(block) != F.max(block)).alias("several")).first()["several"]
+    linked = chains(matches(seeds(docs), bool(several)))
 
     def side(which: int, key: str, places: str) -> DataFrame:
         start, end = F.greatest(F.get(places, F.lit(0)) - MARGIN, F.lit(0)), F.element_at(places, -1) + SEED + MARGIN
-        return linked.select(F.col(key).alias("at"), "chain", F.lit(which).alias("side"), start.alias("start"), end.alias("end"), "doc_id", "src_id", "pos", "src_pos")
+        own = [F.when(F.lit(which == 0), F.col(c)).alias(c) for c in ("doc_id", "src_id", "pos", "src_pos")]
+        return linked.select(F.col(key).alias("at"), "chain", F.lit(which).alias("side"), start.alias("start"), end.alias("end"), *own)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's part of the text; rows of one text follow each other, so it is taken apart once."""
+        now, held, split = None, None, []
+        for batch in batches:
+            at, start, end = (batch.column(c).to_numpy() for c in ("at", "start", "end"))
+            said = []
+            for k in range(batch.num_rows):
+                text = batch.column("text")[k].as_buffer()
+                if at[k] != now or not text.equals(held):
+                    now, held, split = at[k], text, text.to_pybytes().split()
+                said.append(b" ".join(split[start[k] : end[k]]).decode())
+            rest = [batch.column(c) for c in ("chain", "side", "doc_id", "src_id", "pos", "src_pos")]
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), *rest], names=["said", "chain", "side", "doc_id", "src_id", "pos", "src_pos"])
 
     wanted = side(0, "doc_id", "pos").unionAll(side(1, "src_id", "src_pos"))
     texts = docs.select(F.col("doc_id").cast("long").alias("at"), "text").filter("doc_id is not null and text is not null")
-    said = F.array_join(F.slice(words(F.col("text")), F.col("start") + 1, F.col("end") - F.col("start")), " ")
-    read = texts.join(wanted, "at").select("chain", "side", said.alias("said"), "doc_id", "src_id", "pos", "src_pos")
+    read = texts.join(wanted, "at").mapInArrow(
+        slices, "said string, chain long, side int, doc_id long, src_id long, pos array<int>, src_pos array<int>")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ["chain"]):

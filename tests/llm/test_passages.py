@@ -24,6 +24,14 @@ def test_equal_runs_of_twenty_words_share_a_seed():
         assert set(x.tolist()) & set(y.tolist())
 
 
+def test_repeated_words_keep_a_seed_in_every_window_and_few_more():
+    for period in (1, 2, 3, 7):
+        unit = some_words(period, period)
+        h, at = passages.seed_places(text(unit * (600 // period)), passages._Hashes())
+        last = 600 // period * period - passages.SEED + 1
+        assert all(((at >= s) & (at < s + passages.WINDOW)).any() for s in range(last - passages.WINDOW + 1)) and len(at) < 90
+
+
 def brute_chain(pos, src):
     best = [1.0] * len(pos)
     for j in range(len(pos)):
@@ -65,10 +73,10 @@ def test_a_copy_of_a_changed_copy_is_found_beside_it(documents):
     """Seeds of a changed place are first met in the changed copy, all others in the original."""
     base = some_words(11, 400)
     changed = [w if i % 30 else "new" + w for i, w in enumerate(base)]
-    docs = documents((1, text(base)), (70_000, text(changed)), (140_000, text(changed)))
+    docs = documents((1, text(base)), (3_000_000, text(changed)), (6_000_000, text(changed)))
     covered = set()
     for r in passages.repeated(docs).collect():
-        if r.doc_id == 140_000:
+        if r.doc_id == 6_000_000:
             covered |= set(range(r.start_word, r.start_word + r.n_words))
     assert covered == set(range(400))
 
