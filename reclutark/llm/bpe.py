@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from reclutark.llm.token_counts import LONG_WORD, NO_RANK, byte_letters, merge_with_heap
+from reclutark.llm.token_counts import LONG_WORD, NO_RANK, WordCache, byte_letters, merge_with_heap
 
 #: Splits text before the merges: the pattern of byte-level vocabularies, a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -43,8 +43,7 @@ class Codec:
         self.added = {token: _packed([i]) for token, i in added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(PIECES).findall
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = WordCache(lambda piece: _packed(self.word(piece.encode())), CACHED_WORDS)
 
     def encode(self, text: str) -> bytes:
         """Identifiers as little-endian unsigned 32-bit integers."""
@@ -55,17 +54,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
     def _ordinary(self, text: str) -> bytes:
-        known, out = self.words, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.older.get(piece) or _packed(self.word(piece.encode()))
-                if len(piece) <= LONG_WORD:
-                    if len(known) >= CACHED_WORDS:
-                        self.older, self.words = known, (known := {})
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.pieces(text)))
 
     def word(self, raw: bytes) -> list[int]:
         """Identifiers of one word: its boundaries and the ranks of neighbours lie in two contiguous arrays."""

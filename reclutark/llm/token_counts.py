@@ -68,6 +68,25 @@ def merge_with_heap(symbols: list[int], merges: dict) -> list[int]:
     return out
 
 
+class WordCache(dict):
+    """What ``of`` gives for words, for a bounded number of them: a full generation becomes the older one, and is asked once more
+    before it goes.  Long words are never kept."""
+
+    def __init__(self, of, size: int):
+        self.of, self.size, self.older = of, size, {}
+
+    def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            value = self.of(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Counter:
     """A vocabulary with word ends, ready to count."""
 
@@ -88,8 +107,7 @@ class Counter:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.pieces = regex.compile(pattern).findall
-        self.words: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.words = WordCache(lambda piece: self.word(piece.encode()), CACHED_WORDS)
 
     def count(self, text: str) -> int:
         parts = self.split.split(text) if self.split else [text]
@@ -98,17 +116,7 @@ class Counter:
     def _ordinary(self, text: str) -> int:
         # A capital sigma is lower-cased without a look at its neighbours, as every other letter is.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        known, total = self.words, 0
-        for piece in self.pieces(text):
-            n = known.get(piece)
-            if n is None:
-                n = self.older.get(piece) or self.word(piece.encode())
-                if len(piece) <= LONG_WORD:
-                    if len(known) >= CACHED_WORDS:
-                        self.older, self.words = known, (known := {})
-                    known[piece] = n
-            total += n
-        return total
+        return sum(map(self.words.__getitem__, self.pieces(text)))
 
     def word(self, raw: bytes) -> int:
         symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]

@@ -61,7 +61,7 @@ def test_words_leave_the_cache_in_generations(monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
     own, fresh = bpe.Codec(BYTES), bpe.codec(BYTES)
     text = " ".join(f"word{i % 7}" for i in range(50))
-    assert own.encode(text) == fresh.encode(text) and len(own.words) <= 3 and len(own.older) <= 3
+    assert own.encode(text) == fresh.encode(text) and len(own.words) <= 3 and len(own.words.older) <= 3
 
 
 def test_queries_equal_the_library_on_the_tables(spark, table, library):
