@@ -45,12 +45,18 @@ def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select(*keep, text.alias("t"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # Each step is a column of its own, as a lambda would work out an expression anew for every element.
+    hashed = F.transform(_places(F.col("w")), lambda i: F.shiftright(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)), _PLACE_BITS))
     counted = base.select(
         *keep, "w", F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        lines.alias("l"), _candidates(F.col("w")).alias("c"),
+        lines.alias("l"), hashed.alias("h"),
     )
+    keyed = F.transform("h", lambda x, i: F.shiftleft(x, _PLACE_BITS).bitwiseOR(i.cast("long")))
+    differ = (F.size(F.array_distinct("h")) == F.size("h")) | (F.size("w") >= (1 << _PLACE_BITS))
+    counted = counted.withColumn("o", F.when(differ, F.array().cast("array<bigint>")).otherwise(F.sort_array(keyed)))
+    counted = counted.withColumn("c", _candidates(F.col("w"), F.col("o")))
     # Candidates share the upper bits of a hash; the words themselves decide which windows are equal.
     exact = F.sort_array(F.transform("c", lambda i: F.struct(_window(F.col("w"), i).alias("k"), i.alias("i"))))
     found = counted.withColumn("x", exact)
@@ -69,21 +75,17 @@ def _window(w: Column, i: Column) -> Column:
     return F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
 
-def _candidates(w: Column) -> Column:
-    """Places of the three-word windows whose hash another window shares in its upper bits: sorted longs, neighbours compared.
+def _places(w: Column) -> Column:
+    return F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
 
-    Texts whose places don't fit the low bits name every window."""
-    places = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    keyed = F.sort_array(F.transform(places, lambda i: F.shiftleft(F.shiftright(hashed(i), _PLACE_BITS), _PLACE_BITS).bitwiseOR(i.cast("long"))))
+
+def _candidates(w: Column, ordered: Column) -> Column:
+    """Places of the three-word windows whose hash another window shares in its upper bits: neighbours in the order of hash and
+    place.  Texts whose places don't fit the low bits name every window."""
     top = lambda x: F.shiftright(x, _PLACE_BITS)
-    pairs = F.zip_with(
-        F.slice(keyed, 1, F.greatest(F.size(keyed) - 1, F.lit(0))), F.slice(keyed, 2, F.size(keyed)),
-        lambda a, b: F.when(top(a) == top(b), F.array(a, b)),
-    )
-    shared = F.array_distinct(F.flatten(F.array_compact(pairs)))
-    low = F.lit((1 << _PLACE_BITS) - 1).cast("long")
-    return F.when(F.size(w) < (1 << _PLACE_BITS), F.transform(shared, lambda x: x.bitwiseAND(low).cast("int"))).otherwise(places)
+    same = F.filter(ordered, lambda x, i: (top(x) == top(F.get(ordered, i - 1))) | (top(x) == top(F.get(ordered, i + 1))))
+    found = F.transform(same, lambda x: x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1).cast("long")).cast("int"))
+    return F.when(F.size(w) >= (1 << _PLACE_BITS), _places(w)).otherwise(found)
 
 
 def base_failed() -> Column:
