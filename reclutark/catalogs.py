@@ -25,7 +25,7 @@ COMPANY_SHORT_NAMES = {
     "FICORMA SA DE CV": "FICORMA",
 }
 
-COMPANIES = tuple(sorted(COMPANY_SHORT_NAMES))
+COMPANIES = tuple(COMPANY_SHORT_NAMES)
 
 AREAS = ("ADMINISTRATIVA", "OPERATIVA")
 
@@ -72,13 +72,8 @@ MONTHS = (
 
 MONTHS_SHORT = ("Ene", "Feb", "Mar", "Abr", "May", "Jun", "Jul", "Ago", "Sep", "Oct", "Nov", "Dic")
 
-QUARTERS = (
-    "T1 (Enero-Marzo)", "T2 (Abril-Junio)", "T3 (Julio-Septiembre)", "T4 (Octubre-Diciembre)",
-)
-
-# Recruiter first-name tokens: list for the annual and SLA reports, menu of the dashboard, two alias tables.
+# Recruiter first-name tokens: list for the annual and SLA reports, two alias tables.
 RECRUITERS = ("DIEGO", "YULIANA", "LETICIA", "ELENA")
-RECRUITER_CHOICES = ("Todos", "DIEGO", "HELEN", "LETY", "YULIANA")
 FILTER_ALIASES = {"MARTA": "HELEN", "ELENA": "HELEN", "LETICIA": "LETY"}
 CHART_ALIASES = {"MARTA": "HELEN", "LETICIA": "LETY", "YULIANA": "YULI"}
 
@@ -117,24 +112,36 @@ SPARE_CAPACITY = "Capacidad disponible / subutilización"
 FACET_LABELS = {"true": "Entregado", "false": "Faltante"}
 PAGE_SIZES = (10, 15, 25, 50)
 
-# Spreadsheet header -> stored column, for the vacancy import.
+# Stored column -> spreadsheet header, for the vacancy import.
 IMPORT_COLUMNS = {
-    "ID": "id_sistema",
-    "Fecha Solicitud": "fecha_solicitud",
-    "Tipo de solicitud": "tipo_solicitud",
-    "Estatus De Solicitud": "estatus_solicitud",
-    "Fase del Proceso": "fase_proceso",
-    "Fecha de avance del proceso": "fecha_avance",
-    "Fecha Autorizada": "fecha_autorizacion",
-    "Puesto solicitado": "puesto_vacante",
-    "Plaza": "plaza_vacante",
-    "Empresa": "empresa_vacante",
-    "Función Área": "funcion_area_vacante",
-    "No.Vacantes Solicitadas": "vacantes_solicitadas",
-    "No. Vacantes Contratados": "vacantes_contratados",
-    "Responsable Del Proceso": "responsable_vacante",
-    "Comentarios Del Seguimiento Del Proceso": "comentarios_vacante",
-    "Tipo de Reclutamiento": "tipo_reclutamiento_vacante",
-    "Medio de Reclutamiento/HeadHunter": "medio_reclutamiento_vacante",
-    "Fecha Del Seguimiento Del Proceso": "fecha_cobertura",
+    "fecha_solicitud": "Fecha Solicitud",
+    "tipo_solicitud": "Tipo de solicitud",
+    "estatus_solicitud": "Estatus De Solicitud",
+    "fase_proceso": "Fase del Proceso",
+    "fecha_avance": "Fecha de avance del proceso",
+    "fecha_autorizacion": "Fecha Autorizada",
+    "puesto_vacante": "Puesto solicitado",
+    "plaza_vacante": "Plaza",
+    "empresa_vacante": "Empresa",
+    "funcion_area_vacante": "Función Área",
+    "vacantes_solicitadas": "No.Vacantes Solicitadas",
+    "vacantes_contratados": "No. Vacantes Contratados",
+    "responsable_vacante": "Responsable Del Proceso",
+    "comentarios_vacante": "Comentarios Del Seguimiento Del Proceso",
+    "tipo_reclutamiento_vacante": "Tipo de Reclutamiento",
+    "medio_reclutamiento_vacante": "Medio de Reclutamiento/HeadHunter",
+    "id_sistema": "ID",
+    "fecha_cobertura": "Fecha Del Seguimiento Del Proceso",
+}
+
+# Stored vacancy columns and the values that the forms allow for them.
+VACANCY_DOMAINS = {
+    "tipo_solicitud": REQUEST_TYPES,
+    "estatus_solicitud": STATUSES,
+    "fase_proceso": STAGES,
+    "plaza_vacante": SITES,
+    "empresa_vacante": COMPANIES,
+    "funcion_area_vacante": AREAS,
+    "tipo_reclutamiento_vacante": RECRUITING_TYPES,
+    "medio_reclutamiento_vacante": CHANNELS,
 }

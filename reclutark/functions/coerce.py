@@ -20,8 +20,9 @@ def strict_date(c: Column) -> Column:
 
 
 def lenient_date(c: Column) -> Column:
-    """Date; text that is not a date gives NULL."""
-    return F.coalesce(c.try_cast("date"), c.try_cast("timestamp").cast("date"))
+    """Date; text of none of the shapes of :func:`import_date` gives NULL."""
+    dated = F.typeof(c).isin("date", "timestamp", "timestamp_ntz")  # known before the query runs: one branch is left
+    return F.when(dated, c.try_cast("date")).otherwise(import_date(c))
 
 
 def strict_int(c: Column) -> Column:
@@ -31,25 +32,26 @@ def strict_int(c: Column) -> Column:
 
 
 # Shapes of a number.  Text is tested before it is cast, so a bad cell costs no exception.
-WHOLE_PART = r"^\s*[-+]?\d{1,18}(\.\d*)?\s*$"
+PLAIN_NUMBER = r"^\s*[-+]?\d+(\.\d*)?\s*$"
 ANY_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
 def import_int(c: Column) -> Column:
-    """Whole number of an imported cell; a fraction is cut off, blank or other text gives NULL."""
-    return F.when(c.rlike(WHOLE_PART), F.substring_index(c, ".", 1).try_cast("bigint"))
+    """Whole number of an imported cell, with or without exponent; a fraction is cut off.  Blank or other text, and what no
+    BIGINT holds, gives NULL."""
+    plain = F.substring_index(c, ".", 1).try_cast("bigint")
+    other = F.when(c.rlike(ANY_NUMBER), c.try_cast("decimal(38,10)").try_cast("bigint"))
+    return F.when(c.rlike(PLAIN_NUMBER), plain).otherwise(other)
 
 
 def is_bad_number(c: Column) -> Column:
     """True for a cell that holds something, but no whole number."""
-    return F.coalesce(c.rlike(LETTER) & ~c.rlike(WHOLE_PART), F.lit(False))
+    return F.coalesce(c.rlike(LETTER) & import_int(c).isNull(), F.lit(False))
 
 
 def lenient_int(c: Column) -> Column:
     """Whole number of a text; NULL or other text gives 0 and a fraction is cut off."""
-    text = c.cast("string")
-    large = F.when(text.rlike(ANY_NUMBER), text.try_cast("double").try_cast("bigint"))
-    return F.coalesce(import_int(text), large, F.lit(0).cast("bigint"))
+    return F.coalesce(import_int(c.cast("string")), F.lit(0).cast("bigint"))
 
 
 def int_or_zero(c: Column) -> Column:
@@ -57,17 +59,26 @@ def int_or_zero(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-# Shapes of an imported date, year first or last, with an optional time.
-ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
-YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T].*)?$"
-YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})( +\d{1,2}:\d{2}(:\d{2})?)?$"
+# Shapes of an imported date, numbers or an English month, with an optional time of day.
+TIME = r"(?:[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: *[AaPp][Mm])?(?: *(?:Z|[-+]\d{2}:?\d{2}))?)?$"
+MONTH = (
+    "(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    "(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?)"
+)
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + TIME
+YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + TIME
+EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+DAY_MONTH = r"^(\d{1,2})[-/. ]+" + MONTH + r"[-/., ]+(\d{4}|\d{2})" + TIME
+MONTH_DAY = "^" + MONTH + r"[-/. ]+(\d{1,2})(?:,| ) *(\d{4})" + TIME
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def import_date(c: Column) -> Column:
     """Date of an imported cell: year first, or month first, or day first when the first number is no month.
 
-    A bare number (a spreadsheet serial) and any other text give NULL.  The shape is tested before parsing and
-    the casts are of the trying kind, so a bad cell costs no exception.
+    Numbers are parted by hyphens, strokes or points, or eight digits in a row; an English month may stand before or after
+    the day.  Two digits of a year are 1969 to 2068.  Any other number (a spreadsheet serial) and any other text give NULL.
+    The shape is tested before parsing and the casts are of the trying kind, so a bad cell costs no exception.
     """
     return stripped_date(strip(c.cast("string")))
 
@@ -75,11 +86,29 @@ def import_date(c: Column) -> Column:
 def stripped_date(text: Column) -> Column:
     """:func:`import_date` of text without white space at its ends."""
 
-    def reordered(order: str) -> Column:
-        return F.regexp_replace(text, YEAR_LAST, order).try_cast("date")
+    def day(year: Column, month: Column, of_month: Column) -> Column:
+        return F.concat_ws("-", year, month, of_month).try_cast("date")
 
-    with_time = F.translate(text, "/", "-").try_cast("timestamp_ntz").cast("date")
-    return F.when(text.rlike(ISO_DAY), text.try_cast("date")).when(text.rlike(YEAR_FIRST), with_time).when(text.rlike(YEAR_LAST), F.coalesce(reordered("$3-$1-$2"), reordered("$3-$2-$1")))
+    def part(shape: str, group: int) -> Column:
+        return F.regexp_extract(text, shape, group)
+
+    def full(year: Column) -> Column:
+        return F.when(F.length(year) == 4, year).when(year >= "69", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
+
+    def month(name: Column) -> Column:
+        return F.floor((F.instr(F.lit(MONTHS), F.lower(name)) + 2) / 3).cast("string")
+
+    def year_first(shape: str) -> Column:
+        return day(part(shape, 1), part(shape, 2), part(shape, 3))
+
+    first, second, year = part(YEAR_LAST, 1), part(YEAR_LAST, 2), full(part(YEAR_LAST, 3))
+    return (
+        F.when(text.rlike(YEAR_FIRST), year_first(YEAR_FIRST))
+        .when(text.rlike(YEAR_LAST), F.coalesce(day(year, first, second), day(year, second, first)))
+        .when(text.rlike(EIGHT_DIGITS), year_first(EIGHT_DIGITS))
+        .when(text.rlike(DAY_MONTH), day(full(part(DAY_MONTH, 3)), month(part(DAY_MONTH, 2)), part(DAY_MONTH, 1)))
+        .when(text.rlike(MONTH_DAY), day(part(MONTH_DAY, 3), month(part(MONTH_DAY, 1)), part(MONTH_DAY, 2)))
+    )
 
 
 def iso_text(c: Column) -> Column:

@@ -111,9 +111,24 @@ def json_body(text: Column) -> Column:
     return F.when(text.contains("{"), F.regexp_extract(bare, "(?s)\\{.*\\}", 0))
 
 
-def valid_json(body: Column) -> Column:
-    """The text if it is JSON, else NULL."""
-    return F.when(F.get_json_object(body, "$").isNotNull(), body)
+# Stands after a text that is parsed, to show that the parser has come to its end.
+_END = "fin del texto"
+
+
+def parsed_json(body: Column) -> Column:
+    """The value of a text that is one JSON value from end to end, else NULL.
+
+    The parser stops after the first value, so the text is put in a list whose last element must be there, in its place.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("[0,"), body, F.lit(f',"{_END}"]')))
+    at_end = F.try_variant_get(whole, "$[2]", "string").eqNullSafe(F.lit(_END)) & F.try_variant_get(whole, "$[3]", "variant").isNull()
+    return F.when(at_end, F.try_variant_get(whole, "$[1]", "variant"))
+
+
+def text_of(value: Column, path: str) -> Column:
+    """What a JSON value holds at a path, if that is text."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(value, path, "string"))
 
 
 def first_of_list(text: Column) -> Column:

@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def last_per_key(changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key by a unique order column.
 
-    An aggregate, not a window: it combines before the shuffle, so a key with very many rows costs no more
-    than one row per map task.
+    An aggregate of the order column alone, which combines before the shuffle, finds the rows; so a key with very many rows
+    costs one row per map task, and no wide row is sorted.
     """
-    payload = [c for c in changes.columns if c not in keys]
-    ordered = F.struct(F.col(order).alias("_orden"), F.struct(*payload).alias("_fila"))
-    return changes.groupBy(*keys).agg(F.max(ordered).alias("_ultima")).select(*keys, "_ultima._fila.*")
+    newest = changes.groupBy(*keys).agg(F.max(order).alias(order))
+    return changes.join(newest, [*keys, order], "left_semi").select(*changes.columns)
 
 
 def overlay(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -39,19 +38,6 @@ def overlay(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[s
     return joined.select(*[value(c) for c in target.columns])
 
 
-# Largest change set, in bytes, that is sent to every executor so that the stored table is not shuffled.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether all cells together stay within ``most`` bytes.  Reads the rows once: meant for checkpointed ones."""
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    size = F.lit(16 * len(df.columns)).cast("bigint")
-    for name in texts:
-        size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"] <= most
-
-
 def next_id_base(table: DataFrame, key: str = "id") -> Column:
     """Largest id in use, 0 for an empty table, as a scalar subquery."""
     return table.agg(F.coalesce(F.max(key), F.lit(0).cast("bigint")).alias(key)).scalar()
@@ -60,13 +46,18 @@ def next_id_base(table: DataFrame, key: str = "id") -> Column:
 def dense_index(df: DataFrame, blocks: Sequence[str], position: str, name: str) -> DataFrame:
     """Row number 0.. over all blocks in order, from each row's rising position inside its block.
 
-    ``position`` must rise by one from row to row of a block.  Only the per-block counts are put in a single
-    order; the rows themselves are neither sorted nor gathered.
+    ``position`` must rise by one from row to row of a block.  Counts are put in order per file and then per block of a file; the
+    one step in a single task sees a row per file.  The rows themselves are neither sorted nor gathered.
     """
+    file, rest = blocks[0], list(blocks[1:])
     per_block = df.groupBy(*blocks).agg(F.count("*").alias("_n"), F.min(position).alias("_primera"))
-    earlier = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)  # one row per file block
-    offsets = per_block.select(
-        *blocks, "_primera", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_antes")
+    earlier = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    files = per_block.groupBy(file).agg(F.sum("_n").alias("_de_archivo")).select(
+        file, F.coalesce(F.sum("_de_archivo").over(earlier), F.lit(0)).alias("_archivos_antes")
+    )
+    inside = Window.partitionBy(file).orderBy(*(rest or [file])).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.withColumn("_bloques_antes", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(files, file).select(
+        *blocks, "_primera", (F.col("_archivos_antes") + F.col("_bloques_antes")).alias("_antes")
     )
     return df.join(offsets, list(blocks)).withColumn(
         name, F.col("_antes") + F.col(position) - F.col("_primera")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reclutark import catalogs
 from reclutark.session import cut_lineage
 
-# Rows one task may keep for a page counted from the nearer end of the table; deeper pages go by key ranges.
-TOP_ROWS = 100_000
+# Low bits of a row's number that hold its place in the partition; the others hold the partition.
+PLACE_BITS = 33
 
 
 def pick(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
@@ -106,59 +106,40 @@ def page_of(
     page: int = 1,
     size: int = catalogs.PAGE_SIZES[0],
     descending: bool = False,
-    top_rows: int = TOP_ROWS,
 ) -> DataFrame:
     """One page of the sorted table, with ``fila`` (place in the table), ``pagina``, ``paginas``, ``total``.
 
-    ``unique`` names columns that tell all rows apart.  A page near either end is a top-k.  A page deep in the
-    middle range-partitions the table once, counts the ranges, and takes its rows from the range that holds
-    them, so no task keeps more than a range.
+    ``unique`` names columns that tell all rows apart.  The sort columns alone are put in ranges, sorted and written to
+    the checkpoint folder once; a row's range and place in it make its place in the table, so the page is a plain filter
+    wherever it lies.  Its few keys then fetch the rows.  The driver sees one count per range.
     """
-    total = df.count()
+    keys = list(dict.fromkeys([column, *unique]))
+    order = sort_order(df, column, descending, unique)
+    narrow = df.select(*[F.col(f"`{c}`") for c in keys])
+    sorted_keys = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(sorted_keys.withColumn("_lugar", F.monotonically_increasing_id()))
+    counts = sorted(tuple(row) for row in placed.groupBy(F.shiftright("_lugar", PLACE_BITS)).count().collect())
+    total = sum(n for _, n in counts)
     page, pages, start, end = page_bounds(total, page, size)
-    forward = sort_order(df, column, descending, unique)
-    source, skip, order, reverse = df, start, forward, False
-    if min(end, total - start) > top_rows:
-        source, skip = _range_holding(df, forward, start, end)
-    elif total - start < end:
-        order, reverse = _reversed(df, column, descending, unique), True
-        skip = total - end
-    rows = source.orderBy(*order).offset(skip).limit(end - start)
-    # One page of rows: numbering it in a single window is bounded by the page size.
-    rank = F.row_number().over(Window.orderBy(*forward))
-    return rows.select(
+    before, place, wanted = 0, F.lit(None).cast("bigint"), F.lit(False)
+    for part, n in counts:
+        low, high = max(start - before, 0), min(end - before, n)
+        if low < high:
+            first = part << PLACE_BITS
+            here = F.col("_lugar").between(first + low, first + high - 1)
+            wanted, place = wanted | here, F.when(here, F.col("_lugar") - (first - before - 1)).otherwise(place)
+        before += n
+    shown = placed.where(wanted).select(*[F.col(f"`{c}`").alias(f"_{c}") for c in unique], place.cast("bigint").alias("fila"))
+    same = F.lit(True)
+    for c in unique:
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`"))
+    return df.join(F.broadcast(shown), same).select(  # the keys of a page
         *[F.col(f"`{c}`") for c in df.columns],
-        (rank + start).cast("bigint").alias("fila"),
+        "fila",
         F.lit(page).alias("pagina"),
         F.lit(pages).alias("paginas"),
         F.lit(total).cast("bigint").alias("total"),
-    ).orderBy("fila") if end > start else df.limit(0).select(
-        "*",
-        F.lit(0).cast("bigint").alias("fila"),
-        F.lit(page).alias("pagina"),
-        F.lit(pages).alias("paginas"),
-        F.lit(total).cast("bigint").alias("total"),
-    )
-
-
-def _reversed(df: DataFrame, column: str, descending: bool, unique: Sequence[str]) -> list[Column]:
-    key = sort_key(df, column)
-    first = key.asc_nulls_first() if descending else key.desc_nulls_last()
-    return [first, *[F.col(f"`{c}`").desc() for c in unique if c != column]]
-
-
-def _range_holding(df: DataFrame, order: list[Column], start: int, end: int) -> tuple[DataFrame, int]:
-    """Rows of the key ranges that hold places start..end, and how many of them come before start."""
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_rango", F.spark_partition_id()))
-    counts = ranged.groupBy("_rango").count().orderBy("_rango").collect()  # one row per range
-    before, held, skip = 0, [], start
-    for row in counts:
-        if before < end and before + row["count"] > start:
-            if not held:
-                skip = start - before
-            held.append(row["_rango"])
-        before += row["count"]
-    return ranged.where(F.col("_rango").isin(held)).drop("_rango"), skip
+    ).orderBy("fila")
 
 
 def json_records(df: DataFrame, name: str = "registro") -> DataFrame:

@@ -15,6 +15,8 @@ _SOURCES = {
     "bajas_sistema": (fx.BAJAS_SISTEMA, "events"),
     "bajas": (fx.BAJAS, "events"),
     "respuestas": (fx.RESPUESTAS, "events"),
+    "contestaciones": (fx.REPLIES, "events"),
+    "fechas": (fx.DATE_TEXTS, "orders"),
     "colaboradores": (fx.COLABORADORES_ACTIVOS, "customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "catalogo": (fx.CATALOGO_DOCUMENTOS, "(SELECT DISTINCT l_linenumber FROM lineitem) AS l"),
     "archivos": (fx.ARCHIVOS_EXPEDIENTES, "lineitem JOIN orders ON l_orderkey = o_orderkey"),
@@ -24,7 +26,14 @@ _CTES = {
     name: f"{name} AS (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in table.items()) + f" FROM {source})"
     for name, (table, source) in _SOURCES.items()
 }
-_CTES["snapshot"] = f"snapshot AS (SELECT * FROM (VALUES {fx.SNAPSHOT_ROWS}) AS s(n_vacantes, semana_iso, anio))"
+_CTES["snapshot"] = (
+    "snapshot AS (SELECT COUNT(*) AS n_vacantes, week(o_orderdate) AS semana_iso, year(o_orderdate) AS anio FROM orders GROUP BY 2, 3)"
+)
+_LONG_KEYS = "importacion AS (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in fx.IMPORT_LONG_KEYS.items()) + " FROM orders)"
+# Rows of a drop folder are numbered in the order in which they were written.
+_NUMBERED = _CTES["importacion"].replace(
+    "importacion AS (SELECT", "importacion AS (SELECT * REPLACE (row_number() OVER (ORDER BY row_idx) - 1 AS row_idx) FROM (SELECT", 1
+) + ")"
 
 _AS_OF = "DATE '2001-12-31'"
 _HIRES = "CAST(contratados_alta AS BIGINT)"
@@ -48,6 +57,11 @@ _DAYS = (
     f"CASE WHEN fecha_autorizacion = DATE '1900-01-01' THEN 1 "
     f"ELSE CAST(date_diff('day', {_START}, {_END}) AS INT) END"
 )
+_DAYS_TZ = (
+    "CASE WHEN fecha_autorizacion = DATE '1900-01-01' THEN 1 ELSE CAST(floor(("
+    f"epoch(CAST({_END} AS TIMESTAMP) AT TIME ZONE 'America/Mexico_City') - "
+    f"epoch(CAST({_START} AS TIMESTAMP) AT TIME ZONE 'America/Mexico_City')) / 86400) AS INT) END"
+)
 _MASKED = "CASE WHEN confidencial = 'SI' THEN 'VACANTE' ELSE {0} END"
 _WORDS = "string_split_regex(upper(trim({0})), '\\s+')"
 _LISTED = "list_filter(" + _WORDS + ", lambda w: w IN ('DIEGO', 'YULIANA', 'LETICIA', 'ELENA'))[1]"
@@ -127,15 +141,27 @@ def _openings(key: str, name: str) -> str:
     )
 
 
-def _days_by(column: str, where: str) -> str:
+def _days_by(column: str, where: str, days: str = _DAYS) -> str:
     return _sql(
-        f", d AS (SELECT {column}, {_DAYS} AS dias FROM vacantes WHERE {_HIRED} > 0 AND {where}) "
+        f", d AS (SELECT {column}, {days} AS dias FROM vacantes WHERE {_HIRED} > 0 AND {where}) "
         f"SELECT {column}, AVG(dias) AS dias_promedio, round_even(AVG(dias), 0) AS dias FROM d "
         f"WHERE {column} IS NOT NULL GROUP BY 1",
         "vacantes",
     )
 
 
+def _pivot_openings(days: str) -> str:
+    return _sql(
+        f", d AS (SELECT id_sistema, empresa_vacante, {_MASKED.format('puesto_vacante')} AS puesto_vacante, "
+        f"{_OPENINGS} AS n, {days} AS dias FROM vacantes WHERE {_OPEN} AND {_AUTHORISED_OPENINGS}) "
+        "SELECT id_sistema, empresa_vacante, puesto_vacante, CAST(SUM(n) AS BIGINT) AS vacantes, "
+        "AVG(dias) AS dias_promedio, CAST(3 - GROUPING(id_sistema) - GROUPING(empresa_vacante) "
+        "- GROUPING(puesto_vacante) AS INT) AS nivel, AVG(dias) > 15 AS cobertura_larga "
+        "FROM d GROUP BY ROLLUP (id_sistema, empresa_vacante, puesto_vacante)",
+        "vacantes",
+    )
+
+
 def _sla(where: str, body: str) -> str:
     return _sql(
         f", s AS (SELECT * FROM (SELECT *, {_DAYS} AS dias FROM vacantes WHERE {_HIRED} > 0 AND {where}) "
@@ -183,11 +209,15 @@ def _cell(header: str) -> str:
 
 
 def _whole(header: str) -> str:
-    return f"CAST(trunc(TRY_CAST({_cell(header)} AS DOUBLE)) AS BIGINT)"
+    plain = f"TRY_CAST(split_part({_cell(header)}, '.', 1) AS BIGINT)"
+    return (
+        f"CASE WHEN regexp_full_match({_cell(header)}, '[-+]?[0-9]+([.][0-9]*)?') THEN {plain} "
+        f"ELSE TRY_CAST(trunc(TRY_CAST({_cell(header)} AS DOUBLE)) AS BIGINT) END"
+    )
 
 
 def _bad(header: str) -> str:
-    return f"({_cell(header)} IS NOT NULL AND TRY_CAST({_cell(header)} AS DOUBLE) IS NULL)"
+    return f"({_cell(header)} IS NOT NULL AND ({_whole(header)}) IS NULL)"
 
 
 def _date(header: str) -> str:
@@ -272,13 +302,13 @@ def _import_upsert() -> str:
 def _import_master() -> str:
     return _sql(
         f", {_MATCHED}, cambios AS (SELECT v.id_registro, m.* FROM casadas m JOIN vacantes v ON v.id = m.id_vacante) "
-        "SELECT r.id, r.tipo_registro, "
+        "SELECT r.id, r.tipo_registro, strftime(r.fecha_creacion, '%Y-%m-%d') AS fecha_creacion, r.ultima_actualizacion, "
         "CASE WHEN c.clave IS NULL THEN r.puesto ELSE c.puesto_vacante END AS puesto, "
         "CASE WHEN c.clave IS NULL THEN r.empresa ELSE c.empresa_vacante END AS empresa, "
         "CASE WHEN c.clave IS NULL THEN r.plaza ELSE c.plaza_vacante END AS plaza, "
         "CASE WHEN c.clave IS NULL THEN r.area ELSE c.area END AS area "
         "FROM registros_rh r LEFT JOIN cambios c ON c.id_registro = r.id UNION ALL "
-        "SELECT (SELECT MAX(id) FROM registros_rh) + 1 + primera, 'Vacante', puesto_vacante, empresa_vacante, "
+        "SELECT (SELECT MAX(id) FROM registros_rh) + 1 + primera, 'Vacante', '2001-12-31', NULL, puesto_vacante, empresa_vacante, "
         "plaza_vacante, area FROM casadas WHERE id_vacante IS NULL",
         "vacantes", "registros_rh", "importacion",
     )
@@ -450,15 +480,9 @@ def oracle_sql() -> dict[str, str]:
             f"fase_proceso FROM vacantes WHERE {_OPEN} AND {_AUTHORISED_OPENINGS}",
             "vacantes",
         ),
-        "pivot_openings": _sql(
-            f", d AS (SELECT id_sistema, empresa_vacante, {_MASKED.format('puesto_vacante')} AS puesto_vacante, "
-            f"{_OPENINGS} AS n, {_DAYS} AS dias FROM vacantes WHERE {_OPEN} AND {_AUTHORISED_OPENINGS}) "
-            "SELECT id_sistema, empresa_vacante, puesto_vacante, CAST(SUM(n) AS BIGINT) AS vacantes, "
-            "AVG(dias) AS dias_promedio, CAST(3 - GROUPING(id_sistema) - GROUPING(empresa_vacante) "
-            "- GROUPING(puesto_vacante) AS INT) AS nivel, AVG(dias) > 15 AS cobertura_larga "
-            "FROM d GROUP BY ROLLUP (id_sistema, empresa_vacante, puesto_vacante)",
-            "vacantes",
-        ),
+        "pivot_openings": _pivot_openings(_DAYS),
+        "pivot_openings_tz": _pivot_openings(_DAYS_TZ),
+        "pivot_export": _pivot_openings(_DAYS),
         "stage_funnel": _sql(
             f"SELECT fase_proceso, COUNT(*) AS cantidad FROM vacantes WHERE {_OPEN} AND fase_proceso <> 'CONTRATADO' "
             "AND (estatus_solicitud IS NULL OR estatus_solicitud NOT IN ('PENDIENTE', 'CANCELADO', 'PAUSADO')) "
@@ -466,6 +490,7 @@ def oracle_sql() -> dict[str, str]:
             "vacantes",
         ),
         "days_by_site": _days_by("plaza_vacante", "TRUE"),
+        "days_by_site_tz": _days_by("plaza_vacante", "TRUE", _DAYS_TZ),
         "days_by_position": _days_by("puesto_vacante", f"fecha_cobertura {_IN_1998}"),
         "days_summary": _sql(
             f", d AS (SELECT plaza_vacante, puesto_vacante, {_DAYS} AS dias FROM vacantes WHERE {_HIRED} > 0), "
@@ -613,6 +638,14 @@ def oracle_sql() -> dict[str, str]:
             + " FROM colaboradores p WHERE p.activo",
             "colaboradores", "catalogo", "archivos",
         ),
+        "file_matrix_long": _sql(
+            f", {_DELIVERED} SELECT p.id_colaborador, p.nombre_completo AS colaborador, p.empresa, p.plaza, p.departamento, "
+            "p.puesto, CASE WHEN p.id_colaborador IN (SELECT id_colaborador FROM c) THEN 'COMPLETO' ELSE 'INCOMPLETO' END "
+            "AS estatus, d.id AS id_documento, d.nombre_documento AS documento, "
+            "(p.id_colaborador, d.id) IN (SELECT (id_colaborador, id_documento) FROM e) AS entregado "
+            "FROM colaboradores p, (SELECT * FROM catalogo WHERE requerido) d WHERE p.activo",
+            "colaboradores", "catalogo", "archivos",
+        ),
         "documents_per_person": _sql(f", {_DELIVERED} SELECT * FROM n", "catalogo", "archivos"),
         "incomplete_files": _sql(
             f", {_DELIVERED} SELECT id_colaborador, nombre_completo FROM colaboradores WHERE activo "
@@ -637,6 +670,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "grid_page": _grid("lower(COALESCE(puesto_vacante, '')) DESC, id", "LEAST(3, paginas)"),
         "grid_last_page": _grid("lower(COALESCE(puesto_vacante, '')), id", "paginas"),
+        "grid_middle_page": _grid("lower(COALESCE(puesto_vacante, '')), id", "LEAST(12, paginas)"),
         "listing_hires": _sql(f"SELECT {_titles(listings.HIRES)} FROM altas", "altas"),
         "listing_leavers": _leavers("fecha_baja >= DATE '2024-01-01'"),
         "listing_leavers_range": _leavers("fecha_baja BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'"),
@@ -657,7 +691,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "catalog_positions": _sql("SELECT DISTINCT trim(puesto_alta) AS puesto_alta FROM altas WHERE trim(puesto_alta) <> ''", "altas"),
         "chat_last_n": (
-            "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r "
+            "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r "
             "FROM conversations) WHERE r <= 10"
         ),
         "json_payload": _sql(
@@ -670,11 +704,23 @@ def oracle_sql() -> dict[str, str]:
             "json_extract_string(contenido, '$.chart') AS grafica FROM k",
             "respuestas",
         ),
+        "json_replies": _sql(
+            ", j AS (SELECT *, id % 9 AS k, "
+            "regexp_extract(texto, '(?s)\\{.*\\}') AS cuerpo FROM contestaciones), "
+            "c AS (SELECT *, CASE WHEN k IN (4, 5, 6) THEN CASE WHEN k = 5 THEN CAST(json_extract(texto, '$[0]') AS STRING) ELSE cuerpo END "
+            "WHEN k = 8 THEN json_extract_string(texto, '$.output') END AS contenido FROM j) "
+            "SELECT id, texto, contenido, CASE WHEN contenido IS NULL THEN texto "
+            "WHEN k IN (4, 5, 6) THEN json_extract_string(contenido, '$.output') "
+            "ELSE COALESCE(json_extract_string(contenido, '$.output'), 'He procesado tu solicitud.') END AS respuesta, "
+            "json_extract_string(contenido, '$.chart') AS grafica FROM c",
+            "contestaciones",
+        ),
         "append_hires": _appended("altas", "puesto_alta", {
             "puesto_alta": f"upper(trim({_typed('puesto_alta')}))",
         }, fx.ALTAS),
         "append_hires_master": _sql(
-            "SELECT (SELECT MAX(id) FROM registros_rh) + 1 + id AS id, 'Alta' AS tipo_registro, "
+            "SELECT (SELECT MAX(id) FROM registros_rh) + 1 + id AS id, 'Alta' AS tipo_registro, '2001-12-31' AS fecha_creacion, "
+            "CAST(NULL AS STRING) AS ultima_actualizacion, "
             f"upper(trim({_typed('puesto_alta')})) AS puesto, trim(empresa_alta) AS empresa, trim(plaza_alta) AS plaza, "
             f"trim(area_alta) AS area FROM altas WHERE trim({_typed('puesto_alta')}) <> ''",
             "altas", "registros_rh",
@@ -682,6 +728,16 @@ def oracle_sql() -> dict[str, str]:
         "append_hires_rejects": _sql(
             "SELECT id AS row_idx, 'puesto_alta es obligatorio' AS motivo FROM altas WHERE id % 29 = 0", "altas"
         ),
+        "append_master": _sql(
+            "SELECT (SELECT MAX(id) FROM registros_rh) + 1 + id - 2000000 AS id, tipo_registro, '2001-12-31' AS fecha_creacion, "
+            "upper(trim(puesto)) AS puesto, trim(empresa) AS empresa, trim(plaza) AS plaza, trim(area) AS area, "
+            "CAST(NULL AS STRING) AS ultima_actualizacion FROM registros_rh WHERE id % 5 <> 0 AND id % 7 <> 0",
+            "registros_rh",
+        ),
+        "append_master_rejects": _sql(
+            "SELECT id - 2000000 AS row_idx, 'tipo_registro inválido' AS motivo FROM registros_rh WHERE id % 5 = 0 OR id % 7 = 0",
+            "registros_rh",
+        ),
         "append_leavers": _appended("bajas", "puesto_baja", {
             "puesto_baja": _FOLDED.format(f"upper(trim({_typed('puesto_baja')}))"),
             "motivo_baja": _FOLDED.format("upper(trim(motivo_baja))"),
@@ -713,6 +769,8 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN fase_proceso = 'CONTRATADO' THEN upper(trim(puesto_vacante)) ELSE puesto_vacante END AS puesto_vacante, "
             "CASE WHEN fase_proceso = 'CONTRATADO' THEN CASE WHEN vacantes_solicitadas > 1 THEN 'SEGUN PLAN' END "
             "ELSE comentarios_vacante END AS comentarios_vacante, "
+            "CASE WHEN fase_proceso = 'CONTRATADO' AND id % 5 = 0 THEN NULL ELSE vacantes_solicitadas END AS vacantes_solicitadas, "
+            "CASE WHEN fase_proceso = 'CONTRATADO' AND id % 3 = 0 THEN NULL ELSE vacantes_contratados END AS vacantes_contratados, "
             "CASE WHEN fase_proceso = 'CONTRATADO' THEN NULL ELSE fecha_avance END AS fecha_avance) FROM vacantes",
             "vacantes",
         ),
@@ -733,9 +791,24 @@ def oracle_sql() -> dict[str, str]:
             f", {_MATCHED} SELECT CAST(SUM(CASE WHEN id_vacante IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nuevos, "
             "CAST(SUM(CASE WHEN id_vacante IS NULL THEN filas - 1 ELSE filas END) AS BIGINT) AS actualizados, "
             "(SELECT COUNT(*) FROM limpia WHERE motivo IS NOT NULL) AS fallidos, "
-            "(SELECT COUNT(*) FROM validas) AS procesados FROM casadas",
+            "(SELECT COUNT(*) FROM validas) AS procesados, "
+            "(SELECT GREATEST(COUNT(*) - 10, 0) FROM limpia WHERE motivo IS NOT NULL) AS errores_no_mostrados FROM casadas",
             "vacantes", "importacion",
         ),
+        "import_long_keys": _sql(f", {_CLEANSED} SELECT row_idx, id_sistema, motivo FROM limpia", "importacion").replace(
+            _CTES["importacion"], _LONG_KEYS
+        ),
+        "import_long_keys_upsert": _import_upsert().replace(_CTES["importacion"], _LONG_KEYS),
+        "drop_folder_import": _import_upsert().replace(_CTES["importacion"], _NUMBERED),
+        "import_dates": _sql("SELECT id, esperada AS fecha FROM fechas", "fechas"),
+        "strict_dates": _sql(
+            "SELECT id, CASE WHEN id % 15 = 0 THEN esperada END AS estricta, esperada AS leida, CAST(esperada AS STRING) AS iso FROM fechas",
+            "fechas",
+        ),
+        "weeks_in_years": _sql(
+            "SELECT DISTINCT CAST(year(fecha_alta) AS INT) AS anio, CAST(week(make_date(year(fecha_alta), 12, 28)) AS INT) AS semanas FROM altas", "altas"
+        ),
+        "catalog_check": _sql(_outside_catalogs(), "vacantes"),
         "import_rejects": _sql(
             f", {_CLEANSED} SELECT row_idx, motivo FROM limpia WHERE motivo IS NOT NULL", "importacion"
         ),
@@ -751,13 +824,24 @@ def oracle_sql() -> dict[str, str]:
             "WHEN 'LETICIA' THEN 'LETY' WHEN 'YULIANA' THEN 'YULI' ELSE p END AS primer_nombre, "
             f"{_LISTED.format('responsable_alta')} AS ejecutivo, "
             f"COALESCE({_HELEN.format('responsable_alta')}, FALSE) AS es_helen, "
-            "CONCAT('AREA Ñ ', empresa_alta) AS empresa_plana, "
+            f"{_FOLDED.format('empresa_alta')} AS empresa_plana, "
             "COALESCE(NULLIF(trim(responsable_alta), ''), 'SIN ESPECIFICAR') AS responsable FROM n",
             "altas",
         ),
     }
 
 
+def _outside_catalogs() -> str:
+    def odd(column: str, allowed: tuple[str, ...]) -> str:
+        listed = ", ".join(f"'{v}'" for v in allowed)
+        return (
+            f"SELECT '{column}' AS columna, trim({column}) AS valor, COUNT(*) AS filas FROM vacantes "
+            f"WHERE trim({column}) <> '' AND trim({column}) NOT IN ({listed}) GROUP BY 2"
+        )
+
+    return " UNION ALL ".join(odd(c, allowed) for c, allowed in catalogs.VACANCY_DOMAINS.items())
+
+
 def _overview() -> str:
     return _sql(
         ", q AS (SELECT * FROM vacantes WHERE year(fecha_autorizacion) = 1998 "

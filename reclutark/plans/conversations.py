@@ -19,15 +19,17 @@ def last_messages(messages: DataFrame, kept: int = 10, by: str = "conv_id", orde
 def payloads(replies: DataFrame, column: str = "texto", default: str = "He procesado tu solicitud.") -> DataFrame:
     """Replies with the JSON object they carry (NULL if none), the answer to show and the chart, if any.
 
-    An object nested as text in the ``output`` field is taken instead of the outer one; of a list the first
-    element counts.  One projection per step, so that no text is searched or parsed twice.
+    A text that is not JSON from end to end carries nothing.  An object nested as text in the ``output`` field is taken instead
+    of the outer one; an ``output`` that is an object itself is not unpacked.  Of a list the first element counts.  One projection
+    per step, so that no text is searched or parsed twice.
     """
     carried = (
         replies.withColumn("_cuerpo", text.json_body(text.first_of_list(F.col(column))))
-        .withColumn("_externo", text.valid_json(F.col("_cuerpo")))
-        .withColumn("_interno", text.json_body(F.get_json_object("_externo", "$.output")))
-        .withColumn("contenido", F.coalesce(text.valid_json(F.col("_interno")), F.col("_externo")))
-        .drop("_cuerpo", "_externo", "_interno")
+        .withColumn("_valor", text.parsed_json(F.col("_cuerpo")))
+        .withColumn("_interno", text.json_body(text.text_of(F.col("_valor"), "$.output")))
+        .withColumn("_dentro", text.parsed_json(F.col("_interno")))
+        .withColumn("contenido", F.when(F.col("_dentro").isNotNull(), F.col("_interno")).when(F.col("_valor").isNotNull(), F.col("_cuerpo")))
+        .drop("_cuerpo", "_valor", "_interno", "_dentro")
     )
     answer = F.coalesce(F.get_json_object("contenido", "$.output"), F.lit(default))
     return carried.withColumns(

@@ -4,95 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reclutark.functions.predicates import is_true
 
 COMPLETE, INCOMPLETE = "COMPLETO", "INCOMPLETO"
 
 
-# Most required documents that are worked out as one column each; beyond it the figures use joins.
-MAX_COLUMNS = 500
-
-
-def _required(catalog: DataFrame) -> DataFrame:
-    return catalog.where(is_true(F.col("requerido")))
-
-
-def required_documents(catalog: DataFrame, most: int = MAX_COLUMNS) -> list[tuple[int, str]] | None:
-    """Ids and names of the required documents, or None if there are too many to be columns."""
-    rows = _required(catalog).select("id", "nombre_documento").orderBy("id").limit(most + 1).collect()
-    return None if len(rows) > most else [(row["id"], row["nombre_documento"]) for row in rows]
+def required_documents(catalog: DataFrame) -> DataFrame:
+    """Ids and names of the required documents, each id once."""
+    return catalog.where(is_true(F.col("requerido"))).groupBy("id").agg(F.min("nombre_documento").alias("nombre_documento"))
 
 
 def active_people(people: DataFrame) -> DataFrame:
     return people.where(is_true(F.col("activo")))
 
 
-def delivered(files: DataFrame, documents: Sequence[int]) -> DataFrame:
-    """Distinct (person, required document) pairs that were delivered."""
-    return (
-        files.where(is_true(F.col("estatus_pdf")) & F.col("id_documento").isin(list(documents)))
-        .select("id_colaborador", "id_documento")
-        .dropDuplicates()
-    )
-
+def delivered(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Distinct (person, required document) pairs that were delivered.
 
-def _flags(files: DataFrame, documents: Sequence[int]) -> DataFrame:
-    """One row per person with a flag per required document.
-
-    One aggregation that combines before its shuffle: however many file rows a person has, each map task
-    sends one.
+    The distinct combines before its shuffle: however many file rows a person has, each map task sends a pair once.
     """
-    rows = files.where(is_true(F.col("estatus_pdf")) & F.col("id_documento").isin(list(documents)))
-    if not documents:
-        return rows.select("id_colaborador")
-    return rows.groupBy("id_colaborador").agg(
-        *[F.bool_or(F.col("id_documento") == doc).alias(f"_doc_{doc}") for doc in documents]
-    )
-
+    ids = required_documents(catalog).select(F.col("id").alias("id_documento"))
+    given = files.where(is_true(F.col("estatus_pdf"))).select("id_colaborador", "id_documento")
+    return given.join(ids, "id_documento", "left_semi").select("id_colaborador", "id_documento").distinct()
 
-def delivered_counts(files: DataFrame, documents: Sequence[int]) -> DataFrame:
-    """Distinct required documents delivered per person, exact, from the flags: one shuffle."""
-    count = sum((F.col(f"_doc_{doc}").cast("bigint") for doc in documents), F.lit(0).cast("bigint"))
-    return _flags(files, documents).select("id_colaborador", count.alias("documentos"))
 
+def delivered_counts(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Required documents delivered per person, exact."""
+    return delivered(files, catalog).groupBy("id_colaborador").agg(F.count("*").alias("documentos"))
 
-def _with_status(people: DataFrame, files: DataFrame, documents: Sequence[int]) -> DataFrame:
-    """Active people with a flag per document and whether the file is complete."""
-    active = active_people(people)
-    if not documents:
-        return active.withColumn("_completo", F.lit(False))
-    flags = _flags(files, documents)
-    joined = active.join(flags, "id_colaborador", "left")
-    filled = {f"_doc_{doc}": is_true(F.col(f"_doc_{doc}")) for doc in documents}
-    complete = F.lit(True)
-    for doc in documents:
-        complete = complete & F.col(f"_doc_{doc}")
-    return joined.withColumns(filled).withColumn("_completo", complete)
 
+def complete_people(catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """People with every required document delivered; nobody if none is required."""
+    wanted = required_documents(catalog).agg(F.count("*").alias("n")).scalar()
+    return delivered_counts(files, catalog).where(F.col("documentos") >= wanted).select("id_colaborador")
 
-def complete_people(catalog: DataFrame, files: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
-    """People with every required document delivered; nobody if none is required.
 
-    Up to ``most`` required documents by flags, one shuffle; beyond it by a semi join and an exact distinct
-    count against the number of required documents.
-    """
-    documents = required_documents(catalog, most)
-    if documents is not None:
-        counts = delivered_counts(files, [doc for doc, _ in documents])
-        enough = (F.col("documentos") >= len(documents)) & F.lit(bool(documents))
-    else:
-        ids = _required(catalog).select(F.col("id").alias("id_documento")).distinct()
-        kept = files.where(is_true(F.col("estatus_pdf"))).join(ids, "id_documento", "left_semi")
-        counts = kept.groupBy("id_colaborador").agg(F.count_distinct("id_documento").alias("documentos"))
-        enough = F.col("documentos") >= _required(catalog).agg(F.count("*").alias("n")).scalar()
-    return counts.where(enough).select("id_colaborador")
-
-
-def completeness(people: DataFrame, catalog: DataFrame, files: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
+def completeness(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
     """Active people, complete and missing files, and the complete share; 0 complete if nothing is required."""
-    marked = complete_people(catalog, files, most).withColumn("_completo", F.lit(True))
+    marked = complete_people(catalog, files).withColumn("_completo", F.lit(True))
     totals = active_people(people).join(marked, "id_colaborador", "left").agg(
         F.count("*").alias("expedientes_totales"), F.count("_completo").alias("expedientes_completos")
     )
@@ -105,31 +56,51 @@ def completeness(people: DataFrame, catalog: DataFrame, files: DataFrame, most:
     )
 
 
-def matrix(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
-    """Active people by required document, with the status of the file, ordered by name.
+PERSON = ("empresa", "plaza", "departamento", "puesto")
+
+
+def _with_documents(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """Active people with the required documents, those they have delivered, and the status of the file.
+
+    Both lists are bounded by the catalog; no person is paired with a document by a join.
+    """
+    required = required_documents(catalog).agg(
+        F.sort_array(F.collect_list(F.struct("id", "nombre_documento"))).alias("documentos")).scalar()
+    has = delivered(files, catalog).groupBy("id_colaborador").agg(F.collect_list("id_documento").alias("_tiene"))
+    rows = active_people(people).join(has, "id_colaborador", "left").withColumn("_documentos", required)
+    wanted = F.size("_documentos")
+    complete = (wanted > 0) & (F.coalesce(F.size("_tiene"), F.lit(0)) >= wanted)
+    return rows.withColumn("estatus", F.when(complete, F.lit(COMPLETE)).otherwise(F.lit(INCOMPLETE)))
+
+
+def _has(document: Column) -> Column:
+    return F.coalesce(F.array_contains("_tiene", document), F.lit(False))
+
+
+def matrix_long(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """Active people by required document, a row for each, with the status of the file; for catalogs of any length."""
+    rows = _with_documents(people, catalog, files).withColumn("_doc", F.explode("_documentos"))
+    return rows.select(
+        "id_colaborador", F.col("nombre_completo").alias("colaborador"), *PERSON, "estatus",
+        F.col("_doc.id").alias("id_documento"), F.col("_doc.nombre_documento").alias("documento"), _has(F.col("_doc.id")).alias("entregado"),
+    )
+
+
+def matrix(people: DataFrame, catalog: DataFrame, files: DataFrame, documents: Sequence[tuple[int, str]]) -> DataFrame:
+    """The matrix as a table with a column for each of the ``documents`` (id, name) that the caller shows, ordered by name.
 
-    Columns are labelled with the document name; a name used twice gets its id as suffix.
+    The status still counts all required documents.  A name used twice gets its id as suffix.
     """
-    documents = required_documents(catalog)
-    if documents is None:
-        raise ValueError(f"more than {MAX_COLUMNS} required documents cannot be columns of one table")
     names = [name for _, name in documents]
     labels = [name if names.count(name) == 1 else f"{name} ({doc})" for doc, name in documents]
-    rows = _with_status(people, files, [doc for doc, _ in documents])
-    status = F.when(F.col("_completo"), F.lit(COMPLETE)).otherwise(F.lit(INCOMPLETE))
-    return rows.orderBy("nombre_completo", "id_colaborador").select(
-        F.col("nombre_completo").alias("colaborador"),
-        "empresa",
-        "plaza",
-        "departamento",
-        "puesto",
-        status.alias("estatus"),
-        *[F.col(f"_doc_{doc}").alias(label) for (doc, _), label in zip(documents, labels)],
+    return _with_documents(people, catalog, files).orderBy("nombre_completo", "id_colaborador").select(
+        F.col("nombre_completo").alias("colaborador"), *PERSON, "estatus",
+        *[_has(F.lit(doc).cast("bigint")).alias(label) for (doc, _), label in zip(documents, labels)],
     )
 
 
-def incomplete_people(people: DataFrame, catalog: DataFrame, files: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
+def incomplete_people(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
     """Active people whose file is not complete, by an anti join on the complete ones."""
-    return active_people(people).join(complete_people(catalog, files, most), "id_colaborador", "left_anti").select(
+    return active_people(people).join(complete_people(catalog, files), "id_colaborador", "left_anti").select(
         "id_colaborador", "nombre_completo"
     )

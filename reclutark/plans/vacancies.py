@@ -124,12 +124,14 @@ def detail(vacancies: DataFrame, as_of: dt.date | None = None, tz_exact: bool =
     ).orderBy(F.desc_nulls_last("dias_cobertura"), "id_sistema")
 
 
-def pivot_openings(vacancies: DataFrame, as_of: dt.date | None = None, limit: int = catalogs.LONG_FILL_DAYS) -> DataFrame:
+def pivot_openings(
+    vacancies: DataFrame, as_of: dt.date | None = None, limit: int = catalogs.LONG_FILL_DAYS, tz_exact: bool = False
+) -> DataFrame:
     """Pivot of open vacancies by id, company and position: openings, mean days, long-fill flag, and totals.
 
     ``nivel`` counts the keys of a row: 3 for a cell, 2 and 1 for subtotals, 0 for the grand total.
     """
-    rows = with_days(_with_authorised_openings(vacancies), as_of, name="dias_cobertura").withColumn(
+    rows = with_days(_with_authorised_openings(vacancies), as_of, tz_exact, "dias_cobertura").withColumn(
         "puesto_vacante", text.mask_confidential(F.col("puesto_vacante"), F.col("confidencial"))
     )
     totals = pivot.totals_rollup(
@@ -146,26 +148,28 @@ def stage_funnel(vacancies: DataFrame) -> DataFrame:
     return rows.groupBy("fase_proceso").agg(F.count("*").alias("cantidad")).orderBy("cantidad", "fase_proceso")
 
 
-def _hired_days(vacancies: DataFrame, as_of: dt.date | None) -> DataFrame:
-    return with_days(vacancies.where(lenient_int(F.col("vacantes_contratados")) > 0), as_of)
+def _hired_days(vacancies: DataFrame, as_of: dt.date | None, tz_exact: bool) -> DataFrame:
+    return with_days(vacancies.where(lenient_int(F.col("vacantes_contratados")) > 0), as_of, tz_exact)
 
 
-def days_by(vacancies: DataFrame, column: str, as_of: dt.date | None = None) -> DataFrame:
+def days_by(vacancies: DataFrame, column: str, as_of: dt.date | None = None, tz_exact: bool = False) -> DataFrame:
     """Mean days of coverage of hired vacancies per site or position, longest first, with the rounded mean."""
     means = (
-        _hired_days(vacancies, as_of).where(F.col(column).isNotNull())
+        _hired_days(vacancies, as_of, tz_exact).where(F.col(column).isNotNull())
         .groupBy(column).agg(F.avg("dias").alias("dias_promedio"))
     )
     return means.withColumn("dias", F.bround("dias_promedio", 0)).orderBy(F.desc_nulls_last("dias_promedio"), column)
 
 
-def days_summary(vacancies: DataFrame, as_of: dt.date | None = None, goal: float = catalogs.SITE_GOAL_DAYS) -> DataFrame:
+def days_summary(
+    vacancies: DataFrame, as_of: dt.date | None = None, goal: float = catalogs.SITE_GOAL_DAYS, tz_exact: bool = False
+) -> DataFrame:
     """Overall mean against the goal, and the site and position with the longest mean; one row.
 
     One pass over the rows: sums and counts per (site, position), from which all means follow.
     """
     site, position = "plaza_vacante", "puesto_vacante"
-    cells = _hired_days(vacancies, as_of).groupBy(site, position).agg(
+    cells = _hired_days(vacancies, as_of, tz_exact).groupBy(site, position).agg(
         F.sum("dias").alias("_suma"), F.count("dias").alias("_n")
     )
     means = cells.groupingSets([[F.col(site)], [F.col(position)], []], site, position).agg(

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.functions import calendar, measures, text
+from reclutark import catalogs
+from reclutark.functions import calendar, coerce, measures, text
 from reclutark.functions.calendar import MONTH, QUARTER, RANGE, WEEK, YEAR, Period
 from reclutark.operators import series, tableview
 from reclutark.plans import annual, conversations, files, hires, listings, overview, sla, vacancies
+from reclutark.session import scratch_folder
 from reclutark.sources import fixtures as fx, ingest, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.date(2001, 12, 31)
+AT = dt.datetime(2001, 12, 31, 12)
 QUARTER_2_1998 = Period(QUARTER, year=1998, quarter=2)
 YEAR_1998 = Period(YEAR, year=1998)
 MARCH_1998 = Period(MONTH, year=1998, month=3)
@@ -152,7 +156,7 @@ def overview_kpis(spark, d):
         fx.altas(spark, d, "fecha_alta", "contratados_alta", "responsable_alta"),
         fx.bajas_sistema(spark, d, "id", "fecha_baja"),
         fx.vacantes(spark, d, *OPEN_COLUMNS, "responsable_vacante"),
-        fx.snapshot_vacantes_semanales(spark),
+        fx.snapshot_vacantes_semanales(spark, d),
         YEAR_1998,
         "LETY",
     )
@@ -241,6 +245,11 @@ def pivot_openings(spark, d):
     return vacancies.pivot_openings(fx.vacantes(spark, d), AS_OF)
 
 
+@query
+def pivot_openings_tz(spark, d):
+    return vacancies.pivot_openings(fx.vacantes(spark, d), AS_OF, tz_exact=True)
+
+
 @query
 def stage_funnel(spark, d):
     return vacancies.stage_funnel(fx.vacantes(spark, d, *OPEN_COLUMNS))
@@ -252,6 +261,12 @@ def days_by_site(spark, d):
     return vacancies.days_by(vacancies.closed_in(rows), "plaza_vacante", AS_OF)
 
 
+@query
+def days_by_site_tz(spark, d):
+    rows = fx.vacantes(spark, d, *D1_COLUMNS, "plaza_vacante", "responsable_vacante")
+    return vacancies.days_by(vacancies.closed_in(rows), "plaza_vacante", AS_OF, tz_exact=True)
+
+
 @query
 def days_by_position(spark, d):
     rows = fx.vacantes(spark, d, *D1_COLUMNS, "puesto_vacante", "responsable_vacante")
@@ -373,15 +388,20 @@ def file_kpis(spark, d):
 
 @query
 def file_matrix(spark, d):
-    return files.matrix(
-        fx.colaboradores_activos(spark, d), fx.catalogo_documentos(spark, d), fx.archivos_expedientes(spark, d)
-    )
+    shown = [(1, "DOC_1"), (2, "DOC_2"), (3, "DOC_3")]
+    people, catalog = fx.colaboradores_activos(spark, d), fx.catalogo_documentos(spark, d)
+    return files.matrix(people, catalog, fx.archivos_expedientes(spark, d), shown)
+
+
+@query
+def file_matrix_long(spark, d):
+    people, catalog = fx.colaboradores_activos(spark, d), fx.catalogo_documentos(spark, d)
+    return files.matrix_long(people, catalog, fx.archivos_expedientes(spark, d))
 
 
 @query
 def documents_per_person(spark, d):
-    documents = [doc for doc, _ in files.required_documents(fx.catalogo_documentos(spark, d))]
-    return files.delivered_counts(fx.archivos_expedientes(spark, d), documents)
+    return files.delivered_counts(fx.archivos_expedientes(spark, d), fx.catalogo_documentos(spark, d))
 
 
 @query
@@ -419,6 +439,11 @@ def grid_page(spark, d):
     return _grid(spark, d, 3, True)
 
 
+@query
+def grid_middle_page(spark, d):
+    return _grid(spark, d, 12, False)
+
+
 @query
 def grid_last_page(spark, d):
     return _grid(spark, d, 1_000_000_000, False)
@@ -457,7 +482,12 @@ def catalog_positions(spark, d):
 
 @query
 def chat_last_n(spark, d):
-    return conversations.last_messages(fx.conversations(spark, d).select("conv_id", "turn", "role"))
+    return conversations.last_messages(fx.conversations(spark, d).select("conv_id", "turn", "role", "text"))
+
+
+@query
+def json_replies(spark, d):
+    return conversations.payloads(fx.contestaciones(spark, d))
 
 
 @query
@@ -476,7 +506,12 @@ def _incoming(rows: DataFrame, position: str) -> DataFrame:
 
 def _hires_appended(spark, d) -> ingest.Appended:
     stored = fx.altas(spark, d)
-    return ingest.append_hires(_incoming(stored, "puesto_alta"), fx.registros_rh(spark, d), stored)
+    return ingest.append_hires(_incoming(stored, "puesto_alta"), fx.registros_rh(spark, d), stored, AT)
+
+
+def _days(master: DataFrame) -> DataFrame:
+    """Master rows with the day of their stamp as text, which is the same in every time zone of the session."""
+    return master.withColumn("fecha_creacion", coerce.iso_text(F.col("fecha_creacion")))
 
 
 @query
@@ -486,7 +521,23 @@ def append_hires(spark, d):
 
 @query
 def append_hires_master(spark, d):
-    return _hires_appended(spark, d).master.drop("fecha_creacion", "ultima_actualizacion")
+    return _days(_hires_appended(spark, d).master)
+
+
+def _master_appended(spark, d) -> tuple[DataFrame, DataFrame]:
+    kind = F.when(F.col("id") % 5 == 0, F.lit("Otro")).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("tipo_registro"))
+    rows = fx.registros_rh(spark, d).withColumns({"row_idx": F.col("id") - 2_000_000, "tipo_registro": kind})
+    return ingest.append_master(rows.drop("id"), fx.registros_rh(spark, d), AT)
+
+
+@query
+def append_master(spark, d):
+    return _days(_master_appended(spark, d)[0])
+
+
+@query
+def append_master_rejects(spark, d):
+    return _master_appended(spark, d)[1]
 
 
 @query
@@ -534,6 +585,8 @@ def update_vacancies(spark, d):
         {
             "puesto_vacante": F.concat(F.lit(" "), F.lower("puesto_vacante")),
             "comentarios_vacante": F.when(F.col("vacantes_solicitadas") > 1, F.lit(" según plan ")),
+            "vacantes_solicitadas": F.when(F.col("id") % 5 != 0, F.col("vacantes_solicitadas")),
+            "vacantes_contratados": F.when(F.col("id") % 3 != 0, F.col("vacantes_contratados")),
         }
     )
     return ingest.update_vacancies(stored, rows.drop("fecha_avance", "confidencial"))
@@ -559,7 +612,7 @@ def import_cleansed(spark, d):
 
 
 def _imported(spark, d) -> ingest.Imported:
-    return ingest.plan_import(fx.importacion(spark, d), fx.vacantes(spark, d), fx.registros_rh(spark, d))
+    return ingest.plan_import(fx.importacion(spark, d), fx.vacantes(spark, d), fx.registros_rh(spark, d), AT)
 
 
 @query
@@ -569,14 +622,70 @@ def import_upsert(spark, d):
 
 @query
 def import_master(spark, d):
-    return _imported(spark, d).master.drop("fecha_creacion", "ultima_actualizacion")
+    return _days(_imported(spark, d).master)
 
 
 @query
 def import_report(spark, d):
-    # The counts alone need no payload, so the lazy match is pruned to its keys.
-    rows = ingest.cleanse(fx.importacion(spark, d))
-    return ingest.import_report(rows, ingest.match_import(rows, fx.vacantes(spark, d, "id", "id_registro", "id_sistema")))
+    return _imported(spark, d).report
+
+
+@query
+def import_long_keys(spark, d):
+    return ingest.cleanse(fx.claves_largas(spark, d)).select("row_idx", "id_sistema", "motivo")
+
+
+@query
+def import_long_keys_upsert(spark, d):
+    rows = fx.claves_largas(spark, d)
+    return ingest.plan_import(rows, fx.vacantes(spark, d), fx.registros_rh(spark, d), AT).vacancies
+
+
+@query
+def import_dates(spark, d):
+    return fx.fechas(spark, d).select("id", coerce.import_date(F.col("texto")).alias("fecha"))
+
+
+@query
+def strict_dates(spark, d):
+    text_ = F.col("texto")
+    strict = coerce.strict_date(F.when(F.col("id") % 15 == 0, text_))
+    return fx.fechas(spark, d).select(
+        "id", strict.alias("estricta"), coerce.lenient_date(text_).alias("leida"), coerce.iso_text(coerce.lenient_date(text_)).alias("iso")
+    )
+
+
+def _scratch(spark) -> str:
+    """A new folder below the one of ``spark.checkpoint.dir``."""
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def drop_folder_import(spark, d):
+    """Staged rows written as files of a drop folder, read from there and imported."""
+    folder = _scratch(spark)
+    fx.importacion(spark, d).orderBy("row_idx").drop("row_idx").write.option("header", "true").csv(folder)
+    staged = tables.read_drop_folder(spark, folder)
+    return ingest.plan_import(staged, fx.vacantes(spark, d), fx.registros_rh(spark, d), AT).vacancies
+
+
+@query
+def pivot_export(spark, d):
+    """The pivot of openings, exported and read back."""
+    pivot, folder = vacancies.pivot_openings(fx.vacantes(spark, d), AS_OF), _scratch(spark)
+    tables.export_json(pivot, folder)
+    return spark.read.schema(pivot.schema).json(folder)
+
+
+@query
+def weeks_in_years(spark, d):
+    years = fx.altas(spark, d, "fecha_alta").select(F.year("fecha_alta").alias("anio")).distinct()
+    return years.select("anio", calendar.iso_weeks_in_year(F.col("anio")).alias("semanas"))
+
+
+@query
+def catalog_check(spark, d):
+    return tables.outside_catalog(fx.vacantes(spark, d), catalogs.VACANCY_DOMAINS)
 
 
 @query
@@ -605,6 +714,6 @@ def text_rules(spark, d):
         text.first_word_alias(name).alias("primer_nombre"),
         text.first_listed_word(name).alias("ejecutivo"),
         text.any_word_is(name, "HELEN").alias("es_helen"),
-        text.fold_accents(F.concat(F.lit("Área ñ "), F.col("empresa_alta"))).alias("empresa_plana"),
+        text.fold_accents(F.col("empresa_alta")).alias("empresa_plana"),
         text.text_or_default(name).alias("responsable"),
     )

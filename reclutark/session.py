@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # The JVM does not compile methods above 8000 bytes, which wide projections such as the import's exceed.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
@@ -29,19 +31,26 @@ def get_session(app: str = "reclutark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, for what is written between two steps.
 
     A local master without that setting (tests, one machine) gets a scratch folder.  On a cluster a missing
     setting is an error: a folder of one machine would be lost with it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="reclutark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in :func:`scratch_folder`."""
+    context = df.sparkSession.sparkContext
+    folder = scratch_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="reclutark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -188,7 +188,53 @@ RESPUESTAS = {
     ),
 }
 
-SNAPSHOT_ROWS = "(900, 52, 2000), (1000, 29, 2001), (1100, 30, 2001), (1050, 9, 2001)"
+# Staged rows whose keys are long, fractional, in exponent form or beyond a BIGINT.
+IMPORT_LONG_KEYS = IMPORT_STAGING | {
+    "ID": (
+        "CASE o_orderkey % 7 WHEN 0 THEN CAST(9223372036854775807 - o_orderkey AS STRING) WHEN 1 THEN '1.5E+05' "
+        "WHEN 2 THEN CONCAT(CAST(o_orderkey + 1 AS STRING), '.75') "
+        "WHEN 3 THEN CONCAT('9', CAST(9223372036854775807 - o_orderkey AS STRING)) "
+        "WHEN 4 THEN CONCAT(CAST(o_orderkey AS STRING), 'e1') WHEN 5 THEN ' .5 ' ELSE '12e' END"
+    ),
+}
+
+_Y, _M, _D = "CAST(YEAR(o_orderdate) AS STRING)", *(
+    f"LPAD(CAST({part}(o_orderdate) AS STRING), 2, '0')" for part in ("MONTH", "DAY")
+)
+_ENGLISH = (
+    "CASE MONTH(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' "
+    "WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' "
+    "WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END"
+)
+_SHAPES = (
+    (f"CAST({ORDER_DATE} AS STRING)",), (_Y, "'.'", _M, "'.'", _D), (_Y, _M, _D), (_M, "'/'", _D, "'/'", _Y),
+    (_M, "'.'", _D, "'.'", _Y), (_M, "'/'", _D, "'/'", f"SUBSTR({_Y}, 3, 2)"), (_ENGLISH, "' '", _D, "', '", _Y),
+    (_D, "'-'", f"SUBSTR({_ENGLISH}, 1, 3)", "'-'", _Y), (_D, "' '", f"LOWER({_ENGLISH})", "' '", _Y),
+    (_M, "'/'", _D, "'/'", _Y, "' 02:30 PM'"), ("'  '", f"CAST({ORDER_DATE} AS STRING)", "' 11:30:00 AM '"),
+    (_Y, "'/'", _M, "'/'", _D, "'T08:15:00'"), ("'45000'",), ("'15 marzo 2024'",), ("'2024-13-01'",),
+)
+
+# The day of an order as text, in the shapes that spreadsheets hold, and text that is no date.
+DATE_TEXTS = {
+    "id": "o_orderkey",
+    "esperada": f"CASE WHEN o_orderkey % 15 < 12 THEN {ORDER_DATE} END",
+    "texto": "CASE o_orderkey % 15 "
+    + " ".join(f"WHEN {k} THEN CONCAT({', '.join(shape)})" for k, shape in enumerate(_SHAPES))
+    + " END",
+}
+
+# Replies whose JSON is broken, followed by other text, in single quotes, nested as an object, or a list.
+REPLIES = {
+    "id": "event_id",
+    "texto": (
+        """CASE event_id % 9 WHEN 0 THEN CONCAT(props, ' y ', props) WHEN 1 THEN CONCAT('{"output": "x"} fin ', props) """
+        """WHEN 2 THEN CONCAT(props, '}') WHEN 3 THEN REPLACE(props, '"', CHR(39)) """
+        """WHEN 4 THEN CONCAT('{"output": ', props, '}') WHEN 5 THEN CONCAT('[{"output": "', event_type, '"}]') """
+        """WHEN 6 THEN CONCAT('{"output": "', event_type, '", "chart": ', props, '}') """
+        """WHEN 7 THEN CONCAT(props, ', {"b": 2}') """
+        """ELSE CONCAT('{"output": "', REPLACE(props, '"', CONCAT(CHR(92), '"')), '"}') END"""
+    ),
+}
 
 ORDER_TABLES = {"altas": ALTAS, "vacantes": VACANTES, "registros_rh": REGISTROS_RH, "importacion": IMPORT_STAGING}
 EVENT_TABLES = {"bajas_sistema": BAJAS_SISTEMA, "bajas": BAJAS, "respuestas": RESPUESTAS}
@@ -238,6 +284,18 @@ def importacion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(_read(spark, sf_dir, "orders"), IMPORT_STAGING, ())
 
 
+def claves_largas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(_read(spark, sf_dir, "orders"), IMPORT_LONG_KEYS, ())
+
+
+def fechas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(_read(spark, sf_dir, "orders"), DATE_TEXTS, ())
+
+
+def contestaciones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(_read(spark, sf_dir, "events"), REPLIES, ())
+
+
 def bajas_sistema(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return _project(_read(spark, sf_dir, "events"), BAJAS_SISTEMA, columns)
 
@@ -265,8 +323,10 @@ def archivos_expedientes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(lines.join(orders, F.expr("l_orderkey = o_orderkey")), ARCHIVOS_EXPEDIENTES, ())
 
 
-def snapshot_vacantes_semanales(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {SNAPSHOT_ROWS} AS s(n_vacantes, semana_iso, `año`)")
+def snapshot_vacantes_semanales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vacancies of each week: the orders of the week."""
+    week, year = F.weekofyear("o_orderdate").alias("semana_iso"), F.year("o_orderdate").alias("año")
+    return _read(spark, sf_dir, "orders").groupBy(week, year).agg(F.count("*").cast("int").alias("n_vacantes"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,8 +199,8 @@ def edit_leavers(leavers: DataFrame, edits: DataFrame) -> DataFrame:
 def update_vacancies(vacancies: DataFrame, rows: DataFrame) -> DataFrame:
     """Vacancies with whole rows overwritten by id; the confidential mark stays.
 
-    ``rows`` holds each id once.  A column it lacks becomes NULL (the two counts 0); a row without position
-    is left out, as it would be refused.
+    ``rows`` holds each id once.  A column it lacks becomes NULL (the two counts 0, but a NULL count that is given stays NULL); a
+    row without position is left out, as it would be refused.
     """
     given = {c: F.col(c) if c in rows.columns else F.lit(None) for c in (*VACANCY_COLUMNS, "id_registro")}
 
@@ -214,7 +214,7 @@ def update_vacancies(vacancies: DataFrame, rows: DataFrame) -> DataFrame:
         "comentarios_vacante": text.fold_accents(capitals("comentarios_vacante")),
         "tipo_reclutamiento_vacante": capitals("tipo_reclutamiento_vacante"),
         "medio_reclutamiento_vacante": capitals("medio_reclutamiento_vacante"),
-        **{c: F.coalesce(given[c], F.lit(0)) for c in ("vacantes_solicitadas", "vacantes_contratados")},
+        **{c: F.lit(0) for c in ("vacantes_solicitadas", "vacantes_contratados") if c not in rows.columns},
     }
     payload = rows.select("id", *[c.alias(name) for name, c in cells.items()])
     return changes.overlay(vacancies, payload.where(F.col("puesto_vacante").isNotNull()), "id", list(cells))
@@ -245,7 +245,7 @@ def cleanse(staged: DataFrame) -> DataFrame:
     """
     raw = {
         stored: F.col(f"`{header}`") if header in staged.columns else F.lit(None).cast("string")
-        for header, stored in catalogs.IMPORT_COLUMNS.items()
+        for stored, header in catalogs.IMPORT_COLUMNS.items()
     }
     read = {
         name: coerce.import_int(cell) if name in WHOLE_COLUMNS else text.strip(cell) for name, cell in raw.items()
@@ -297,32 +297,28 @@ def _has_key() -> Column:
 def match_import(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     """One row per imported vacancy: its first and last valid row, how many rows it had, and the stored match.
 
-    Rows with a key are combined per key before the shuffle; rows without one (missing or 0) stand for
-    themselves under a key made from their row number, so neither kind gathers in one task.  Of stored
-    duplicates the one with the smallest id matches.
+    Per key three whole numbers are aggregated, which combine before the shuffle; the last row of a key is fetched by its
+    number.  Rows without a key (missing or 0) stand for themselves and go round the aggregate, so neither kind
+    gathers in one task.  Of stored duplicates the one with the smallest id matches.
     """
-
-    def key_text(number: Column, letter: str) -> Column:
-        return F.concat(F.lit(letter), number.cast("string"))
-
-    keyed = F.coalesce(_has_key(), F.lit(False))
-    own_key = F.when(keyed, key_text(F.col("id_sistema"), "k")).otherwise(key_text(F.col("row_idx"), "f"))
-    last = F.max(F.struct("row_idx", F.struct(*VACANCY_COLUMNS, "area").alias("fila"))).alias("_ultima")
     valid = rows.where(F.col("motivo").isNull())
-    per_vacancy = (
-        valid.groupBy(own_key.alias("clave"))
-        .agg(F.min("row_idx").alias("primera"), F.count("*").alias("filas"), last)
-        .select("clave", "primera", "filas", F.col("_ultima.row_idx").alias("ultima"), "_ultima.fila.*")
+    keyed = F.coalesce(_has_key(), F.lit(False))
+    number = F.col("row_idx")
+    per_key = valid.where(keyed).groupBy("id_sistema").agg(
+        F.min(number).alias("primera"), F.max(number).alias("ultima"), F.count("*").alias("filas")
     )
-    stored = (
-        vacancies.where(_has_key())
-        .select("id", "id_registro", "id_sistema")
-        .join(valid.where(_has_key()).select("id_sistema").distinct(), "id_sistema", "left_semi")
-        .groupBy("id_sistema")
-        .agg(F.min(F.struct(F.col("id").alias("id_vacante"), F.col("id_registro").alias("id_maestra"))).alias("_m"))
-        .select(key_text(F.col("id_sistema"), "k").alias("clave"), "_m.*")
+    stored = vacancies.where(_has_key()).select("id", "id_registro", "id_sistema")
+    smallest = stored.groupBy("id_sistema").agg(F.min("id").alias("id_vacante"))
+    linked = per_key.join(smallest, "id_sistema", "left").drop("id_sistema")
+    masters = stored.select(F.col("id").alias("id_vacante"), F.col("id_registro").alias("id_maestra"))
+    found = linked.join(masters, "id_vacante", "left").select("ultima", "primera", "filas", "id_vacante", "id_maestra")
+    nothing = F.lit(None).cast("bigint")
+    alone = valid.where(~keyed).select(
+        "row_idx", *VACANCY_COLUMNS, "area", number.alias("ultima"), number.alias("primera"),
+        F.lit(1).cast("bigint").alias("filas"), nothing.alias("id_vacante"), nothing.alias("id_maestra"),
     )
-    return per_vacancy.join(stored, "clave", "left")
+    last = valid.where(keyed).select("row_idx", *VACANCY_COLUMNS, "area").join(found, number == F.col("ultima"))
+    return last.unionByName(alone).drop("row_idx")
 
 
 def _master_cells(matched: DataFrame) -> DataFrame:
@@ -331,8 +327,8 @@ def _master_cells(matched: DataFrame) -> DataFrame:
     )
 
 
-def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame, small: bool = False) -> DataFrame:
-    """Stored vacancies with updates laid over them, and the new ones.  ``small`` broadcasts the updates.
+def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame) -> DataFrame:
+    """Stored vacancies with updates laid over them, and the new ones.
 
     A new vacancy seen once keeps the accents of its comment; an update, also of a row that is new in the same
     file, folds them.
@@ -347,15 +343,11 @@ def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame,
         }
     )
     updates = updates.withColumn("id", F.col("id_vacante"))
-    if small:
-        updates = F.broadcast(updates)
     return changes.overlay(vacancies, updates, "id", VACANCY_COLUMNS).unionByName(_as_table(inserts, vacancies))
 
 
-def master_after(
-    matched: DataFrame, master: DataFrame, at: dt.datetime | None = None, small: bool = False
-) -> DataFrame:
-    """Stored master rows with the matched ones overwritten, and the new ones.  ``small`` broadcasts the updates."""
+def master_after(matched: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> DataFrame:
+    """Stored master rows with the matched ones overwritten, and the new ones."""
     cells = _master_cells(matched)
     updates = changes.last_per_key(
         cells.where(F.col("id_vacante").isNotNull()).select(
@@ -364,8 +356,6 @@ def master_after(
         ["id"],
         "ultima",
     )
-    if small:
-        updates = F.broadcast(updates)
     new = cells.where(F.col("id_vacante").isNull()).select(
         F.col("primera").alias("row_idx"), F.lit("Vacante").alias("tipo_registro"), *MASTER_COLUMNS
     )
@@ -374,48 +364,58 @@ def master_after(
     )
 
 
-def import_report(rows: DataFrame, matched: DataFrame) -> DataFrame:
-    """New, updated, failed and processed rows.  k rows of a new key are 1 new and k - 1 updates."""
+ERRORS_SHOWN = 10
+
+
+def import_report(rows: DataFrame, matched: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
+    """New, updated, failed and processed rows, and how many errors there are beyond those shown.
+
+    k rows of a new key are 1 new and k - 1 updates.
+    """
     is_new = F.col("id_vacante").isNull()
     done = matched.agg(
         F.count_if(is_new).alias("nuevos"),
         F.coalesce(F.sum(F.col("filas") - is_new.cast("bigint")), F.lit(0)).alias("actualizados"),
     )
     failed = rows.agg(F.count_if(F.col("motivo").isNotNull()).alias("fallidos"))
-    return series.one_row(done, failed).withColumn("procesados", F.col("nuevos") + F.col("actualizados"))
+    return series.one_row(done, failed).withColumns(
+        {
+            "procesados": F.col("nuevos") + F.col("actualizados"),
+            "errores_no_mostrados": F.greatest(F.col("fallidos") - shown, F.lit(0)).cast("bigint"),
+        }
+    )
 
 
 def rejected(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("motivo").isNotNull()).select("row_idx", "motivo")
 
 
-def first_errors(rejects: DataFrame, shown: int = 10) -> DataFrame:
+def first_errors(rejects: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
     """The first refused rows in file order, rows counted from 1."""
     top = rejects.orderBy("row_idx").limit(shown)
     number = (F.col("row_idx") + 1).cast("string")
     return top.select("row_idx", F.concat(F.lit("Error en fila "), number, F.lit(": "), F.col("motivo")).alias("error"))
 
 
-def plan_import(
-    staged: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None,
-    bound: int = changes.BROADCAST_BYTES,
-) -> Imported:
-    """The whole import.  The match is checkpointed once and feeds all results, which are lazy.
+def plan_rows(rows: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> Imported:
+    """The whole import of cleansed rows; nothing runs before its results are used.
 
-    The updates are measured: within the bound they are broadcast, so a small import does not shuffle the
-    stored tables; beyond it both sides are shuffled by id.
+    The rows are read for the keys, the last rows and the report, so they should be written or checkpointed once before.
     """
-    rows = cleanse(staged)
-    matched = cut_lineage(match_import(rows, vacancies))
-    small = changes.is_small(matched.where(F.col("id_vacante").isNotNull()), bound)
+    matched = match_import(rows, vacancies)
     return Imported(
-        vacancies_after(matched, vacancies, master, small),
-        master_after(matched, master, at, small),
+        vacancies_after(matched, vacancies, master),
+        master_after(matched, master, at),
         import_report(rows, matched),
         rejected(rows),
     )
 
 
+def plan_import(staged: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> Imported:
+    """The import of staged rows: cleansed once into the checkpoint folder, then :func:`plan_rows`."""
+    return plan_rows(cut_lineage(cleanse(staged)), vacancies, master, at)
+
+
 def run_import(
     staged: DataFrame, vacancies: DataFrame, master: DataFrame, path: str, at: dt.datetime | None = None
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,8 +11,6 @@ from reclutark import schemas
 from reclutark.functions.calendar import in_range
 from reclutark.functions.text import blank_to_null
 from reclutark.operators.changes import dense_index
-from reclutark.operators.series import values_frame
-from reclutark.session import cut_lineage
 
 
 def read_table(spark: SparkSession, root: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,9 +52,16 @@ def rows_with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def catalog_frame(spark: SparkSession, values: Iterable[str], name: str) -> DataFrame:
-    """A catalog as a table: trimmed, each value once."""
-    return distinct_values(values_frame(spark, name, values), name)
+def outside_catalog(df: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Stored values (columna, valor, filas), trimmed, that the catalog of their column doesn't allow; blank ones don't count.
+
+    One pass: every row gives its odd cells, which are counted before the shuffle.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("columna"), F.when(~blank_to_null(F.col(c)).isin(list(allowed)), blank_to_null(F.col(c))).alias("valor"))
+        for c, allowed in domains.items()
+    ])
+    return df.select(F.inline(cells)).where(F.col("valor").isNotNull()).groupBy("columna", "valor").agg(F.count("*").alias("filas"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -68,8 +73,8 @@ def read_drop_folder(spark: SparkSession, path: str, file_format: str = "csv", *
     """Tabular files of a drop folder, every column as text and header names trimmed, plus ``row_idx``.
 
     ``row_idx`` numbers the rows 0.. in file order (file name, place in the file), which the import needs to
-    tell earlier from later rows.  The staged rows are checkpointed: the numbers then stay the same however
-    often the import reads them and whichever executors are lost.
+    tell earlier from later rows.  A row's block and its place in the block are the same however often the files are read,
+    so nothing is copied for the numbers: the blocks' counts are read first, then the rows.
     """
     if file_format == "csv":
         options = {"header": "true", "inferSchema": "false", **options}
@@ -77,13 +82,11 @@ def read_drop_folder(spark: SparkSession, path: str, file_format: str = "csv", *
         options = {"primitivesAsString": "true", **options}
     raw = spark.read.format(file_format).options(**options).load(path)
     cells = [F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c.strip()) for c in raw.columns]
-    staged = cut_lineage(
-        raw.select(
-            *cells,
-            F.col("_metadata.file_path").alias("_archivo"),
-            F.col("_metadata.file_block_start").alias("_bloque"),
-            F.monotonically_increasing_id().alias("_posicion"),
-        )
+    staged = raw.select(
+        *cells,
+        F.col("_metadata.file_path").alias("_archivo"),
+        F.col("_metadata.file_block_start").alias("_bloque"),
+        F.monotonically_increasing_id().alias("_posicion"),
     )
     return dense_index(staged, ["_archivo", "_bloque"], "_posicion", "row_idx").drop(
         "_archivo", "_bloque", "_posicion"
@@ -114,7 +117,3 @@ def export_csv(df: DataFrame, path: str) -> None:
 def export_json(df: DataFrame, path: str) -> None:
     options = {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd", "ignoreNullFields": "false"}
     df.write.mode("errorifexists").options(**options).json(path)
-
-
-def import_stamp() -> Column:
-    return F.current_timestamp()

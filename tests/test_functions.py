@@ -119,7 +119,8 @@ def test_strict_date(value):
         value(coerce.strict_date(text_lit("ayer")))
 
 
-@pytest.mark.parametrize("raw, iso", [("2024-05-06", "2024-05-06"), ("2024-05-06T10:11:12", "2024-05-06"), ("ayer", None)])
+@pytest.mark.parametrize("raw, iso", [
+    ("2024-05-06", "2024-05-06"), ("2024-05-06T10:11:12", "2024-05-06"), ("ayer", None), ("45000", None), ("15/03/2024", "2024-03-15"), (None, None)])
 def test_lenient_date(value, raw, iso):
     assert value(coerce.lenient_date(text_lit(raw))) == day(iso)
 
@@ -291,3 +292,23 @@ def test_efficiency_band(value):
 def test_remaining_openings(value, requested, hired, floor, left):
     as_int = [F.lit(x).cast("bigint") for x in (requested, hired)]
     assert value(measures.remaining_openings(*as_int, floor=floor)) == left
+
+
+@pytest.mark.parametrize("raw, iso", [
+    ("15/03/24", "2024-03-15"), ("03/04/24", "2024-03-04"), ("20240315", "2024-03-15"), ("March 15, 2024", "2024-03-15"), ("15-Mar-2024", "2024-03-15"),
+    ("15 March 2024", "2024-03-15"), ("15.03.2024", "2024-03-15"), ("2024.03.15", "2024-03-15"), ("03/15/2024 02:30 PM", "2024-03-15"),
+    ("2024-03-15 02:30:00 pm", "2024-03-15"), ("Mar 5 2024", "2024-03-05"), ("15 Mar 24", "2024-03-15"), ("2024-03-15T10:00:00Z", "2024-03-15"), ("01/02/70", "1970-01-02"),
+    ("15 marzo 2024", None), ("45000", None), ("2024-13-01", None), ("2024-02-30", None), ("20241301", None), ("31/31/24", None), ("", None), ("Marcha 3, 2024", None),
+])
+def test_dates_of_spreadsheets(value, raw, iso):
+    assert value(coerce.import_date(text_lit(raw))) == day(iso)
+
+
+@pytest.mark.parametrize("reply, payload, answer", [
+    ('{"output": "sí"}', '{"output": "sí"}', "sí"), ('{"a":1} y {"b":2}', None, None), ('{"output":"x"} fin {"chart":1}', None, None), ('{"a":1}}', None, None),
+    ("{'a':1}", None, None), ('{"output":{"output":"n"}}', '{"output":{"output":"n"}}', '{"output":"n"}'), ('{"a":1}, {"b":2}', None, None), ('{"a":1,}', None, None),
+    ('{"output": "{\\"output\\": \\"dentro\\"}"}', '{"output": "dentro"}', "dentro"), ("hola", None, None), ("", None, None),
+])
+def test_only_whole_json_is_a_payload(spark, reply, payload, answer):
+    row = conversations.payloads(spark.createDataFrame([(reply,)], "texto string")).first()
+    assert row["contenido"] == payload and row["respuesta"] == (reply if payload is None else answer)

@@ -7,7 +7,7 @@ from conftest import tuples
 from reclutark import catalogs
 from reclutark.sources import ingest, tables
 
-HEADERS = {stored: header for header, stored in catalogs.IMPORT_COLUMNS.items()}
+HEADERS = catalogs.IMPORT_COLUMNS
 AT = dt.datetime(2024, 5, 6, 7, 8)
 
 
@@ -150,13 +150,21 @@ def test_hot_key_and_many_blank_keys(spark, staged, stored):
     assert result.vacancies.where("id = 10").first()["puesto_vacante"] == f"P{n - 3}"
 
 
-def test_both_ways_of_laying_updates_over_agree(staged, stored):
-    rows = staged(line("7", plaza_vacante="A"), line("8"), line("900"))
-    sent, shuffled = (ingest.plan_import(rows, *stored, at=AT, bound=bound) for bound in (10**6, 0))
-    for table in ("vacancies", "master"):
-        a, b = getattr(sent, table), getattr(shuffled, table)
-        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
-    assert "SortMergeJoin" not in sent.vacancies._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("key, kept", [
+    ("9223372036854775807", 9223372036854775807), ("1.5E+05", 150000), (" 1e3", 1000), (".5", 0), ("12.9", 12), ("-7", -7),
+    ("9223372036854775808", None), ("1e30", None), ("12e", None), ("abc", None),
+])
+def test_keys_of_any_size_and_form(staged, key, kept):
+    row = ingest.cleanse(staged(line(key))).first()
+    assert (row["id_sistema"], row["motivo"]) == (kept, None if kept is not None else "ID no es un número")
+
+
+def test_last_of_very_many_rows_of_a_long_key(spark, stored):
+    key = "9223372036854775807"
+    rows = spark.range(1000).selectExpr("id AS row_idx", f"'{key}' AS ID", "concat('p', id) AS `Puesto solicitado`")
+    result = ingest.plan_import(rows, *stored, at=AT)
+    assert report(result) == (1, 999, 0, 1000)
+    assert result.vacancies.where(f"id_sistema = {key}").first()["puesto_vacante"] == "P999"
 
 
 def test_run_import_writes_new_versions(spark, staged, stored, tmp_path):
@@ -309,5 +317,6 @@ def test_lookups_and_catalogs(spark, make):
     assert tuples(tables.rows_with_keys(v, keys, "id_sistema"), "id") == [(1,)]
     a = make("altas", {"id": 1, "puesto_alta": "CHOFER "}, {"id": 2, "puesto_alta": "CHOFER"}, {"id": 3, "puesto_alta": " "})
     assert tuples(tables.distinct_values(a, "puesto_alta")) == [("CHOFER",)]
-    assert tables.catalog_frame(spark, catalogs.SITES, "plaza").count() == len(catalogs.SITES)
+    v = make("vacantes", {"id": 1, "plaza_vacante": " LEON "}, {"id": 2, "plaza_vacante": "Lugar"}, {"id": 3, "plaza_vacante": " "}, {"id": 4, "plaza_vacante": "Lugar "})
+    assert tuples(tables.outside_catalog(v, {"plaza_vacante": catalogs.SITES})) == [("plaza_vacante", "Lugar", 2)]
     assert tables.read_range(make("altas", {"id": 1, "fecha_alta": "2024-01-01"}), "fecha_alta", dt.date(2024, 1, 1)).count() == 1

@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import check  # noqa: E402
 
 import __spark_entry__ as entry_point  # noqa: E402
+from reclutark import oracle, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +21,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) <= set(entry_point.queries()) and set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_matches_sql(spark, con, name):
     result = check.check(spark, con, SMALL, name, entry_point.queries()[name], entry_point.oracle_sql()[name])
     assert result.startswith("ok") and "TYPES" not in result, result

@@ -345,25 +345,34 @@ def file_case(make):
 def test_file_completeness(make):
     people, catalog, archive = file_case(make)
     assert tuples(files.completeness(people, catalog, archive)) == [(2, 1, 1, 50.0)]
-    assert tuples(files.matrix(people, catalog, archive), "colaborador", "estatus", "ACTA", "INE") == [
+    assert tuples(files.matrix(people, catalog, archive, [(1, "ACTA"), (2, "INE")]), "colaborador", "estatus", "ACTA", "INE") == [
         ("A", "INCOMPLETO", True, False), ("B", "COMPLETO", True, True),
     ]
     assert tuples(files.incomplete_people(people, catalog, archive)) == [(2, "A")]
-    assert sorted(tuples(files.delivered_counts(archive, [1, 2]))) == [(1, 2), (2, 1), (3, 2)]
-    assert sorted(tuples(files.delivered(archive, [1, 2]))) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
+    assert sorted(tuples(files.delivered_counts(archive, catalog))) == [(1, 2), (2, 1), (3, 2)]
+    assert sorted(tuples(files.delivered(archive, catalog))) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
 
 
-def test_completeness_beyond_the_column_bound(make):
-    people, catalog, archive = file_case(make)
-    assert tuples(files.completeness(people, catalog, archive, most=1)) == [(2, 1, 1, 50.0)]
-    assert tuples(files.incomplete_people(people, catalog, archive, most=1)) == [(2, "A")]
+def test_very_many_required_documents(spark, make):
+    """One person has delivered all of 501 documents, one all but the last, in the same plans as ever."""
+    people, _, _ = file_case(make)
+    catalog = spark.range(1, 502).selectExpr("id", "concat('DOC ', id) AS nombre_documento", "true AS requerido")
+    archive = spark.range(1, 502).selectExpr("1L AS id_colaborador", "id AS id_documento", "true AS estatus_pdf").union(
+        spark.range(1, 501).selectExpr("2L", "id", "true"))
+    assert tuples(files.completeness(people, catalog, archive)) == [(2, 1, 1, 50.0)]
+    assert tuples(files.incomplete_people(people, catalog, archive)) == [(2, "A")]
+    assert sorted(tuples(files.delivered_counts(archive, catalog))) == [(1, 501), (2, 500)]
+    long = files.matrix_long(people, catalog, archive)
+    assert long.count() == 1002 and long.where("NOT entregado").select("id_colaborador", "id_documento").collect() == [(2, 501)]
+    assert tuples(files.matrix(people, catalog, archive, [(501, "DOC 501")]), "colaborador", "estatus", "DOC 501") == [
+        ("A", "INCOMPLETO", False), ("B", "COMPLETO", True)]
 
 
 def test_no_required_documents(make):
     people, catalog, archive = file_case(make)
     nothing = catalog.where("NOT requerido")
     assert tuples(files.completeness(people, nothing, archive)) == [(2, 0, 2, 0.0)]
-    assert tuples(files.matrix(people, nothing, archive), "colaborador", "estatus") == [("A", "INCOMPLETO"), ("B", "INCOMPLETO")]
+    assert tuples(files.matrix(people, nothing, archive, []), "colaborador", "estatus") == [("A", "INCOMPLETO"), ("B", "INCOMPLETO")]
     assert files.incomplete_people(people, nothing, archive).count() == 2
 
 
@@ -373,7 +382,7 @@ def test_document_name_used_twice(make):
         "catalogo_documentos",
         {"id": 1, "nombre_documento": "ACTA", "requerido": True}, {"id": 2, "nombre_documento": "ACTA", "requerido": True},
     )
-    assert files.matrix(people, catalog, archive).columns[-2:] == ["ACTA (1)", "ACTA (2)"]
+    assert files.matrix(people, catalog, archive, [(1, "ACTA"), (2, "ACTA")]).columns[-2:] == ["ACTA (1)", "ACTA (2)"]
 
 
 # --- listings and conversations -----------------------------------------------------------------------------

@@ -78,14 +78,19 @@ def test_page_is_clamped(spark):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_all_pages_by_every_way_agree_with_the_sorted_table(spark, descending):
-    """Near start, near end and the range-partitioned middle, with a third of the rows on one sort value."""
+def test_all_pages_agree_with_the_sorted_table(spark, descending):
+    """Near start, near end and in the middle, with a third of the rows on one sort value."""
     df = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, "Hot").otherwise((F.col("id") % 7).cast("string")).alias("t"))
     expected = ordered(df, "t", descending)
-    for top_rows in (10_000, 40):
-        for page in (1, 4, 9, 13, 20):
-            got = tableview.page_of(df, "t", ["id"], page=page, size=20, descending=descending, top_rows=top_rows)
-            assert [r["id"] for r in got.collect()] == expected[(page - 1) * 20 : page * 20], (top_rows, page)
+    for page in (1, 4, 9, 13, 20):
+        got = tableview.page_of(df, "t", ["id"], page=page, size=20, descending=descending)
+        assert [r["id"] for r in got.collect()] == expected[(page - 1) * 20 : page * 20], page
+
+
+def test_no_heap_grows_with_the_place_of_a_page(spark):
+    df = spark.range(3000).selectExpr("id", "id % 7 AS t")
+    plan = tableview.page_of(df, "t", ["id"], page=60, size=25)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "Offset" not in plan
 
 
 def test_json_records(spark):
