@@ -824,7 +824,7 @@ def oracle_sql() -> dict[str, str]:
             "WHEN 'LETICIA' THEN 'LETY' WHEN 'YULIANA' THEN 'YULI' ELSE p END AS primer_nombre, "
             f"{_LISTED.format('responsable_alta')} AS ejecutivo, "
             f"COALESCE({_HELEN.format('responsable_alta')}, FALSE) AS es_helen, "
-            f"{_FOLDED.format('empresa_alta')} AS empresa_plana, "
+            f"{_FOLDED.format('upper(empresa_alta)')} AS empresa_plana, "
             "COALESCE(NULLIF(trim(responsable_alta), ''), 'SIN ESPECIFICAR') AS responsable FROM n",
             "altas",
         ),

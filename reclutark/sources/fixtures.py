@@ -20,7 +20,10 @@ ALTAS = {
     "id": "o_orderkey",
     "id_registro": "o_orderkey + 1000000",
     "fecha_alta": ORDER_DATE,
-    "empresa_alta": "c_mktsegment",
+    "empresa_alta": (
+        "CASE o_custkey % 9 WHEN 0 THEN 'SICMART SA DE CV' WHEN 1 THEN 'Ñandú Construcción S.A.' WHEN 2 THEN NULL "
+        "ELSE c_mktsegment END"
+    ),
     "puesto_alta": "o_orderpriority",
     "plaza_alta": "n_name",
     "area_alta": "CASE WHEN o_orderkey % 3 = 0 THEN 'ADMINISTRATIVA' ELSE 'OPERATIVA' END",
