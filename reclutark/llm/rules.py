@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAINI
         return Ensemble({None: 0.0, 0.0: -20.0, 1.0: 20.0}[only], {})
     chosen = sampled(marked, rows, sum(kinds.values()), "doc_id")
     texts = docs.select("doc_id", "text").filter(~held_out)
-    seen = cut_lineage(statistics(texts.join(chosen, "doc_id"), "doc_id", "label").repartition(8, "doc_id").sortWithinPartitions("doc_id", "label"))
+    # At most ``rows`` ids and labels go to every task, so no text is shuffled for them.
+    seen = cut_lineage(statistics(texts.join(F.broadcast(chosen), "doc_id"), "doc_id", "label").repartition(8, "doc_id").sortWithinPartitions("doc_id", "label"))
     vectors = seen.select("label", array_to_vector(F.array(*STATISTICS)).alias("features"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=10, subsamplingRate=0.7, seed=SEED).fit(vectors)
     rules = tree_rules(forest)
