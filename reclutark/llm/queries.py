@@ -34,7 +34,7 @@ def mixture() -> mixing.Mixture:
 
 
 def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.segments(*preference.with_other_reply(table(spark, sf_dir, "conversations")))
+    return preference.segments(preference.with_other_reply(table(spark, sf_dir, "conversations")))
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

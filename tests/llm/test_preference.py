@@ -11,7 +11,8 @@ def test_query_equals_its_sql(same, folder):
 
 
 def segments(spark, chosen, rejected):
-    rows = preference.segments(spark.createDataFrame(chosen, TURN), spark.createDataFrame(rejected, TURN)).collect()
+    turns = preference.sides(spark.createDataFrame(chosen, TURN), spark.createDataFrame(rejected, TURN))
+    rows = preference.segments(turns).collect()
     return sorted(((r.pair_id, r.part, r.turn, r.segment, r.segment[r.learnt_from : r.learnt_to] if r.learnt_from is not None else None) for r in rows), key=str)
 
 
@@ -41,11 +42,12 @@ def test_awkward_conversations(spark):
 def test_pairs_with_the_neighbours_reply(spark):
     rows = [(2, 0, "user", "q"), (2, 1, "assistant", "own"), (2, 2, "user", "bye"), (3, 0, "user", "p"), (3, 1, "assistant", "other"), (8, 0, "assistant", "alone"), (9, 0, "user", "mute")]
     told = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as side", "1 as part")
-    chosen, rejected = preference.with_other_reply(told)
-    assert sorted(map(tuple, chosen.collect())) == sorted(rows)
-    assert sorted(map(tuple, rejected.collect())) == [(2, 0, "user", "q"), (2, 1, "assistant", "other"), (3, 0, "user", "p"), (3, 1, "assistant", "own"), (9, 0, "user", "mute")]
+    turns = preference.with_other_reply(told)
+    of = lambda side: sorted(map(tuple, turns.filter(f"side = {side}").drop("side").collect()))
+    assert of(preference.CHOSEN) == sorted(rows)
+    assert of(preference.REJECTED) == [(2, 0, "user", "q"), (2, 1, "assistant", "other"), (3, 0, "user", "p"), (3, 1, "assistant", "own"), (9, 0, "user", "mute")]
 
 
 def test_no_python_in_the_plan(spark, table):
-    plan = preference.segments(*preference.with_other_reply(table("conversations")))._jdf.queryExecution().executedPlan().toString()
+    plan = preference.segments(preference.with_other_reply(table("conversations")))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
