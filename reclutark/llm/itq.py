@@ -65,10 +65,8 @@ class Rotation:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, embedding`` of the rows that can be linked: label not null, every component finite, not all zero."""
-    read = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    limit = F.lit(float("inf"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
-    return read.filter("vec_id is not null and label is not null and embedding is not null").filter(
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.select("vec_id", "label", "embedding").filter("vec_id is not null and label is not null and embedding is not null").filter(
         finite & F.exists("embedding", lambda x: x != 0)
     )
 
@@ -125,7 +123,7 @@ def _compare(cosine: float):
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if stop - start < 2:
                     continue
-                x = all_values[value_at[start] : value_at[stop]].reshape(stop - start, -1)
+                x = all_values[value_at[start] : value_at[stop]].astype(float).reshape(stop - start, -1)
                 k = all_keys[key_at[start] : key_at[stop]].reshape(stop - start, -1)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 left, right = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
@@ -156,7 +154,8 @@ def linked(classes: DataFrame, rotations: dict[int, Rotation], cosine: float = C
     """
     ship(classes.sparkSession)
     keyed = cut_lineage(classes.withColumn("size", F.size("embedding")).withColumn("keys", _keys(rotations)("embedding")))
-    homes = keyed.select("*", F.posexplode("keys").alias("table", "key"))
+    # Keys alone find the buckets of more than one vector; vectors follow only into those.
+    homes = keyed.select("node", "label", "size", F.posexplode("keys").alias("table", "key"))
     bucket = ["table", "key", "label", "size"]
     counts = homes.groupBy(*bucket).count().filter("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     placed = homes.join(counts.drop("count"), bucket).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -165,10 +164,8 @@ def linked(classes: DataFrame, rotations: dict[int, Rotation], cosine: float = C
     units = placed.withColumn("other", other).withColumn(
         "unit", F.least("side", "other") * F.col("blocks").cast("long") + F.greatest("side", "other"))
     order = ["unit", *bucket]
-    return (
-        units.select(*order, "side", "other", "node", "copies", "keys", "embedding").repartition(*order).sortWithinPartitions(*order)
-        .mapInArrow(_compare(cosine), "a long, b long, links long")
-    )
+    whole = units.select(*order, "side", "other", "node").join(keyed.select("node", "copies", "keys", "embedding"), "node")
+    return whole.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(cosine), "a long, b long, links long")
 
 
 def components(vectors: DataFrame, cosine: float = COSINE, rows: int = SAMPLE, block: int = BLOCK) -> DataFrame:
@@ -181,7 +178,8 @@ def components(vectors: DataFrame, cosine: float = COSINE, rows: int = SAMPLE, b
     """
     good = cut_lineage(usable(vectors))
     # Adding zero makes a negative zero a positive one, so that equal vectors are equal as keys.
-    good = good.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    zero = F.lit(0.0).cast(good.schema["embedding"].dataType.elementType)
+    good = good.withColumn("embedding", F.transform("embedding", lambda x: x + zero))
     classes = cut_lineage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
     found = cut_lineage(linked(classes, fit(good, rows), cosine, block))
     others = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
