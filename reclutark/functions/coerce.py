@@ -32,6 +32,7 @@ def strict_int(c: Column) -> Column:
 
 
 # Shapes of a number.  Text is tested before it is cast, so a bad cell costs no exception.
+SHORT_NUMBER = r"^\s*[-+]?\d{1,18}(\.\d*)?\s*$"
 PLAIN_NUMBER = r"^\s*[-+]?\d+(\.\d*)?\s*$"
 ANY_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
@@ -46,7 +47,8 @@ def import_int(c: Column) -> Column:
 
 def is_bad_number(c: Column) -> Column:
     """True for a cell that holds something, but no whole number."""
-    return F.coalesce(c.rlike(LETTER) & import_int(c).isNull(), F.lit(False))
+    # Numbers that surely fit are told by their shape alone, so most cells are not cast a second time.
+    return F.coalesce(c.rlike(LETTER) & ~c.rlike(SHORT_NUMBER) & import_int(c).isNull(), F.lit(False))
 
 
 def lenient_int(c: Column) -> Column:
@@ -65,8 +67,10 @@ MONTH = (
     "(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
     "(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?)"
 )
+ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
 YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + TIME
-YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + TIME
+YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + TIME
+SHORT_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})" + TIME
 EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
 DAY_MONTH = r"^(\d{1,2})[-/. ]+" + MONTH + r"[-/., ]+(\d{4}|\d{2})" + TIME
 MONTH_DAY = "^" + MONTH + r"[-/. ]+(\d{1,2})(?:,| ) *(\d{4})" + TIME
@@ -86,8 +90,8 @@ def import_date(c: Column) -> Column:
 def stripped_date(text: Column) -> Column:
     """:func:`import_date` of text without white space at its ends."""
 
-    def day(year: Column, month: Column, of_month: Column) -> Column:
-        return F.concat_ws("-", year, month, of_month).try_cast("date")
+    def rewritten(shape: str, order: str) -> Column:
+        return F.regexp_replace(text, shape, order).try_cast("date")
 
     def part(shape: str, group: int) -> Column:
         return F.regexp_extract(text, shape, group)
@@ -95,19 +99,23 @@ def stripped_date(text: Column) -> Column:
     def full(year: Column) -> Column:
         return F.when(F.length(year) == 4, year).when(year >= "69", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
 
-    def month(name: Column) -> Column:
-        return F.floor((F.instr(F.lit(MONTHS), F.lower(name)) + 2) / 3).cast("string")
+    def named(shape: str, year: int, month: int, of_month: int) -> Column:
+        number = F.floor((F.instr(F.lit(MONTHS), F.lower(part(shape, month))) + 2) / 3).cast("string")
+        return F.concat_ws("-", full(part(shape, year)), number, part(shape, of_month)).try_cast("date")
 
-    def year_first(shape: str) -> Column:
-        return day(part(shape, 1), part(shape, 2), part(shape, 3))
+    century = F.when(part(SHORT_YEAR, 3) >= "69", F.lit("19")).otherwise(F.lit("20"))
+
+    def shortened(order: str) -> Column:
+        return F.concat(century, F.regexp_replace(text, SHORT_YEAR, order)).try_cast("date")
 
-    first, second, year = part(YEAR_LAST, 1), part(YEAR_LAST, 2), full(part(YEAR_LAST, 3))
     return (
-        F.when(text.rlike(YEAR_FIRST), year_first(YEAR_FIRST))
-        .when(text.rlike(YEAR_LAST), F.coalesce(day(year, first, second), day(year, second, first)))
-        .when(text.rlike(EIGHT_DIGITS), year_first(EIGHT_DIGITS))
-        .when(text.rlike(DAY_MONTH), day(full(part(DAY_MONTH, 3)), month(part(DAY_MONTH, 2)), part(DAY_MONTH, 1)))
-        .when(text.rlike(MONTH_DAY), day(part(MONTH_DAY, 3), month(part(MONTH_DAY, 1)), part(MONTH_DAY, 2)))
+        F.when(text.rlike(ISO_DAY), text.try_cast("date"))
+        .when(text.rlike(YEAR_FIRST), rewritten(YEAR_FIRST, "$1-$2-$3"))
+        .when(text.rlike(YEAR_LAST), F.coalesce(rewritten(YEAR_LAST, "$3-$1-$2"), rewritten(YEAR_LAST, "$3-$2-$1")))
+        .when(text.rlike(EIGHT_DIGITS), rewritten(EIGHT_DIGITS, "$1-$2-$3"))
+        .when(text.rlike(SHORT_YEAR), F.coalesce(shortened("$3-$1-$2"), shortened("$3-$2-$1")))
+        .when(text.rlike(DAY_MONTH), named(DAY_MONTH, 3, 2, 1))
+        .when(text.rlike(MONTH_DAY), named(MONTH_DAY, 3, 1, 2))
     )
 
 

@@ -312,13 +312,15 @@ def match_import(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     linked = per_key.join(smallest, "id_sistema", "left").drop("id_sistema")
     masters = stored.select(F.col("id").alias("id_vacante"), F.col("id_registro").alias("id_maestra"))
     found = linked.join(masters, "id_vacante", "left").select("ultima", "primera", "filas", "id_vacante", "id_maestra")
-    nothing = F.lit(None).cast("bigint")
-    alone = valid.where(~keyed).select(
-        "row_idx", *VACANCY_COLUMNS, "area", number.alias("ultima"), number.alias("primera"),
-        F.lit(1).cast("bigint").alias("filas"), nothing.alias("id_vacante"), nothing.alias("id_maestra"),
-    )
-    last = valid.where(keyed).select("row_idx", *VACANCY_COLUMNS, "area").join(found, number == F.col("ultima"))
-    return last.unionByName(alone).drop("row_idx")
+    # One reading of the wide rows: those whose number is the last of a key, and those without a key.
+    wide = valid.select("row_idx", *VACANCY_COLUMNS, "area").join(found, number == F.col("ultima"), "left")
+    return wide.where(F.col("ultima").isNotNull() | ~keyed).withColumns(
+        {
+            "ultima": F.coalesce("ultima", number),
+            "primera": F.coalesce("primera", number),
+            "filas": F.coalesce("filas", F.lit(1).cast("bigint")),
+        }
+    ).drop("row_idx")
 
 
 def _master_cells(matched: DataFrame) -> DataFrame:
