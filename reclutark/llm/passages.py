@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reclutark.llm.common import runs, ship
+from reclutark.llm.common import runs, ship, words
 from reclutark.session import cut_lineage
 
 #: Words of a seed, and seeds of which the least hash is kept: two texts that share SEED + WINDOW - 1 words in a row share a seed.
@@ -32,8 +33,20 @@ MARGIN = 48
 #: Equal words that outweigh a changed one; the stricter value serves where the first leaves too little alike.
 CHANGE_COSTS = (20, 40)
 
-#: Ids of a block, as a power of two: a seed has no more documents in one task.
-BLOCK_BITS = 20
+#: Documents of a block, about: a seed has no more of them in one task.
+BLOCK = 2**20
+
+#: Equal words before or after a seed in SEED + WINDOW - 1 equal words: one side has so many.
+BESIDE = WINDOW // 2
+
+#: Lower half of the place of a longer key, which needs nothing beside it.
+ANY = 1
+
+#: Rows of a seed that all meet each other: three documents with one place each.  A seed of more is crowded.
+MET = 3
+
+#: Bits of the table of crowded seeds.  Seeds that share a bit with one are crowded too, which costs keys and loses nothing.
+CROWD_BITS = 26
 
 CACHED_WORDS = 200_000
 
@@ -50,35 +63,96 @@ class _Hashes(dict):
         return value
 
 
-def seed_places(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds of a text: in each window of WINDOW runs of SEED words, the one of least hash."""
-    found = text.encode().split()
+def _hashed(found: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of SEED words, and the least of each window of WINDOW of them."""
     n = len(found) - SEED + 1
-    if len(found) < LEAST_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     single = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
     h = np.zeros(n, dtype=np.uint64)
     for k in range(SEED):
         h = (h ^ single[k : k + n]) * _MIX
         h ^= h >> np.uint64(29)
-    least, width = h, 1
-    while 2 * width <= WINDOW:  # minima of windows of doubled width
-        least = np.minimum(least[:-width], least[width:])
+    return h, _over_windows(np.minimum, h)
+
+
+def _over_windows(of: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """Minima or maxima of all windows of WINDOW values."""
+    width = 1
+    while 2 * width <= WINDOW:  # windows of doubled width
+        x = of(x[:-width], x[width:])
         width *= 2
     rest = WINDOW - width
-    if rest:
-        least = np.minimum(least[: len(least) - rest], least[rest:])
-    # A place is kept if it is the minimum of a window around it.
-    around = np.concatenate([np.full(WINDOW - 1, least[0]), least, np.full(WINDOW - 1, least[-1])])
-    kept = np.zeros(n, dtype=bool)
-    for k in range(WINDOW):
-        kept |= h == around[k : k + n]
+    return of(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def seed_places(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the seeds of a text: in each window of WINDOW runs of SEED words, the one of least hash."""
+    return _seeded(text, hashes)[:2]
+
+
+def _seeded(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = text.encode().split()
+    if len(found) < LEAST_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    h, least = _hashed(found, hashes)
+    at = _kept(h, least)
+    return h[at].view(np.int64), at.astype(np.int32), _beside(h, at)
+
+
+def _beside(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sixteen bits of the BESIDE words before each place's seed, and of those after it; 0 where the text has fewer."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for start, shift in ((-BESIDE, 16), (SEED, 0)):
+        there = (at + start >= 0) & (at + start + BESIDE - SEED < len(h))
+        k = at[there] + start
+        out[there] |= (_mixed([h[k], h[k + BESIDE - SEED]], 1).astype(np.int64) & 0xFFFF) << shift
+    return out
+
+
+def _kept(h: np.ndarray, least: np.ndarray) -> np.ndarray:
+    # A place is kept if it is the minimum of a window around it, so the greatest of their minima.
+    outside = np.zeros(WINDOW - 1, dtype=np.uint64)
+    kept = h == _over_windows(np.maximum, np.concatenate([outside, least, outside]))
     at = np.flatnonzero(kept)
     order = np.lexsort((at, h[at]))
     close = (np.diff(h[at][order]) == 0) & (np.diff(at[order]) < WINDOW)
     if close.any():
         at = np.sort(_spaced(at[order].tolist(), close.tolist()))
-    return h[at].view(np.int64), at.astype(np.int32)
+    return at
+
+
+def _mixed(keys: list[np.ndarray], odd: int) -> np.ndarray:
+    """One hash of several, whose last bit is ``odd``."""
+    h = np.zeros(len(keys[0]), dtype=np.uint64)
+    for key in keys:
+        h = (h ^ key) * _MIX
+        h ^= h >> np.uint64(29)
+    return h & ~np.uint64(1) | np.uint64(odd)
+
+
+def long_places(text: str, hashes: dict, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the longer keys of a text, where its seeds are crowded: every run of LEAST_WORDS words whose windows have
+    crowded seeds only (odd), and pairs of crowded seeds that a passage may hold (even).
+
+    A run has its key in each text that holds it, as the key depends on the words of the run alone; so an exact repeat always
+    meets the first document that holds it, whatever holds parts of it.
+    """
+    found = text.encode().split()
+    if len(found) < LEAST_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    h, least = _hashed(found, hashes)
+    crowded = lambda x: crowd[(x & np.uint64(2**CROWD_BITS - 1)).astype(np.int64) >> 3] >> (x & np.uint64(7)).astype(np.uint8) & 1
+    single = np.concatenate([[0], np.cumsum(1 - crowded(least).astype(np.int64))])
+    width = LEAST_WORDS - SEED - WINDOW + 2  # windows within a run of LEAST_WORDS words
+    whole = np.flatnonzero(single[width:] == single[:-width])
+    keys, places = [_mixed([h[whole + k] for k in (*range(0, LEAST_WORDS - SEED, SEED), LEAST_WORDS - SEED)], 1)], [whole]
+    at = _kept(h, least)
+    at = at[crowded(h[at]) == 1]
+    for k in (1, 2, 4):
+        left, right = at[:-k], at[k:]
+        near = right - left <= LEAST_WORDS - SEED
+        keys.append(_mixed([h[left[near]], h[right[near]]], 0))
+        places.append(left[near])
+    return np.concatenate(keys).view(np.int64), np.concatenate(places).astype(np.int32)
 
 
 def _spaced(places: list[int], close: list[bool]) -> list[int]:
@@ -93,63 +167,107 @@ def _spaced(places: list[int], close: list[bool]) -> list[int]:
     return out
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """``h, doc_id, pos`` for the seeds of every whole text; texts shorter than a passage have none."""
+def seeds(docs: DataFrame, crowd: Broadcast | None = None) -> DataFrame:
+    """``h, doc_id, pos`` (the place in the upper half, what stands beside in the lower) for the seeds of every whole text, or for the longer keys where seeds are in the table ``crowd``; texts
+    shorter than a passage have none."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        table = None if crowd is None else np.frombuffer(crowd.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 ids, texts = (c.slice(at, 1024) for c in batch.columns)
-                found = [seed_places(t, hashes) for t in texts.to_pylist()]
-                counts = [len(h) for h, _ in found]
+                found = [_seeded(t, hashes) if table is None else long_places(t, hashes, table) for t in texts.to_pylist()]
+                counts = [len(h) for h, *_ in found]
+                places = np.concatenate([p for _, p, *_ in found]).astype(np.int64)
+                beside = np.concatenate([b for *_, b in found]) if table is None else ANY
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([h for h, _ in found])), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), counts)),
-                    pa.array(np.concatenate([p for _, p in found]))], names=["h", "doc_id", "pos"])
+                    pa.array(np.concatenate([h for h, *_ in found])), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), counts)),
+                    pa.array(places << 32 | beside)], names=["h", "doc_id", "pos"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return read.mapInArrow(find, "h long, doc_id long, pos int")
+    return read.mapInArrow(find, "h long, doc_id long, pos long")
 
 
-def matches(found: DataFrame, several: bool) -> DataFrame:
-    """``doc_id, src_id, pos, src_pos``: every seed beside its first place in the block of ids, and beside its place in the document
-    before its own that holds it; the first of a block beside the first of all and the last of the blocks before.
+def paired(found: DataFrame, bounds: list[int], every: bool) -> DataFrame:
+    """``kind, h, block, doc_id, src_id, pos, src_pos, n``: every key beside its first place in the block of ids (kind 0), and beside
+    its place in the document before its own that holds it (kind 2; odd keys only if ``every``); and of a key in a block its
+    first and last place and number of rows (kind 1), if there are several blocks or it is crowded.
 
-    One shuffle brings the places of a seed in a block together, sorted, and they are read as a stream: a seed that a third of
-    all documents hold is split by blocks and gives two rows for each document, never their pairs.  ``several`` says whether there is
-    more than one block.
+    One shuffle brings the places of a key in a block together, sorted, and they are read as a stream: a key that a third of
+    all documents hold is split by blocks and gives two rows for each document, never their pairs.  ``bounds`` are the first
+    ids of the blocks after the first.
     """
+    several = bool(bounds)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in runs(batches, ["h", "block"]):
-            h, doc, pos = (table.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
-            starts, sizes = bounds[:-1], np.diff(bounds)
+        for table, cuts in runs(batches, ["h", "block"]):
+            h, block, doc, pos = (table.column(c).to_numpy() for c in ("h", "block", "doc_id", "pos"))
+            starts, sizes = cuts[:-1], np.diff(cuts)
             first = np.repeat(starts, sizes)
+            # Rows of the first document go on if the first one of all may be in another block.
+            row = np.arange(len(doc)) if several else np.flatnonzero(doc != doc[first])
+            yield _batch(0, h[row], block[row], doc[row], doc[first[row]], pos[row], pos[first[row]], np.zeros(len(row), np.int64))
             row = np.flatnonzero(doc != doc[first])
             before = row - 1
-            row_2 = row[(doc[before] != doc[row]) & (doc[before] != doc[first[row]])]
-            to, of = np.concatenate([row, row_2]), np.concatenate([first[row], row_2 - 1])
-            yield _batch(np.zeros(len(to), np.int32), h[to], doc[to], doc[of], pos[to], pos[of])
-            if several:
-                last = bounds[1:] - 1
-                yield _batch(np.ones(len(starts), np.int32), h[starts], doc[starts], doc[last], pos[starts], pos[last])
+            row = row[(doc[before] != doc[row]) & (several | (before != first[row])) & (every | (h[row] & 1 == 0))]
+            yield _batch(2, h[row], block[row], doc[row], doc[row - 1], pos[row], pos[row - 1], np.zeros(len(row), np.int64))
+            again = np.zeros(len(doc), np.int64)
+            again[1:] = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])
+            n = sizes + np.where(np.add.reduceat(again, starts) > 0, MET, 0)
+            of = np.flatnonzero(several | (n > MET))
+            last = cuts[1:] - 1
+            yield _batch(1, h[starts[of]], block[starts[of]], doc[starts[of]], doc[last[of]], pos[starts[of]], pos[last[of]], n[of])
+
+    names = ["kind", "h", "block", "doc_id", "src_id", "pos", "src_pos", "n"]
+
+    def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(columns[0]), kind, np.int32), *columns)], names=names)
+
+    block = F.lit(0)
+    if several:
+        block = F.expr("size(filter(transform(array(%s), b -> b <= doc_id), x -> x))" % ", ".join(f"{b}L" for b in bounds))
+    keys = ["h", "block"]
+    placed = found.withColumn("block", block).repartition(*keys).sortWithinPartitions(*keys, "doc_id", "pos")
+    return cut_lineage(placed.mapInArrow(pair, "kind int, h long, block int, doc_id long, src_id long, pos long, src_pos long, n long"))
 
-    def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["end", "h", "doc_id", "src_id", "pos", "src_pos"])
 
-    keys = ["h", "block"]
-    placed = found.withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).repartition(*keys).sortWithinPartitions(*keys, "doc_id", "pos")
-    paired = placed.mapInArrow(pair, "end int, h long, doc_id long, src_id long, pos int, src_pos int")
+def matches(pairs: DataFrame, several: bool, every: bool) -> DataFrame:
+    """``doc_id, src_id, pos, src_pos``: every key of ``pairs`` beside its first place in any document before, and beside its place in
+    the last document before that holds it.  The blocks only split the work: each gets the first place of all blocks,
+    and its first place the last one of the blocks before."""
     columns = ["doc_id", "src_id", "pos", "src_pos"]
     if not several:
-        return paired.select(*columns)
-    paired = cut_lineage(paired)
-    over = Window.partitionBy("h").orderBy("doc_id")
+        return pairs.filter("kind != 1").select(*columns)
+    over = Window.partitionBy("h").orderBy("block")  # a row per block
     place, end = F.struct("doc_id", "pos"), F.struct(F.col("src_id").alias("doc_id"), F.col("src_pos").alias("pos"))
-    ends = paired.filter("end = 1").select("doc_id", "pos", F.first(place).over(over).alias("first"), F.lag(end).over(over).alias("near"))
-    linked = ends.filter("near is not null").withColumn("of", F.explode(F.array_distinct(F.array("first", "near"))))
-    return paired.filter("end = 0").select(*columns).unionAll(
-        linked.select("doc_id", F.col("of.doc_id").alias("src_id"), "pos", F.col("of.pos").alias("src_pos")))
+    ends = pairs.filter("kind = 1").select("h", "block", "doc_id", "pos", F.first(place).over(over).alias("first"), F.lag(end).over(over).alias("near"))
+    to_first = pairs.filter("kind = 0").select("h", "block", "doc_id", "pos").join(ends.select("h", "block", "first"), ["h", "block"])
+    first = to_first.select("doc_id", F.col("first.doc_id").alias("src_id"), "pos", F.col("first.pos").alias("src_pos")).filter("doc_id != src_id")
+    near = ends.filter(F.col("near").isNotNull() & (F.lit(every) | F.expr("h & 1 = 0"))).select("doc_id", F.col("near.doc_id").alias("src_id"), "pos", F.col("near.pos").alias("src_pos"))
+    return first.unionAll(pairs.filter("kind = 2").select(*columns)).unionAll(near)
+
+
+def crowd_table(pairs: DataFrame) -> bytes | None:
+    """Bits of the crowded keys of ``pairs``, whose rows don't all meet each other: of more than MET rows, or with several in a document."""
+    crowded = pairs.filter("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > MET)
+    slot = F.col("h").bitwiseAND(F.lit(2**CROWD_BITS - 1))
+    bits = crowded.select(F.shiftright(slot, 3).alias("at"), F.expr("shiftleft(1, cast(h & 7 as int)) as bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # no more rows than the table has bytes
+    if not found.num_rows:
+        return None
+    table = np.zeros(2**CROWD_BITS // 8, np.uint8)
+    table[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return table.tobytes()
+
+
+def block_bounds(docs: DataFrame) -> list[int]:
+    """First ids of the blocks of about BLOCK documents after the first, however the ids lie."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    blocks = -(-ids.count() // BLOCK)
+    if blocks < 2:
+        return []
+    return sorted(set(ids.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0]))
 
 
 def best_chains(pos: np.ndarray, src: np.ndarray) -> list[list[int]]:
@@ -199,26 +317,50 @@ def best_chains(pos: np.ndarray, src: np.ndarray) -> list[list[int]]:
     return chains
 
 
+def _thinned(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
+    """Sorted matches without equal rows, and of those that go on word by word the ends and every WINDOW-th; and whether a match may
+    stand alone, as the words on one side of it are the same."""
+    equal = pos ^ src
+    whole = ((equal & 0xFFFF == 0) & (pos & 0xFFFF > 0)) | ((equal >> 16 & 0xFFFF == 0) & (pos >> 16 & 0xFFFF > 0))
+    pos, src = (c >> 32 for c in (pos, src))
+    order = np.lexsort((~whole, src, pos, source, doc))
+    doc, source, pos, src, whole = (c[order] for c in (doc, source, pos, src, whole))
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (pos[1:] != pos[:-1]) | (src[1:] != src[:-1])
+    doc, source, pos, src, whole = (c[new] for c in (doc, source, pos, src, whole))
+    on = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (pos[1:] == pos[:-1] + 1) & (src[1:] == src[:-1] + 1)
+    kept = ~(np.append(False, on) & np.append(on, False)) | (pos % WINDOW == 0)
+    return [c[kept] for c in (doc, source, pos.astype(np.int32), src.astype(np.int32), whole)]
+
+
+def _longest(own: list[list[int]], pos: np.ndarray) -> list[list[int]]:
+    """Chains whose places longer ones from the same source have not covered."""
+    covered, out = set(), []
+    for chain in sorted(own, key=lambda c: (-len(c), pos[c[0]])):
+        if not set(pos[chain].tolist()) <= covered:
+            covered |= set(pos[chain].tolist())
+            out.append(chain)
+    return out
+
+
 def chains(found: DataFrame) -> DataFrame:
-    """``chain, doc_id, src_id, pos, src_pos`` (arrays of the chain's places) for documents that share two seeds or more.
+    """``chain, doc_id, src_id, pos, src_pos`` (arrays of the chain's places) for documents that share a key or more.
 
-    A passage of LEAST_WORDS has two seeds at least.  A group is what one document shares with others, which its own length
-    bounds.  Longer chains come first; a chain whose places longer ones have covered is left out.
+    A group is what one document shares with others, which its own length bounds.  All chains go on to be verified, as one that
+    covers another may fail; but not a lone seed with other words on both sides.  A passage has 24 equal words in a row or more, whose seeds
+    have BESIDE equal words on a side at least.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in runs(batches, ["doc_id"]):
-            doc, source, pos, src = (table.column(c).to_numpy() for c in ("doc_id", "src_id", "pos", "src_pos"))
+        for table, _ in runs(batches, ["doc_id"]):
+            doc, source, pos, src, whole = _thinned(*(table.column(c).to_numpy() for c in ("doc_id", "src_id", "pos", "src_pos")))
+            bounds = np.concatenate([[0], 1 + np.flatnonzero(np.diff(doc)), [len(doc)]])
             rows = []
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 cuts = [start, *(start + 1 + np.flatnonzero(np.diff(source[start:stop]))).tolist(), stop]
-                own = [a + np.array(c) for a, b in zip(cuts, cuts[1:]) if b - a > 1 for c in best_chains(pos[a:b], src[a:b])]
-                covered: set[int] = set()
-                for chain in sorted(own, key=lambda c: (-len(c), source[c[0]], pos[c[0]])):
-                    places = set(pos[chain].tolist())
-                    if not places <= covered:
-                        covered |= places
-                        rows.append((doc[start], source[chain[0]], pos[chain], src[chain]))
+                for a, b in zip(cuts, cuts[1:]):
+                    own = best_chains(pos[a:b], src[a:b]) if b - a > 1 else [[0]]
+                    rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in _longest(own, pos[a:b]) if len(c) > 1]
             for k in range(0, len(rows), 4096):
                 part = list(zip(*rows[k : k + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *(pa.array(c, pa.list_(pa.int32())) for c in part[2:])], names=["doc_id", "src_id", "pos", "src_pos"])
@@ -316,39 +458,27 @@ def repeated(docs: DataFrame) -> DataFrame:
     ``docs`` that stands in an earlier document (by doc_id) as well.
 
     A passage has LEAST_WORDS words or more; of its five-word shingles and those of its counterpart, a share of SIMILARITY is
-    common to both.  Every seed is held against its first place in the corpus, so work grows with the seeds, not with the pairs of
+    common to both.  Every seed is held against its first place in the corpus and the document before, and where that leaves documents
+    unmet, every run of LEAST_WORDS words and pairs of seeds as well, so work grows with the seeds, not with the pairs of
     documents that share a passage.  A document that repeats many others has a row for each passage; one that
     repeats nothing has none.  Null ids and null, empty or short texts have no passages; rows that repeat a doc_id are one document, whose
     passages aren't held against each other; other columns are left out.
     """
     ship(docs.sparkSession)
-    block = F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS)
-    several = docs.agg((F.min(block) != F.max(block)).alias("several")).first()["several"]
-    linked = chains(matches(seeds(docs), bool(several)))
+    bounds = block_bounds(docs)
+    pairs = paired(seeds(docs), bounds, True)
+    met = matches(pairs, bool(bounds), True)
+    linked = chains(met)
 
     def side(which: int, key: str, places: str) -> DataFrame:
         start, end = F.greatest(F.get(places, F.lit(0)) - MARGIN, F.lit(0)), F.element_at(places, -1) + SEED + MARGIN
         own = [F.when(F.lit(which == 0), F.col(c)).alias(c) for c in ("doc_id", "src_id", "pos", "src_pos")]
         return linked.select(F.col(key).alias("at"), "chain", F.lit(which).alias("side"), start.alias("start"), end.alias("end"), *own)
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's part of the text; rows of one text follow each other, so it is taken apart once."""
-        now, held, split = None, None, []
-        for batch in batches:
-            at, start, end = (batch.column(c).to_numpy() for c in ("at", "start", "end"))
-            said = []
-            for k in range(batch.num_rows):
-                text = batch.column("text")[k].as_buffer()
-                if at[k] != now or not text.equals(held):
-                    now, held, split = at[k], text, text.to_pybytes().split()
-                said.append(b" ".join(split[start[k] : end[k]]).decode())
-            rest = [batch.column(c) for c in ("chain", "side", "doc_id", "src_id", "pos", "src_pos")]
-            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), *rest], names=["said", "chain", "side", "doc_id", "src_id", "pos", "src_pos"])
-
     wanted = side(0, "doc_id", "pos").unionAll(side(1, "src_id", "src_pos"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("at"), "text").filter("doc_id is not null and text is not null")
-    read = texts.join(wanted, "at").mapInArrow(
-        slices, "said string, chain long, side int, doc_id long, src_id long, pos array<int>, src_pos array<int>")
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("at"), words(F.col("text")).alias("words"))
+    said = F.array_join(F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")), " ")  # taken apart once, and no whole text goes to Python
+    read = texts.join(wanted, "at").select(said.alias("said"), "chain", "side", "doc_id", "src_id", "pos", "src_pos")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ["chain"]):
@@ -366,7 +496,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "start_word", "n_words", "first_doc_id", "first_start_word", "first_n_words"]
     schema = pa.schema([*((n, pa.int64()) for n in names), ("similarity", pa.float64())])
     ordered = read.repartition("chain").sortWithinPartitions("chain", "side", "said")
-    return ordered.mapInArrow(align, ", ".join(f"{n} long" for n in names) + ", similarity double").distinct()
+    shape = ", ".join(f"{n} long" for n in names) + ", similarity double"
+    return ordered.mapInArrow(align, shape).distinct()
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

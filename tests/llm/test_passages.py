@@ -105,3 +105,19 @@ def test_every_exact_window_is_covered_on_the_tables(spark, table):
             if seen.setdefault(tuple(words[k : k + 51]), r.doc_id) != r.doc_id:
                 missed += not set(range(k, k + 51)) <= covered.get(r.doc_id, set())
     assert missed == 0
+
+
+
+def test_blocks_of_ids_only_split_the_work(documents, monkeypatch):
+    docs = []
+    for k in range(8):
+        one, two = some_words(300 + k, 30), some_words(400 + k, 30)
+        parts = [[one, some_words(1, 5), two], [one], [two], [one, two], [two, one], [one, two]]
+        docs += [(1000 * i + k, text(some_words(500 + 10 * k + i, 40), *p)) for i, p in enumerate(parts)]
+    docs = documents(*docs)
+    whole = sorted(passages.repeated(docs).collect())
+    assert len(passages.block_bounds(docs)) == 0
+    for block in (3, 7, 20):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        assert len(passages.block_bounds(docs)) == -(-48 // block) - 1
+        assert sorted(passages.repeated(docs).collect()) == whole
