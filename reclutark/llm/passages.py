@@ -467,7 +467,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     bounds = block_bounds(docs)
     pairs = paired(seeds(docs), bounds, True)
-    met = matches(pairs, bool(bounds), True)
+    met, crowd = matches(pairs, bool(bounds), True), crowd_table(pairs)
+    if crowd is not None:
+        longer = paired(seeds(docs, docs.sparkSession.sparkContext.broadcast(crowd)), bounds, False)
+        met = met.unionAll(matches(longer, bool(bounds), False))
     linked = chains(met)
 
     def side(which: int, key: str, places: str) -> DataFrame:

@@ -108,6 +108,17 @@ def test_every_exact_window_is_covered_on_the_tables(spark, table):
 
 
 
+def test_lines_that_others_hold_alone_do_not_hide_the_document_of_both(documents):
+    """Every seed and every line is first, and last before, in a document that holds one line alone."""
+    lost = []
+    for k in range(30):
+        one, two = some_words(100 + k, 25), some_words(200 + k, 25)
+        alone = [(10 * k + i, text(some_words(5000 + 10 * k + i, 30), (one, two)[i % 2], some_words(7000 + 10 * k + i, 30))) for i in (1, 2, 4, 5, 6, 7)]
+        lost += [*alone, (10 * k + 3, text(one, two)), (10 * k + 9, text(some_words(9000 + k, 20), one, two))]
+    found = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id) for r in passages.repeated(documents(*lost)).collect()}
+    assert {(10 * k + 9, 20, 50, 10 * k + 3) for k in range(30)} <= found
+
+
 def test_blocks_of_ids_only_split_the_work(documents, monkeypatch):
     docs = []
     for k in range(8):
