@@ -333,16 +333,6 @@ def _thinned(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, src: np.ndarr
     return [c[kept] for c in (doc, source, pos.astype(np.int32), src.astype(np.int32), whole)]
 
 
-def _longest(own: list[list[int]], pos: np.ndarray) -> list[list[int]]:
-    """Chains whose places longer ones from the same source have not covered."""
-    covered, out = set(), []
-    for chain in sorted(own, key=lambda c: (-len(c), pos[c[0]])):
-        if not set(pos[chain].tolist()) <= covered:
-            covered |= set(pos[chain].tolist())
-            out.append(chain)
-    return out
-
-
 def chains(found: DataFrame) -> DataFrame:
     """``chain, doc_id, src_id, pos, src_pos`` (arrays of the chain's places) for documents that share a key or more.
 
@@ -360,7 +350,7 @@ def chains(found: DataFrame) -> DataFrame:
                 cuts = [start, *(start + 1 + np.flatnonzero(np.diff(source[start:stop]))).tolist(), stop]
                 for a, b in zip(cuts, cuts[1:]):
                     own = best_chains(pos[a:b], src[a:b]) if b - a > 1 else [[0]]
-                    rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in _longest(own, pos[a:b]) if len(c) > 1]
+                    rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in own if len(c) > 1]
             for k in range(0, len(rows), 4096):
                 part = list(zip(*rows[k : k + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *(pa.array(c, pa.list_(pa.int32())) for c in part[2:])], names=["doc_id", "src_id", "pos", "src_pos"])
@@ -500,7 +490,22 @@ def repeated(docs: DataFrame) -> DataFrame:
     schema = pa.schema([*((n, pa.int64()) for n in names), ("similarity", pa.float64())])
     ordered = read.repartition("chain").sortWithinPartitions("chain", "side", "said")
     shape = ", ".join(f"{n} long" for n in names) + ", similarity double"
-    return ordered.mapInArrow(align, shape).distinct()
+    passed = ordered.mapInArrow(align, shape).repartition("doc_id")
+    return passed.sortWithinPartitions("doc_id", "start_word", F.desc("n_words"), *names[3:]).mapInArrow(_uncovered, shape)
+
+
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of a document that no other one holds; they come by start, the longest first, of equal ones the first source."""
+    now, reached = None, 0
+    for batch in batches:
+        kept = []
+        for k, (doc, start, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start_word", "n_words")))):
+            if doc != now:
+                now, reached = doc, 0
+            if start + n > reached:
+                reached = start + n
+                kept.append(k)
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

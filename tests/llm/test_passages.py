@@ -132,3 +132,14 @@ def test_blocks_of_ids_only_split_the_work(documents, monkeypatch):
         monkeypatch.setattr(passages, "BLOCK", block)
         assert len(passages.block_bounds(docs)) == -(-48 // block) - 1
         assert sorted(passages.repeated(docs).collect()) == whole
+
+
+def test_a_chain_that_fails_does_not_hide_an_equal_one(documents):
+    """The first document's version has three other words, mostly where no seed is kept."""
+    rows, wanted = [], set()
+    for k in range(40):
+        shared = some_words(600 + k, 60)
+        other = [*shared[:28], "x", "y", "z", *shared[31:]]
+        rows += [(10 * k + 1, text(some_words(1600 + k, 40), other)), (10 * k + 2, text(some_words(2600 + k, 40), shared)), (10 * k + 3, text(some_words(3600 + k, 40), shared))]
+        wanted.add((10 * k + 3, 40, 60, 10 * k + 2))
+    assert wanted <= {(r.doc_id, r.start_word, r.n_words, r.first_doc_id) for r in passages.repeated(documents(*rows)).collect()}
