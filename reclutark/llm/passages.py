@@ -30,9 +30,6 @@ GAP_COST, WIDEST_GAP = 0.01, 40
 #: Words beyond a chain's ends that are looked at: seeds of longer equal runs would be in the chain.
 MARGIN = 48
 
-#: Equal words that outweigh a changed one; the stricter value serves where the first leaves too little alike.
-CHANGE_COSTS = (20, 40)
-
 #: Documents of a block, about: a seed has no more of them in one task.
 BLOCK = 2**20
 
@@ -350,7 +347,7 @@ def chains(found: DataFrame) -> DataFrame:
                 cuts = [start, *(start + 1 + np.flatnonzero(np.diff(source[start:stop]))).tolist(), stop]
                 for a, b in zip(cuts, cuts[1:]):
                     own = best_chains(pos[a:b], src[a:b]) if b - a > 1 else [[0]]
-                    rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in own if len(c) > 1]
+                    rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in own if len(c) > 1 or whole[a + c[0]]]
             for k in range(0, len(rows), 4096):
                 part = list(zip(*rows[k : k + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *(pa.array(c, pa.list_(pa.int32())) for c in part[2:])], names=["doc_id", "src_id", "pos", "src_pos"])
@@ -404,45 +401,35 @@ def _extended(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
 
 
 def similar_spans(a: list[str], b: list[str], aligned: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start, end, start and end in the source, similarity) among aligned runs: as long as the equal words outweigh the
-    changes between them."""
-    for cost in CHANGE_COSTS:
-        out, failed = [], False
-        for s, e, t, u in _segments(aligned, cost):
-            if max(e - s, u - t) >= LEAST_WORDS:
-                alike = _similarity(a[s:e], b[t:u])
-                if alike >= SIMILARITY:
-                    out.append((s, e, t, u, alike))
-                else:
-                    failed = True
-        if not failed:
+    """Passages (start, end, start and end in the source, similarity) from a run of equal words to another: from each run on the
+    longest that has the words and the similarity, unless one from an earlier run holds it."""
+    out, reached = [], -1
+    grams = [[tuple(s[k : k + SEED]) for k in range(len(s) - SEED + 1)] for s in (a, b)]
+    for i, (s, t, _) in enumerate(aligned):
+        if reached == len(aligned) - 1:
             break
+        x, y = set(), set()
+        p, q, best, both = s, t, None, 0
+        for j in range(i, len(aligned)):
+            e, u = (aligned[j][k] + aligned[j][2] for k in (0, 1))
+            for gram in grams[0][p : max(p, e - SEED + 1)]:
+                if gram not in x:
+                    x.add(gram)
+                    both += gram in y
+            for gram in grams[1][q : max(q, u - SEED + 1)]:
+                if gram not in y:
+                    y.add(gram)
+                    both += gram in x
+            p, q = max(p, e - SEED + 1), max(q, u - SEED + 1)
+            alike = both / max(1, len(x) + len(y) - both)
+            if max(e - s, u - t) >= LEAST_WORDS and alike >= SIMILARITY:
+                best = j, (s, e, t, u, alike)
+        if best and best[0] > reached:
+            reached = best[0]
+            out.append(best[1])
     return out
 
 
-def _segments(aligned: list[tuple[int, int, int]], cost: int) -> Iterator[tuple[int, int, int, int]]:
-    k = 0
-    while k < len(aligned):
-        first = last = aligned[k]
-        score = best = first[2]
-        end = k
-        for i in range(k + 1, len(aligned)):
-            (x, y, m), (u, v, n) = aligned[i - 1], aligned[i]
-            score -= cost * max(u - x - m, v - y - m)
-            if score <= 0:
-                break
-            score += n
-            if score > best:
-                last, best, end = aligned[i], score, i
-        yield first[0], last[0] + last[2], first[1], last[1] + last[2]
-        k = end + 1
-
-
-def _similarity(a: list[str], b: list[str]) -> float:
-    x, y = ({tuple(s[k : k + SEED]) for k in range(len(s) - SEED + 1)} for s in (a, b))
-    return len(x & y) / max(1, len(x | y))
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, start_word, n_words, first_doc_id, first_start_word, first_n_words, similarity`` for every passage of
     ``docs`` that stands in an earlier document (by doc_id) as well.

@@ -143,3 +143,15 @@ def test_a_chain_that_fails_does_not_hide_an_equal_one(documents):
         rows += [(10 * k + 1, text(some_words(1600 + k, 40), other)), (10 * k + 2, text(some_words(2600 + k, 40), shared)), (10 * k + 3, text(some_words(3600 + k, 40), shared))]
         wanted.add((10 * k + 3, 40, 60, 10 * k + 2))
     assert wanted <= {(r.doc_id, r.start_word, r.n_words, r.first_doc_id) for r in passages.repeated(documents(*rows)).collect()}
+
+
+def test_a_change_anywhere_in_51_words_leaves_the_passage(documents):
+    rows = []
+    for at in range(51):
+        shared = some_words(800 + at, 51)
+        rows += [(2 * at, text(some_words(1800 + at, 30), shared, some_words(2800 + at, 30))),
+                 (2 * at + 1, text(some_words(3800 + at, 30), [*shared[:at], "changed", *shared[at + 1 :]], some_words(4800 + at, 30)))]
+    found = {r.doc_id: r for r in passages.repeated(documents(*rows)).collect()}
+    for at in range(51):
+        r = found[2 * at + 1]
+        assert r.start_word <= 30 + (at + 1 if at < 3 else 0) and r.start_word + r.n_words >= 81 - (51 - at if at > 47 else 0) and r.similarity >= 0.8
