@@ -456,8 +456,10 @@ def repeated(docs: DataFrame) -> DataFrame:
         return linked.select(F.col(key).alias("at"), "chain", F.lit(which).alias("side"), start.alias("start"), end.alias("end"), *own)
 
     wanted = side(0, "doc_id", "pos").unionAll(side(1, "src_id", "src_pos"))
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("at"), words(F.col("text")).alias("words"))
-    said = F.array_join(F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")), " ")  # taken apart once, and no whole text goes to Python
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("at"), words(F.col("text")).alias("words")).select(
+        "at", F.array_join("words", " ").alias("text"), F.size("words").alias("n"))
+    # Words from start to end of a text with one blank between words: no whole text is taken apart again, and none goes to Python.
+    said = F.expr("substring_index(substring_index(text, ' ', least(end, n)), ' ', -greatest(least(end, n) - start, 0))")
     read = texts.join(wanted, "at").select(said.alias("said"), "chain", "side", "doc_id", "src_id", "pos", "src_pos")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
