@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, itq, language, mixing, outliers, passages, preference, rules, simhash, sql, token_counts
+from reclutark.llm import bpe, itq, language, mixing, outliers, passages, preference, prefix_trie, rules, simhash, sql, token_counts
 from reclutark.llm.common import crc_fold, ship
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,9 +76,18 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference, op2_passages, op3_mixing, op4_outliers, op5_rules, op6_simhash, op7_bpe, op8_token_counts, op9_language, op10_itq)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_preference, op2_passages, op3_mixing, op4_outliers, op5_rules, op6_simhash, op7_bpe, op8_token_counts, op9_language, op10_itq, op11_prefix_trie,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference": sql.PREFERENCE, "op3_mixing": sql.mixing(DOMAINS, MIXTURE_WEIGHTS)}
+    return {"op1_preference": sql.PREFERENCE, "op3_mixing": sql.mixing(DOMAINS, MIXTURE_WEIGHTS), "op11_prefix_trie": sql.PREFIX_TRIE}

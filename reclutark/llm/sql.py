@@ -100,3 +100,47 @@ select doc_id, domain, lang, source, cast(n_tokens as bigint) as n_tokens, epoch
   select doc_id, domain, lang, source, n_tokens, cast(epochs as bigint) from sums where rest > 0 and sum_tokens <= rest)
 """)
     return ",".join(parts[:-1]) + "," + parts[-1]
+
+#: A path is the string of its turns' digests, 32 characters each; ancestors of a path are its beginnings.
+PREFIX_TRIE = r"""
+with told as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), turns as (
+  select conv_id, turn, md5(concat(length(role), ':', role, text)) as t,
+    len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words
+  from told
+), own as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, t) as pos from turns
+), convs as (
+  select conv_id, conv_id - conv_id % 20 as base, xor(list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))
+  ), 4294967295) % 4 as h
+  from (select distinct conv_id from own)
+), rebuilt as (
+  select c.conv_id, o.pos, o.t, o.words from convs c join own o on o.conv_id = c.base and o.pos <= c.h
+  union all
+  select c.conv_id, o.pos + 1000000, o.t, o.words from convs c join own o on o.conv_id = c.conv_id and o.pos > c.h
+), paths as (
+  select conv_id, row_number() over w as depth, string_agg(t, '') over w as path, words, count(*) over (partition by conv_id) as n
+  from rebuilt window w as (partition by conv_id order by pos)
+  union all
+  select c.conv_id, 0, '', 0, (select count(*) from rebuilt r where r.conv_id = c.conv_id) from convs c
+), nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(words) as saved,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256
+  from paths group by path, depth
+), families as (
+  select p.conv_id, p.depth, count(k.path) as n_children
+  from nodes p left join nodes k on k.depth = p.depth + 1 and left(k.path, 32 * p.depth) = p.path group by all
+), above as (
+  select left(path, 32 * unnest(range(depth + 1))) as path, saved, n_children
+  from nodes join families using (conv_id, depth)
+), below as (
+  select path, count_if(n_children = 0) as n_leaves, sum(saved) as saved_tokens from above group by path
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, f.n_children, b.n_leaves::bigint as n_leaves,
+  b.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from nodes n join families f using (conv_id, depth) join below b using (path)
+left join nodes p on p.depth = n.depth - 1 and p.path = left(n.path, 32 * (n.depth - 1)) and n.depth > 0
+"""
