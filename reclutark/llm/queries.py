@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reclutark.llm import bpe, itq, language, mixing, outliers, passages, preference, prefix_trie, rules, simhash, sql, token_counts, whitening
+from reclutark.llm import backoff, bpe, itq, language, mixing, outliers, passages, preference, prefix_trie, rules, simhash, sql, token_counts, whitening
 from reclutark.llm.common import crc_fold, ship
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +80,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 10) == 0)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -89,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_preference, op2_passages, op3_mixing, op4_outliers, op5_rules, op6_simhash, op7_bpe, op8_token_counts, op9_language, op10_itq, op11_prefix_trie,
-            op13_whitening,
+            op12_backoff, op13_whitening,
         )
     }
 
