@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from reclutark import catalogs
 from reclutark.sources import fixtures as fx
 
@@ -275,7 +277,7 @@ def _kind(column: str, expression: str) -> str:
     return f"CAST({expression} AS STRING)" if column == "vacantes_contratados" else expression
 
 
-def _import_upsert() -> str:
+def _import_body() -> str:
     def updated(c: str) -> str:
         value = f"m.{c}"
         if c == "comentarios_vacante":
@@ -289,12 +291,34 @@ def _import_upsert() -> str:
             return f"CASE WHEN filas > 1 THEN {_FOLDED.format(c)} ELSE {c} END AS {c}"
         return f"{_kind(c, f'CAST({c} AS INT)' if c == 'vacantes_solicitadas' else c)} AS {c}"
 
-    return _sql(
-        f", {_MATCHED} SELECT v.id, v.id_registro, {', '.join(updated(c) for c in _PAYLOAD)}, v.confidencial "
+    return (
+        f"{_MATCHED} SELECT v.id, v.id_registro, {', '.join(updated(c) for c in _PAYLOAD)}, v.confidencial "
         "FROM vacantes v LEFT JOIN casadas m ON m.id_vacante = v.id UNION ALL "
         "SELECT (SELECT MAX(id) FROM vacantes) + 1 + primera AS id, "
         "(SELECT MAX(id) FROM registros_rh) + 1 + primera AS id_registro, "
-        f"{', '.join(inserted(c) for c in _PAYLOAD)}, NULL AS confidencial FROM casadas WHERE id_vacante IS NULL",
+        f"{', '.join(inserted(c) for c in _PAYLOAD)}, NULL AS confidencial FROM casadas WHERE id_vacante IS NULL"
+    )
+
+
+def _import_upsert() -> str:
+    return _sql(f", {_import_body()}", "vacantes", "registros_rh", "importacion")
+
+
+def _import_twice() -> str:
+    """The rows of one status first, the others into the outcome."""
+
+    def step(staged: str, vacancies: str, master: str) -> str:
+        body = _import_body()
+        for name, stands_for in (("importacion", staged), ("vacantes", vacancies), ("registros_rh", master)):
+            body = re.sub(rf"FROM {name}\b", f"FROM {stands_for}", body)
+        return f"(WITH {body})"
+
+    status = "\"Estatus De Solicitud\" = 'Finalizado'"
+    return _sql(
+        f", primeras_filas AS (SELECT * FROM importacion WHERE {status}), otras_filas AS (SELECT * FROM importacion WHERE NOT {status}), "
+        f"uno AS {step('primeras_filas', 'vacantes', 'registros_rh')}, "
+        "maestra_uno AS (SELECT id FROM registros_rh UNION ALL SELECT id_registro FROM uno), "
+        f"dos AS {step('otras_filas', 'uno', 'maestra_uno')} SELECT * FROM dos",
         "vacantes", "registros_rh", "importacion",
     )
 
@@ -752,13 +776,8 @@ def oracle_sql() -> dict[str, str]:
             "tipo_reclutamiento_vacante": _of_filled("tipo_reclutamiento_vacante"),
             "medio_reclutamiento_vacante": _of_filled("medio_reclutamiento_vacante"),
         }, fx.VACANTES),
-        "edit_vacancies": _sql(
-            "SELECT * REPLACE ("
-            "CASE WHEN estatus_solicitud = 'PENDIENTE' THEN 'EN PRUEBA TECNICA' ELSE fase_proceso END AS fase_proceso, "
-            "CASE WHEN estatus_solicitud = 'PENDIENTE' THEN CASE WHEN confidencial = 'SI' THEN 'SEGUN PLAN, ÑANDU' END "
-            "ELSE comentarios_vacante END AS comentarios_vacante) FROM vacantes",
-            "vacantes",
-        ),
+        "edit_vacancies": _edit_vacancies(),
+        "patch_partitioned": _edit_vacancies(),
         "edit_leavers": _sql(
             "SELECT * REPLACE (CASE WHEN tipo_baja = 'VOLUNTARIA' THEN CONCAT(upper(motivo_baja), ' POR DECISION PROPIA') "
             "ELSE motivo_baja END AS motivo_baja) FROM bajas",
@@ -784,9 +803,15 @@ def oracle_sql() -> dict[str, str]:
             "WHERE id_sistema IN (SELECT id_sistema FROM limpia WHERE id_sistema IS NOT NULL)",
             "vacantes", "importacion",
         ),
+        "lookup_pruned": _sql(
+            f", {_CLEANSED} SELECT id, id_sistema, puesto_vacante, fase_proceso FROM vacantes "
+            "WHERE id_sistema IN (SELECT id_sistema FROM limpia WHERE id_sistema IS NOT NULL AND motivo IS NOT NULL)",
+            "vacantes", "importacion",
+        ),
         "import_cleansed": _sql(f", {_CLEANSED} SELECT * FROM limpia", "importacion"),
         "import_upsert": _import_upsert(),
         "import_master": _import_master(),
+        "import_commit": _import_twice(),
         "import_report": _sql(
             f", {_MATCHED} SELECT CAST(SUM(CASE WHEN id_vacante IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nuevos, "
             "CAST(SUM(CASE WHEN id_vacante IS NULL THEN filas - 1 ELSE filas END) AS BIGINT) AS actualizados, "
@@ -831,6 +856,16 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def _edit_vacancies() -> str:
+    return _sql(
+        "SELECT * REPLACE ("
+        "CASE WHEN estatus_solicitud = 'PENDIENTE' THEN 'EN PRUEBA TECNICA' ELSE fase_proceso END AS fase_proceso, "
+        "CASE WHEN estatus_solicitud = 'PENDIENTE' THEN CASE WHEN confidencial = 'SI' THEN 'SEGUN PLAN, ÑANDU' END "
+        "ELSE comentarios_vacante END AS comentarios_vacante) FROM vacantes",
+        "vacantes",
+    )
+
+
 def _outside_catalogs() -> str:
     def odd(column: str, allowed: tuple[str, ...]) -> str:
         listed = ", ".join(f"'{v}'" for v in allowed)

@@ -15,6 +15,7 @@ from reclutark.operators import series, tableview
 from reclutark.plans import annual, conversations, files, hires, listings, overview, sla, vacancies
 from reclutark.session import scratch_folder
 from reclutark.sources import fixtures as fx, ingest, tables
+from reclutark.sources.versions import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -557,16 +558,19 @@ def append_vacancies(spark, d):
     return ingest.append_vacancies(_incoming(stored, "puesto_vacante"), fx.registros_rh(spark, d), stored).child
 
 
-@query
-def edit_vacancies(spark, d):
-    stored = fx.vacantes(spark, d)
-    edits = stored.where("estatus_solicitud = 'PENDIENTE'").select(
+def _vacancy_edits(stored: DataFrame) -> DataFrame:
+    return stored.where("estatus_solicitud = 'PENDIENTE'").select(
         "id",
         F.lit("En prueba técnica").alias("fase_proceso"),
         F.concat(F.lit(" "), F.col("puesto_vacante"), F.lit("\t")).alias("puesto_vacante"),
         F.when(F.col("confidencial") == "SI", F.lit("Según plan, ñandú")).alias("comentarios_vacante"),
     )
-    return ingest.edit_vacancies(stored, edits)
+
+
+@query
+def edit_vacancies(spark, d):
+    stored = fx.vacantes(spark, d)
+    return ingest.edit_vacancies(stored, _vacancy_edits(stored))
 
 
 @query
@@ -669,6 +673,51 @@ def drop_folder_import(spark, d):
     return ingest.plan_import(staged, fx.vacantes(spark, d), fx.registros_rh(spark, d), AT).vacancies
 
 
+#: Partitions by hash of the stored tables below.
+BUCKETS = 16
+
+
+def _store(spark, d, *names: str, index: tuple[str, ...] = ()) -> Store:
+    """The named tables in a new store, by hash of their id."""
+    store = Store(spark, _scratch(spark))
+    change = store.begin()
+    for name in names:
+        change.put(name, getattr(fx, name)(spark, d), "id", BUCKETS, index)
+    change.commit()
+    return store
+
+
+@query
+def import_commit(spark, d):
+    """Two imports into a store, each one version; between them one that ends before it is committed."""
+    store, staged = _store(spark, d, "vacantes", "registros_rh"), fx.importacion(spark, d)
+    first = F.col("Estatus De Solicitud") == "Finalizado"
+    ingest.commit_import(store, staged.where(first), AT)
+    broken = store.begin()
+    broken.put("vacantes", store.read("vacantes").limit(1), "id", BUCKETS)
+    ingest.commit_import(store, staged.where(~first), AT)
+    return store.read("vacantes")
+
+
+@query
+def patch_partitioned(spark, d):
+    """The edits of ``edit_vacancies`` as a new version of a table that is stored by hash of its id."""
+    store = _store(spark, d, "vacantes")
+    change = store.begin()
+    edits = ingest.vacancy_edits(_vacancy_edits(store.read("vacantes")))
+    change.patch("vacantes", edits, [c for c in edits.columns if c != "id"])
+    change.commit()
+    return store.read("vacantes")
+
+
+@query
+def lookup_pruned(spark, d):
+    """Stored vacancies of refused import rows, by the key's index of files."""
+    refused = ingest.cleanse(fx.importacion(spark, d)).where("motivo is not null")
+    found = _store(spark, d, "vacantes", index=("id_sistema",)).lookup("vacantes", "id_sistema", refused)
+    return found.select("id", "id_sistema", "puesto_vacante", "fase_proceso")
+
+
 @query
 def pivot_export(spark, d):
     """The pivot of openings, exported and read back."""

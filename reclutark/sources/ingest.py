@@ -12,6 +12,7 @@ from reclutark.functions import coerce, measures, text
 from reclutark.operators import changes, series
 from reclutark.session import cut_lineage
 from reclutark.sources.tables import write_table
+from reclutark.sources.versions import Store
 
 MASTER_COLUMNS = ("puesto", "empresa", "plaza", "area")
 
@@ -179,12 +180,17 @@ def edit_vacancies(vacancies: DataFrame, edits: DataFrame) -> DataFrame:
 
     Stage and comments are folded to plain capitals, the position loses its outer blanks.
     """
+    return _overlaid(vacancies, vacancy_edits(edits))
+
+
+def vacancy_edits(edits: DataFrame) -> DataFrame:
+    """Edits of vacancies as they are stored."""
     rules = {
         "fase_proceso": text.fold_accents(F.col("fase_proceso")),
         "comentarios_vacante": text.fold_accents(F.col("comentarios_vacante")),
         "puesto_vacante": text.strip(F.col("puesto_vacante")),
     }
-    return _edit(vacancies, edits, rules)
+    return _ruled(edits, rules)
 
 
 def edit_leavers(leavers: DataFrame, edits: DataFrame) -> DataFrame:
@@ -193,7 +199,7 @@ def edit_leavers(leavers: DataFrame, edits: DataFrame) -> DataFrame:
         **{c: text.strip(F.col(c)) for c in ("empresa_baja", "puesto_baja", "plaza_baja", "tipo_baja")},
         "motivo_baja": text.fold_accents(text.strip(F.col("motivo_baja"))),
     }
-    return _edit(leavers, edits, rules)
+    return _overlaid(leavers, _ruled(edits, rules))
 
 
 def update_vacancies(vacancies: DataFrame, rows: DataFrame) -> DataFrame:
@@ -227,10 +233,13 @@ def update_master(master: DataFrame, rows: DataFrame) -> DataFrame:
     return changes.overlay(master, rows.withColumns(cells), "id", MASTER_COLUMNS)
 
 
-def _edit(table: DataFrame, edits: DataFrame, rules: dict[str, Column]) -> DataFrame:
+def _ruled(edits: DataFrame, rules: dict[str, Column]) -> DataFrame:
     cells = {name: rule for name, rule in rules.items() if name in edits.columns}
-    columns = [c for c in edits.columns if c != "id"]
-    return changes.overlay(table, edits.withColumns(cells) if cells else edits, "id", columns)
+    return edits.withColumns(cells) if cells else edits
+
+
+def _overlaid(table: DataFrame, edits: DataFrame) -> DataFrame:
+    return changes.overlay(table, edits, "id", [c for c in edits.columns if c != "id"])
 
 
 WHOLE_COLUMNS = ("id_sistema", "vacantes_solicitadas", "vacantes_contratados")
@@ -297,9 +306,9 @@ def _has_key() -> Column:
 def match_import(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     """One row per imported vacancy: its first and last valid row, how many rows it had, and the stored match.
 
-    Per key three whole numbers are aggregated, which combine before the shuffle; the last row of a key is fetched by its
-    number.  Rows without a key (missing or 0) stand for themselves and go round the aggregate, so neither kind
-    gathers in one task.  Of stored duplicates the one with the smallest id matches.
+    Per key three whole numbers are aggregated, which combine before the shuffle; the last row of a key is fetched by its key and
+    number, so that rows of a hot key are spread.  Rows without a key (missing or 0) stand for themselves: they go round the aggregate and the join, and
+    are not shuffled.  Of stored duplicates the one with the smallest id matches.
     """
     valid = rows.where(F.col("motivo").isNull())
     keyed = F.coalesce(_has_key(), F.lit(False))
@@ -309,18 +318,19 @@ def match_import(rows: DataFrame, vacancies: DataFrame) -> DataFrame:
     )
     stored = vacancies.where(_has_key()).select("id", "id_registro", "id_sistema")
     smallest = stored.groupBy("id_sistema").agg(F.min("id").alias("id_vacante"))
-    linked = per_key.join(smallest, "id_sistema", "left").drop("id_sistema")
+    linked = per_key.join(smallest, "id_sistema", "left").withColumnRenamed("id_sistema", "_clave")
     masters = stored.select(F.col("id").alias("id_vacante"), F.col("id_registro").alias("id_maestra"))
-    found = linked.join(masters, "id_vacante", "left").select("ultima", "primera", "filas", "id_vacante", "id_maestra")
-    # One reading of the wide rows: those whose number is the last of a key, and those without a key.
-    wide = valid.select("row_idx", *VACANCY_COLUMNS, "area").join(found, number == F.col("ultima"), "left")
-    return wide.where(F.col("ultima").isNotNull() | ~keyed).withColumns(
+    found = linked.join(masters, "id_vacante", "left").select("_clave", "ultima", "primera", "filas", "id_vacante", "id_maestra")
+    wide = valid.select("row_idx", *VACANCY_COLUMNS, "area")
+    last = [F.col("id_sistema") == F.col("_clave"), number == F.col("ultima")]
+    winners = wide.where(keyed).join(found, last).drop("_clave", "row_idx")
+    alone = wide.where(~keyed).withColumns(
         {
-            "ultima": F.coalesce("ultima", number),
-            "primera": F.coalesce("primera", number),
-            "filas": F.coalesce("filas", F.lit(1).cast("bigint")),
+            "ultima": number, "primera": number, "filas": F.lit(1).cast("bigint"),
+            "id_vacante": F.lit(None).cast("bigint"), "id_maestra": F.lit(None).cast("bigint"),
         }
-    ).drop("row_idx")
+    )
+    return winners.unionByName(alone.drop("row_idx"))
 
 
 def _master_cells(matched: DataFrame) -> DataFrame:
@@ -329,8 +339,8 @@ def _master_cells(matched: DataFrame) -> DataFrame:
     )
 
 
-def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame) -> DataFrame:
-    """Stored vacancies with updates laid over them, and the new ones.
+def vacancy_changes(matched: DataFrame, vacancies: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Updates of stored vacancies by id, and new vacancies.
 
     A new vacancy seen once keeps the accents of its comment; an update, also of a row that is new in the same
     file, folds them.
@@ -344,12 +354,17 @@ def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame)
             "id_registro": changes.next_id_base(master) + 1 + F.col("primera"),
         }
     )
-    updates = updates.withColumn("id", F.col("id_vacante"))
-    return changes.overlay(vacancies, updates, "id", VACANCY_COLUMNS).unionByName(_as_table(inserts, vacancies))
+    return updates.withColumn("id", F.col("id_vacante")), _as_table(inserts, vacancies)
 
 
-def master_after(matched: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> DataFrame:
-    """Stored master rows with the matched ones overwritten, and the new ones."""
+def vacancies_after(matched: DataFrame, vacancies: DataFrame, master: DataFrame) -> DataFrame:
+    """Stored vacancies with updates laid over them, and the new ones."""
+    updates, inserts = vacancy_changes(matched, vacancies, master)
+    return changes.overlay(vacancies, updates, "id", VACANCY_COLUMNS).unionByName(inserts)
+
+
+def master_changes(matched: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Updates of stored master rows by id, and new master rows."""
     cells = _master_cells(matched)
     updates = changes.last_per_key(
         cells.where(F.col("id_vacante").isNotNull()).select(
@@ -361,9 +376,13 @@ def master_after(matched: DataFrame, master: DataFrame, at: dt.datetime | None =
     new = cells.where(F.col("id_vacante").isNull()).select(
         F.col("primera").alias("row_idx"), F.lit("Vacante").alias("tipo_registro"), *MASTER_COLUMNS
     )
-    return changes.overlay(master, updates, "id", MASTER_COLUMNS).unionByName(
-        _as_table(master_rows(new, master, at), master)
-    )
+    return updates, _as_table(master_rows(new, master, at), master)
+
+
+def master_after(matched: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> DataFrame:
+    """Stored master rows with the matched ones overwritten, and the new ones."""
+    updates, new = master_changes(matched, master, at)
+    return changes.overlay(master, updates, "id", MASTER_COLUMNS).unionByName(new)
 
 
 ERRORS_SHOWN = 10
@@ -400,11 +419,11 @@ def first_errors(rejects: DataFrame, shown: int = ERRORS_SHOWN) -> DataFrame:
 
 
 def plan_rows(rows: DataFrame, vacancies: DataFrame, master: DataFrame, at: dt.datetime | None = None) -> Imported:
-    """The whole import of cleansed rows; nothing runs before its results are used.
+    """The whole import of cleansed rows, which should be written or checkpointed before, as they are read several times.
 
-    The rows are read for the keys, the last rows and the report, so they should be written or checkpointed once before.
+    They are matched once, into the checkpoint folder; both tables and the report follow from that.
     """
-    matched = match_import(rows, vacancies)
+    matched = cut_lineage(match_import(rows, vacancies))
     return Imported(
         vacancies_after(matched, vacancies, master),
         master_after(matched, master, at),
@@ -418,13 +437,33 @@ def plan_import(staged: DataFrame, vacancies: DataFrame, master: DataFrame, at:
     return plan_rows(cut_lineage(cleanse(staged)), vacancies, master, at)
 
 
+def commit_import(store: Store, staged: DataFrame, at: dt.datetime | None = None) -> DataFrame:
+    """Imports staged rows into ``vacantes`` and ``registros_rh`` of a store as one new version; returns the report.
+
+    Only the buckets of updated rows are written anew, new rows go to new files; refused rows replace the store's ``rechazos``.  Readers see all three
+    or none: a job that fails half way leaves the store as it was, and what it wrote goes with the store's next clean-up.
+    """
+    change = store.begin()
+    vacancies, master = change.read("vacantes"), change.read("registros_rh")
+    rows = cut_lineage(cleanse(staged))
+    matched = cut_lineage(match_import(rows, vacancies))
+    updates, inserts = vacancy_changes(matched, vacancies, master)
+    master_updates, master_inserts = master_changes(matched, master, at)
+    change.patch("vacantes", updates, VACANCY_COLUMNS)
+    change.add("vacantes", inserts)
+    change.patch("registros_rh", master_updates, MASTER_COLUMNS)
+    change.add("registros_rh", master_inserts)
+    change.put("rechazos", rejected(rows))
+    change.commit()
+    return import_report(rows, matched)
+
+
 def run_import(
     staged: DataFrame, vacancies: DataFrame, master: DataFrame, path: str, at: dt.datetime | None = None
 ) -> DataFrame:
     """Writes both tables after the import and the refused rows below ``path``, a new folder; returns the report.
 
-    The stored tables are only read: the caller points to the new version when all writes are done, so a
-    failed job leaves nothing half applied.
+    The stored tables are only read, so a failed job leaves nothing half applied; :func:`commit_import` also takes care of the swap.
     """
     planned = plan_import(staged, vacancies, master, at)
     write_table(planned.vacancies, f"{path}/vacantes")
