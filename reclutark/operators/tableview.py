@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reclutark import catalogs
-from reclutark.session import cut_lineage
-
-# Low bits of a row's number that hold its place in the partition; the others hold the partition.
-PLACE_BITS = 33
 
 
 def pick(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
@@ -99,6 +96,107 @@ def page_bounds(total: int, page: int, size: int) -> tuple[int, int, int, int]:
     return page, pages, start, min(start + size, total)
 
 
+@dataclass
+class Range:
+    """Rows from the key ``low`` on, up to but without ``high`` (None: no bound), and their number."""
+
+    low: tuple | None
+    high: tuple | None
+    rows: int
+
+
+class Directory:
+    """Order statistics of a sorted table: splitting keys, and the number of rows between them.  Nothing is sorted or written for it.
+
+    It starts as one range.  A page whose range has more than ``leaf`` rows splits that range at the quantiles of a sample of its keys, counts
+    the rows of the parts in one more reading, and goes on in the part that holds the page.  So a page costs a few narrow readings and
+    a sort of at most ``leaf`` rows, wherever it lies; the splits stay known, and further pages take fewer.  ``unique`` names columns that tell
+    all rows apart, and the table must be the same at every reading.  Rows that aren't told apart stay in one range.
+    """
+
+    def __init__(self, df: DataFrame, column: str, unique: Sequence[str], descending: bool = False, leaf: int = 1 << 16, ways: int = 64):
+        self.df, self.leaf, self.ways = df, leaf, ways
+        self.order = sort_order(df, column, descending, unique)
+        rest = [c for c in unique if c != column]
+        self.keys = [(sort_key(df, column), descending), *[(F.col(f"`{c}`"), False) for c in rest]]
+        self.total = df.count()
+        self.ranges = [Range(None, None, self.total)]
+
+    def page(self, page: int = 1, size: int = catalogs.PAGE_SIZES[0]) -> DataFrame:
+        """One page with ``fila`` (place in the table), ``pagina``, ``paginas``, ``total``."""
+        page, pages, start, end = page_bounds(self.total, page, size)
+        while (large := next((r for _, r in self._touched(start, end) if r.rows > self.leaf), None)) and self._split(large):
+            pass
+        touched = self._touched(start, end)
+        before = touched[0][0] if touched else 0
+        rows = self._between(touched[0][1].low, touched[-1][1].high) if touched else self.df.where(F.lit(False))
+        place = (F.row_number().over(Window.orderBy(*self.order)) + before).cast("bigint")  # one task, over a range
+        return rows.withColumn("fila", place).where(F.col("fila").between(start + 1, end)).select(
+            *[F.col(f"`{c}`") for c in self.df.columns],
+            "fila",
+            F.lit(page).alias("pagina"),
+            F.lit(pages).alias("paginas"),
+            F.lit(self.total).cast("bigint").alias("total"),
+        ).orderBy("fila")
+
+    def _touched(self, start: int, end: int) -> list[tuple[int, Range]]:
+        """Ranges that hold rows of the places, each with the number of rows before it."""
+        out, before = [], 0
+        for r in self.ranges:
+            if before < end and start < before + r.rows:
+                out.append((before, r))
+            before += r.rows
+        return out
+
+    def _split(self, wide: Range) -> bool:
+        """Replaces a range by its parts; whether there are any."""
+        keys = [k.alias(f"_k{i}") for i, (k, _) in enumerate(self.keys)]
+        rows = self._between(wide.low, wide.high).select(*keys)
+        names = [F.col(f"_k{i}") for i in range(len(keys))]
+        # The rows with the least hashes are a sample that is the same however the rows are dealt.
+        sample = rows.orderBy(F.xxhash64(*names)).limit(self.ways * 8)
+        by_key = [c.desc_nulls_last() if down else c.asc_nulls_first() for c, (_, down) in zip(names, self.keys)]
+        sampled = list(dict.fromkeys(tuple(r) for r in sample.orderBy(*by_key).collect()))
+        bounds = sorted({len(sampled) * k // self.ways for k in range(1, self.ways)} - {0})
+        bounds = [sampled[k] for k in bounds if k < len(sampled)]
+        if not bounds:
+            return False
+        columns = list(zip(names, [down for _, down in self.keys]))
+
+        def part(low: int, high: int) -> Column:
+            """Number of the part, among those from ``low`` to ``high``: a search by halves."""
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(_before(columns, bounds[middle]), part(low, middle)).otherwise(part(middle + 1, high))
+
+        counts = dict(tuple(r) for r in rows.groupBy(part(0, len(bounds)).alias("parte")).count().collect())
+        edges = [wide.low, *bounds, wide.high]
+        parts = [Range(low, high, counts.get(k, 0)) for k, (low, high) in enumerate(zip(edges, edges[1:]))]
+        at = self.ranges.index(wide)
+        self.ranges[at : at + 1] = parts
+        return max(p.rows for p in parts) < wide.rows
+
+    def _between(self, low: tuple | None, high: tuple | None) -> DataFrame:
+        rows = self.df
+        if low is not None:
+            rows = rows.where(~_before(self.keys, low))
+        return rows if high is None else rows.where(_before(self.keys, high))
+
+
+def _before(columns: Sequence[tuple[Column, bool]], bound: Sequence) -> Column:
+    """Whether a row stands before a key, column by column (falling ones marked); missing values are the least."""
+    before = F.lit(False)
+    for (c, descending), value in reversed(list(zip(columns, bound))):
+        if value is None:
+            here, same = (c.isNotNull() if descending else F.lit(False)), c.isNull()
+        else:
+            here = F.coalesce(c > F.lit(value), F.lit(False)) if descending else c.isNull() | (c < F.lit(value))
+            same = F.coalesce(c == F.lit(value), F.lit(False))
+        before = here | (same & before)
+    return before
+
+
 def page_of(
     df: DataFrame,
     column: str,
@@ -107,39 +205,8 @@ def page_of(
     size: int = catalogs.PAGE_SIZES[0],
     descending: bool = False,
 ) -> DataFrame:
-    """One page of the sorted table, with ``fila`` (place in the table), ``pagina``, ``paginas``, ``total``.
-
-    ``unique`` names columns that tell all rows apart.  The sort columns alone are put in ranges, sorted and written to
-    the checkpoint folder once; a row's range and place in it make its place in the table, so the page is a plain filter
-    wherever it lies.  Its few keys then fetch the rows.  The driver sees one count per range.
-    """
-    keys = list(dict.fromkeys([column, *unique]))
-    order = sort_order(df, column, descending, unique)
-    narrow = df.select(*[F.col(f"`{c}`") for c in keys])
-    sorted_keys = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut_lineage(sorted_keys.withColumn("_lugar", F.monotonically_increasing_id()))
-    counts = sorted(tuple(row) for row in placed.groupBy(F.shiftright("_lugar", PLACE_BITS)).count().collect())
-    total = sum(n for _, n in counts)
-    page, pages, start, end = page_bounds(total, page, size)
-    before, place, wanted = 0, F.lit(None).cast("bigint"), F.lit(False)
-    for part, n in counts:
-        low, high = max(start - before, 0), min(end - before, n)
-        if low < high:
-            first = part << PLACE_BITS
-            here = F.col("_lugar").between(first + low, first + high - 1)
-            wanted, place = wanted | here, F.when(here, F.col("_lugar") - (first - before - 1)).otherwise(place)
-        before += n
-    shown = placed.where(wanted).select(*[F.col(f"`{c}`").alias(f"_{c}") for c in unique], place.cast("bigint").alias("fila"))
-    same = F.lit(True)
-    for c in unique:
-        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`"))
-    return df.join(F.broadcast(shown), same).select(  # the keys of a page
-        *[F.col(f"`{c}`") for c in df.columns],
-        "fila",
-        F.lit(page).alias("pagina"),
-        F.lit(pages).alias("paginas"),
-        F.lit(total).cast("bigint").alias("total"),
-    ).orderBy("fila")
+    """One page of the sorted table, with ``fila`` (place in the table), ``pagina``, ``paginas``, ``total``; see :class:`Directory`."""
+    return Directory(df, column, unique, descending).page(page, size)
 
 
 def json_records(df: DataFrame, name: str = "registro") -> DataFrame:

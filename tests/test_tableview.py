@@ -87,6 +87,37 @@ def test_all_pages_agree_with_the_sorted_table(spark, descending):
         assert [r["id"] for r in got.collect()] == expected[(page - 1) * 20 : page * 20], page
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("leaf, ways", [(10, 3), (1, 2), (60, 64)])
+def test_pages_from_split_ranges_agree_with_the_sorted_table(spark, descending, leaf, ways):
+    """Days with missing ones, all pages from one directory, ranges split down to a few rows."""
+    day = F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.date_add(F.lit("2024-01-01"), (F.col("id") * 37 % 90).cast("int")))
+    df = spark.range(300).select("id", day.alias("t")).repartition(5)
+    expected = ordered(df, "t", descending)
+    directory = tableview.Directory(df, "t", ["id"], descending, leaf, ways)
+    for page in (7, 1, 15, 14, 8):
+        rows = directory.page(page, 20).collect()
+        assert [r["id"] for r in rows] == expected[(page - 1) * 20 : page * 20], page
+        assert [r["fila"] for r in rows] == list(range((page - 1) * 20 + 1, page * 20 + 1))
+    assert sum(r.rows for r in directory.ranges) == 300 and len(directory.ranges) > 3
+
+
+def test_a_directory_reads_no_more_than_it_needs(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS t")
+    directory = tableview.Directory(df, "t", ["id"], leaf=100, ways=16)
+    page = directory.page(100, 25)
+    assert max(r.rows for _, r in directory._touched(99 * 25, 100 * 25)) <= 100
+    known = len(directory.ranges)
+    assert directory.page(100, 25).collect() == page.collect() and len(directory.ranges) == known
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Exchange rangepartitioning" not in plan.split("Window")[1]
+
+
+def test_rows_that_nothing_tells_apart_stay_in_one_range(spark):
+    df = spark.range(50).selectExpr("1 AS id", "'x' AS t")
+    assert tableview.Directory(df, "t", ["id"], leaf=5).page(2, 10).count() == 10
+
+
 def test_no_heap_grows_with_the_place_of_a_page(spark):
     df = spark.range(3000).selectExpr("id", "id % 7 AS t")
     plan = tableview.page_of(df, "t", ["id"], page=60, size=25)._jdf.queryExecution().executedPlan().toString()
