@@ -43,8 +43,8 @@ def next_id_base(table: DataFrame, key: str = "id") -> Column:
     return table.agg(F.coalesce(F.max(key), F.lit(0).cast("bigint")).alias(key)).scalar()
 
 
-def dense_index(df: DataFrame, blocks: Sequence[str], position: str, name: str) -> DataFrame:
-    """Row number 0.. over all blocks in order, from each row's rising position inside its block.
+def dense_index(df: DataFrame, blocks: Sequence[str], position: str, name: str, in_file: str | None = None) -> DataFrame:
+    """Row number 0.. over all blocks in order, from each row's rising position inside its block; also the number in its file, if named.
 
     ``position`` must rise by one from row to row of a block.  Counts are put in order per file and then per block of a file; the
     one step in a single task sees a row per file.  The rows themselves are neither sorted nor gathered.
@@ -57,8 +57,8 @@ def dense_index(df: DataFrame, blocks: Sequence[str], position: str, name: str)
     )
     inside = Window.partitionBy(file).orderBy(*(rest or [file])).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.withColumn("_bloques_antes", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(files, file).select(
-        *blocks, "_primera", (F.col("_archivos_antes") + F.col("_bloques_antes")).alias("_antes")
+        *blocks, "_primera", "_archivos_antes", "_bloques_antes"
     )
-    return df.join(offsets, list(blocks)).withColumn(
-        name, F.col("_antes") + F.col(position) - F.col("_primera")
-    ).drop("_antes", "_primera")
+    place = F.col("_bloques_antes") + F.col(position) - F.col("_primera")
+    numbers = {name: F.col("_archivos_antes") + place, **({in_file: place} if in_file else {})}
+    return df.join(offsets, list(blocks)).withColumns(numbers).drop("_archivos_antes", "_bloques_antes", "_primera")

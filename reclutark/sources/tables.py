@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reclutark import schemas
 from reclutark.functions.calendar import in_range
 from reclutark.functions.text import blank_to_null
 from reclutark.operators.changes import dense_index
+from reclutark.session import cut_lineage
 
 
 def read_table(spark: SparkSession, root: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -93,6 +96,80 @@ def read_drop_folder(spark: SparkSession, path: str, file_format: str = "csv", *
     )
 
 
+@dataclass(frozen=True)
+class Dropped:
+    """Rows of dropped files, every column as text, with ``row_idx``; and bad lines (archivo, linea, motivo, texto)."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+OPEN_QUOTES, WRONG_WIDTH = "comillas sin cerrar", "número de columnas"
+
+
+def read_drop_lines(spark: SparkSession, path: str, max_lines: int = 1000, **options: str) -> Dropped:
+    """CSV files below ``path`` whose headers may differ, with line breaks inside quotes, and a channel for bad lines.
+
+    Columns meet by header name, trimmed; a column that a file lacks is NULL there.  ``row_idx`` is the line's place in the folder (by file name), so it
+    rises with file order.  A record whose number of cells isn't its header's, or whose quotes aren't closed, is refused with file and line,
+    counted from 1; lines after it are read on.  A record of more than ``max_lines`` lines counts as not closed: its first and last line are refused, those between
+    are read as lines.  Blank lines don't count; empty cells are NULL.
+
+    Files are read once, into the checkpoint folder, and split as usual: lines are numbered by counts per block, and a record over several lines is
+    found from the lines with an odd number of quotes, which are paired by their number in the file.  Only headers, one per file, reach the driver.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("value").alias("texto"),
+        F.col("_metadata.file_path").alias("archivo"),
+        F.col("_metadata.file_block_start").alias("bloque"),
+        F.monotonically_increasing_id().alias("posicion"),
+    )
+    lines = dense_index(cut_lineage(raw), ["archivo", "bloque"], "posicion", "row_idx", "linea").drop("posicion")
+    quotes = F.char_length("texto") - F.char_length(F.replace("texto", F.lit('"'), F.lit("")))
+    odd = lines.where(quotes % 2 == 1).select(
+        "archivo", "bloque", "linea", F.row_number().over(Window.partitionBy("archivo", "bloque").orderBy("linea")).alias("n")
+    )
+    pairs = dense_index(odd, ["archivo", "bloque"], "n", "en_carpeta", "en_archivo").groupBy(
+        "archivo", F.floor(F.col("en_archivo") / 2).alias("par")
+    ).agg(F.min("linea").alias("abre"), F.max("linea").alias("cierra"), F.count("*").alias("lineas"))
+    whole = (F.col("lineas") == 2) & (F.col("cierra") - F.col("abre") < max_lines)
+    inside = pairs.where(whole).select("archivo", F.explode(F.sequence("abre", "cierra")).alias("linea"), F.col("abre").alias("registro"))
+    left_open = pairs.where(~whole).select("archivo", F.explode(F.array_distinct(F.array("abre", "cierra"))).alias("linea"), F.lit(OPEN_QUOTES).alias("motivo"))
+    marked = lines.join(inside.unionByName(left_open, allowMissingColumns=True), ["archivo", "linea"], "left")
+    joined = marked.where(F.col("registro").isNotNull()).groupBy("archivo", F.col("registro").alias("linea")).agg(
+        F.min("row_idx").alias("row_idx"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("linea", "texto"))), lambda x: x["texto"]), "\n").alias("texto"),
+    )
+    single = marked.where(F.col("registro").isNull()).select("archivo", "linea", "row_idx", "texto", "motivo")
+    records = cut_lineage(single.unionByName(joined, allowMissingColumns=True))
+
+    headers = records.where("linea = 0").select("archivo", F.regexp_replace("texto", "^\ufeff", "").alias("cabecera"))
+    data = records.where((F.col("linea") > 0) & (F.trim("texto") != "")).join(headers, "archivo")
+    settings = {"escape": '"', **options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malo"}
+    rows, broken = None, data.where(F.col("motivo").isNotNull()).select("archivo", "linea", "motivo", "texto")
+    for (header,) in headers.select("cabecera").distinct().orderBy("cabecera").collect():
+        names = _column_names(next(csv.reader([header], delimiter=options.get("sep", ",")), []))
+        kind = ", ".join(f"{c} string" for c in [*(f"c{k}" for k in range(len(names))), "_malo"])
+        own = data.where((F.col("cabecera") == header) & F.col("motivo").isNull())
+        cells = own.withColumn("celdas", F.from_csv("texto", kind, settings))
+        good = cells.where(F.col("celdas._malo").isNull()).select(
+            "row_idx", *[F.nullif(F.col(f"celdas.c{k}"), F.lit("")).alias(name) for k, name in enumerate(names)]
+        )
+        rows = good if rows is None else rows.unionByName(good, allowMissingColumns=True)
+        wrong = cells.where(F.col("celdas._malo").isNotNull())
+        broken = broken.unionByName(wrong.select("archivo", "linea", F.lit(WRONG_WIDTH).alias("motivo"), "texto"))
+    if rows is None:
+        rows = spark.createDataFrame([], "row_idx long")
+    name = F.regexp_extract("archivo", "([^/]*)$", 1)
+    return Dropped(rows, broken.select(name.alias("archivo"), (F.col("linea") + 1).alias("linea"), "motivo", "texto"))
+
+
+def _column_names(cells: Sequence[str]) -> list[str]:
+    """Trimmed header cells; empty and repeated ones are named by their place."""
+    names = [c.strip() for c in cells]
+    return [n if n and n not in names[:k] else f"_c{k}" for k, n in enumerate(names)]
+
+
 def preview(staged: DataFrame, rows: int = 10) -> DataFrame:
     """The first rows in file order."""
     return staged.orderBy("row_idx").limit(rows)

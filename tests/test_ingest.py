@@ -320,3 +320,56 @@ def test_lookups_and_catalogs(spark, make):
     v = make("vacantes", {"id": 1, "plaza_vacante": " LEON "}, {"id": 2, "plaza_vacante": "Lugar"}, {"id": 3, "plaza_vacante": " "}, {"id": 4, "plaza_vacante": "Lugar "})
     assert tuples(tables.outside_catalog(v, {"plaza_vacante": catalogs.SITES})) == [("plaza_vacante", "Lugar", 2)]
     assert tables.read_range(make("altas", {"id": 1, "fecha_alta": "2024-01-01"}), "fecha_alta", dt.date(2024, 1, 1)).count() == 1
+
+
+def dropped(spark, folder, files, **options):
+    folder.mkdir(exist_ok=True)
+    for name, text in files.items():
+        (folder / name).write_bytes(text.encode())
+    got = tables.read_drop_lines(spark, str(folder), **options)
+    rows = [r.asDict() for r in got.rows.orderBy("row_idx").collect()]
+    return rows, [tuple(r) for r in got.rejects.orderBy("archivo", "linea").collect()]
+
+
+def test_files_with_different_headers_meet_by_name(spark, tmp_path):
+    rows, bad = dropped(spark, tmp_path / "d", {"a.csv": "ID, Plaza \n1,x\n\n2,\n", "b.csv": "﻿Plaza,Empresa,ID\r\ny,z,3\r\n"})
+    assert [(r["ID"], r["Plaza"], r["Empresa"]) for r in rows] == [("1", "x", None), ("2", None, None), ("3", "y", "z")]
+    assert [r["row_idx"] for r in rows] == [1, 3, 5] and bad == []
+
+
+def test_bad_lines_are_told_with_file_and_line(spark, tmp_path):
+    text = 'ID,V\n1,"a, ""b"""\n2\n3,"line one\nline two\n\nline four"\n4,x,y\n5,"open\n6,ok\n'
+    rows, bad = dropped(spark, tmp_path / "d", {"a.csv": text, "b.csv": "ID\n7\n"})
+    assert [(r["ID"], r["V"]) for r in rows] == [("1", 'a, "b"'), ("3", "line one\nline two\n\nline four"), ("6", "ok"), ("7", None)]
+    assert bad == [
+        ("a.csv", 3, "número de columnas", "2"), ("a.csv", 8, "número de columnas", "4,x,y"), ("a.csv", 9, "comillas sin cerrar", '5,"open'),
+    ]
+
+
+def test_records_of_too_many_lines_are_not_put_together(spark, tmp_path):
+    text = "ID,V\n" + '1,"a\n' + "".join(f"{k},x\n" for k in range(2, 9)) + '9",y\n10,z\n'
+    rows, bad = dropped(spark, tmp_path / "d", {"a.csv": text}, max_lines=5)
+    assert [r["ID"] for r in rows] == ["2", "3", "4", "5", "6", "7", "8", "10"]
+    assert [b[:3] for b in bad] == [("a.csv", 2, "comillas sin cerrar"), ("a.csv", 10, "comillas sin cerrar")]
+    whole, none = dropped(spark, tmp_path / "d", {"a.csv": text})
+    assert [r["ID"] for r in whole] == ["10"] and [b[:3] for b in none] == [("a.csv", 2, "número de columnas")]
+
+
+def test_lines_are_the_same_however_files_are_split(spark, tmp_path):
+    text = "ID,V\n" + "".join(f'{k},"first of {k}\nsecond, of {k}"\n' if k % 3 == 0 else f"{k}\n" if k % 7 == 0 else f"{k},v{k}\n" for k in range(400))
+    want = dropped(spark, tmp_path / "d", {"a.csv": text, "b.csv": text})
+    assert len(want[0]) == 2 * sum(k % 3 == 0 or k % 7 != 0 for k in range(400)) and len(want[1]) == 2 * sum(k % 7 == 0 and k % 3 != 0 for k in range(400))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert dropped(spark, tmp_path / "d", {}) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_headers_alone_empty_files_and_odd_names(spark, tmp_path):
+    rows, bad = dropped(spark, tmp_path / "d", {"a.csv": "ID,V\n", "b.csv": "", "c.csv": "ID,,ID\n1,2,3\n"})
+    assert [(r["ID"], r["_c1"], r["_c2"], r["V"]) for r in rows] == [("1", "2", "3", None)] and bad == []
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.csv").write_text("")
+    got = tables.read_drop_lines(spark, str(tmp_path / "e"))
+    assert got.rows.collect() == [] and got.rejects.collect() == []
