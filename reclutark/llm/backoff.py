@@ -17,7 +17,7 @@ from reclutark.llm.common import shared_folder, ship
 
 #: Bytes of text of which one reducer counts the n-grams, on average, and tokens of one block of documents.
 PART_BYTES = 24 << 20
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_500_000
 
 #: Probability mass that each distinct continuation of a context gives to the shorter context, in occurrences.
 DISCOUNT = 0.75
@@ -149,8 +149,28 @@ def _encode(docs: DataFrame, held_out: Column, parts: int, block_tokens: int, pa
 # --- reducers ------------------------------------------------------------------------------------------------------------
 
 
+def _compact(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """Identifiers (part in the upper half, rank in the lower) without the unused bits between, and how many bits are left; in the same order."""
+    part, rank = ids >> np.uint64(32), ids & np.uint64(0xFFFFFFFF)
+    bits = int(rank.max(initial=0)).bit_length()
+    return (part << np.uint64(bits)) | rank, bits + int(part.max(initial=0)).bit_length()
+
+
+def _sorted(prefixes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (prefix, word), and where in it a new pair begins; by one number per pair if 64 bits hold it."""
+    (p, p_bits), (w, w_bits) = _compact(prefixes), _compact(words)
+    if p_bits + w_bits <= 64:
+        key = (p << np.uint64(w_bits)) | w if p_bits else w
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.concatenate([[True], key[1:] != key[:-1]])
+    order = np.lexsort((words, prefixes))
+    p, w = prefixes[order], words[order]
+    return order, np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
+
+
 def _distinct(table: pa.Table) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all that is asked of a part: bounds per block, which n-gram each entry is, and the n-grams' prefixes, words and counts.
+    """Of all that is asked of a part: bounds per block, which n-gram each entry is, and the n-grams' prefixes, counts, and askers.
 
     N-grams are in the order of (prefix, word) whatever the order of the blocks.
     """
@@ -160,39 +180,40 @@ def _distinct(table: pa.Table) -> tuple[list[tuple[int, int, int]], np.ndarray,
     counts = np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])
     bounds = [(b, int(e) - len(w), int(e)) for b, e, w in zip(table.column("block").to_pylist(), ends, words)]
-    p, w = np.concatenate(prefixes), np.concatenate(words)
-    order = np.lexsort((w, p))
-    p, w = p[order], w[order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
-    which = np.empty(len(p), dtype=np.int64)
+    prefixes = np.concatenate(prefixes)
+    order, new = _sorted(prefixes, np.concatenate(words))
+    which = np.empty(len(order), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
-    return bounds, which, p[new], w[new], np.bincount(which, weights=counts).astype(np.int64)
+    return bounds, which, prefixes[order][new], np.bincount(which, weights=counts).astype(np.int64), np.bincount(which)
 
 
 def _message(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(TYPES), TYPES)], names=NAMES)
 
 
-def _answers(asked: DataFrame, level: int, last: bool) -> DataFrame:
-    """Identifiers and counts in the whole corpus of all n-grams that blocks ask for, each in the order of the question.
+def _answers(asked: DataFrame, level: int) -> DataFrame:
+    """Counts in the whole corpus of all n-grams that blocks ask for, each in the order of the question, and whether other blocks ask as well.
 
-    N-grams without an occurrence have identifier 0.  For the prefixes, how many distinct n-grams of this part begin with them; and the number
-    of n-grams that occur (``kind`` is ``more`` and ``size``).
+    Identifiers come along for n-grams that a longer question can name: words that occur, and longer n-grams that occur and that other blocks
+    have, too.  Also for the prefixes, how many distinct n-grams of this part begin with them, and the number of n-grams that occur (``kind`` is
+    ``more`` and ``size``).
     """
 
     def reduce(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        bounds, which, prefixes, _, counts = _distinct(table)
-        seen = counts > 0
-        ids = np.where(seen, (part << 32) + np.cumsum(seen), 0).astype(np.uint64)
-        rows = [
-            (part, block, f"level{level}", None, None if last else pack(ids[which[a:b]], False), pack(counts[which[a:b]]), 0) for block, a, b in bounds
-        ]
+        bounds, which, prefixes, counts, askers = _distinct(table)
+        seen, shared = counts > 0, askers > 1
+        ids = ((part << 32) + np.cumsum(seen)).astype(np.uint64)
+        named, told = seen if level == 1 else seen & shared, 2 * counts + shared
+        rows = []
+        for block, a, b in bounds:
+            own = which[a:b]
+            rows.append((part, block, f"level{level}", None, pack(ids[own[named[own]]], True), pack(told[own]), 0))
         rows.append((part, -1, "size", None, None, None, int(seen.sum())))
         if level > 1:
-            prefix, more = np.unique(prefixes[seen], return_counts=True)
-            for to, a, b in _groups(prefix >> np.uint64(32)):
-                rows.append((to, -1, "more", None, pack(prefix[a:b], True), pack(more[a:b]), 0))
+            for to, a, b in _groups((of := prefixes[seen]) >> np.uint64(32)):
+                first = np.flatnonzero(np.concatenate([[True], of[a + 1 : b] != of[a : b - 1]]))
+                rows.append((to, -1, "more", None, pack(of[a:b][first], True), pack(np.diff(first, append=b - a)), 0))
         return _message(rows)
 
     return asked.groupBy("part").applyInArrow(reduce, MESSAGE)
@@ -205,7 +226,7 @@ def _fans(asked: DataFrame, more: DataFrame, level: int) -> DataFrame:
         if not table.num_rows:
             return _message([])
         part = table.column("part")[0].as_py()
-        bounds, which, prefixes, _, counts = _distinct(table)
+        bounds, which, _, counts, _ = _distinct(table)
         rank = np.cumsum(counts > 0)
         fans = np.zeros(int(rank[-1]) + 1, dtype=np.int64)
         for ids, n in zip(told.column("words").to_pylist(), told.column("counts").to_pylist()):
@@ -222,60 +243,81 @@ def _fans(asked: DataFrame, more: DataFrame, level: int) -> DataFrame:
 class _Grams:
     """A block's n-grams of each order, and which one ends at each token (-1: none that occurs).
 
-    ``told`` holds the answers so far.  ``tokens`` are places in the block's words; documents begin with the start and end with the end.
+    Documents begin with the start and end with the end.  An n-gram's number is its place in the block's question, by part; then come those that
+    needn't be asked: if no other block has a prefix, its continuations and their counts are this block's own.
     """
 
     def __init__(self, texts: dict, told: pa.Table, parts: int):
         self.sizes = unpack(texts["prefixes"]).astype(np.int64)
         self.held_out = unpack(texts["counts"]).astype(bool)
-        self.tokens = unpack(texts["words"]).astype(np.int64)
+        self.tokens = unpack(texts["words"]).astype(np.int32)
         self.told, self.parts = _told(told), parts
         self.learnt = np.repeat(~self.held_out, self.sizes)
         self.first = np.zeros(len(self.tokens), dtype=bool)
         self.first[np.cumsum(self.sizes) - self.sizes] = True
-        self.ids, self.counts, self.at, self.example, self.orders = [], [], [], [], []
-        self._take(1, slice(None), self.tokens, None)
+        self.ids, self.counts, self.shared, self.at, self.example, self.prefix, self.asked = [], [], [], [], [], [], []
+        self._take(1, np.zeros(0, dtype=np.int64), self.tokens, None, None)
+
+    def _take(self, level: int, own: np.ndarray, at: np.ndarray, example: np.ndarray | None, prefix: np.ndarray | None) -> None:
+        """The answers of a level; ``own`` counts the n-grams that weren't asked."""
+        told = self._all(f"level{level}", "counts")
+        shared = (told & np.uint64(1)).astype(bool)
+        counts = (told >> np.uint64(1)).astype(np.int64)
+        ids = np.zeros(len(told), dtype=np.uint64)
+        ids[(counts > 0) if level == 1 else (counts > 0) & shared] = self._all(f"level{level}", "words")
+        rest = np.zeros(len(own), dtype=bool)
+        self.asked.append(len(told))
+        self.ids.append(ids)
+        self.counts.append(np.concatenate([counts, own]))
+        self.shared.append(np.concatenate([shared, rest]))
+        occurs = self.counts[-1] > 0
+        self.at.append(np.where((at >= 0) & occurs[at], at, np.int32(-1)) if len(occurs) else np.full(len(at), -1, dtype=np.int32))
+        self.example.append(example)
+        self.prefix.append(prefix)
 
     def _all(self, kind: str, column: str) -> np.ndarray:
         return np.concatenate([np.zeros(0, dtype=np.uint64), *self.told.get(kind, {}).get(column, [])])
 
-    def _take(self, level: int, order, at: np.ndarray, example) -> None:
-        """Answers of a level, put back into the block's own order."""
-        for kind, kept in (("words", self.ids), ("counts", self.counts)):
-            values = self._all(f"level{level}", kind)
-            own = np.empty_like(values)
-            own[order] = values
-            kept.append(own.astype(np.int64) if kind == "counts" else own)
-        self.at.append(np.where((at >= 0) & (self.counts[-1][at] > 0), at, -1) if len(self.counts[-1]) else np.full(len(at), -1))
-        self.example.append(example)
-        self.orders.append(order)
-
-    def next(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams of the next order: order of the question, parts, prefix and word identifiers, learnt counts; and which ends where."""
+    def _next(self) -> tuple[np.ndarray, ...]:
+        """The n-grams of the next order in the order of their numbers: parts, prefixes, words, learnt counts, an example's place; which ends where."""
         before, word = self.at[-1], self.at[0]
-        here = np.zeros(len(self.tokens), dtype=bool)
-        here[1:] = (before[:-1] >= 0) & (word[1:] >= 0) & ~self.first[1:]
-        where = np.flatnonzero(here)
+        where = np.flatnonzero((before[:-1] >= 0) & (word[1:] >= 0) & ~self.first[1:]) + 1
         key = (before[where - 1].astype(np.uint64) << np.uint64(32)) | word[where].astype(np.uint64)
-        grams, example, which = np.unique(key, return_index=True, return_inverse=True)
+        grams, which = np.unique(key, return_inverse=True)
         counts = np.bincount(which, weights=self.learnt[where], minlength=len(grams)).astype(np.int64)
-        at = np.full(len(self.tokens), -1, dtype=np.int64)
-        at[where] = which
-        prefixes, words = self.ids[-1][(grams >> np.uint64(32)).astype(np.int64)], self.ids[0][(grams & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        of = _spread(_mixed(prefixes, words), self.parts)
-        order = np.lexsort((words, prefixes, of))
-        return order, of, prefixes, words, counts, at, where[example]
+        prefix, last = (grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        asked = self.shared[-1][prefix]
+        of = np.full(len(grams), self.parts, dtype=np.uint16 if self.parts < 1 << 16 else np.uint32)
+        of[asked] = _spread(_mixed(self.ids[-1][prefix[asked]], self.ids[0][last[asked]]), self.parts)
+        order = np.argsort(of, kind="stable")
+        number = np.empty(len(order), dtype=np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        at = np.full(len(self.tokens), -1, dtype=np.int32)
+        at[where] = number[which]
+        example = np.empty(len(order), dtype=np.int64)
+        example[at[where]] = where
+        return of[order], prefix[order], last[order], counts[order], example, at
 
     def deepen(self, level: int) -> None:
-        order, _, _, _, _, at, example = self.next()
-        self._take(level, order, at, example)
+        of, prefix, _, counts, example, at = self._next()
+        self._take(level, counts[of == self.parts], at, example, prefix)
+
+    def question(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per part: prefixes and words by identifier, and learnt counts, of the n-grams of the next order."""
+        of, prefix, last, counts, *_ = self._next()
+        n = int(np.searchsorted(of, self.parts))
+        prefixes, words = self.ids[-1][prefix[:n]], self.ids[0][last[:n]]
+        for part, a, b in _groups(of[:n]):
+            yield part, prefixes[a:b], words[a:b], counts[a:b]
 
     def fans(self, level: int) -> np.ndarray:
-        """Distinct continuations of each n-gram of a level."""
-        values = self._all(f"fan{level}", "counts").astype(np.int64)
-        own = np.empty_like(values)
-        own[self.orders[level - 1]] = values
-        return own
+        """Distinct continuations of each n-gram of a level: as told if other blocks have it, or else this block's own."""
+        follow = self.prefix[level][self.counts[level] > 0]
+        fans = np.bincount(follow, minlength=len(self.counts[level - 1]))
+        told = self._all(f"fan{level}", "counts").astype(np.int64)
+        n, shared = len(told), self.shared[level - 1]
+        fans[:n] = np.where(shared[:n], told, fans[:n])
+        return fans
 
 
 def _told(table: pa.Table) -> dict[str, dict[str, list[np.ndarray]]]:
@@ -299,9 +341,7 @@ def _ask(texts: DataFrame, told: DataFrame, level: int, parts: int) -> DataFrame
         grams = _Grams(row, answers, parts)
         for k in range(2, level):
             grams.deepen(k)
-        order, of, prefixes, words, counts, *_ = grams.next()
-        of, prefixes, words, counts = of[order], prefixes[order], words[order], counts[order]
-        return _message([(part, row["block"], "ask", pack(prefixes[a:b], True), pack(words[a:b]), pack(counts[a:b]), 0) for part, a, b in _groups(of)])
+        return _message([(part, row["block"], "ask", pack(p, True), pack(w), pack(c), 0) for part, p, w, c in grams.question()])
 
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, MESSAGE)
 
@@ -319,7 +359,7 @@ class _Automaton:
         mass = total + 0.1 * (distinct + 1)
         self.unknown = 0.1 / mass
         self.base = (grams.counts[0] + 0.1) / mass
-        self.arc, self.fail = [np.log10(self.base)], []
+        self.arc, self.fail, self.states = [np.log10(self.base)], [], []
         probability = self.base
         for k in range(2, order + 1):
             where = grams.example[k - 1]
@@ -331,7 +371,7 @@ class _Automaton:
                 probability = np.maximum(grams.counts[k - 1] - DISCOUNT, 0) / count[context] + left[context] * probability[shorter]
                 self.arc.append(np.log10(probability))
                 self.fail.append(np.where(fans > 0, np.log10(left), 0.0))
-        self.states = [f for f in (grams.fans(k) > 0 for k in range(1, order))]
+            self.states.append(fans > 0)
 
     def walk(self, tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """log10 probability of each piece of tokens, read from left to right from the root.
@@ -398,8 +438,9 @@ def scores(
     distribution of single tokens.  ``score`` is the log10 probability of the whole text, ``base_score`` that of the base distribution alone.
 
     Nothing of the model is dropped or held by one machine.  Texts become blocks of documents, written once.  Blocks ask parts, dealt by a hash
-    of the n-gram, about their distinct n-grams of each order, with their own counts; a part adds up and answers.  So a frequent n-gram costs a row
-    per block, and a block gets just the states and arcs that its texts can reach, through which they are then walked from left to right.
+    of the n-gram, about their distinct n-grams of each order, with their own counts; a part adds up and answers.  What follows a context that no
+    other block has needn't be asked.  So a frequent n-gram costs an entry per block, and a block gets just the states and arcs that its texts can
+    reach, through which they are then walked from left to right.
 
     Null and empty texts have one token, the end.  Null ids count as not held out unless ``held_out`` says otherwise (null: not held out); repeated
     rows count and are scored each; other columns are left out.  Without a row to learn from, all tokens are unknown and equally likely.
@@ -411,7 +452,7 @@ def scores(
     folder = f"{shared_folder(spark)}/backoff-{uuid.uuid4().hex}"
     encoded = _encode(docs, held_out, parts, block_tokens, f"{folder}/blocks")
     texts, asked = encoded.filter("kind = 'texts'"), {1: encoded.filter("kind = 'ask'").drop("ids")}
-    _answers(asked[1], 1, False).write.parquet(f"{folder}/level1")
+    _answers(asked[1], 1).write.parquet(f"{folder}/level1")
     first = spark.read.schema(MESSAGE).parquet(f"{folder}/level1")
     total = texts.agg(F.sum("n")).first()[0] or 0
     distinct = (first.filter("kind = 'size'").agg(F.sum("n")).first()[0] or 0) - (1 if total else 0)  # without the start
@@ -419,7 +460,7 @@ def scores(
     told = first.filter("block >= 0")
     for level in range(2, order + 1):
         asked[level] = _ask(texts, told, level, parts)
-        answers = _answers(asked[level], level, level == order)
+        answers = _answers(asked[level], level)
         fans = _fans(asked[level - 1], answers.filter("kind = 'more'"), level - 1)
         told = told.unionByName(answers.filter("block >= 0")).unionByName(fans)
 
