@@ -71,9 +71,17 @@ ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
 YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + TIME
 YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + TIME
 SHORT_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})" + TIME
-EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})(?:[ T]+\d{2}:?\d{2}(?::?\d{2}(?:\.\d+)?)?(?: *[AaPp][Mm])?(?: *(?:Z|[-+]\d{2}:?\d{2}))?)?$"
 DAY_MONTH = r"^(\d{1,2})[-/. ]+" + MONTH + r"[-/., ]+(\d{4}|\d{2})" + TIME
 MONTH_DAY = "^" + MONTH + r"[-/. ]+(\d{1,2})(?:,| ) *(\d{4})" + TIME
+# Shapes without a day, or with an English month after the year, and how they are written in a shape from above.
+REWRITTEN = (
+    (r"^(\d{4})[-/.](\d{1,2})" + TIME, "$1-$2-1"),
+    (r"^(\d{1,2})[-/](\d{4})" + TIME, "$2-$1-1"),
+    ("^" + MONTH + r"[-/., ]+(\d{4})" + TIME, "$1 1 $2"),
+    (r"^(\d{4})[-/. ]+" + MONTH + TIME, "$2 1 $1"),
+    (r"^(\d{4})[-/. ]+" + MONTH + r"[-/. ]+(\d{1,2})" + TIME, "$2 $3 $1"),
+)
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
@@ -81,14 +89,22 @@ def import_date(c: Column) -> Column:
     """Date of an imported cell: year first, or month first, or day first when the first number is no month.
 
     Numbers are parted by hyphens, strokes or points, or eight digits in a row; an English month may stand before or after
-    the day.  Two digits of a year are 1969 to 2068.  Any other number (a spreadsheet serial) and any other text give NULL.
+    the day.  Without a day it is the first of the month.  Two digits of a year are 1969 to 2068.  Any other number (a spreadsheet serial) and any other text give NULL.
     The shape is tested before parsing and the casts are of the trying kind, so a bad cell costs no exception.
     """
-    return stripped_date(strip(c.cast("string")))
+    return dated_text(with_day(strip(c.cast("string"))))
+
+
+def with_day(text: Column) -> Column:
+    """Date text without white space at its ends, in a shape that has a day; any other text as it is."""
+    written = text
+    for shape, order in REWRITTEN:
+        written = F.regexp_replace(written, shape, order)
+    return F.when(text.rlike(ISO_DAY), text).otherwise(written)
 
 
-def stripped_date(text: Column) -> Column:
-    """:func:`import_date` of text without white space at its ends."""
+def dated_text(text: Column) -> Column:
+    """:func:`import_date` of what :func:`with_day` gives, which is worked out in a projection of its own where there are many dates."""
 
     def rewritten(shape: str, order: str) -> Column:
         return F.regexp_replace(text, shape, order).try_cast("date")

@@ -131,6 +131,13 @@ def text_of(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(value, path, "string"))
 
 
+def written(body: Column, value: Column, name: str) -> Column:
+    """What an object holds under a name, as written in its text; if the name may stand there twice, the last one's value as JSON."""
+    twice = F.size(F.split(body, f'"{name}"\\s*:', 3)) > 2
+    last = F.when(F.try_variant_get(value, f"$.{name}", "string").isNotNull(), F.to_json(F.try_variant_get(value, f"$.{name}", "variant")))
+    return F.when(twice, last).otherwise(F.get_json_object(body, f"$.{name}"))
+
+
 def first_of_list(text: Column) -> Column:
     """First element of a text that is a JSON list, any other text as it is."""
     return F.coalesce(F.when(F.ltrim(text).startswith("["), F.get_json_object(text, "$[0]")), text)

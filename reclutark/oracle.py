@@ -729,11 +729,11 @@ def oracle_sql() -> dict[str, str]:
             "respuestas",
         ),
         "json_replies": _sql(
-            ", j AS (SELECT *, id % 9 AS k, "
+            ", j AS (SELECT *, id % 10 AS k, "
             "regexp_extract(texto, '(?s)\\{.*\\}') AS cuerpo FROM contestaciones), "
             "c AS (SELECT *, CASE WHEN k IN (4, 5, 6) THEN CASE WHEN k = 5 THEN CAST(json_extract(texto, '$[0]') AS STRING) ELSE cuerpo END "
-            "WHEN k = 8 THEN json_extract_string(texto, '$.output') END AS contenido FROM j) "
-            "SELECT id, texto, contenido, CASE WHEN contenido IS NULL THEN texto "
+            "WHEN k = 8 THEN json_extract_string(texto, '$.output') WHEN k = 9 THEN texto END AS contenido FROM j) "
+            "SELECT id, texto, contenido, CASE WHEN contenido IS NULL THEN texto WHEN k = 9 THEN regexp_extract(texto, '\"([a-z_]*)\"}$', 1) "
             "WHEN k IN (4, 5, 6) THEN json_extract_string(contenido, '$.output') "
             "ELSE COALESCE(json_extract_string(contenido, '$.output'), 'He procesado tu solicitud.') END AS respuesta, "
             "json_extract_string(contenido, '$.chart') AS grafica FROM c",
@@ -827,7 +827,7 @@ def oracle_sql() -> dict[str, str]:
         "drop_folder_import": _import_upsert().replace(_CTES["importacion"], _NUMBERED),
         "import_dates": _sql("SELECT id, esperada AS fecha FROM fechas", "fechas"),
         "strict_dates": _sql(
-            "SELECT id, CASE WHEN id % 15 = 0 THEN esperada END AS estricta, esperada AS leida, CAST(esperada AS STRING) AS iso FROM fechas",
+            "SELECT id, CASE WHEN id % 21 = 0 THEN esperada END AS estricta, esperada AS leida, CAST(esperada AS STRING) AS iso FROM fechas",
             "fechas",
         ),
         "weeks_in_years": _sql(

@@ -653,7 +653,7 @@ def import_dates(spark, d):
 @query
 def strict_dates(spark, d):
     text_ = F.col("texto")
-    strict = coerce.strict_date(F.when(F.col("id") % 15 == 0, text_))
+    strict = coerce.strict_date(F.when(F.col("id") % 21 == 0, text_))
     return fx.fechas(spark, d).select(
         "id", strict.alias("estricta"), coerce.lenient_date(text_).alias("leida"), coerce.iso_text(coerce.lenient_date(text_)).alias("iso")
     )

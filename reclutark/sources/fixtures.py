@@ -215,22 +215,27 @@ _SHAPES = (
     (_D, "'-'", f"SUBSTR({_ENGLISH}, 1, 3)", "'-'", _Y), (_D, "' '", f"LOWER({_ENGLISH})", "' '", _Y),
     (_M, "'/'", _D, "'/'", _Y, "' 02:30 PM'"), ("'  '", f"CAST({ORDER_DATE} AS STRING)", "' 11:30:00 AM '"),
     (_Y, "'/'", _M, "'/'", _D, "'T08:15:00'"), ("'45000'",), ("'15 marzo 2024'",), ("'2024-13-01'",),
+    (_Y, _M, _D, "' 10:00'"), (_Y, "'-'", f"SUBSTR({_ENGLISH}, 1, 3)", "'-'", _D),
+    (_Y, "'-'", _M), (f"SUBSTR({_ENGLISH}, 1, 3)", "' '", _Y), (_M, "'/'", _Y), (_Y, "' '", _ENGLISH),
 )
 
 # The day of an order as text, in the shapes that spreadsheets hold, and text that is no date.
 DATE_TEXTS = {
     "id": "o_orderkey",
-    "esperada": f"CASE WHEN o_orderkey % 15 < 12 THEN {ORDER_DATE} END",
-    "texto": "CASE o_orderkey % 15 "
+    "esperada": (
+        f"CASE WHEN o_orderkey % 21 < 12 OR o_orderkey % 21 IN (15, 16) THEN {ORDER_DATE} "
+        f"WHEN o_orderkey % 21 > 16 THEN CAST(DATE_TRUNC('month', {ORDER_DATE}) AS DATE) END"
+    ),
+    "texto": "CASE o_orderkey % 21 "
     + " ".join(f"WHEN {k} THEN CONCAT({', '.join(shape)})" for k, shape in enumerate(_SHAPES))
     + " END",
 }
 
-# Replies whose JSON is broken, followed by other text, in single quotes, nested as an object, or a list.
+# Replies whose JSON is broken, followed by other text, in single quotes, nested as an object, a list, or repeats a name.
 REPLIES = {
     "id": "event_id",
     "texto": (
-        """CASE event_id % 9 WHEN 0 THEN CONCAT(props, ' y ', props) WHEN 1 THEN CONCAT('{"output": "x"} fin ', props) """
+        """CASE event_id % 10 WHEN 9 THEN CONCAT('{"output": "primero", "chart": 1, "output": "', event_type, '"}') WHEN 0 THEN CONCAT(props, ' y ', props) WHEN 1 THEN CONCAT('{"output": "x"} fin ', props) """
         """WHEN 2 THEN CONCAT(props, '}') WHEN 3 THEN REPLACE(props, '"', CHR(39)) """
         """WHEN 4 THEN CONCAT('{"output": ', props, '}') WHEN 5 THEN CONCAT('[{"output": "', event_type, '"}]') """
         """WHEN 6 THEN CONCAT('{"output": "', event_type, '", "chart": ', props, '}') """

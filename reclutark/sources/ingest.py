@@ -259,6 +259,7 @@ def cleanse(staged: DataFrame) -> DataFrame:
     read = {
         name: coerce.import_int(cell) if name in WHOLE_COLUMNS else text.strip(cell) for name, cell in raw.items()
     }
+    read |= {name: coerce.with_day(read[name]) for name in DATE_COLUMNS}
     position = raw["puesto_vacante"]
     motive = _reason(
         (coerce.is_bad_number(raw["id_sistema"]), "ID no es un número"),
@@ -274,7 +275,7 @@ def cleanse(staged: DataFrame) -> DataFrame:
     def or_unspecified(name: str) -> Column:
         return F.when(F.col(name) != "", F.col(name)).otherwise(F.lit(catalogs.UNSPECIFIED))
 
-    dated = once.withColumns({name: coerce.stripped_date(F.col(name)) for name in DATE_COLUMNS})
+    dated = once.withColumns({name: coerce.dated_text(F.col(name)) for name in DATE_COLUMNS})
     hired = F.col("vacantes_contratados")
     rules = {
         "tipo_solicitud": capitals("tipo_solicitud"),

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from conftest import day, tuples
 from reclutark.functions import calendar, coerce, measures, text
 from reclutark.plans import conversations
 from reclutark.functions.calendar import MONTH, QUARTER, RANGE, WEEK, YEAR, Period
@@ -298,12 +298,32 @@ def test_remaining_openings(value, requested, hired, floor, left):
     ("15/03/24", "2024-03-15"), ("03/04/24", "2024-03-04"), ("20240315", "2024-03-15"), ("March 15, 2024", "2024-03-15"), ("15-Mar-2024", "2024-03-15"),
     ("15 March 2024", "2024-03-15"), ("15.03.2024", "2024-03-15"), ("2024.03.15", "2024-03-15"), ("03/15/2024 02:30 PM", "2024-03-15"),
     ("2024-03-15 02:30:00 pm", "2024-03-15"), ("Mar 5 2024", "2024-03-05"), ("15 Mar 24", "2024-03-15"), ("2024-03-15T10:00:00Z", "2024-03-15"), ("01/02/70", "1970-01-02"),
+    ("2024-03", "2024-03-01"), ("2024/3", "2024-03-01"), ("Mar 2024", "2024-03-01"), ("march-2024", "2024-03-01"), ("Mar, 2024", "2024-03-01"), ("2024 Mar", "2024-03-01"),
+    ("03/2024", "2024-03-01"), ("2024-Mar-05", "2024-03-05"), ("2024 March 5", "2024-03-05"), ("20240315 10:00", "2024-03-15"), ("20240315T1000", "2024-03-15"),
+    ("20240315T10:00:30", "2024-03-15"), ("2024-03 10:00", "2024-03-01"), ("Mar 2024 10:00", "2024-03-01"),
+    ("13/2024", None), ("2024-13", None), ("202403", None), ("20241315 10:00", None), ("Mar 24", None), ("5 Mar", None), ("2024 marzo", None),
     ("15 marzo 2024", None), ("45000", None), ("2024-13-01", None), ("2024-02-30", None), ("20241301", None), ("31/31/24", None), ("", None), ("Marcha 3, 2024", None),
 ])
 def test_dates_of_spreadsheets(value, raw, iso):
     assert value(coerce.import_date(text_lit(raw))) == day(iso)
 
 
+@pytest.mark.parametrize("reply, answer, chart", [
+    ('{"output":"a","output":"b"}', "b", None), ('{"chart":1,"output":"x","chart":{"y":2}}', "x", '{"y":2}'), ('{"output":"a","output":{"z":"b"}}', '{"z":"b"}', None),
+    ('{"output":"{\\"output\\":\\"c\\",\\"output\\":\\"d\\"}"}', "d", None), ('{"output":{"output":"in"},"chart":{"chart":3}}', '{"output":"in"}', '{"chart":3}'),
+])
+def test_the_last_of_repeated_names_counts(spark, reply, answer, chart):
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    row = conversations.payloads(spark.createDataFrame([(reply,)], "texto string")).first()
+    assert (row["respuesta"], row["grafica"]) == (answer, chart) and spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
+
+
+def test_a_text_that_looks_like_a_list_is_no_list(spark):
+    df = spark.createDataFrame([('[{"output":"x"},{"output":"y"}]',), ('[{"output":"x"}]',)], "texto string")
+    assert tuples(conversations.payloads(df, bodies=False), "respuesta") == [('[{"output":"x"},{"output":"y"}]',), ("x",)]
+    assert tuples(conversations.payloads(df), "respuesta") == [("x",), ("x",)]
+
+
 @pytest.mark.parametrize("reply, payload, answer", [
     ('{"output": "sí"}', '{"output": "sí"}', "sí"), ('{"a":1} y {"b":2}', None, None), ('{"output":"x"} fin {"chart":1}', None, None), ('{"a":1}}', None, None),
     ("{'a':1}", None, None), ('{"output":{"output":"n"}}', '{"output":{"output":"n"}}', '{"output":"n"}'), ('{"a":1}, {"b":2}', None, None), ('{"a":1,}', None, None),
