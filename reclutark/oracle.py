@@ -507,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
         "pivot_openings": _pivot_openings(_DAYS),
         "pivot_openings_tz": _pivot_openings(_DAYS_TZ),
         "pivot_export": _pivot_openings(_DAYS),
+        "pivot_export_csv": _pivot_openings(_DAYS),
         "stage_funnel": _sql(
             f"SELECT fase_proceso, COUNT(*) AS cantidad FROM vacantes WHERE {_OPEN} AND fase_proceso <> 'CONTRATADO' "
             "AND (estatus_solicitud IS NULL OR estatus_solicitud NOT IN ('PENDIENTE', 'CANCELADO', 'PAUSADO')) "

@@ -20,19 +20,40 @@ def active_people(people: DataFrame) -> DataFrame:
     return people.where(is_true(F.col("activo")))
 
 
-def delivered(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (person, required document) pairs that were delivered.
+def numbered_documents(catalog: DataFrame) -> DataFrame:
+    """Required documents (id, nombre_documento) with their number from 0, in the order of their ids; as short as the catalog."""
+    listed = required_documents(catalog).agg(F.sort_array(F.collect_list(F.struct("id", "nombre_documento"))).alias("_d"))
+    return listed.select(F.posexplode("_d").alias("numero", "_d")).select("numero", "_d.*")
+
+
+WORD = 64
+
 
-    The distinct combines before its shuffle: however many file rows a person has, each map task sends a pair once.
+def delivered_bits(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Required documents that were delivered, as bits: a row per person and ``palabra`` of 64 documents, by their number.
+
+    Bits are put together before the shuffle, and a document given twice sets the same bit; so however many file rows a person has, each map
+    task sends one number, and no distinct pairs are needed.
     """
-    ids = required_documents(catalog).select(F.col("id").alias("id_documento"))
     given = files.where(is_true(F.col("estatus_pdf"))).select("id_colaborador", "id_documento")
-    return given.join(ids, "id_documento", "left_semi").select("id_colaborador", "id_documento").distinct()
+    return given.join(_bit_of_document(catalog), "id_documento").groupBy("id_colaborador", "palabra").agg(F.bit_or("bit").alias("bits"))
+
+
+def _bit_of_document(catalog: DataFrame) -> DataFrame:
+    word = F.floor(F.col("numero") / WORD).cast("int").alias("palabra")
+    return numbered_documents(catalog).select(F.col("id").alias("id_documento"), word, F.expr(f"shiftleft(1L, numero % {WORD})").alias("bit"))
+
+
+def delivered(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Distinct (person, required document) pairs that were delivered."""
+    held = delivered_bits(files, catalog).join(_bit_of_document(catalog), "palabra")
+    return held.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("id_colaborador", "id_documento")
 
 
 def delivered_counts(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """Required documents delivered per person, exact."""
-    return delivered(files, catalog).groupBy("id_colaborador").agg(F.count("*").alias("documentos"))
+    counted = F.sum(F.bit_count("bits")).cast("bigint").alias("documentos")
+    return delivered_bits(files, catalog).groupBy("id_colaborador").agg(counted)
 
 
 def complete_people(catalog: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,23 +87,27 @@ def _with_documents(people: DataFrame, catalog: DataFrame, files: DataFrame) ->
     """
     required = required_documents(catalog).agg(
         F.sort_array(F.collect_list(F.struct("id", "nombre_documento"))).alias("documentos")).scalar()
-    has = delivered(files, catalog).groupBy("id_colaborador").agg(F.collect_list("id_documento").alias("_tiene"))
+    has = delivered_bits(files, catalog).groupBy("id_colaborador").agg(
+        F.map_from_entries(F.collect_list(F.struct("palabra", "bits"))).alias("_tiene"), F.sum(F.bit_count("bits")).alias("_entregados")
+    )
     rows = active_people(people).join(has, "id_colaborador", "left").withColumn("_documentos", required)
     wanted = F.size("_documentos")
-    complete = (wanted > 0) & (F.coalesce(F.size("_tiene"), F.lit(0)) >= wanted)
+    complete = (wanted > 0) & (F.coalesce("_entregados", F.lit(0)) >= wanted)
     return rows.withColumn("estatus", F.when(complete, F.lit(COMPLETE)).otherwise(F.lit(INCOMPLETE)))
 
 
-def _has(document: Column) -> Column:
-    return F.coalesce(F.array_contains("_tiene", document), F.lit(False))
+def _has(number: Column) -> Column:
+    """Whether a person has the document of a number; a missing number stands for a document that isn't required."""
+    bits = F.try_element_at("_tiene", F.floor(number / WORD).cast("int"))
+    return F.coalesce(F.getbit(bits, (number % WORD).cast("int")) == 1, F.lit(False))
 
 
 def matrix_long(people: DataFrame, catalog: DataFrame, files: DataFrame) -> DataFrame:
     """Active people by required document, a row for each, with the status of the file; for catalogs of any length."""
-    rows = _with_documents(people, catalog, files).withColumn("_doc", F.explode("_documentos"))
+    rows = _with_documents(people, catalog, files).select("*", F.posexplode("_documentos").alias("_numero", "_doc"))
     return rows.select(
         "id_colaborador", F.col("nombre_completo").alias("colaborador"), *PERSON, "estatus",
-        F.col("_doc.id").alias("id_documento"), F.col("_doc.nombre_documento").alias("documento"), _has(F.col("_doc.id")).alias("entregado"),
+        F.col("_doc.id").alias("id_documento"), F.col("_doc.nombre_documento").alias("documento"), _has(F.col("_numero")).alias("entregado"),
     )
 
 
@@ -93,9 +118,15 @@ def matrix(people: DataFrame, catalog: DataFrame, files: DataFrame, documents: S
     """
     names = [name for _, name in documents]
     labels = [name if names.count(name) == 1 else f"{name} ({doc})" for doc, name in documents]
-    return _with_documents(people, catalog, files).orderBy("nombre_completo", "id_colaborador").select(
+    rows = _with_documents(people, catalog, files).withColumn("_ids", F.col("_documentos.id"))
+
+    def number(doc: int) -> Column:
+        place = F.array_position("_ids", F.lit(doc).cast("bigint"))
+        return F.when(place > 0, (place - 1).cast("int"))
+
+    return rows.orderBy("nombre_completo", "id_colaborador").select(
         F.col("nombre_completo").alias("colaborador"), *PERSON, "estatus",
-        *[_has(F.lit(doc).cast("bigint")).alias(label) for (doc, _), label in zip(documents, labels)],
+        *[_has(number(doc)).alias(label) for (doc, _), label in zip(documents, labels)],
     )
 
 

@@ -726,6 +726,14 @@ def pivot_export(spark, d):
     return spark.read.schema(pivot.schema).json(folder)
 
 
+@query
+def pivot_export_csv(spark, d):
+    """The same pivot as a CSV file with a header, read back."""
+    pivot, folder = vacancies.pivot_openings(fx.vacantes(spark, d), AS_OF), _scratch(spark)
+    tables.export_csv(pivot, folder)
+    return spark.read.schema(pivot.schema).option("header", "true").csv(folder)
+
+
 @query
 def weeks_in_years(spark, d):
     years = fx.altas(spark, d, "fecha_alta").select(F.year("fecha_alta").alias("anio")).distinct()
