@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reclutark.llm.common import shared_folder, ship
 
 #: Bytes of text of which one reducer counts the n-grams, on average, and tokens of one block of documents.
-PART_BYTES = 24 << 20
-BLOCK_TOKENS = 2_500_000
+PART_BYTES = 20 << 20
+BLOCK_TOKENS = 2_000_000
 
 #: Probability mass that each distinct continuation of a context gives to the shorter context, in occurrences.
 DISCOUNT = 0.75
@@ -72,7 +73,7 @@ def _mixed(prefixes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Block:
-    """Tokens of some whole documents as places in the block's list of distinct words, which is sorted by hash."""
+    """Tokens of some whole documents as numbers of the block's distinct words, the most frequent first; ``places`` has their places by hash."""
 
     ids: list = field(default_factory=list)
     held_out: list[bool] = field(default_factory=list)
@@ -95,17 +96,23 @@ class _Block:
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), dtype=np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        tokens = place[np.concatenate(self.tokens)]
+        tokens = np.concatenate(self.tokens)
         sizes, held_out = np.array(self.sizes), np.array(self.held_out)
-        counts = np.bincount(tokens[np.repeat(~held_out, sizes)], minlength=len(order))
+        counts = np.bincount(tokens[np.repeat(~held_out, sizes)], minlength=len(order))[order]
+        often = np.argsort(-np.bincount(tokens), kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty(len(often), dtype=np.uint32)
+        rank[often] = np.arange(len(often), dtype=np.uint32)
         yield {
-            "part": -1, "block": number, "kind": "texts", "prefixes": pack(sizes), "words": pack(tokens), "counts": pack(held_out),
-            "n": int((sizes - 1)[~held_out].sum()), "ids": self.ids,
+            "part": -1, "block": number, "kind": "texts", "prefixes": pack(sizes), "words": pack(rank[tokens]), "counts": pack(held_out),
+            "n": int((sizes - 1)[~held_out].sum()), "ids": self.ids, "places": pack(place[often]),
         }
         hashes = hashes[order]
         of = _spread(hashes, parts)
         for part, a, b in _groups(of):
-            yield {"part": part, "block": number, "kind": "ask", "prefixes": None, "words": pack(hashes[a:b], True), "counts": pack(counts[a:b]), "n": 0, "ids": None}
+            yield {
+                "part": part, "block": number, "kind": "ask", "prefixes": None, "words": pack(hashes[a:b], True), "counts": pack(counts[a:b]), "n": 0,
+                "ids": None, "places": None,
+            }
 
 
 def _groups(of: np.ndarray) -> list[tuple[int, int, int]]:
@@ -120,7 +127,7 @@ def _encode(docs: DataFrame, held_out: Column, parts: int, block_tokens: int, pa
     """Blocks of whole documents, and what each asks of the parts about its words, written once to ``path``."""
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     id_type = docs.schema["doc_id"].dataType
-    schema = MESSAGE + f", ids array<{id_type.simpleString()}>"
+    schema = MESSAGE + f", ids array<{id_type.simpleString()}>, places binary"
 
     def encode(batches: Batches) -> Batches:
         from pyspark import TaskContext
@@ -130,7 +137,7 @@ def _encode(docs: DataFrame, held_out: Column, parts: int, block_tokens: int, pa
 
         def out() -> pa.RecordBatch:
             rows = list(block.rows(base + count, parts))
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(rows[0], [*TYPES, pa.list_(id_arrow)])], names=list(rows[0]))
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(rows[0], [*TYPES, pa.list_(id_arrow), pa.binary()])], names=list(rows[0]))
 
         for batch in batches:
             id_arrow = batch.schema.field(0).type
@@ -163,10 +170,10 @@ def _sorted(prefixes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nda
         key = (p << np.uint64(w_bits)) | w if p_bits else w
         order = np.argsort(key)
         key = key[order]
-        return order, np.concatenate([[True], key[1:] != key[:-1]])
+        return order, np.append(key[:1] == key[:1], key[1:] != key[:-1])
     order = np.lexsort((words, prefixes))
     p, w = prefixes[order], words[order]
-    return order, np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
+    return order, np.append(p[:1] == p[:1], (p[1:] != p[:-1]) | (w[1:] != w[:-1]))
 
 
 def _distinct(table: pa.Table) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,14 +181,15 @@ def _distinct(table: pa.Table) -> tuple[list[tuple[int, int, int]], np.ndarray,
 
     N-grams are in the order of (prefix, word) whatever the order of the blocks.
     """
-    table = table.sort_by("block")
+    table = table.filter(pc.equal(table.column("kind"), "ask")).sort_by("block")
     words = [unpack(w) for w in table.column("words").to_pylist()]
     prefixes = [np.zeros(len(w), dtype=np.uint64) if p is None else unpack(p) for p, w in zip(table.column("prefixes").to_pylist(), words)]
-    counts = np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
+    none = np.zeros(0, dtype=np.uint64)
+    counts = np.concatenate([none, *(unpack(c) for c in table.column("counts").to_pylist())]).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])
     bounds = [(b, int(e) - len(w), int(e)) for b, e, w in zip(table.column("block").to_pylist(), ends, words)]
-    prefixes = np.concatenate(prefixes)
-    order, new = _sorted(prefixes, np.concatenate(words))
+    prefixes = np.concatenate([none, *prefixes])
+    order, new = _sorted(prefixes, np.concatenate([none, *words]))
     which = np.empty(len(order), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
     return bounds, which, prefixes[order][new], np.bincount(which, weights=counts).astype(np.int64), np.bincount(which)
@@ -194,26 +202,32 @@ def _message(rows: list[tuple]) -> pa.Table:
 def _answers(asked: DataFrame, level: int) -> DataFrame:
     """Counts in the whole corpus of all n-grams that blocks ask for, each in the order of the question, and whether other blocks ask as well.
 
-    Identifiers come along for n-grams that a longer question can name: words that occur, and longer n-grams that occur and that other blocks
-    have, too.  Also for the prefixes, how many distinct n-grams of this part begin with them, and the number of n-grams that occur (``kind`` is
-    ``more`` and ``size``).
+    Identifiers come along for n-grams that a longer question can name: words that occur, the most frequent of a part first, and longer n-grams that
+    occur and that other blocks have, too.  ``more`` says how many distinct n-grams begin with a prefix: of those asked here, and of those that blocks
+    have alone and told the prefix's part.  ``size`` is the number of n-grams that occur.
     """
 
     def reduce(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         bounds, which, prefixes, counts, askers = _distinct(table)
         seen, shared = counts > 0, askers > 1
-        ids = ((part << 32) + np.cumsum(seen)).astype(np.uint64)
+        rank = np.empty(len(counts), dtype=np.int64)
+        rank[np.argsort(-counts, kind="stable") if level == 1 else slice(None)] = np.arange(1, len(counts) + 1)
+        ids = ((part << 32) + rank).astype(np.uint64)
         named, told = seen if level == 1 else seen & shared, 2 * counts + shared
         rows = []
         for block, a, b in bounds:
             own = which[a:b]
-            rows.append((part, block, f"level{level}", None, pack(ids[own[named[own]]], True), pack(told[own]), 0))
+            rows.append((part, block, f"count{level}", None, None, pack(told[own]), 0))
+            rows.append((part, block, f"id{level}", None, pack(ids[own[named[own]]], level > 1), pack(told[:0]), 0))
         rows.append((part, -1, "size", None, None, None, int(seen.sum())))
         if level > 1:
-            for to, a, b in _groups((of := prefixes[seen]) >> np.uint64(32)):
-                first = np.flatnonzero(np.concatenate([[True], of[a + 1 : b] != of[a : b - 1]]))
+            of = prefixes[seen]
+            for to, a, b in _groups(of >> np.uint64(32)):
+                first = np.flatnonzero(np.append(of[a : a + 1] == of[a : a + 1], of[a + 1 : b] != of[a : b - 1]))
                 rows.append((to, -1, "more", None, pack(of[a:b][first], True), pack(np.diff(first, append=b - a)), 0))
+            rest = table.filter(pc.equal(table.column("kind"), "more"))
+            rows += [(part, -1, "more", None, w, c, 0) for w, c in zip(rest.column("words").to_pylist(), rest.column("counts").to_pylist())]
         return _message(rows)
 
     return asked.groupBy("part").applyInArrow(reduce, MESSAGE)
@@ -227,12 +241,12 @@ def _fans(asked: DataFrame, more: DataFrame, level: int) -> DataFrame:
             return _message([])
         part = table.column("part")[0].as_py()
         bounds, which, _, counts, _ = _distinct(table)
-        rank = np.cumsum(counts > 0)
-        fans = np.zeros(int(rank[-1]) + 1, dtype=np.int64)
+        rank = np.empty(len(counts), dtype=np.int64)  # as in the answers
+        rank[np.argsort(-counts, kind="stable") if level == 1 else slice(None)] = np.arange(1, len(counts) + 1)
+        fans = np.zeros(len(counts) + 1, dtype=np.int64)
         for ids, n in zip(told.column("words").to_pylist(), told.column("counts").to_pylist()):
             fans[(unpack(ids) & np.uint64(0xFFFFFFFF)).astype(np.int64)] += unpack(n).astype(np.int64)
-        of = np.where(counts > 0, fans[rank], 0)
-        return _message([(part, block, f"fan{level}", None, None, pack(of[which[a:b]]), 0) for block, a, b in bounds])
+        return _message([(part, block, f"fan{level}", None, None, pack(fans[rank[which[a:b]]]), 0) for block, a, b in bounds])
 
     return asked.groupBy("part").cogroup(more.groupBy("part")).applyInArrow(reduce, MESSAGE)
 
@@ -243,34 +257,40 @@ def _fans(asked: DataFrame, more: DataFrame, level: int) -> DataFrame:
 class _Grams:
     """A block's n-grams of each order, and which one ends at each token (-1: none that occurs).
 
-    Documents begin with the start and end with the end.  An n-gram's number is its place in the block's question, by part; then come those that
-    needn't be asked: if no other block has a prefix, its continuations and their counts are this block's own.
+    Documents begin with the start and end with the end.  An n-gram's number is its place in the block's question, by part (a word's: by
+    identifier); then come those that needn't be asked: if no other block has an n-gram's prefix, or what is left without its first token, no other
+    block has the n-gram, and its count is this block's own.
     """
 
     def __init__(self, texts: dict, told: pa.Table, parts: int):
         self.sizes = unpack(texts["prefixes"]).astype(np.int64)
         self.held_out = unpack(texts["counts"]).astype(bool)
-        self.tokens = unpack(texts["words"]).astype(np.int32)
         self.told, self.parts = _told(told), parts
         self.learnt = np.repeat(~self.held_out, self.sizes)
-        self.first = np.zeros(len(self.tokens), dtype=bool)
+        self.first = np.zeros(len(self.learnt), dtype=bool)
         self.first[np.cumsum(self.sizes) - self.sizes] = True
-        self.ids, self.counts, self.shared, self.at, self.example, self.prefix, self.asked = [], [], [], [], [], [], []
-        self._take(1, np.zeros(0, dtype=np.int64), self.tokens, None, None)
-
-    def _take(self, level: int, own: np.ndarray, at: np.ndarray, example: np.ndarray | None, prefix: np.ndarray | None) -> None:
-        """The answers of a level; ``own`` counts the n-grams that weren't asked."""
-        told = self._all(f"level{level}", "counts")
-        shared = (told & np.uint64(1)).astype(bool)
-        counts = (told >> np.uint64(1)).astype(np.int64)
+        self.ids, self.counts, self.shared, self.at, self.example, self.prefix = [], [], [], [], [], []
+        counts, shared, ids = self._answers(1)
+        self.words = np.argsort(np.where(counts > 0, ids, np.uint64((1 << 64) - 1)), kind="stable")
+        number = np.empty(len(counts), dtype=np.int32)
+        number[self.words] = np.arange(len(counts), dtype=np.int32)
+        self.tokens = number[unpack(texts["places"])][unpack(texts["words"])]
+        self._take(counts[self.words], shared[self.words], ids[self.words], self.tokens, None, None)
+
+    def _answers(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = self._all(f"count{level}", "counts")
+        shared, counts = (told & np.uint64(1)).astype(bool), (told >> np.uint64(1)).astype(np.int64)
         ids = np.zeros(len(told), dtype=np.uint64)
-        ids[(counts > 0) if level == 1 else (counts > 0) & shared] = self._all(f"level{level}", "words")
-        rest = np.zeros(len(own), dtype=bool)
-        self.asked.append(len(told))
+        named = self._all(f"id{level}", "words")
+        if len(named):  # the longest have none
+            ids[(counts > 0) if level == 1 else (counts > 0) & shared] = named
+        return counts, shared, ids
+
+    def _take(self, counts: np.ndarray, shared: np.ndarray, ids: np.ndarray, at: np.ndarray, example: np.ndarray | None, prefix: np.ndarray | None) -> None:
         self.ids.append(ids)
-        self.counts.append(np.concatenate([counts, own]))
-        self.shared.append(np.concatenate([shared, rest]))
-        occurs = self.counts[-1] > 0
+        self.counts.append(counts)
+        self.shared.append(shared)
+        occurs = counts > 0
         self.at.append(np.where((at >= 0) & occurs[at], at, np.int32(-1)) if len(occurs) else np.full(len(at), -1, dtype=np.int32))
         self.example.append(example)
         self.prefix.append(prefix)
@@ -285,8 +305,11 @@ class _Grams:
         key = (before[where - 1].astype(np.uint64) << np.uint64(32)) | word[where].astype(np.uint64)
         grams, which = np.unique(key, return_inverse=True)
         counts = np.bincount(which, weights=self.learnt[where], minlength=len(grams)).astype(np.int64)
+        example = np.empty(len(grams), dtype=np.int64)
+        example[which] = where
         prefix, last = (grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        asked = self.shared[-1][prefix]
+        rest = before[example]  # without the first token; -1 if that never occurs, and then the n-gram doesn't, either
+        asked = self.shared[-1][prefix] & (rest >= 0) & self.shared[-1][rest]
         of = np.full(len(grams), self.parts, dtype=np.uint16 if self.parts < 1 << 16 else np.uint32)
         of[asked] = _spread(_mixed(self.ids[-1][prefix[asked]], self.ids[0][last[asked]]), self.parts)
         order = np.argsort(of, kind="stable")
@@ -294,27 +317,34 @@ class _Grams:
         number[order] = np.arange(len(order), dtype=np.int32)
         at = np.full(len(self.tokens), -1, dtype=np.int32)
         at[where] = number[which]
-        example = np.empty(len(order), dtype=np.int64)
-        example[at[where]] = where
-        return of[order], prefix[order], last[order], counts[order], example, at
+        return of[order], prefix[order], last[order], counts[order], example[order], at
 
     def deepen(self, level: int) -> None:
-        of, prefix, _, counts, example, at = self._next()
-        self._take(level, counts[of == self.parts], at, example, prefix)
-
-    def question(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per part: prefixes and words by identifier, and learnt counts, of the n-grams of the next order."""
+        of, prefix, _, own, example, at = self._next()
+        counts, shared, ids = self._answers(level)
+        own = own[of == self.parts]
+        self._take(np.concatenate([counts, own]), np.concatenate([shared, np.zeros(len(own), dtype=bool)]), ids, at, example, prefix)
+
+    def question(self) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per part: prefixes and words by identifier, and learnt counts, of the n-grams of the next order; and for prefixes that other blocks
+        have how many n-grams that occur begin with them here alone."""
         of, prefix, last, counts, *_ = self._next()
         n = int(np.searchsorted(of, self.parts))
         prefixes, words = self.ids[-1][prefix[:n]], self.ids[0][last[:n]]
         for part, a, b in _groups(of[:n]):
-            yield part, prefixes[a:b], words[a:b], counts[a:b]
+            yield part, "ask", prefixes[a:b], words[a:b], counts[a:b]
+        alone = prefix[n:][counts[n:] > 0]
+        found, more = np.unique(self.ids[-1][alone[self.shared[-1][alone]]], return_counts=True)
+        for part, a, b in _groups(found >> np.uint64(32)):
+            yield part, "more", found[:0], found[a:b], more[a:b]
 
     def fans(self, level: int) -> np.ndarray:
         """Distinct continuations of each n-gram of a level: as told if other blocks have it, or else this block's own."""
         follow = self.prefix[level][self.counts[level] > 0]
         fans = np.bincount(follow, minlength=len(self.counts[level - 1]))
         told = self._all(f"fan{level}", "counts").astype(np.int64)
+        if level == 1:
+            told = told[self.words]
         n, shared = len(told), self.shared[level - 1]
         fans[:n] = np.where(shared[:n], told, fans[:n])
         return fans
@@ -341,7 +371,7 @@ def _ask(texts: DataFrame, told: DataFrame, level: int, parts: int) -> DataFrame
         grams = _Grams(row, answers, parts)
         for k in range(2, level):
             grams.deepen(k)
-        return _message([(part, row["block"], "ask", pack(p, True), pack(w), pack(c), 0) for part, p, w, c in grams.question()])
+        return _message([(part, row["block"], kind, pack(p, True), pack(w, kind == "more"), pack(c), 0) for part, kind, p, w, c in grams.question()])
 
     return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, MESSAGE)
 
@@ -451,18 +481,20 @@ def scores(
     parts = 1 + int(bytes_of // part_bytes)
     folder = f"{shared_folder(spark)}/backoff-{uuid.uuid4().hex}"
     encoded = _encode(docs, held_out, parts, block_tokens, f"{folder}/blocks")
-    texts, asked = encoded.filter("kind = 'texts'"), {1: encoded.filter("kind = 'ask'").drop("ids")}
+    texts, asked = encoded.filter("kind = 'texts'"), {1: encoded.filter("kind = 'ask'").drop("ids", "places")}
     _answers(asked[1], 1).write.parquet(f"{folder}/level1")
     first = spark.read.schema(MESSAGE).parquet(f"{folder}/level1")
     total = texts.agg(F.sum("n")).first()[0] or 0
     distinct = (first.filter("kind = 'size'").agg(F.sum("n")).first()[0] or 0) - (1 if total else 0)  # without the start
 
-    told = first.filter("block >= 0")
+    told, fans = first.filter("block >= 0"), []
     for level in range(2, order + 1):
         asked[level] = _ask(texts, told, level, parts)
         answers = _answers(asked[level], level)
-        fans = _fans(asked[level - 1], answers.filter("kind = 'more'"), level - 1)
-        told = told.unionByName(answers.filter("block >= 0")).unionByName(fans)
+        fans.append(_fans(asked[level - 1], answers.filter("kind = 'more'"), level - 1))
+        told = told.unionByName(answers.filter("block >= 0" if level < order else f"kind = 'count{level}'"))
+    for more in fans:
+        told = told.unionByName(more)
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.drop_columns(["ids"]).to_pylist()[0]
