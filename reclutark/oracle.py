@@ -323,6 +323,64 @@ def _import_twice() -> str:
     )
 
 
+def _window_from_daily() -> str:
+    """The windows' totals over the outcome of the import."""
+    body = _import_body()
+    filled = f"SELECT CAST(COALESCE(SUM({_HIRED}), 0) AS BIGINT) FROM uno WHERE fecha_solicitud BETWEEN fi AND ff AND fase_proceso = 'CONTRATADO'"
+    return _sql(
+        f", {_WINDOWS}, uno AS (WITH {body}) SELECT CAST(anio AS INT) AS anio, "
+        f"(SELECT CAST(COALESCE(SUM({_HIRES}), 0) AS BIGINT) FROM altas WHERE fecha_alta BETWEEN fi AND ff) AS contratados, "
+        f"({filled} AND tipo_solicitud = 'NUEVO') AS nuevas, ({filled} AND tipo_solicitud = 'REEMPLAZO') AS reemplazos FROM w",
+        "altas", "vacantes", "registros_rh", "importacion",
+    )
+
+
+def _dashboard_cube() -> str:
+    def block(table: str, name: str, key: str, amount: str, mean: str, source: str, detail: str = "NULL", share: str = "NULL") -> str:
+        return (
+            f"SELECT '{table}' AS tabla, '{name}' AS bloque, CAST({key} AS STRING) AS clave, CAST({detail} AS STRING) AS detalle, "
+            f"CAST({amount} AS BIGINT) AS cantidad, CAST({mean} AS DOUBLE) AS promedio, CAST({share} AS DOUBLE) AS porcentaje FROM {source}"
+        )
+
+    def hired(name: str, key: str, where: str, **more: str) -> str:
+        share = "SUM(n) / (SUM(SUM(n)) OVER ())::BIGINT * 100" if name in ("canal", "empresa") else "NULL"
+        return block("altas", name, key, "SUM(n)", "NULL", f"h WHERE {where} GROUP BY ALL", share=share, **more)
+
+    def total(name: str, where: str) -> str:
+        return block("altas", "totales", f"'{name}'", f"COALESCE(SUM(n) FILTER ({where}), 0)", "NULL", "h")
+
+    def openings(name: str, key: str) -> str:
+        return block("vacantes", name, key, f"SUM({_OPENINGS})", "NULL", f"vacantes WHERE {_OPEN} AND {_AUTHORISED_OPENINGS} AND {key} IS NOT NULL GROUP BY ALL")
+
+    def days(name: str, key: str) -> str:
+        return block("vacantes", name, key, "NULL", "AVG(dias)", f"d WHERE {key} IS NOT NULL AND dias IS NOT NULL GROUP BY ALL")
+
+    alias = "CASE nombre WHEN 'MARTA' THEN 'HELEN' WHEN 'LETICIA' THEN 'LETY' WHEN 'YULIANA' THEN 'YULI' ELSE nombre END"
+    parts = [
+        hired("canal", "medio_reclutamiento_alta", "medio_reclutamiento_alta IS NOT NULL"),
+        hired("empresa", "empresa_alta", "empresa_alta IS NOT NULL"),
+        hired("ejecutivo", alias, "nombre IS NOT NULL AND area_alta IS NOT NULL", detail="area_alta"),
+        hired("mes", "month(fecha_alta)", "fecha_alta IS NOT NULL"),
+        total("contratados_totales", "TRUE"), total("contratados_redes_pagadas", "medio_reclutamiento_alta = 'REDES PAGADAS'"),
+        total("contratados_operativas", "area_alta = 'OPERATIVA'"),
+        total("contratados_operativas_redes_pagadas", "area_alta = 'OPERATIVA' AND medio_reclutamiento_alta = 'REDES PAGADAS'"),
+        openings("vacantes_empresa", "empresa_vacante"), openings("vacantes_area", "funcion_area_vacante"),
+        block(
+            "vacantes", "embudo", "fase_proceso", "COUNT(*)", "NULL",
+            f"vacantes WHERE {_OPEN} AND fase_proceso <> 'CONTRATADO' AND (estatus_solicitud IS NULL OR estatus_solicitud NOT IN "
+            f"('PENDIENTE', 'CANCELADO', 'PAUSADO')) AND {_AUTHORISED_OPENINGS} GROUP BY ALL",
+        ),
+        days("dias_plaza", "plaza_vacante"), days("dias_puesto", "puesto_vacante"),
+        block("vacantes", "totales", "'vacantes'", f"COALESCE(SUM({_OPENINGS}), 0)", "NULL", f"vacantes WHERE {_OPEN} AND fecha_autorizacion IS NOT NULL"),
+        block("vacantes", "totales", "'dias_promedio'", "NULL", "AVG(dias)", "d"),
+    ]
+    return _sql(
+        f", h AS (SELECT *, string_split_regex(trim(responsable_alta), '\\s+')[1] AS nombre, {_HIRES} AS n FROM altas WHERE {_HIRES} > 0 AND {_QUARTER}), "
+        f"d AS (SELECT plaza_vacante, puesto_vacante, {_DAYS} AS dias FROM vacantes WHERE {_HIRED} > 0) " + " UNION ALL ".join(parts),
+        "altas", "vacantes",
+    )
+
+
 def _import_master() -> str:
     return _sql(
         f", {_MATCHED}, cambios AS (SELECT v.id_registro, m.* FROM casadas m JOIN vacantes v ON v.id = m.id_vacante) "
@@ -368,6 +426,7 @@ def oracle_sql() -> dict[str, str]:
         for area in ("ADMINISTRATIVA", "OPERATIVA")
     )
     return {
+        "dashboard_cube": _dashboard_cube(),
         "hires_by_channel": _share_by("medio_reclutamiento_alta", _QUARTER, "medio_reclutamiento_alta"),
         "hires_by_company": _share_by(
             "CASE empresa_alta WHEN 'AUTOMOBILE' THEN 'AUTO' WHEN 'MACHINERY' THEN 'MAQ' "
@@ -449,6 +508,9 @@ def oracle_sql() -> dict[str, str]:
         "last_update": _sql(
             "SELECT CAST(MAX(ultima_actualizacion) AS DATE) AS ultima_actualizacion FROM registros_rh", "registros_rh"
         ),
+        "last_update_indexed": _sql(
+            "SELECT CAST(MAX(ultima_actualizacion) AS DATE) AS ultima_actualizacion FROM registros_rh", "registros_rh"
+        ),
         "years_available": _sql(
             "SELECT DISTINCT CAST(anio AS INT) AS anio FROM (SELECT year(fecha_solicitud) AS anio FROM vacantes UNION ALL "
             "SELECT year(fecha_cobertura) FROM vacantes UNION ALL SELECT year(fecha_alta) FROM altas UNION ALL "
@@ -813,6 +875,7 @@ def oracle_sql() -> dict[str, str]:
         "import_upsert": _import_upsert(),
         "import_master": _import_master(),
         "import_commit": _import_twice(),
+        "window_from_daily": _window_from_daily(),
         "import_report": _sql(
             f", {_MATCHED} SELECT CAST(SUM(CASE WHEN id_vacante IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nuevos, "
             "CAST(SUM(CASE WHEN id_vacante IS NULL THEN filas - 1 ELSE filas END) AS BIGINT) AS actualizados, "

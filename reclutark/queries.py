@@ -12,7 +12,7 @@ from reclutark import catalogs
 from reclutark.functions import calendar, coerce, measures, text
 from reclutark.functions.calendar import MONTH, QUARTER, RANGE, WEEK, YEAR, Period
 from reclutark.operators import series, tableview
-from reclutark.plans import annual, conversations, files, hires, listings, overview, sla, vacancies
+from reclutark.plans import annual, conversations, daily, dashboard, files, hires, listings, overview, sla, vacancies
 from reclutark.session import scratch_folder
 from reclutark.sources import fixtures as fx, ingest, tables
 from reclutark.sources.versions import Store
@@ -111,6 +111,13 @@ def _period_totals(spark, d, period: Period, leavers_period: Period) -> DataFram
     return series.one_row(hires.total(hired), overview.leavers_total(left, leavers_period))
 
 
+@query
+def dashboard_cube(spark, d):
+    """All breakdowns of the dashboard, from one reading of each table."""
+    rows = fx.altas(spark, d, *CHARTED, "empresa_alta")
+    return dashboard.blocks(hires.selected(rows, QUARTER_2_1998), fx.vacantes(spark, d), AS_OF, {})
+
+
 @query
 def period_all(spark, d):
     return _period_totals(spark, d, Period(), Period())
@@ -699,6 +706,17 @@ def import_commit(spark, d):
     return store.read("vacantes")
 
 
+@query
+def window_from_daily(spark, d):
+    """The windows' totals from daily totals that an import has moved on."""
+    store = _store(spark, d, "vacantes", "registros_rh")
+    change = store.begin()
+    change.put("diario", daily.of_hires(fx.altas(spark, d)).unionByName(daily.of_vacancies(store.read("vacantes"))))
+    change.commit()
+    ingest.commit_import(store, fx.importacion(spark, d), AT)
+    return daily.window_totals(store.read("diario"), WINDOWS)
+
+
 @query
 def patch_partitioned(spark, d):
     """The edits of ``edit_vacancies`` as a new version of a table that is stored by hash of its id."""
@@ -726,6 +744,13 @@ def pivot_export(spark, d):
     return spark.read.schema(pivot.schema).json(folder)
 
 
+@query
+def last_update_indexed(spark, d):
+    """Day of the latest update stamp, from the index of the stored files."""
+    bounds = _store(spark, d, "registros_rh", index=("ultima_actualizacion",)).bounds("registros_rh", "ultima_actualizacion")
+    return bounds.select(F.col("maximo").cast("date").alias("ultima_actualizacion"))
+
+
 @query
 def pivot_export_csv(spark, d):
     """The same pivot as a CSV file with a header, read back."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reclutark import catalogs
 from reclutark.functions import coerce, measures, text
 from reclutark.operators import changes, series
+from reclutark.plans import daily
 from reclutark.session import cut_lineage
 from reclutark.sources.tables import write_table
 from reclutark.sources.versions import Store
@@ -441,8 +442,9 @@ def plan_import(staged: DataFrame, vacancies: DataFrame, master: DataFrame, at:
 def commit_import(store: Store, staged: DataFrame, at: dt.datetime | None = None) -> DataFrame:
     """Imports staged rows into ``vacantes`` and ``registros_rh`` of a store as one new version; returns the report.
 
-    Only the buckets of updated rows are written anew, new rows go to new files; refused rows replace the store's ``rechazos``.  Readers see all three
-    or none: a job that fails half way leaves the store as it was, and what it wrote goes with the store's next clean-up.
+    Only the buckets of updated rows are written anew, new rows go to new files; refused rows replace the store's ``rechazos``.  If the store holds daily
+    totals (``diario``), they are moved on by what the import's rows add, less what the rows that they replace had added.  Readers see all of it
+    or nothing: a job that fails half way leaves the store as it was, and what it wrote goes with the store's next clean-up.
     """
     change = store.begin()
     vacancies, master = change.read("vacantes"), change.read("registros_rh")
@@ -455,6 +457,10 @@ def commit_import(store: Store, staged: DataFrame, at: dt.datetime | None = None
     change.patch("registros_rh", master_updates, MASTER_COLUMNS)
     change.add("registros_rh", master_inserts)
     change.put("rechazos", rejected(rows))
+    if "diario" in change.tables:
+        before = vacancies.join(updates.select("id"), "id", "left_semi")
+        after = changes.overlay(before, updates, "id", VACANCY_COLUMNS).unionByName(inserts)
+        change.add("diario", daily.difference(daily.of_vacancies(after), daily.of_vacancies(before)))
     change.commit()
     return import_report(rows, matched)
 

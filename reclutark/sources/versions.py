@@ -157,6 +157,17 @@ class Store:
         files = sorted(f for f in found if f.rpartition("/")[0] in current)
         return self._files(table, files).join(wanted, column, "left_semi").select(*T.StructType.fromJson(json.loads(table.schema)).names)
 
+    def bounds(self, name: str, column: str, version: int | None = None) -> DataFrame:
+        """Least and greatest value of an indexed column (minimo, maximo), from the index alone: no file of the table is opened."""
+        table = self.tables(version)[name]
+        current = [f for of in table.folders.values() for f in of]
+        kind = T.StructType.fromJson(json.loads(table.schema))[column].dataType.simpleString()
+        zones = self.spark.createDataFrame([], f"archivo string, minimo {kind}, maximo {kind}")
+        for folder, _ in table.indexes[column]:
+            zones = zones.unionByName(self.spark.read.parquet(f"{self.root}/{folder}").select("archivo", "minimo", "maximo"))
+        inside = F.regexp_replace("archivo", "/[^/]*$", "").isin(current)
+        return zones.where(inside).agg(F.min("minimo").alias("minimo"), F.max("maximo").alias("maximo"))
+
     def begin(self) -> Change:
         return Change(self)
 

@@ -7,7 +7,8 @@ from conftest import day, tuples
 from reclutark.functions import calendar, predicates
 from reclutark.functions.calendar import YEAR, Period
 from reclutark.operators import series
-from reclutark.plans import annual, conversations, files, hires, listings, overview, sla, vacancies
+from reclutark.plans import annual, conversations, daily, dashboard, files, hires, listings, overview, sla, vacancies
+from reclutark.sources import tables
 from reclutark.sources.tables import empty_table, last_update, latest_snapshot
 
 AS_OF = dt.date(2024, 1, 31)
@@ -413,3 +414,36 @@ def test_replies(spark):
     assert tuples(conversations.payloads(df), "respuesta", "grafica") == [
         ("hola", '{"x":1}'), ("nada", None), ("He procesado tu solicitud.", None),
     ]
+
+
+def test_the_dashboard_reads_each_table_once(spark, tmp_path, make):
+    a = make("altas", alta(1, "2024-01-01", 2, medio_reclutamiento_alta="OCC", empresa_alta=None, responsable_alta="MARTA X", area_alta="OPERATIVA"),
+             alta(2, "2024-02-01", 6, medio_reclutamiento_alta="REDES PAGADAS", empresa_alta="E", responsable_alta=None, area_alta="ADMINISTRATIVA"), alta(3, "2024-02-01", 0))
+    v = make("vacantes", {"id": 1, "fecha_autorizacion": "2024-01-01", "vacantes_solicitadas": 3, "empresa_vacante": "E", "fase_proceso": "EN ENTREVISTA"},
+             {"id": 2, "fase_proceso": "CONTRATADO", "plaza_vacante": "P", "fecha_autorizacion": "2024-01-01", "fecha_cobertura": "2024-01-11", "vacantes_contratados": "1"})
+    for name, df in (("altas", a), ("vacantes", v)):
+        df.write.parquet(str(tmp_path / name))
+    stored = [tables.read_table(spark, str(tmp_path), n) for n in ("altas", "vacantes")]
+    df = dashboard.blocks(*stored, dt.date(2024, 3, 1))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Expand") == 2
+    got = {(r.bloque, r.clave, r.detalle): (r.cantidad, r.promedio, r.porcentaje) for r in df.collect()}
+    assert got[("canal", "REDES PAGADAS", None)] == (6, None, 75.0) and got[("empresa", "E", None)] == (6, None, 100.0)
+    assert got[("ejecutivo", "HELEN", "OPERATIVA")] == (2, None, None) and got[("mes", "2", None)][0] == 6
+    assert got[("totales", "contratados_totales", None)][0] == 8 and got[("totales", "contratados_operativas_redes_pagadas", None)][0] == 0
+    assert got[("vacantes_empresa", "E", None)][0] == 3 and got[("embudo", "EN ENTREVISTA", None)][0] == 1 and got[("dias_plaza", "P", None)][1] == 10.0
+    assert got[("totales", "vacantes", None)][0] == 3 and got[("totales", "dias_promedio", None)][1] == 10.0
+    assert not any(k[0] in ("canal", "empresa") and k[1] is None for k in got)
+    empty = dashboard.blocks(a.limit(0), v.limit(0)).collect()
+    assert {(r.clave, r.cantidad) for r in empty} == {(n, 0) for n in (
+        "contratados_totales", "contratados_redes_pagadas", "contratados_operativas", "contratados_operativas_redes_pagadas", "vacantes")}
+
+
+def test_sums_of_daily_parts_are_the_annual_reports(spark, make):
+    a = make("altas", *[alta(i, f"202{i % 3}-0{1 + i % 9}-15", i % 4, responsable_alta=("DIEGO X", "ELENA Y", None)[i % 3], area_alta="OPERATIVA") for i in range(40)])
+    parts = daily.of_hires(a)
+    windows = [(y, dt.date(y, 2, 1), dt.date(y, 8, 31)) for y in (2020, 2021, 2022)]
+    assert tuples(daily.window_monthly(parts, windows)) == tuples(annual.window_monthly(a, windows))
+    assert tuples(daily.window_recruiters(parts, windows)) == tuples(annual.window_recruiters(a, windows))
+    assert tuples(daily.yearly(parts)) == tuples(annual.yearly(a))
+    assert daily.difference(parts, parts).count() == 0

@@ -1,15 +1,15 @@
 """Versioned tables: commits, conflicts, partitions by hash, index of files, clean-up, imports into a store."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from reclutark import catalogs, schemas
+from reclutark import catalogs
+from reclutark.plans import daily
 from reclutark.sources import ingest, versions
 from reclutark.sources.versions import Conflict, Store
 
-VACANTES = [f.split(" ")[0] for f in schemas.VACANTES.split(", ")]
-
-
 @pytest.fixture
 def store(spark, tmp_path):
     return Store(spark, str(tmp_path / "store"))
@@ -122,6 +122,21 @@ def test_every_stored_key_is_found_by_the_index(spark, store):
     assert store.lookup("t", "id", df).count() == 20_000
 
 
+def test_bounds_come_from_the_index_of_current_files(spark, store):
+    df = spark.createDataFrame([(i, f"2024-01-{i:02d}") for i in range(1, 31)] + [(40, None)], "id long, v string")
+    put(store, "t", df, key="id", buckets=8, index=("v",))
+    assert rows(store.bounds("t", "v")) == [("2024-01-01", "2024-01-30")]
+    change = store.begin()
+    change.patch("t", spark.createDataFrame([(30, "2023-01-01"), (1, None)], "id long, v string"), ["v"])
+    change.commit()
+    bounds = store.bounds("t", "v")
+    assert rows(bounds) == [("2023-01-01", "2024-01-29")] == [tuple(store.read("t").agg(F.min("v"), F.max("v")).first())]
+    table = store.tables()["t"]
+    indexes = {folder for folder, _ in table.indexes["v"]}
+    assert {"/".join(f.split("/")[-3:-1]) for f in bounds.inputFiles()} <= indexes
+    assert rows(store.bounds("t", "v", version=1)) == [("2024-01-01", "2024-01-30")]
+
+
 def test_empty_tables_and_null_keys(spark, store):
     df, how = numbers(spark, [])
     put(store, "t", df, **how, index=("v",))
@@ -183,3 +198,26 @@ def test_imports_into_a_store(spark, make, store):
     assert store.versions() == [1, 2] and {r.puesto_vacante for r in store.read("vacantes").collect()} == {"UNO", "TRES", "CUATRO"}
     ingest.commit_import(store, staged(spark, ("6", "cinco")))
     assert {r.puesto_vacante for r in store.read("vacantes").collect()} == {"UNO", "CINCO", "CUATRO"} and store.read("rechazos").count() == 0
+
+
+def test_daily_totals_move_on_with_an_import(spark, make, store):
+    stored = [
+        {"id": 1, "id_registro": 11, "id_sistema": 5, "puesto_vacante": "OLD", "fase_proceso": "CONTRATADO", "fecha_solicitud": "2024-01-05", "tipo_solicitud": "NUEVO",
+         "vacantes_contratados": "2"},
+        {"id": 2, "id_registro": 12, "id_sistema": 6, "puesto_vacante": "OLD", "fase_proceso": "CONTRATADO", "fecha_solicitud": "2024-01-09", "tipo_solicitud": "NUEVO",
+         "vacantes_contratados": "1"},
+    ]
+    change = store.begin()
+    change.put("vacantes", make("vacantes", *stored), "id", 4)
+    change.put("registros_rh", make("registros_rh", {"id": 11}, {"id": 12}), "id", 4)
+    change.put("diario", daily.of_vacancies(change.read("vacantes")))
+    change.commit()
+    before = store.tables()["diario"].folders["0"]
+    ingest.commit_import(store, staged(spark, ("5", "uno"), ("7", "dos")))
+    parts = store.read("diario")
+    assert store.tables()["diario"].folders["0"][:1] == before
+    want = rows(daily.merged(daily.of_vacancies(store.read("vacantes"))))
+    assert rows(daily.merged(parts)) == want and len(want) == 1
+    assert {r.dia for r in parts.where("cantidad < 0").collect()} == {dt.date(2024, 1, 5)}
+    windows = [(2024, dt.date(2024, 1, 1), dt.date(2024, 12, 31)), (2025, dt.date(2025, 1, 1), dt.date(2025, 12, 31))]
+    assert rows(daily.window_totals(parts, windows)) == [(2024, 0, 1, 0), (2025, 0, 0, 0)]
