@@ -19,6 +19,7 @@ _SOURCES = {
     "respuestas": (fx.RESPUESTAS, "events"),
     "contestaciones": (fx.REPLIES, "events"),
     "fechas": (fx.DATE_TEXTS, "orders"),
+    "lineas_csv": (fx.DROPPED_LINES, "orders"),
     "colaboradores": (fx.COLABORADORES_ACTIVOS, "customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "catalogo": (fx.CATALOGO_DOCUMENTOS, "(SELECT DISTINCT l_linenumber FROM lineitem) AS l"),
     "archivos": (fx.ARCHIVOS_EXPEDIENTES, "lineitem JOIN orders ON l_orderkey = o_orderkey"),
@@ -889,6 +890,15 @@ def oracle_sql() -> dict[str, str]:
         ),
         "import_long_keys_upsert": _import_upsert().replace(_CTES["importacion"], _LONG_KEYS),
         "drop_folder_import": _import_upsert().replace(_CTES["importacion"], _NUMBERED),
+        "drop_folder_rejects": _sql("SELECT 'número de columnas' AS motivo, linea AS texto FROM lineas_csv WHERE orden % 10 IN (0, 5)", "lineas_csv"),
+        "drop_folder_rows": _sql(
+            "SELECT CAST(o_orderkey AS STRING) AS \"ID\", CASE WHEN o_orderkey % 10 = 2 THEN 'puesto, con coma' ELSE o_orderpriority END AS \"Puesto solicitado\", "
+            "CASE WHEN o_orderkey % 10 = 2 THEN CONCAT('primera ', CAST(o_orderkey AS STRING), CHR(10), 'segunda') "
+            "WHEN o_orderkey % 2 = 0 THEN 'dijo \"sí\"' END AS \"Comentarios Del Seguimiento Del Proceso\", "
+            "CASE WHEN o_orderkey % 2 = 1 THEN CONCAT('plaza ', CAST(o_custkey % 9 AS STRING)) END AS \"Plaza\" "
+            "FROM orders, lineas_csv WHERE orden = o_orderkey AND o_orderkey % 10 NOT IN (0, 5)",
+            "lineas_csv",
+        ),
         "import_dates": _sql("SELECT id, esperada AS fecha FROM fechas", "fechas"),
         "strict_dates": _sql(
             "SELECT id, CASE WHEN id % 21 = 0 THEN esperada END AS estricta, esperada AS leida, CAST(esperada AS STRING) AS iso FROM fechas",

@@ -736,6 +736,26 @@ def lookup_pruned(spark, d):
     return found.select("id", "id_sistema", "puesto_vacante", "fase_proceso")
 
 
+def _dropped(spark, d) -> tables.Dropped:
+    """CSV lines written as files of a drop folder, in order, and read from there."""
+    folder = _scratch(spark)
+    lines = fx.lineas_csv(spark, d).repartition("archivo").sortWithinPartitions("archivo", "orden")
+    lines.select("archivo", "linea").write.partitionBy("archivo").text(folder)
+    return tables.read_drop_lines(spark, folder)
+
+
+@query
+def drop_folder_rejects(spark, d):
+    """Bad lines of files with different headers."""
+    return _dropped(spark, d).rejects.select("motivo", "texto")
+
+
+@query
+def drop_folder_rows(spark, d):
+    """The good ones, by header name."""
+    return _dropped(spark, d).rows.select("ID", "Puesto solicitado", "Comentarios Del Seguimiento Del Proceso", "Plaza")
+
+
 @query
 def pivot_export(spark, d):
     """The pivot of openings, exported and read back."""

@@ -201,6 +201,22 @@ IMPORT_LONG_KEYS = IMPORT_STAGING | {
     ),
 }
 
+_KEY = "CAST(o_orderkey AS STRING)"
+
+# Lines of dropped CSV files, whose header depends on the file: too few or too many cells, commas, quotes and line breaks inside quotes.
+DROPPED_HEADERS = ("ID,Puesto solicitado,Comentarios Del Seguimiento Del Proceso", " Puesto solicitado ,ID,Plaza")
+DROPPED_LINES = {
+    "archivo": "CAST(o_orderkey % 4 AS INT)",
+    "orden": "o_orderkey",
+    "linea": (
+        f"CASE WHEN o_orderkey % 10 = 0 THEN CONCAT({_KEY}, ',sólo dos') "
+        f"WHEN o_orderkey % 10 = 2 THEN CONCAT({_KEY}, ',\"puesto, con coma\",\"primera ', {_KEY}, CHR(10), 'segunda\"') "
+        f"WHEN o_orderkey % 2 = 0 THEN CONCAT({_KEY}, ',', o_orderpriority, ',\"dijo \"\"sí\"\"\"') "
+        f"WHEN o_orderkey % 10 = 5 THEN CONCAT('a,', {_KEY}, ',b,c') "
+        f"ELSE CONCAT(o_orderpriority, ',', {_KEY}, ',plaza ', CAST(o_custkey % 9 AS STRING)) END"
+    ),
+}
+
 _Y, _M, _D = "CAST(YEAR(o_orderdate) AS STRING)", *(
     f"LPAD(CAST({part}(o_orderdate) AS STRING), 2, '0')" for part in ("MONTH", "DAY")
 )
@@ -300,6 +316,14 @@ def fechas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(_read(spark, sf_dir, "orders"), DATE_TEXTS, ())
 
 
+def lineas_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of dropped files (archivo, orden, linea), their headers first; files of odd number have the second header."""
+    lines = _project(_read(spark, sf_dir, "orders"), DROPPED_LINES, ())
+    header = F.when(F.col("archivo") % 2 == 0, DROPPED_HEADERS[0]).otherwise(DROPPED_HEADERS[1])
+    files = spark.range(4).select(F.col("id").cast("int").alias("archivo"), F.lit(-1).cast("long").alias("orden"))
+    return lines.unionByName(files.withColumn("linea", header))
+
+
 def contestaciones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(_read(spark, sf_dir, "events"), REPLIES, ())
 
