@@ -61,8 +61,6 @@ RECRUITING_TYPES = (
 
 REQUEST_TYPES = ("NUEVO", "REEMPLAZO", "SIN ESPECIFICAR")
 
-LEAVE_TYPES = ("INDUCIDA", "VOLUNTARIA", "SIN ESPECIFICAR")
-
 RECORD_TYPES = ("Alta", "Baja", "Vacante")
 
 MONTHS = (

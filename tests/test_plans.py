@@ -17,7 +17,9 @@ def plan_of(df):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_no_python_and_no_pair_joins(spark, name):
     plan = plan_of(queries()[name](spark, SMALL))
-    for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    for operator in (
+        "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "FlatMapCoGroups", "CartesianProduct", "BroadcastNestedLoopJoin",
+    ):
         assert operator not in plan
 
 
