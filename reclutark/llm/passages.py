@@ -8,11 +8,10 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reclutark.llm.common import runs, ship, words
+from reclutark.llm.common import runs, ship, texts_of, word_hashes, words
 from reclutark.session import cut_lineage
 
 #: Words of a seed, and seeds of which the least hash is kept: two texts that share SEED + WINDOW - 1 words in a row share a seed.
@@ -45,25 +44,12 @@ MET = 3
 #: Bits of the table of crowded seeds.  Seeds that share a bit with one are crowded too, which costs keys and loses nothing.
 CROWD_BITS = 26
 
-CACHED_WORDS = 200_000
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Hashes of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def _hashed(found: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SEED words, and the least of each window of WINDOW of them."""
-    n = len(found) - SEED + 1
-    single = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
+def _hashed(single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of SEED words, from those of the words, and the least of each window of WINDOW of them."""
+    n = len(single) - SEED + 1
     h = np.zeros(n, dtype=np.uint64)
     for k in range(SEED):
         h = (h ^ single[k : k + n]) * _MIX
@@ -81,16 +67,19 @@ def _over_windows(of: np.ufunc, x: np.ndarray) -> np.ndarray:
     return of(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def seed_places(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+def _hashes_of(text: str) -> np.ndarray:
+    return word_hashes(*texts_of(pa.array([text])))[0]
+
+
+def seed_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the seeds of a text: in each window of WINDOW runs of SEED words, the one of least hash."""
-    return _seeded(text, hashes)[:2]
+    return _seeded(_hashes_of(text))[:2]
 
 
-def _seeded(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = text.encode().split()
-    if len(found) < LEAST_WORDS:
+def _seeded(single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(single) < LEAST_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    h, least = _hashed(found, hashes)
+    h, least = _hashed(single)
     at = _kept(h, least)
     return h[at].view(np.int64), at.astype(np.int32), _beside(h, at)
 
@@ -126,21 +115,20 @@ def _mixed(keys: list[np.ndarray], odd: int) -> np.ndarray:
     return h & ~np.uint64(1) | np.uint64(odd)
 
 
-def long_places(text: str, hashes: dict, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the longer keys of a text, where its seeds are crowded: every run of LEAST_WORDS words whose windows have
+def long_places(single: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the longer keys of a text, given its words' hashes, where its seeds are crowded: every run of LEAST_WORDS words whose windows have
     crowded seeds only (odd), and pairs of crowded seeds that a passage may hold (even).
 
     A run has its key in each text that holds it, as the key depends on the words of the run alone; so an exact repeat always
     meets the first document that holds it, whatever holds parts of it.
     """
-    found = text.encode().split()
-    if len(found) < LEAST_WORDS:
+    if len(single) < LEAST_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    h, least = _hashed(found, hashes)
+    h, least = _hashed(single)
     crowded = lambda x: crowd[(x & np.uint64(2**CROWD_BITS - 1)).astype(np.int64) >> 3] >> (x & np.uint64(7)).astype(np.uint8) & 1
-    single = np.concatenate([[0], np.cumsum(1 - crowded(least).astype(np.int64))])
+    alone = np.concatenate([[0], np.cumsum(1 - crowded(least).astype(np.int64))])
     width = LEAST_WORDS - SEED - WINDOW + 2  # windows within a run of LEAST_WORDS words
-    whole = np.flatnonzero(single[width:] == single[:-width])
+    whole = np.flatnonzero(alone[width:] == alone[:-width])
     keys, places = [_mixed([h[whole + k] for k in (*range(0, LEAST_WORDS - SEED, SEED), LEAST_WORDS - SEED)], 1)], [whole]
     at = _kept(h, least)
     at = at[crowded(h[at]) == 1]
@@ -169,12 +157,13 @@ def seeds(docs: DataFrame, crowd: Broadcast | None = None) -> DataFrame:
     shorter than a passage have none."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         table = None if crowd is None else np.frombuffer(crowd.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 ids, texts = (c.slice(at, 1024) for c in batch.columns)
-                found = [_seeded(t, hashes) if table is None else long_places(t, hashes, table) for t in texts.to_pylist()]
+                hashes, words_of = word_hashes(*texts_of(texts))
+                ends = np.cumsum(words_of).tolist()
+                found = [_seeded(hashes[a:b]) if table is None else long_places(hashes[a:b], table) for a, b in zip([0, *ends], ends)]
                 counts = [len(h) for h, *_ in found]
                 places = np.concatenate([p for _, p, *_ in found]).astype(np.int64)
                 beside = np.concatenate([b for *_, b in found]) if table is None else ANY
@@ -357,9 +346,16 @@ def chains(found: DataFrame) -> DataFrame:
     return cut_lineage(linked.withColumn("chain", F.monotonically_increasing_id()))
 
 
-def equal_runs(a: list[str], b: list[str], pos: list[int], src: list[int]) -> list[tuple[int, int, int]]:
+def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """Length of the run of equal words from two places on."""
+    n = min(len(a) - i, len(b) - j)
+    other = a[i : i + n] != b[j : j + n]
+    return n if not n or not other[k := int(other.argmax())] else k
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, pos: list[int], src: list[int]) -> list[tuple[int, int, int]]:
     """Runs of equal words (start, start in the source, length) along a chain, and as far as changes of a word let them go on
-    beyond its ends."""
+    beyond its ends; the words are given by their hashes."""
     found: list[tuple[int, int, int]] = []
     x, y = 0, 0
     for i, j in zip(pos, src):
@@ -369,10 +365,9 @@ def equal_runs(a: list[str], b: list[str], pos: list[int], src: list[int]) -> li
             if i < x or j < y:
                 continue
         if found:
-            found += [(x + m.a, y + m.b, m.size) for m in SequenceMatcher(None, a[x:i], b[y:j], autojunk=False).get_matching_blocks() if m.size]
-        n = 0
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-            n += 1
+            between = SequenceMatcher(None, a[x:i].tolist(), b[y:j].tolist(), autojunk=False).get_matching_blocks() if i > x and j > y else []
+            found += [(x + m.a, y + m.b, m.size) for m in between if m.size]
+        n = _run(a, b, i, j)
         if n:
             found.append((i, j, n))
             x, y = i + n, j + n
@@ -384,49 +379,76 @@ def equal_runs(a: list[str], b: list[str], pos: list[int], src: list[int]) -> li
     return [(i - s - m, j - t - m, m) for s, t, m in reversed(back)] + found + [(x + s, y + t, m) for s, t, m in ahead]
 
 
-def _extended(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+def _extended(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of equal words from the start on, over one changed, added or left-out word at a time that three equal words follow."""
     found, i, j = [], 0, 0
     while True:
-        n = 0
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-            n += 1
+        n = _run(a, b, i, j)
         if n:
             found.append((i, j, n))
         i, j = i + n, j + n
-        step = next(((s, t) for s, t in ((1, 1), (1, 0), (0, 1)) if a[i + s : i + s + 3] == b[j + t : j + t + 3] and len(a[i + s : i + s + 3]) == 3), None)
+        near = a[i : i + 4].tolist(), b[j : j + 4].tolist()
+        step = next(((s, t) for s, t in ((1, 1), (1, 0), (0, 1)) if near[0][s : s + 3] == near[1][t : t + 3] and len(near[0][s : s + 3]) == 3), None)
         if step is None:
             return found
         i, j = i + step[0], j + step[1]
 
 
-def similar_spans(a: list[str], b: list[str], aligned: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+def _shingles(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every five words in a row of both sides, equal for equal words."""
+    words, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
+    base, a, b = len(words), numbers[: len(a)], numbers[len(a) :]
+    counts = [max(0, len(side) - SEED + 1) for side in (a, b)]
+    if base**SEED < 1 << 63:
+        out = []
+        for side, n in zip((a, b), counts):
+            h = np.zeros(n, dtype=np.int64)
+            for k in range(SEED):
+                h = h * base + side[k : k + n]
+            out.append(h)
+        return out[0], out[1]
+    rows = np.concatenate([np.stack([s[k : n + k] for k in range(SEED)], axis=1) for s, n in zip((a, b), counts)])
+    which = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    return which[: counts[0]], which[counts[0] :]
+
+
+def _first_ends(shingles: np.ndarray, start: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles from ``start`` on, and the first of the ends within which each lies whole (as many as there are ends: none)."""
+    found, at = np.unique(shingles[start:], return_index=True)
+    return found, np.searchsorted(ends, at + start + SEED, side="left")
+
+
+def similar_spans(a: np.ndarray, b: np.ndarray, aligned: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start and end in the source, similarity) from a run of equal words to another: from each run on the
     longest that has the words and the similarity, unless one from an earlier run holds it."""
+    if len(aligned) == 1:  # equal words throughout
+        s, t, n = aligned[0]
+        return [(s, s + n, t, t + n, 1.0)] if n >= LEAST_WORDS else []
     out, reached = [], -1
-    grams = [[tuple(s[k : k + SEED]) for k in range(len(s) - SEED + 1)] for s in (a, b)]
+    if not aligned or max(aligned[-1][k] + aligned[-1][2] - aligned[0][k] for k in (0, 1)) < LEAST_WORDS:
+        return out
+    starts = np.array(aligned)
+    ends = starts[:, :2] + starts[:, 2:]
+    grams = _shingles(a, b)
     for i, (s, t, _) in enumerate(aligned):
         if reached == len(aligned) - 1:
             break
-        x, y = set(), set()
-        p, q, best, both = s, t, None, 0
-        for j in range(i, len(aligned)):
-            e, u = (aligned[j][k] + aligned[j][2] for k in (0, 1))
-            for gram in grams[0][p : max(p, e - SEED + 1)]:
-                if gram not in x:
-                    x.add(gram)
-                    both += gram in y
-            for gram in grams[1][q : max(q, u - SEED + 1)]:
-                if gram not in y:
-                    y.add(gram)
-                    both += gram in x
-            p, q = max(p, e - SEED + 1), max(q, u - SEED + 1)
-            alike = both / max(1, len(x) + len(y) - both)
-            if max(e - s, u - t) >= LEAST_WORDS and alike >= SIMILARITY:
-                best = j, (s, e, t, u, alike)
-        if best and best[0] > reached:
-            reached = best[0]
-            out.append(best[1])
+        e, u = ends[i:, 0], ends[i:, 1]
+        enough = np.maximum(e - s, u - t) >= LEAST_WORDS
+        if not enough.any():
+            break
+        (x, x_in), (y, y_in) = _first_ends(grams[0], s, e), _first_ends(grams[1], t, u)
+        of_y = np.searchsorted(y, x)
+        of_y[of_y == len(y)] = 0
+        shared = (y[of_y] == x) if len(y) else np.zeros(len(x), dtype=bool)
+        both_in = np.maximum(x_in[shared], y_in[of_y[shared]])
+        n_x, n_y, both = (np.cumsum(np.bincount(c, minlength=len(e) + 1)[: len(e)]) for c in (x_in, y_in, both_in))
+        alike = both / np.maximum(1, n_x + n_y - both)
+        good = np.flatnonzero(enough & (alike >= SIMILARITY))
+        if len(good) and i + int(good[-1]) > reached:
+            j = int(good[-1])
+            reached = i + j
+            out.append((s, int(e[j]), t, int(u[j]), float(alike[j])))
     return out
 
 
@@ -466,13 +488,16 @@ def repeated(docs: DataFrame) -> DataFrame:
         for table, bounds in runs(batches, ["chain"]):
             out = []
             sides = table.column("side").to_numpy()
+            docs_at, sources, places, src_places = (table.column(c).to_pylist() for c in ("doc_id", "src_id", "pos", "src_pos"))
+            hashes, counts = word_hashes(*texts_of(table.column("said").combine_chunks()))
+            ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 second = start + int(np.argmax(sides[start:stop]))  # several rows of one doc_id: the first by text is taken
-                get = lambda c, at=start: table.column(c)[at].as_py()
-                a, b, pos, src = get("said").split(" "), get("said", second).split(" "), get("pos"), get("src_pos")
+                a, b = (hashes[ends[k] : ends[k + 1]] for k in (start, second))
+                pos, src = places[start], src_places[start]
                 x, y = max(0, pos[0] - MARGIN), max(0, src[0] - MARGIN)
                 aligned = equal_runs(a, b, [p - x for p in pos], [p - y for p in src])
-                out += [(get("doc_id"), x + s, e - s, get("src_id"), y + t, u - t, alike) for s, e, t, u, alike in similar_spans(a, b, aligned)]
+                out += [(docs_at[start], x + s, e - s, sources[start], y + t, u - t, alike) for s, e, t, u, alike in similar_spans(a, b, aligned)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(schema), schema)], schema=schema)
 
     names = ["doc_id", "start_word", "n_words", "first_doc_id", "first_start_word", "first_n_words"]
@@ -484,17 +509,34 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of a document that no other one holds; they come by start, the longest first, of equal ones the first source."""
-    now, reached = None, 0
+    """The fewest passages of each document that cover the same words; they come by start, the longest first, of equal ones the first source.
+
+    Of all passages that begin within what is covered so far, the one that reaches farthest goes on; so a word lies in two of them at most, and
+    their number follows the covered words, whatever the number of sources.
+    """
+    now, covered, ahead, ahead_end = None, 0, None, 0
     for batch in batches:
-        kept = []
-        for k, (doc, start, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start_word", "n_words")))):
-            if doc != now:
-                now, reached = doc, 0
-            if start + n > reached:
-                reached = start + n
-                kept.append(k)
-        yield batch.take(pa.array(kept, pa.int64()))
+        out = []
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns):
+            doc, start, n = row[:3]
+            if doc != now or start > covered:  # what was ahead is needed; a new stretch may begin here
+                if ahead is not None:
+                    out.append(ahead)
+                    covered, ahead = ahead_end, None
+                if doc != now:
+                    now, covered, ahead_end = doc, 0, 0
+            if start + n <= max(covered, ahead_end):
+                continue
+            if start > covered or covered == 0:
+                out.append(row)
+                covered = ahead_end = start + n
+            else:
+                ahead, ahead_end = row, start + n
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.schema)], schema=batch.schema)
+    if ahead is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(ahead, batch.schema)], schema=batch.schema)
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

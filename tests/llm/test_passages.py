@@ -20,14 +20,14 @@ def test_equal_runs_of_twenty_words_share_a_seed():
     for k in range(200):
         shared = some_words(k, passages.SEED + passages.WINDOW - 1)
         a, b = ([*some_words(1000 + 2 * k + s, rnd.randint(40, 90)), *shared, *some_words(9000 + 2 * k + s, rnd.randint(40, 90))] for s in (0, 1))
-        (x, _), (y, _) = (passages.seed_places(text(t), passages._Hashes()) for t in (a, b))
+        (x, _), (y, _) = (passages.seed_places(text(t)) for t in (a, b))
         assert set(x.tolist()) & set(y.tolist())
 
 
 def test_repeated_words_keep_a_seed_in_every_window_and_few_more():
     for period in (1, 2, 3, 7):
         unit = some_words(period, period)
-        h, at = passages.seed_places(text(unit * (600 // period)), passages._Hashes())
+        h, at = passages.seed_places(text(unit * (600 // period)))
         last = 600 // period * period - passages.SEED + 1
         assert all(((at >= s) & (at < s + passages.WINDOW)).any() for s in range(last - passages.WINDOW + 1)) and len(at) < 90
 
@@ -55,6 +55,49 @@ def test_fenwick_chains_are_as_good_as_brute_force(monkeypatch):
         assert max(map(worth, chains)) == pytest.approx(brute_chain(pos.tolist(), src.tolist()))
 
 
+def test_the_fewest_rows_cover_the_same_words():
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    rows = sorted({(d, s, n) for d in range(4) for s, n in ((rnd.randint(0, 300), rnd.randint(45, 90)) for _ in range(60))}, key=lambda r: (r[0], r[1], -r[2]))
+    schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 7])], schema=schema) for k in range(0, len(rows), 7)]
+    kept = [r for b in passages._uncovered(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    times = {}
+    for d, s, n in kept:
+        for w in range(s, s + n):
+            times[d, w] = times.get((d, w), 0) + 1
+    assert set(times) == {(d, w) for d, s, n in rows for w in range(s, s + n)} and max(times.values()) <= 2 and set(kept) <= set(rows)
+    assert list(passages._uncovered(iter([]))) == []
+
+
+def test_spans_are_as_by_sets_of_shingles():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = [str(rnd.randint(0, 30)) for _ in range(rnd.randint(50, 160))]
+        b = [w if rnd.random() > 0.03 else "x" for w in a]
+        aligned, k = [], 0
+        while k < len(a):
+            n = 0
+            while k + n < len(a) and a[k + n] == b[k + n]:
+                n += 1
+            if n:
+                aligned.append((k, k, n))
+            k += n + 1
+        want, reached = [], -1
+        for i, (s, t, _) in enumerate(aligned):
+            best = None
+            for j in range(i, len(aligned)):
+                e, u = (aligned[j][c] + aligned[j][2] for c in (0, 1))
+                x, y = ({tuple(w[k : k + 5]) for k in range(o, p - 4)} for w, o, p in ((a, s, e), (b, t, u)))
+                if max(e - s, u - t) >= passages.LEAST_WORDS and len(x & y) / max(1, len(x | y)) >= passages.SIMILARITY:
+                    best = j, (s, e, t, u, len(x & y) / max(1, len(x | y)))
+            if best and best[0] > reached:
+                reached = best[0]
+                want.append(best[1])
+        assert passages.similar_spans(*(passages._hashes_of(text(w)) for w in (a, b)), aligned) == want
+
+
 def test_passages_are_found_whole_and_clean_documents_left_alone(documents):
     shared = some_words(1, 60)
     changed = [*shared[:30], "changed", *shared[31:]]
