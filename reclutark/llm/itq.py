@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reclutark.llm.common import local_components, runs, sampled, ship
 from reclutark.llm.graph import connected_components
@@ -31,6 +31,13 @@ REACH = (2 * (1 - COSINE)) ** 0.5
 BLOCK = 1024
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; each is scaled by a power of two first, which is exact, so that no square over- or underflows."""
+    exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0, keepdims=True))[1]
+    scaled = np.ldexp(vectors, -exponent)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 class Rotation:
     """Centre and rotation of vectors of one dimension."""
 
@@ -41,12 +48,12 @@ class Rotation:
             self.mean = np.zeros(dimension)
             self.matrix = np.linalg.qr(random.normal(size=(dimension, dimension)))[0][:, : self.bits]
             return
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        mean = unit.mean(axis=0)
-        scatter = np.sqrt(((unit - mean) ** 2).sum(axis=1).mean())
+        units = unit(vectors)
+        mean = units.mean(axis=0)
+        scatter = np.sqrt(((units - mean) ** 2).sum(axis=1).mean())
         # Vectors that are all within reach of a link are not centred: what is left then would be noise, and so would be their codes.
         self.mean = mean * np.clip((scatter - REACH) / REACH, 0, 1)
-        centred = unit - self.mean
+        centred = units - self.mean
         spread, axes = np.linalg.eigh(centred.T @ centred)
         basis = axes[:, ::-1][:, : self.bits]
         projected = centred @ basis
@@ -59,16 +66,19 @@ class Rotation:
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Sign bits, one row of 0 and 1 per vector."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        return ((unit - self.mean) @ self.matrix >= 0).astype(np.uint8)
+        return ((unit(vectors) - self.mean) @ self.matrix >= 0).astype(np.uint8)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, label, embedding`` of the rows that can be linked: label not null, every component finite, not all zero."""
+def _is_usable() -> Column:
+    """Whether a row can be linked: id and label not null, every component finite, not all zero."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select("vec_id", "label", "embedding").filter("vec_id is not null and label is not null and embedding is not null").filter(
-        finite & F.exists("embedding", lambda x: x != 0)
-    )
+    there = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
+    return F.coalesce(there & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """``vec_id, label, embedding`` of the rows that can be linked."""
+    return vectors.select("vec_id", "label", "embedding").filter(_is_usable())
 
 
 def fit(vectors: DataFrame, rows: int = SAMPLE) -> dict[int, Rotation]:
@@ -125,8 +135,8 @@ def _compare(cosine: float):
                     continue
                 x = all_values[value_at[start] : value_at[stop]].astype(float).reshape(stop - start, -1)
                 k = all_keys[key_at[start] : key_at[stop]].reshape(stop - start, -1)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                left, right = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
+                units = unit(x)
+                left, right = np.nonzero(np.triu(units @ units.T >= cosine, 1))
                 here = (k[left, : number[start]] != k[right, : number[start]]).all(axis=1)  # an earlier table has seen the others
                 # Of two blocks, only pairs across; pairs within a block belong to the unit of that block alone.
                 here &= (side[start + left] != side[start + right]) | (side[start + left] == other[start + left])
@@ -174,23 +184,28 @@ def components(vectors: DataFrame, cosine: float = COSINE, rows: int = SAMPLE, b
     Two rows are linked if their labels are equal and not null, their vectors have as many components, and the cosine of the original
     vectors in double precision is ``cosine`` or more; they are found if they share a key in one of the tables.  Equal vectors of a label are one class
     before the search: its copies count as links of each other.  Null, zero and non-finite vectors link with nothing.  A null vec_id has no links
-    and no component, and is kept.  Rows that repeat a vec_id count as vectors of their own and share the component.
+    and no component, and is kept.  Rows that repeat a vec_id count as vectors of their own, whatever their labels, lengths and vectors, with links of their
+    own; they share the component.
     """
     good = cut_lineage(usable(vectors))
     # Adding zero makes a negative zero a positive one, so that equal vectors are equal as keys.
     zero = F.lit(0.0).cast(good.schema["embedding"].dataType.elementType)
     good = good.withColumn("embedding", F.transform("embedding", lambda x: x + zero))
-    classes = cut_lineage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    found = cut_lineage(linked(classes, fit(good, rows), cosine, block))
+    # A class has a number of its own, as a vec_id may stand in several.
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    found = cut_lineage(linked(classes.drop("least"), fit(good, rows), cosine, block))
     others = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    member = good.join(classes, ["label", "embedding"]).select("vec_id", "node", "copies")
-    # A vec_id on several rows, or in several classes, is one node of the graph.
-    own = member.filter("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    member = cut_lineage(good.join(classes, ["label", "embedding"]).select("vec_id", "node", "copies"))
+    # The classes of a repeated vec_id are one component.
+    homes = member.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").drop("last")
+    own = member.join(homes, "vec_id").select("a", F.col("node").alias("b"))
     labels = connected_components(found.select("a", "b").union(own))
-    linkage = member.join(others, "node", "left").groupBy("vec_id").agg(
-        F.max(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return (
-        vectors.select("vec_id").join(linkage, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    )
+    joined = classes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    n_links = (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")
+    linkable = member.join(others, "node", "left").join(named, "node").select("vec_id", n_links, "component_id")
+    shared = member.join(named, "node").groupBy("vec_id").agg(F.min("component_id").alias("component_id"))
+    rest = vectors.filter(~_is_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links")).join(shared, "vec_id", "left")
+    rest = rest.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    return linkable.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -17,9 +17,6 @@ TREE = ["domain", "lang", "source"]
 #: Bits of the order within an epoch, and how many of them each refinement of its prefix reads.
 ORDER_BITS, BIN_BITS, REFINEMENTS = 60, 12, 2
 
-#: Tables of leaves up to this size are broadcast: about a hundred bytes a leaf.
-BROADCAST_LEAVES = 20_000
-
 
 @dataclass
 class Mixture:
@@ -104,15 +101,15 @@ def plan(docs: DataFrame, mixture: Mixture) -> DataFrame:
     the rest runs out is divided again, and only the rows of the last such bin are sorted; so a leaf with a third
     of all rows is never in one task.
     """
-    rows = cut_lineage(counted(docs, mixture, "doc_id"))
+    rows = cut_lineage(counted(docs.withColumn("_digest", _digest(docs)), mixture, "doc_id", "_digest"))
     leaves = cut_lineage(rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")))
     shares = cut_lineage(budgets(leaves, mixture).withColumn("leaf", F.to_json(F.struct(*TREE))).withColumns({
         "epochs": F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("long"),
         "rest": F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).cast("long"),
     }))
-    named = rows.select(F.to_json(F.struct(*TREE)).alias("leaf"), "doc_id", "n_tokens")
-    inside = named.join(_sized(shares.filter("rest > 0").select("leaf", "epochs", "rest")), "leaf")
-    inside = inside.select("leaf", "doc_id", "n_tokens", "rest", _place(F.col("epochs"), mixture).alias("place"), F.lit(0).cast("long").alias("edge"))
+    named = rows.select(F.to_json(F.struct(*TREE)).alias("leaf"), "doc_id", "_digest", "n_tokens")
+    inside = named.join(shares.filter("rest > 0").select("leaf", "epochs", "rest"), "leaf")
+    inside = inside.select("leaf", "doc_id", "_digest", "n_tokens", "rest", _place(F.col("epochs"), mixture).alias("place"), F.lit(0).cast("long").alias("edge"))
     shift = ORDER_BITS
     for _ in range(REFINEMENTS):
         shift -= BIN_BITS
@@ -121,17 +118,27 @@ def plan(docs: DataFrame, mixture: Mixture) -> DataFrame:
         along = Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ends = bins.withColumn("sum", F.sum("n").over(along)).filter("sum > rest and sum - n <= rest")
         ends = cut_lineage(ends.select("leaf", F.col("bin").alias("edge"), (F.col("rest") - F.col("sum") + F.col("n")).alias("rest")))
-        inside = inside.drop("rest", "edge").join(_sized(ends), "leaf").filter(start == F.col("edge"))
-    key = F.struct("place", "doc_id", "n_tokens")
-    along = Window.partitionBy("leaf").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = inside.withColumn("sum", F.sum("n_tokens").over(along)).groupBy("leaf").agg(
-        F.first("edge").alias("edge"), F.max(F.when(F.col("sum") <= F.col("rest"), key)).alias("cut"))
+        inside = inside.drop("rest", "edge").join(ends, "leaf").filter(start == F.col("edge"))
+    # Equal rows are one, with their number; so rows without an id, which all have one place, don't meet in one task, either.
+    same = inside.groupBy("leaf", *KEY, "rest", "edge").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("leaf").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = same.withColumn("sum", F.sum(F.col("n_tokens") * F.col("n")).over(along))
+    fits, before = F.col("sum") <= F.col("rest"), F.col("sum") - F.col("n_tokens") * F.col("n")
+    some = F.expr("(rest - sum + n_tokens * n) div nullif(n_tokens, 0)")
+    last = sums.groupBy("leaf").agg(
+        F.first("edge").alias("edge"), F.max(F.when(fits, F.struct(*KEY))).alias("cut"),
+        F.max(F.when(~fits & (before <= F.col("rest")) & (some > 0), F.struct(F.struct(*KEY).alias("key"), some.alias("n")))).alias("part"),
+    )
     return cut_lineage(shares.join(last, "leaf", "left"))
 
 
-def _sized(leaves: DataFrame) -> DataFrame:
-    """Handed to every task if there are few leaves; very many are joined by a shuffle."""
-    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+#: Order of a leaf's documents in an epoch.
+KEY = ["place", "doc_id", "n_tokens", "_digest"]
+
+
+def _digest(docs: DataFrame) -> Column:
+    """Hash of a whole row, which tells rows of one id apart."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
@@ -139,14 +146,23 @@ def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
     taken.
 
     The plan is a row per leaf, so texts are only filtered and repeated where they lie, never shuffled.  Null and empty texts
-    have no tokens; a leaf without any gives nothing.  Repeated rows count each; of rows that are equal in id and
-    tokens at the end of a prefix all are taken or none but the first that fit.  An empty table gives none.
+    have no tokens; a leaf without any gives nothing.  Repeated rows count each; rows of one id (or none) are ordered by their tokens and a hash of the
+    row, and of equal rows at the end of a prefix as many are taken as it holds.  An empty table gives none.
     """
-    leaf = plan(docs, mixture).select("leaf", "epochs", "edge", "cut")
-    read = docs.select("doc_id", "text", "lang", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = counted(read, mixture, "doc_id", "row").withColumn("leaf", F.to_json(F.struct(*TREE)))
-    taken = (F.col("place") < F.col("edge")) | (F.struct("place", "doc_id", "n_tokens") <= F.col("cut"))
+    leaf = plan(docs, mixture).select("leaf", "epochs", "edge", "cut", "part")
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    read = docs.select("doc_id", "text", "lang", "source", _digest(docs).alias("_digest"), whole_row)
+    rows = counted(read, mixture, "doc_id", "_digest", "row").withColumn("leaf", F.to_json(F.struct(*TREE)))
+    key = F.struct(*KEY)
+    taken = (F.col("place") < F.col("edge")) | (key <= F.col("cut"))
     last = F.when(F.coalesce(taken, F.lit(False)), F.array("epochs")).otherwise(F.array().cast("array<bigint>"))
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).otherwise(F.array().cast("array<bigint>"))
-    chosen = rows.join(_sized(leaf), "leaf").withColumn("place", _place(F.col("epochs"), mixture)).withColumn("epoch", F.explode(F.concat(whole, last)))
-    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "row")
+    placed = rows.join(leaf, "leaf").withColumn("place", _place(F.col("epochs"), mixture))
+    shown = ["doc_id", "domain", "lang", "source", "n_tokens", "epoch", "row"]
+    chosen = placed.withColumn("epoch", F.explode(F.concat(whole, last))).select(*shown)
+    if leaf.filter("part is not null").isEmpty():
+        return chosen
+    # Some of the equal rows of one key: they are one row, and it is given out as often.
+    part = placed.filter(key == F.col("part.key")).groupBy("leaf", *KEY).agg(*[F.first(c).alias(c) for c in ("domain", "lang", "source", "row", "part", "epochs")])
+    some = part.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("part.n"))).alias("_k"), F.col("epochs").alias("epoch"))
+    return chosen.unionByName(some.select(*shown))

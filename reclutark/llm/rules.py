@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAINI
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=10, subsamplingRate=0.7, seed=SEED).fit(vectors)
     rules = tree_rules(forest)
     if not rules:
-        return Ensemble(0.0, {})
+        return Ensemble(math.log(kinds[1.0] / kinds[0.0]), {})
     held = seen.select("label", array_to_vector(F.array(*(r.column().cast("double") for r in rules))).alias("features"))
     model = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=40, tol=1e-4).fit(cut_lineage(held))
     weights = {r: float(w) for r, w in zip(rules, model.coefficients.toArray()) if w}

@@ -53,15 +53,15 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (a signed long) for every row of ``docs``; whole texts, a null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
+    """``doc_id, fp`` (a signed long) and the columns ``keep`` for every row of ``docs``; whole texts, a null text has no words."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([fingerprint(t, shingle) for t in batch], dtype="int64")
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return docs.select("doc_id", of("text").alias("fp"), *keep)
 
 
 def references(count: int = PIVOTS, seed: int = 64) -> list[int]:
@@ -200,10 +200,18 @@ def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id is the component's.
+    """``docs`` with one row of each group of near copies: the one of least doc_id, null last, and of one id the one whose row has the least hash.
 
-    Repeated rows of that doc_id count as copies, of which one stays; rows without doc_id have no component of their own and stay.
+    Groups are those of the fingerprints, whatever the ids: rows that repeat a doc_id with other texts are no copies of each other, and rows without doc_id
+    are copies like any other.  Null and empty texts are copies of each other.  Of equal rows one stays; an empty table gives none.
     """
-    kept = components(docs, shingle, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    digest = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    prints = cut_lineage(fingerprints(docs.withColumn("_digest", digest), shingle, "_digest"))
+    classes = cut_lineage(prints.select("fp").distinct().withColumn("node", F.col("fp")))
+    labels = connected_components(near_links(classes, max_bits))
+    named = prints.join(classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "fp")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first._digest").alias("_kept"))
+    rows = docs.withColumn("_digest", digest)
+    kept = rows.join(chosen, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))

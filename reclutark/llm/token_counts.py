@@ -67,6 +67,9 @@ def merge_with_heap(symbols: list[int], merges: dict) -> list[int]:
         at = after[at]
     return out
 
+#: Capitals of Unicode 16 that Python's tables may not have yet, and their small letters.
+NEW_CAPITALS = {0xA7CB: 0x0264, 0xA7DC: 0x019B}
+
 
 class WordCache(dict):
     """What ``of`` gives for words, for a bounded number of them: a full generation becomes the older one, and is asked once more
@@ -115,7 +118,7 @@ class Counter:
 
     def _ordinary(self, text: str) -> int:
         # A capital sigma is lower-cased without a look at its neighbours, as every other letter is.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(NEW_CAPITALS)
         return sum(map(self.words.__getitem__, self.pieces(text)))
 
     def word(self, raw: bytes) -> int:

@@ -43,12 +43,12 @@ def documents(spark):
 def same(spark):
     """Holds a query's rows against its checking SQL."""
 
-    def check(name, folder=SMALL):
+    def check(name, folder=SMALL, files=""):
         import __spark_entry__ as entry
 
         con = duckdb.connect()
         for t in ("documents", "conversations"):
-            con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+            con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{files}'")
         got = entry.queries()[name](spark, folder)
         want = con.execute(entry.oracle_sql()[name])
         names = [c[0] for c in want.description]

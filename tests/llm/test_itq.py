@@ -62,6 +62,25 @@ def test_awkward_vectors(spark):
     assert itq.components(vectors.limit(0)).collect() == []
 
 
+def test_a_vec_id_on_other_labels_lengths_and_vectors(spark):
+    rows = [
+        (1, [1.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [0.0, 1.0, 0.0], 1), (3, [1.0, 0.001], 1), (4, [1.0, 0.0], 2), (1, [1.0, 0.0], 2), (5, [0.0, 1.0], 2),
+        (1, None, 1), (6, [1.0, 0.0], 3),
+    ]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in itq.components(vectors).collect())
+    # All that share a class or a link with a row of id 1 are its component; each row counts its own links.
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False), (1, 1, 1, True), (5, 0, 5, True), (1, 0, 1, True), (6, 0, 6, True)])
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [5e-324, 5e-324], 1), (4, [1.7e308, -1.7e308], 1), (5, [-1e-300, 1e-300], 1), (6, [1e200, 1e-200], 1),
+            (7, [1.0, 0.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.components(vectors).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
 def test_rotation_balances_codes():
     random = np.random.default_rng(2)
     x = random.normal(size=(2000, 24)) @ np.diag(np.linspace(1, 5, 24))

@@ -51,6 +51,31 @@ def test_prefix_of_a_hot_leaf_and_whole_epochs(documents):
     assert rows[0].row.score == "x"
 
 
+@pytest.mark.parametrize("rows, budget", [
+    ([(None, "a b c d e")] * 100, 250), ([(k % 2, "a b c") for k in range(100)], 150), ([(None, f"w{k} b") for k in range(90)] + [(None, None)] * 9, 90),
+    ([(5, "x")] * 3 + [(None, "a b")] * 40, 41),
+])
+def test_ties_never_go_over_the_budget(documents, rows, budget):
+    mixture = mixing.Mixture(F.lit("web"), tenths=5)
+    docs = documents(*[(i, t, "en", "src0") for i, t in rows])
+    assert mixing.plan(docs, mixture).first().budget == budget
+    got = mixing.mixed(docs, mixture).collect()
+    taken = sum(r.n_tokens for r in got)
+    assert budget - 4 <= taken <= budget
+    given = {}
+    for i, t in rows:
+        given[i, t] = given.get((i, t), 0) + 1
+    assert all(sum((r.row.doc_id, r.row.text) == k for r in got) <= n for k, n in given.items())
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixed(docs.repartition(5), mixture).collect()))
+
+
+def test_query_equals_its_sql_with_nulls_and_repeats(spark, documents, tmp_path, same):
+    rows = [(k % 40 if k % 3 else None, "w " * (k % 6) + f"v{k % 5}", ("en", "de", None)[k % 3], (None, "src0", "src1", "src7")[k % 4]) for k in range(500)]
+    documents(*rows, clashes=False).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert same("op3_mixing", str(tmp_path), "/*.parquet")
+
+
 def test_refined_prefix_equals_a_sorted_one(documents, monkeypatch):
     docs = documents(*[(i, "w " * (i % 7), "en", "src0") for i in range(400)])
     mixture = mixing.Mixture(F.lit("web"), tenths=3)
