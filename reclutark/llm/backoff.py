@@ -14,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reclutark.llm.common import shared_folder, ship
+from reclutark.llm.common import shared_folder, ship, texts_of, word_hashes
 
 #: Bytes of text of which one reducer counts the n-grams, on average, and tokens of one block of documents.
 PART_BYTES = 20 << 20
@@ -26,8 +26,8 @@ DISCOUNT = 0.75
 #: Tokens of the pieces that are walked side by side.
 PIECE = 1024
 
-#: What no word can be: words hold no blanks.
-START, END = b" start", b" end"
+#: Hashes of what no word can be, as words hold no blanks.
+START, END = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" start", b" end"))
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -73,40 +73,33 @@ def _mixed(prefixes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Block:
-    """Tokens of some whole documents as numbers of the block's distinct words, the most frequent first; ``places`` has their places by hash."""
+    """Words of some whole documents, by hash; each document begins with the start and ends with the end."""
 
     ids: list = field(default_factory=list)
     held_out: list[bool] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    tokens: list[np.ndarray] = field(default_factory=list)
-    known: dict[bytes, int] = field(default_factory=dict)
+    sizes: list[np.ndarray] = field(default_factory=list)
+    hashes: list[np.ndarray] = field(default_factory=list)
     total: int = 0
 
-    def add(self, doc_id, text: str | None, held_out: bool) -> None:
-        known = self.known
-        found = [START, *(text or "").encode().lower().split(), END]  # of bytes, these take A-Z and the contract's blanks only
-        self.tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in found), dtype=np.uint32, count=len(found)))
-        self.ids.append(doc_id)
-        self.held_out.append(bool(held_out))
-        self.sizes.append(len(found))
-        self.total += len(found)
+    def add(self, ids: list, held_out: list, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        self.ids += ids
+        self.held_out += held_out
+        self.sizes.append(sizes)
+        self.hashes.append(hashes)
+        self.total += len(hashes)
 
     def rows(self, number: int, parts: int) -> Iterator[dict]:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.known), dtype=np.uint64, count=len(self.known))
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(order), dtype=np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        tokens = np.concatenate(self.tokens)
-        sizes, held_out = np.array(self.sizes), np.array(self.held_out)
-        counts = np.bincount(tokens[np.repeat(~held_out, sizes)], minlength=len(order))[order]
-        often = np.argsort(-np.bincount(tokens), kind="stable")  # frequent words get small numbers, which pack well
+        """The block's texts as numbers of its distinct words, the most frequent first (``places`` has their places by hash), and its questions."""
+        hashes, place, times = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
+        sizes, held_out = np.concatenate(self.sizes), np.array(self.held_out, dtype=bool)
+        counts = np.bincount(place[np.repeat(~held_out, sizes)], minlength=len(hashes))
+        often = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(often), dtype=np.uint32)
         rank[often] = np.arange(len(often), dtype=np.uint32)
         yield {
-            "part": -1, "block": number, "kind": "texts", "prefixes": pack(sizes), "words": pack(rank[tokens]), "counts": pack(held_out),
-            "n": int((sizes - 1)[~held_out].sum()), "ids": self.ids, "places": pack(place[often]),
+            "part": -1, "block": number, "kind": "texts", "prefixes": pack(sizes), "words": pack(rank[place]), "counts": pack(held_out),
+            "n": int((sizes - 1)[~held_out].sum()), "ids": self.ids, "places": pack(often),
         }
-        hashes = hashes[order]
         of = _spread(hashes, parts)
         for part, a, b in _groups(of):
             yield {
@@ -115,6 +108,19 @@ class _Block:
             }
 
 
+def _between_marks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts (A-Z in lower case), each text between start and end, and the number of hashes per text."""
+    hashes, counts = word_hashes(*texts_of(texts), lower=True)
+    sizes = counts + 2
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
+    words = np.ones(len(out), dtype=bool)
+    words[ends - 1], words[ends - sizes] = False, False
+    out[words] = hashes
+    out[ends - sizes], out[ends - 1] = START, END
+    return out, sizes
+
+
 def _groups(of: np.ndarray) -> list[tuple[int, int, int]]:
     """Value and bounds of each run of equal values."""
     if not len(of):
@@ -141,8 +147,14 @@ def _encode(docs: DataFrame, held_out: Column, parts: int, block_tokens: int, pa
 
         for batch in batches:
             id_arrow = batch.schema.field(0).type
-            for doc_id, text, held in zip(*(batch.column(k) for k in range(3))):
-                block.add(doc_id.as_py(), text.as_py(), held.as_py())
+            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            hashes, sizes = _between_marks(batch.column(1))
+            ends, at = np.cumsum(sizes), 0
+            while at < len(ids):
+                begin = int(ends[at] - sizes[at])
+                stop = min(len(ids), 1 + int(np.searchsorted(ends, begin + block_tokens - block.total)))
+                block.add(ids[at:stop], held[at:stop], sizes[at:stop], hashes[begin : int(ends[stop - 1])])
+                at = stop
                 if block.total >= block_tokens:
                     yield out()
                     count, block = count + 1, _Block()

@@ -339,7 +339,8 @@ def chains(found: DataFrame) -> DataFrame:
                     rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in own if len(c) > 1 or whole[a + c[0]]]
             for k in range(0, len(rows), 4096):
                 part = list(zip(*rows[k : k + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *(pa.array(c, pa.list_(pa.int32())) for c in part[2:])], names=["doc_id", "src_id", "pos", "src_pos"])
+                lists = (pa.array(c, pa.list_(pa.int32())) for c in part[2:])
+                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *lists], names=["doc_id", "src_id", "pos", "src_pos"])
 
     grouped = found.repartition("doc_id").sortWithinPartitions("doc_id", "src_id", "pos", "src_pos")
     linked = grouped.mapInArrow(link, "doc_id long, src_id long, pos array<int>, src_pos array<int>")
@@ -452,6 +453,20 @@ def similar_spans(a: np.ndarray, b: np.ndarray, aligned: list[tuple[int, int, in
     return out
 
 
+def _with_own_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_own_id``: the doc_id as a long; null for rows without id or text, and where rows of one id have different texts, for all but those
+    with the text of least hash."""
+    own = F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long"))
+    digest = F.xxhash64("text")
+    mixed = docs.filter("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("_mixed")).agg(
+        F.min(digest).alias("_least"), F.max(digest).alias("_most")).filter("_least <> _most")
+    mixed = cut_lineage(mixed.drop("_most"))
+    if mixed.isEmpty():
+        return docs.withColumn("_own_id", own)
+    joined = docs.join(mixed, F.col("doc_id") == F.col("_mixed"), "left")
+    return joined.withColumn("_own_id", F.when(F.col("_least").isNull() | (digest == F.col("_least")), own)).drop("_mixed", "_least")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, start_word, n_words, first_doc_id, first_start_word, first_n_words, similarity`` for every passage of
     ``docs`` that stands in an earlier document (by doc_id) as well.
@@ -460,10 +475,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     common to both.  Every seed is held against its first place in the corpus and the document before, and where that leaves documents
     unmet, every run of LEAST_WORDS words and pairs of seeds as well, so work grows with the seeds, not with the pairs of
     documents that share a passage.  A document that repeats many others has a row for each passage; one that
-    repeats nothing has none.  Null ids and null, empty or short texts have no passages; rows that repeat a doc_id are one document, whose
-    passages aren't held against each other; other columns are left out.
+    repeats nothing has none.  Null ids and null, empty or short texts have no passages; equal rows of a doc_id are one document, whose
+    passages aren't held against each other; of rows of one id with different texts only those with one of the texts take part; other columns are left out.
     """
     ship(docs.sparkSession)
+    docs = _with_own_id(docs).filter("_own_id is not null").select(F.col("_own_id").alias("doc_id"), "text")
     bounds = block_bounds(docs)
     pairs = paired(seeds(docs), bounds, True)
     met, crowd = matches(pairs, bool(bounds), True), crowd_table(pairs)
@@ -543,7 +559,8 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the passages of ``found`` cut from their texts; the first document of each keeps its own.
 
     A text keeps all its other words and what stands between them; one that is all passages becomes empty.
-    ``n_chars``, if there, follows the text; rows without passages stay as they are.
+    ``n_chars``, if there, follows the text; rows without passages stay as they are, and so do rows that repeat an id with another text
+    than the one in which the passages were found.
     """
     word = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -562,7 +579,7 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     # Passages of one document are no more than its text holds.
     spans = found.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("cut_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = _with_own_id(docs).select(F.col("_own_id").alias("cut_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     joined = whole.join(spans, "cut_id", "left").withColumn("new", cut(F.when(F.col("spans").isNotNull(), F.col("text")), "spans"))
     text = F.coalesce("new", "text")
     fresh = {"text": text, "n_chars": F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}

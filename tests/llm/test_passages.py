@@ -133,6 +133,19 @@ def test_cutting_keeps_the_rest(documents):
     assert rows[4].text == "" and rows[2].row == "x" and len(rows) == 5
 
 
+def test_rows_of_one_id_with_other_texts_are_not_cut(documents):
+    shared, other = some_words(1, 60), some_words(2, 80)
+    rows = [(1, text(shared)), (2, text(some_words(3, 20), shared)), (2, text(other)), (3, text(shared, some_words(4, 9))), (3, text(shared, some_words(4, 9))), (None, text(shared))]
+    docs = documents(*rows)
+    for d in (docs, docs.repartition(3)):
+        found = passages.repeated(d)
+        kept = sorted(((r.doc_id, r.text) for r in passages.without_repeats(d, found).collect()), key=str)
+        own = [(2, text(other)), (1, text(shared)), (None, text(shared))] + [(3, text(some_words(4, 9)))] * 2
+        first, second = (sorted([*own, (2, t)], key=str) for t in (text(some_words(3, 20)) + " ", text(some_words(3, 20), shared)))
+        assert kept in (first, second)
+    assert passages.without_repeats(docs, passages.repeated(docs)).filter("doc_id = 2").count() == 2
+
+
 def test_every_exact_window_is_covered_on_the_tables(spark, table):
     import __spark_entry__ as entry
 

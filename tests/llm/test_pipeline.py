@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from llm.samples import AWKWARD
 from llm.test_outliers import plain
 
 from reclutark.llm import passages, simhash
@@ -57,3 +58,28 @@ def test_mixture_and_tokens(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+def written(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_awkward_rows_through_all_stages(spark, documents, tmp_path):
+    shared = " ".join(f"shared{i}" for i in range(70))
+    rows = [*AWKWARD, (5, "another text under a known id", None, None, 1), (11, shared, "en", "src1", 9), (12, "before " * 9 + shared, "en", "src1", 9)]
+    folder = written(spark, tmp_path, documents(*rows), [(1, 1, 0), (4, 0, 0), (None, 1, 0), (6, None, None), (7, 1, 0), (7, 0, 0)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{folder}/{k}")
+        after = spark.read.parquet(f"{folder}/{k}")
+        assert k == 4 or after.columns == docs.columns, name
+        assert {r.doc_id for r in after.select("doc_id").collect()} <= {r[0] for r in rows}
+        docs = after
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_no_documents(spark, documents, tmp_path):
+    folder = written(spark, tmp_path, documents(AWKWARD[3]).limit(0), [])
+    assert corpus_pipeline.run(spark, folder).collect() == []
