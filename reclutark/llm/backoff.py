@@ -23,6 +23,9 @@ BLOCK_TOKENS = 2_000_000
 #: Probability mass that each distinct continuation of a context gives to the shorter context, in occurrences.
 DISCOUNT = 0.75
 
+#: Occurrences of a context up to which its continuations are counted in one part; those of more frequent ones are spread over all parts.
+HOT = 1 << 16
+
 #: Tokens of the pieces that are walked side by side.
 PIECE = 1024
 
@@ -55,6 +58,30 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if rising else values
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, mostly small: seven bits a byte, the last byte of a number marked, compressed."""
+    sizes = 1 + sum((values >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    rest = values.astype(np.uint32)
+    for k in range(int(sizes.max(initial=0))):
+        there = sizes > k
+        out[(ends - sizes)[there] + k] = (rest[there] & 127) | ((sizes[there] == k + 1) << 7)
+        rest = rest >> 7
+    return zstandard.compress(out.tobytes(), 3)
+
+
+def unpack_small(packed: bytes) -> np.ndarray:
+    read = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
+    ends = np.flatnonzero(read & 128) + 1
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    out = np.zeros(len(ends), dtype=np.int64)
+    for k in range(int((ends - begins).max(initial=0))):
+        there = ends - begins > k
+        out[there] |= (read[begins[there] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
 def _spread(hashed: np.ndarray, parts: int) -> np.ndarray:
     """Part of each hash; parts rise with the hash."""
     return ((hashed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -97,7 +124,7 @@ class _Block:
         rank = np.empty(len(often), dtype=np.uint32)
         rank[often] = np.arange(len(often), dtype=np.uint32)
         yield {
-            "part": -1, "block": number, "kind": "texts", "prefixes": pack(sizes), "words": pack(rank[place]), "counts": pack(held_out),
+            "part": -1, "block": number, "kind": "texts", "prefixes": pack(sizes), "words": pack_small(rank[place]), "counts": pack(held_out),
             "n": int((sizes - 1)[~held_out].sum()), "ids": self.ids, "places": pack(often),
         }
         of = _spread(hashes, parts)
@@ -245,22 +272,23 @@ def _answers(asked: DataFrame, level: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(reduce, MESSAGE)
 
 
-def _fans(asked: DataFrame, more: DataFrame, level: int) -> DataFrame:
-    """How many distinct n-grams continue each n-gram that blocks ask for, in the order of the question."""
+def _fans(named: DataFrame, more: DataFrame, level: int) -> DataFrame:
+    """How many distinct n-grams continue each n-gram that blocks were given an identifier of, in that order."""
 
-    def reduce(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
+    def reduce(known: pa.Table, told: pa.Table) -> pa.Table:
+        if not known.num_rows:
             return _message([])
-        part = table.column("part")[0].as_py()
-        bounds, which, _, counts, _ = _distinct(table)
-        rank = np.empty(len(counts), dtype=np.int64)  # as in the answers
-        rank[np.argsort(-counts, kind="stable") if level == 1 else slice(None)] = np.arange(1, len(counts) + 1)
-        fans = np.zeros(len(counts) + 1, dtype=np.int64)
+        low = np.uint64(0xFFFFFFFF)
+        asked = [(unpack(w) & low).astype(np.int64) for w in known.column("words").to_pylist()]
+        fans = np.zeros(1 + max(int(ranks.max(initial=0)) for ranks in asked), dtype=np.int64)
         for ids, n in zip(told.column("words").to_pylist(), told.column("counts").to_pylist()):
-            fans[(unpack(ids) & np.uint64(0xFFFFFFFF)).astype(np.int64)] += unpack(n).astype(np.int64)
-        return _message([(part, block, f"fan{level}", None, None, pack(fans[rank[which[a:b]]]), 0) for block, a, b in bounds])
+            ranks = (unpack(ids) & low).astype(np.int64)
+            inside = ranks < len(fans)
+            fans[ranks[inside]] += unpack(n).astype(np.int64)[inside]
+        part = known.column("part")[0].as_py()
+        return _message([(part, block, f"fan{level}", None, None, pack(fans[ranks]), 0) for block, ranks in zip(known.column("block").to_pylist(), asked)])
 
-    return asked.groupBy("part").cogroup(more.groupBy("part")).applyInArrow(reduce, MESSAGE)
+    return named.groupBy("part").cogroup(more.groupBy("part")).applyInArrow(reduce, MESSAGE)
 
 
 # --- a block's part of the automaton ---------------------------------------------------------------------------------------
@@ -274,28 +302,29 @@ class _Grams:
     block has the n-gram, and its count is this block's own.
     """
 
-    def __init__(self, texts: dict, told: pa.Table, parts: int):
+    def __init__(self, texts: dict, told: pa.Table, parts: int, hot: int):
         self.sizes = unpack(texts["prefixes"]).astype(np.int64)
         self.held_out = unpack(texts["counts"]).astype(bool)
-        self.told, self.parts = _told(told), parts
+        self.told, self.parts, self.hot = _told(told), parts, hot
         self.learnt = np.repeat(~self.held_out, self.sizes)
         self.first = np.zeros(len(self.learnt), dtype=bool)
         self.first[np.cumsum(self.sizes) - self.sizes] = True
-        self.ids, self.counts, self.shared, self.at, self.example, self.prefix = [], [], [], [], [], []
+        self.ids, self.counts, self.shared, self.named, self.at, self.example, self.prefix = [], [], [], [], [], [], []
         counts, shared, ids = self._answers(1)
         self.words = np.argsort(np.where(counts > 0, ids, np.uint64((1 << 64) - 1)), kind="stable")
         number = np.empty(len(counts), dtype=np.int32)
         number[self.words] = np.arange(len(counts), dtype=np.int32)
-        self.tokens = number[unpack(texts["places"])][unpack(texts["words"])]
+        self.tokens = number[unpack(texts["places"])][unpack_small(texts["words"])]
         self._take(counts[self.words], shared[self.words], ids[self.words], self.tokens, None, None)
 
     def _answers(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         told = self._all(f"count{level}", "counts")
         shared, counts = (told & np.uint64(1)).astype(bool), (told >> np.uint64(1)).astype(np.int64)
         ids = np.zeros(len(told), dtype=np.uint64)
+        self.named.append((counts > 0) if level == 1 else (counts > 0) & shared)
         named = self._all(f"id{level}", "words")
         if len(named):  # the longest have none
-            ids[(counts > 0) if level == 1 else (counts > 0) & shared] = named
+            ids[self.named[-1]] = named
         return counts, shared, ids
 
     def _take(self, counts: np.ndarray, shared: np.ndarray, ids: np.ndarray, at: np.ndarray, example: np.ndarray | None, prefix: np.ndarray | None) -> None:
@@ -323,7 +352,8 @@ class _Grams:
         rest = before[example]  # without the first token; -1 if that never occurs, and then the n-gram doesn't, either
         asked = self.shared[-1][prefix] & (rest >= 0) & self.shared[-1][rest]
         of = np.full(len(grams), self.parts, dtype=np.uint16 if self.parts < 1 << 16 else np.uint32)
-        of[asked] = _spread(_mixed(self.ids[-1][prefix[asked]], self.ids[0][last[asked]]), self.parts)
+        hot = self.counts[-1][prefix[asked]] > self.hot
+        of[asked] = _spread(_mixed(self.ids[-1][prefix[asked]], np.where(hot, self.ids[0][last[asked]], np.uint64(0))), self.parts)
         order = np.argsort(of, kind="stable")
         number = np.empty(len(order), dtype=np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
@@ -354,7 +384,9 @@ class _Grams:
         """Distinct continuations of each n-gram of a level: as told if other blocks have it, or else this block's own."""
         follow = self.prefix[level][self.counts[level] > 0]
         fans = np.bincount(follow, minlength=len(self.counts[level - 1]))
-        told = self._all(f"fan{level}", "counts").astype(np.int64)
+        named = self.named[level - 1]
+        told = np.zeros(len(named), dtype=np.int64)
+        told[named] = self._all(f"fan{level}", "counts").astype(np.int64)
         if level == 1:
             told = told[self.words]
         n, shared = len(told), self.shared[level - 1]
@@ -373,14 +405,14 @@ def _told(table: pa.Table) -> dict[str, dict[str, list[np.ndarray]]]:
     return out
 
 
-def _ask(texts: DataFrame, told: DataFrame, level: int, parts: int) -> DataFrame:
+def _ask(texts: DataFrame, told: DataFrame, level: int, parts: int, hot: int) -> DataFrame:
     """What blocks ask about their n-grams of an order, given the answers about the shorter ones."""
 
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return _message([])
         row = block.to_pylist()[0]
-        grams = _Grams(row, answers, parts)
+        grams = _Grams(row, answers, parts, hot)
         for k in range(2, level):
             grams.deepen(k)
         return _message([(part, row["block"], kind, pack(p, True), pack(w, kind == "more"), pack(c), 0) for part, kind, p, w, c in grams.question()])
@@ -471,7 +503,7 @@ def _pieces(sizes: np.ndarray, order: int, piece: int) -> tuple[np.ndarray, np.n
 
 
 def scores(
-    docs: DataFrame, held_out: Column, order: int = 3, part_bytes: int = PART_BYTES, block_tokens: int = BLOCK_TOKENS, piece: int = PIECE
+    docs: DataFrame, held_out: Column, order: int = 3, part_bytes: int = PART_BYTES, block_tokens: int = BLOCK_TOKENS, piece: int = PIECE, hot: int = HOT
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``.
 
@@ -480,7 +512,8 @@ def scores(
     distribution of single tokens.  ``score`` is the log10 probability of the whole text, ``base_score`` that of the base distribution alone.
 
     Nothing of the model is dropped or held by one machine.  Texts become blocks of documents, written once.  Blocks ask parts, dealt by a hash
-    of the n-gram, about their distinct n-grams of each order, with their own counts; a part adds up and answers.  What follows a context that no
+    of the context (of the whole n-gram where the context occurs more than ``hot`` times), about their distinct n-grams of each order, with their own counts; a
+    part adds up and answers.  What follows a context that no
     other block has needn't be asked.  So a frequent n-gram costs an entry per block, and a block gets just the states and arcs that its texts can
     reach, through which they are then walked from left to right.
 
@@ -499,18 +532,19 @@ def scores(
     total = texts.agg(F.sum("n")).first()[0] or 0
     distinct = (first.filter("kind = 'size'").agg(F.sum("n")).first()[0] or 0) - (1 if total else 0)  # without the start
 
-    told, fans = first.filter("block >= 0"), []
+    told, named, fans = first.filter("block >= 0"), first.filter("kind = 'id1'"), []
     for level in range(2, order + 1):
-        asked[level] = _ask(texts, told, level, parts)
+        asked[level] = _ask(texts, told, level, parts, hot)
         answers = _answers(asked[level], level)
-        fans.append(_fans(asked[level - 1], answers.filter("kind = 'more'"), level - 1))
+        fans.append(_fans(named, answers.filter("kind = 'more'"), level - 1))
+        named = answers.filter(f"kind = 'id{level}'")
         told = told.unionByName(answers.filter("block >= 0" if level < order else f"kind = 'count{level}'"))
     for more in fans:
         told = told.unionByName(more)
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.drop_columns(["ids"]).to_pylist()[0]
-        grams = _Grams(row, answers, parts)
+        grams = _Grams(row, answers, parts, hot)
         for k in range(2, order + 1):
             grams.deepen(k)
         automaton = _Automaton(grams, order, total, distinct)

@@ -17,6 +17,9 @@ TREE = ["domain", "lang", "source"]
 #: Bits of the order within an epoch, and how many of them each refinement of its prefix reads.
 ORDER_BITS, BIN_BITS, REFINEMENTS = 60, 12, 2
 
+#: Tables of leaves up to this size are broadcast: about a hundred bytes a leaf.  Larger ones are joined by a shuffle.
+BROADCAST_LEAVES = 20_000
+
 
 @dataclass
 class Mixture:
@@ -108,7 +111,7 @@ def plan(docs: DataFrame, mixture: Mixture) -> DataFrame:
         "rest": F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).cast("long"),
     }))
     named = rows.select(F.to_json(F.struct(*TREE)).alias("leaf"), "doc_id", "_digest", "n_tokens")
-    inside = named.join(shares.filter("rest > 0").select("leaf", "epochs", "rest"), "leaf")
+    inside = named.join(_sized(shares.filter("rest > 0").select("leaf", "epochs", "rest")), "leaf")
     inside = inside.select("leaf", "doc_id", "_digest", "n_tokens", "rest", _place(F.col("epochs"), mixture).alias("place"), F.lit(0).cast("long").alias("edge"))
     shift = ORDER_BITS
     for _ in range(REFINEMENTS):
@@ -118,7 +121,7 @@ def plan(docs: DataFrame, mixture: Mixture) -> DataFrame:
         along = Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ends = bins.withColumn("sum", F.sum("n").over(along)).filter("sum > rest and sum - n <= rest")
         ends = cut_lineage(ends.select("leaf", F.col("bin").alias("edge"), (F.col("rest") - F.col("sum") + F.col("n")).alias("rest")))
-        inside = inside.drop("rest", "edge").join(ends, "leaf").filter(start == F.col("edge"))
+        inside = inside.drop("rest", "edge").join(_sized(ends), "leaf").filter(start == F.col("edge"))
     # Equal rows are one, with their number; so rows without an id, which all have one place, don't meet in one task, either.
     same = inside.groupBy("leaf", *KEY, "rest", "edge").agg(F.count("*").alias("n"))
     along = Window.partitionBy("leaf").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -141,6 +144,11 @@ def _digest(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _sized(leaves: DataFrame) -> DataFrame:
+    """Handed to every task if there are few leaves, so that texts stay where they lie; very many are joined by a shuffle."""
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+
+
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """``doc_id``, the leaf's names, ``n_tokens``, ``epoch`` and ``row`` (all columns of ``docs``) for every time that a document is
     taken.
@@ -157,7 +165,7 @@ def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
     taken = (F.col("place") < F.col("edge")) | (key <= F.col("cut"))
     last = F.when(F.coalesce(taken, F.lit(False)), F.array("epochs")).otherwise(F.array().cast("array<bigint>"))
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).otherwise(F.array().cast("array<bigint>"))
-    placed = rows.join(leaf, "leaf").withColumn("place", _place(F.col("epochs"), mixture))
+    placed = rows.join(_sized(leaf), "leaf").withColumn("place", _place(F.col("epochs"), mixture))
     shown = ["doc_id", "domain", "lang", "source", "n_tokens", "epoch", "row"]
     chosen = placed.withColumn("epoch", F.explode(F.concat(whole, last))).select(*shown)
     if leaf.filter("part is not null").isEmpty():

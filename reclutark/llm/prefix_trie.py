@@ -60,7 +60,7 @@ def rebuilt(rows: DataFrame, family: int = 20, heads: int = 4) -> tuple[DataFram
     Conversation c gets the first h turns of conversation c - c % ``family`` (all if fewer, none if absent) and then its own after
     its first h; h is the unsigned CRC-32 of the decimal c modulo ``heads``.
     """
-    own = cut_lineage(numbered(rows))
+    own = cut_lineage(numbered(cut_lineage(rows)))  # ranges are drawn from a sample, so texts would be read twice
     head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads).alias("h")
     convs = own.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % family).alias("base"), head)
     starts = own.filter(F.col("pos") < heads).select(F.col("conv_id").alias("base"), "pos", "t", "words")

@@ -67,11 +67,13 @@ def held(rows, got, order=3):
         assert any(r.n_known == known and r.train_tokens == total and abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6 for r in near)
 
 
-@pytest.mark.parametrize("order, block, piece, part_bytes", [(3, 10**6, 1024, 10**8), (3, 4000, 16, 20_000), (2, 3000, 7, 30_000), (1, 3000, 7, 30_000), (4, 5000, 3, 50_000)])
-def test_brute_force_however_the_work_is_cut(table, order, block, piece, part_bytes):
+@pytest.mark.parametrize("order, block, piece, part_bytes, hot", [
+    (3, 10**6, 1024, 10**8, 10**6), (3, 4000, 16, 20_000, 20), (2, 3000, 7, 30_000, 0), (1, 3000, 7, 30_000, 10**6), (4, 5000, 3, 50_000, 3),
+])
+def test_brute_force_however_the_work_is_cut(table, order, block, piece, part_bytes, hot):
     docs = table("documents")
     rows = [(r.doc_id, r.text, r.out) for r in docs.select("doc_id", "text", held_out().alias("out")).collect()]
-    held(rows, backoff.scores(docs.repartition(3), held_out(), order, part_bytes, block, piece).collect(), order)
+    held(rows, backoff.scores(docs.repartition(3), held_out(), order, part_bytes, block, piece, hot).collect(), order)
 
 
 @pytest.mark.parametrize("context", [(), ("a",), ("a", "b"), ("b", "a"), ("never", "seen"), (" start",), (" start", "a")])
@@ -104,3 +106,9 @@ def test_packed_numbers():
             of = np.array(sorted(values) if rising else values, dtype=np.uint64)
             got = backoff.unpack(backoff.pack(of, rising))
             assert got.tolist() == of.tolist()
+
+
+def test_packed_small_numbers():
+    for values in ([], [0], [0, 127, 128, 16_383, 16_384, 2**21 - 1, 2**21, 2**28, 2**32 - 1], list(range(40_000))):
+        of = np.array(values, dtype=np.uint32)
+        assert backoff.unpack_small(backoff.pack_small(of)).tolist() == values
