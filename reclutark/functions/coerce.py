@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from reclutark.functions.text import LETTER, strip
@@ -83,6 +85,18 @@ REWRITTEN = (
     (r"^(\d{4})[-/. ]+" + MONTH + r"[-/. ]+(\d{1,2})" + TIME, "$2 $3 $1"),
 )
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# What all shapes begin with: a number or month that is parted from the next, or eight digits.
+PARTED = r"^[0-9A-Za-z]++[-/., ]"
+PARTED_OR_EIGHT = r"^(?:[0-9A-Za-z]++[-/., ]|\d{8})"
+
+
+def import_dates(texts: Sequence[Column]) -> Column:
+    """:func:`import_date` of texts without white space at their ends, as an array.
+
+    Each step is worked out once for a text, as the next one is a function of its result; and the code of the shapes stands in no row's
+    projection, which the JVM would not compile at that size.
+    """
+    return F.transform(F.transform(F.array(*texts), with_day), dated_text)
 
 
 def import_date(c: Column) -> Column:
@@ -100,7 +114,7 @@ def with_day(text: Column) -> Column:
     written = text
     for shape, order in REWRITTEN:
         written = F.regexp_replace(written, shape, order)
-    return F.when(text.rlike(ISO_DAY), text).otherwise(written)
+    return F.when(text.rlike(ISO_DAY) | ~text.rlike(PARTED), text).otherwise(written)
 
 
 def dated_text(text: Column) -> Column:
@@ -126,6 +140,7 @@ def dated_text(text: Column) -> Column:
 
     return (
         F.when(text.rlike(ISO_DAY), text.try_cast("date"))
+        .when(~text.rlike(PARTED_OR_EIGHT), F.lit(None).cast("date"))
         .when(text.rlike(YEAR_FIRST), rewritten(YEAR_FIRST, "$1-$2-$3"))
         .when(text.rlike(YEAR_LAST), F.coalesce(rewritten(YEAR_LAST, "$3-$1-$2"), rewritten(YEAR_LAST, "$3-$2-$1")))
         .when(text.rlike(EIGHT_DIGITS), rewritten(EIGHT_DIGITS, "$1-$2-$3"))

@@ -250,25 +250,31 @@ DATE_COLUMNS = ("fecha_solicitud", "fecha_avance", "fecha_autorizacion", "fecha_
 def cleanse(staged: DataFrame) -> DataFrame:
     """Typed import rows: ``row_idx``, the vacancy columns, the area as written, and ``motivo`` if refused.
 
-    Three projections, so that no expression is worked out twice: cells trimmed or read as whole numbers and
-    the reason of refusal, then the dates, then the rules.
+    Two projections, so that no expression is worked out twice: cells trimmed or read as whole numbers or dates, then the
+    rules and the reason of refusal.
     """
     raw = {
         stored: F.col(f"`{header}`") if header in staged.columns else F.lit(None).cast("string")
         for stored, header in catalogs.IMPORT_COLUMNS.items()
     }
     read = {
-        name: coerce.import_int(cell) if name in WHOLE_COLUMNS else text.strip(cell) for name, cell in raw.items()
+        name: coerce.import_int(cell) if name in WHOLE_COLUMNS else text.strip(cell)
+        for name, cell in raw.items() if name not in DATE_COLUMNS
     }
-    read |= {name: coerce.with_day(read[name]) for name in DATE_COLUMNS}
-    position = raw["puesto_vacante"]
+    dates = coerce.import_dates([text.strip(raw[name]) for name in DATE_COLUMNS])
+    written = {f"_{name}": raw[name] for name in WHOLE_COLUMNS}
+    once = staged.select("row_idx", *[c.alias(name) for name, c in {**read, **written, "_fechas": dates}.items()])
+    date = {name: F.col("_fechas")[k] for k, name in enumerate(DATE_COLUMNS)}
+
+    def bad_number(name: str) -> Column:
+        return F.col(name).isNull() & F.coalesce(F.col(f"_{name}").rlike(text.LETTER), F.lit(False))
+
     motive = _reason(
-        (coerce.is_bad_number(raw["id_sistema"]), "ID no es un número"),
-        (coerce.is_bad_number(raw["vacantes_solicitadas"]), "vacantes solicitadas no es un número"),
-        (coerce.is_bad_number(raw["vacantes_contratados"]), "vacantes contratados no es un número"),
-        (~F.coalesce(position.rlike(text.LETTER), F.lit(False)), "puesto_vacante es obligatorio"),
+        (bad_number("id_sistema"), "ID no es un número"),
+        (bad_number("vacantes_solicitadas"), "vacantes solicitadas no es un número"),
+        (bad_number("vacantes_contratados"), "vacantes contratados no es un número"),
+        (~F.coalesce(F.col("puesto_vacante") != "", F.lit(False)), "puesto_vacante es obligatorio"),
     )
-    once = staged.select("row_idx", *[c.alias(name) for name, c in read.items()], motive.alias("motivo"))
 
     def capitals(name: str) -> Column:
         return F.when(F.col(name) != "", F.upper(name))
@@ -276,14 +282,13 @@ def cleanse(staged: DataFrame) -> DataFrame:
     def or_unspecified(name: str) -> Column:
         return F.when(F.col(name) != "", F.col(name)).otherwise(F.lit(catalogs.UNSPECIFIED))
 
-    dated = once.withColumns({name: coerce.dated_text(F.col(name)) for name in DATE_COLUMNS})
     hired = F.col("vacantes_contratados")
     rules = {
         "tipo_solicitud": capitals("tipo_solicitud"),
         "estatus_solicitud": capitals("estatus_solicitud"),
         "fase_proceso": capitals("fase_proceso"),
-        "fecha_autorizacion": coerce.plausible_date(F.col("fecha_autorizacion")),
-        "fecha_cobertura": measures.fill_date_if_hired(F.upper("fase_proceso"), F.col("fecha_cobertura")),
+        "fecha_autorizacion": coerce.plausible_date(date["fecha_autorizacion"]),
+        "fecha_cobertura": measures.fill_date_if_hired(F.upper("fase_proceso"), date["fecha_cobertura"]),
         "puesto_vacante": capitals("puesto_vacante"),
         "funcion_area_vacante": capitals("funcion_area_vacante"),
         "vacantes_solicitadas": measures.remaining_openings(F.col("vacantes_solicitadas"), hired),
@@ -293,11 +298,12 @@ def cleanse(staged: DataFrame) -> DataFrame:
         "tipo_reclutamiento_vacante": F.upper(or_unspecified("tipo_reclutamiento_vacante")),
         "medio_reclutamiento_vacante": F.upper(or_unspecified("medio_reclutamiento_vacante")),
     }
-    return dated.select(
+    rules = {**date, **rules}
+    return once.select(
         "row_idx",
         *[rules.get(name, F.col(name)).alias(name) for name in VACANCY_COLUMNS],
         F.col("funcion_area_vacante").alias("area"),
-        "motivo",
+        motive.alias("motivo"),
     )
 
 

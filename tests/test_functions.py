@@ -332,3 +332,17 @@ def test_a_text_that_looks_like_a_list_is_no_list(spark):
 def test_only_whole_json_is_a_payload(spark, reply, payload, answer):
     row = conversations.payloads(spark.createDataFrame([(reply,)], "texto string")).first()
     assert row["contenido"] == payload and row["respuesta"] == (reply if payload is None else answer)
+
+
+def test_stripping_and_dates_test_few_patterns(spark):
+    """Outer blanks are seen without a pattern, and a text that no date begins like meets no shape; each text is looked at once."""
+    texts = ["2024-01-05", "5/3/2024", "45000", "pendiente", "20240105", "Mar 5, 2024", "2024 march", "3-2024", " ", None, "ñ 2024", "x/y", "1999.12.31 10:00"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", coerce.import_dates([F.col("t"), F.lit("2024-02-29")]).alias("both"), coerce.import_date(F.col("t")).alias("one")).orderBy("k").collect()
+    assert [r.both[0] for r in got] == [r.one for r in got] and {str(r.both[1]) for r in got} == {"2024-02-29"}
+    assert [str(r.one) if r.one else None for r in got] == [
+        "2024-01-05", "2024-05-03", None, None, "2024-01-05", "2024-03-05", "2024-03-01", "2024-03-01", None, None, None, None, "1999-12-31"]
+    assert "rlike" not in str(text.strip(F.col("t"))).lower()
+    ends = ["!", "~", "\x7f", "a b", " a ", "á", "aá", "áa", "a\x7f", "", " x ", "\t x\n", "x\x1f", " "]
+    stripped = spark.createDataFrame([(t,) for t in ends], "t string").select(text.strip(F.col("t"))).collect()
+    assert [r[0] for r in stripped] == [t.strip(text.WHITE_SPACE) for t in ends]

@@ -3,9 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples
+from conftest import SMALL, tuples
 from reclutark import catalogs
-from reclutark.sources import ingest, tables
+from reclutark.sources import fixtures as fx, ingest, tables
 
 HEADERS = catalogs.IMPORT_COLUMNS
 AT = dt.datetime(2024, 5, 6, 7, 8)
@@ -373,3 +373,9 @@ def test_headers_alone_empty_files_and_odd_names(spark, tmp_path):
     (tmp_path / "e" / "x.csv").write_text("")
     got = tables.read_drop_lines(spark, str(tmp_path / "e"))
     assert got.rows.collect() == [] and got.rejects.collect() == []
+
+
+def test_cleansing_works_out_no_shape_in_a_row_projection(spark):
+    """The shapes of dates stand in functions over arrays: as columns they make a method that the JVM does not compile."""
+    plan = ingest.cleanse(fx.importacion(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 2 and plan.count("lambdafunction(") == 2
