@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -35,8 +36,9 @@ BLOCK = 2**20
 #: Equal words before or after a seed in SEED + WINDOW - 1 equal words: one side has so many.
 BESIDE = WINDOW // 2
 
-#: Lower half of the place of a longer key, which needs nothing beside it.
-ANY = 1
+#: Lower half of the place of a longer key, which needs nothing beside it: a pair of seeds, or a run of LEAST_WORDS words; and what is added to the latter at the
+#: end of a text.  What stands beside a seed is odd or 0 in either half, so it is never one of a run's.
+ANY, RUN, AT_END = 1, 2, 4
 
 #: Rows of a seed that all meet each other: three documents with one place each.  A seed of more is crowded.
 MET = 3
@@ -115,15 +117,15 @@ def _mixed(keys: list[np.ndarray], odd: int) -> np.ndarray:
     return h & ~np.uint64(1) | np.uint64(odd)
 
 
-def long_places(single: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the longer keys of a text, given its words' hashes, where its seeds are crowded: every run of LEAST_WORDS words whose windows have
-    crowded seeds only (odd), and pairs of crowded seeds that a passage may hold (even).
+def long_places(single: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and their lower halves of the longer keys of a text, given its words' hashes, where its seeds are crowded: every run of LEAST_WORDS words
+    whose windows have crowded seeds only (odd), and pairs of crowded seeds that a passage may hold (even).
 
     A run has its key in each text that holds it, as the key depends on the words of the run alone; so an exact repeat always
     meets the first document that holds it, whatever holds parts of it.
     """
     if len(single) < LEAST_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     h, least = _hashed(single)
     crowded = lambda x: crowd[(x & np.uint64(2**CROWD_BITS - 1)).astype(np.int64) >> 3] >> (x & np.uint64(7)).astype(np.uint8) & 1
     alone = np.concatenate([[0], np.cumsum(1 - crowded(least).astype(np.int64))])
@@ -137,7 +139,10 @@ def long_places(single: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.n
         near = right - left <= LEAST_WORDS - SEED
         keys.append(_mixed([h[left[near]], h[right[near]]], 0))
         places.append(left[near])
-    return np.concatenate(keys).view(np.int64), np.concatenate(places).astype(np.int32)
+    places = np.concatenate(places)
+    lower = np.full(len(places), ANY)
+    lower[: len(whole)] = np.where(whole + LEAST_WORDS == len(single), RUN | AT_END, RUN)
+    return np.concatenate(keys).view(np.int64), places.astype(np.int32), lower
 
 
 def _spaced(places: list[int], close: list[bool]) -> list[int]:
@@ -166,7 +171,7 @@ def seeds(docs: DataFrame, crowd: Broadcast | None = None) -> DataFrame:
                 found = [_seeded(hashes[a:b]) if table is None else long_places(hashes[a:b], table) for a, b in zip([0, *ends], ends)]
                 counts = [len(h) for h, *_ in found]
                 places = np.concatenate([p for _, p, *_ in found]).astype(np.int64)
-                beside = np.concatenate([b for *_, b in found]) if table is None else ANY
+                beside = np.concatenate([b for *_, b in found])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([h for h, *_ in found])), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), counts)),
                     pa.array(places << 32 | beside)], names=["h", "doc_id", "pos"])
@@ -304,39 +309,84 @@ def best_chains(pos: np.ndarray, src: np.ndarray) -> list[list[int]]:
 
 
 def _thinned(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
-    """Sorted matches without equal rows, and of those that go on word by word the ends and every WINDOW-th; and whether a match may
-    stand alone, as the words on one side of it are the same."""
+    """Sorted matches without equal rows, and of those that go on word by word the ends and every WINDOW-th; whether a match may
+    stand alone, as the words on one side of it are the same; and RUN where LEAST_WORDS words from it on are the same, with AT_END if those are the last."""
     equal = pos ^ src
-    whole = ((equal & 0xFFFF == 0) & (pos & 0xFFFF > 0)) | ((equal >> 16 & 0xFFFF == 0) & (pos >> 16 & 0xFFFF > 0))
+    sure = np.where(np.isin(pos & 0xFFFFFFFF, (RUN, RUN | AT_END)), pos & 0xFFFFFFFF, 0)
+    whole = (sure > 0) | ((equal & 0xFFFF == 0) & (pos & 0xFFFF > 0)) | ((equal >> 16 & 0xFFFF == 0) & (pos >> 16 & 0xFFFF > 0))
     pos, src = (c >> 32 for c in (pos, src))
-    order = np.lexsort((~whole, src, pos, source, doc))
-    doc, source, pos, src, whole = (c[order] for c in (doc, source, pos, src, whole))
+    order = np.lexsort((~whole, -sure, src, pos, source, doc))
+    doc, source, pos, src, whole, sure = (c[order] for c in (doc, source, pos, src, whole, sure))
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (pos[1:] != pos[:-1]) | (src[1:] != src[:-1])
-    doc, source, pos, src, whole = (c[new] for c in (doc, source, pos, src, whole))
+    doc, source, pos, src, whole, sure = (c[new] for c in (doc, source, pos, src, whole, sure))
     on = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (pos[1:] == pos[:-1] + 1) & (src[1:] == src[:-1] + 1)
     kept = ~(np.append(False, on) & np.append(on, False)) | (pos % WINDOW == 0)
-    return [c[kept] for c in (doc, source, pos.astype(np.int32), src.astype(np.int32), whole)]
+    return [c[kept] for c in (doc, source, pos.astype(np.int32), src.astype(np.int32), whole, sure)]
+
+
+def _sure_end(pos: list[int], src: list[int], sure: list[int]) -> int:
+    """Where the words end that are the same from a chain's first place on, by its runs; beyond all places if the text ends there."""
+    if not sure[0]:
+        return pos[0]
+    end, over = pos[0] + LEAST_WORDS, False
+    for p, s, run in zip(pos, src, sure):
+        if run and p - s == pos[0] - src[0] and p <= end:
+            end, over = p + LEAST_WORDS, over or run & AT_END > 0
+    return 1 << 62 if over else end
+
+
+def needed(spans: list[tuple[int, int, int]]) -> list[bool]:
+    """Which chains (first place, last place, :func:`_sure_end`) of a document are verified: the fewest whose sure words are those of all, and each
+    that could give a word beyond them.
+
+    The sure words of a chain are in a passage of it, and no passage of a chain goes beyond the words that are looked at; so the others can't
+    cover a word that the ones that stay don't cover.  A line that is repeated on and on has a chain for each time, of which few stay.
+    """
+    need = [False] * len(spans)
+    sure = sorted((k for k, (start, _, end) in enumerate(spans) if end > start), key=lambda k: (spans[k][0], -spans[k][2]))
+    begins, ends, at = [], [], 0
+    while at < len(sure):
+        begins.append(spans[sure[at]][0])
+        reached, farthest = begins[-1], None
+        while at < len(sure) and spans[sure[at]][0] <= reached:
+            while at < len(sure) and spans[sure[at]][0] <= reached:  # of all that begin there, the one that reaches farthest
+                if farthest is None or spans[sure[at]][2] > spans[farthest][2]:
+                    farthest = sure[at]
+                at += 1
+            if spans[farthest][2] > reached:
+                need[farthest], reached = True, spans[farthest][2]
+        ends.append(reached)
+    for k, (start, last, _) in enumerate(spans):
+        held = bisect_right(begins, max(0, start - MARGIN)) - 1
+        need[k] |= held < 0 or last + SEED + MARGIN > ends[held]
+    return need
 
 
 def chains(found: DataFrame) -> DataFrame:
     """``chain, doc_id, src_id, pos, src_pos`` (arrays of the chain's places) for documents that share a key or more.
 
     A group is what one document shares with others, which its own length bounds.  All chains go on to be verified, as one that
-    covers another may fail; but not a lone seed with other words on both sides.  A passage has 24 equal words in a row or more, whose seeds
+    covers another may fail; but not those that :func:`needed` leaves out, nor a lone seed with other words on both sides.  A passage has 24 equal words in a row or more, whose seeds
     have BESIDE equal words on a side at least.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in runs(batches, ["doc_id"]):
-            doc, source, pos, src, whole = _thinned(*(table.column(c).to_numpy() for c in ("doc_id", "src_id", "pos", "src_pos")))
+            doc, source, pos, src, whole, sure = _thinned(*(table.column(c).to_numpy() for c in ("doc_id", "src_id", "pos", "src_pos")))
             bounds = np.concatenate([[0], 1 + np.flatnonzero(np.diff(doc)), [len(doc)]])
             rows = []
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                mine, spans = [], []
                 cuts = [start, *(start + 1 + np.flatnonzero(np.diff(source[start:stop]))).tolist(), stop]
                 for a, b in zip(cuts, cuts[1:]):
                     own = best_chains(pos[a:b], src[a:b]) if b - a > 1 else [[0]]
-                    rows += [(doc[start], source[a], pos[a:b][c], src[a:b][c]) for c in own if len(c) > 1 or whole[a + c[0]]]
+                    for c in own:
+                        if len(c) > 1 or whole[a + c[0]]:
+                            mine.append((doc[start], source[a], pos[a:b][c], src[a:b][c]))
+                            p, s = mine[-1][2].tolist(), mine[-1][3].tolist()
+                            spans.append((p[0], p[-1], _sure_end(p, s, sure[a:b][c].tolist())))
+                rows += [row for row, need in zip(mine, needed(spans)) if need]
             for k in range(0, len(rows), 4096):
                 part = list(zip(*rows[k : k + 4096]))
                 lists = (pa.array(c, pa.list_(pa.int32())) for c in part[2:])

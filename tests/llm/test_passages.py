@@ -211,3 +211,33 @@ def test_a_change_anywhere_in_51_words_leaves_the_passage(documents):
     for at in range(51):
         r = found[2 * at + 1]
         assert r.start_word <= 30 + (at + 1 if at < 3 else 0) and r.start_word + r.n_words >= 81 - (51 - at if at > 47 else 0) and r.similarity >= 0.8
+
+
+def test_lines_repeated_on_and_on_have_few_chains(spark):
+    """A line that fills many texts has a key at every place; the chains that can cover nothing more are not verified, and the same words are covered."""
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(30 + i)), *["Is", "onhe."] * 200, *(f"v{i}x{k}" for k in range(i))])) for i in range(8)]
+    made, kept = [], passages.chains
+    try:
+        passages.chains = lambda found: made.append(kept(found)) or made[-1]
+        got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        passages.chains = kept
+    assert made[0].groupBy("doc_id").count().agg({"count": "max"}).first()[0] < 120
+    for i in range(1, 8):
+        covered = {k for r in got if r.doc_id == i for k in range(r.start_word, r.start_word + r.n_words)}
+        assert covered == set(range(30 + i, 430 + i))
+
+
+def test_needed_chains_cover_what_all_cover():
+    random = np.random.default_rng(3)
+    for _ in range(300):
+        spans = []
+        for _ in range(random.integers(1, 40)):
+            start, run = int(random.integers(0, 400)), bool(random.integers(0, 2))
+            last = start + int(random.integers(0, 30))
+            spans.append((start, last, last + passages.LEAST_WORDS if run else start))
+        need = passages.needed(spans)
+        sure = {w for (a, _, e), n in zip(spans, need) if n for w in range(a, e)}
+        assert sure == {w for a, _, e in spans for w in range(a, e)}
+        for (a, b, _), n in zip(spans, need):
+            assert n or sure >= set(range(max(0, a - passages.MARGIN), b + passages.SEED + passages.MARGIN))
